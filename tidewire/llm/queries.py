@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules
+from . import chat, rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(
+        [(-1, 0, "user", chat.HARD), (-1, 1, "assistant", chat.HARD)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(hard)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_quality_rules": rules.ORACLE}
