@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,15 +92,15 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
-def running_sums(a: Column, block: int = 64) -> Column:
-    """Sums of the first 0, 1, ... n elements of an array of bigint (n + 1 values).
+def running(a: Column, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """op over the first 0, 1, ... n elements of an array of bigint (n + 1 values); op has the identity 0.
 
-    Appending to an array copies it, so sums are taken in blocks of `block` and then
+    Appending to an array copies it, so the fold is taken in blocks of `block` and then
     over the blocks: about n * block / 2 + (n / block)^2 / 2 copied elements.
     """
     zero = F.lit(0).cast("bigint")
     scan = lambda x: F.aggregate(
-        x, F.array(zero), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+        x, F.array(zero), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v)))
     )
     n = F.size(a)
     parts = F.transform(
@@ -108,9 +108,12 @@ def running_sums(a: Column, block: int = 64) -> Column:
         lambda i: scan(F.slice(a, i * block + 1, F.lit(block))),
     )
     starts = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
-    shifted = F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.lit(block)), lambda v: v + F.get(starts, i)))
-    blocks = F.concat(F.array(zero), F.flatten(shifted))
-    return F.when(n <= block, scan(a)).otherwise(blocks)
+    shifted = F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.lit(block)), lambda v: op(v, F.get(starts, i))))
+    return F.when(n <= block, scan(a)).otherwise(F.concat(F.array(zero), F.flatten(shifted)))
+
+
+def running_sums(a: Column) -> Column:
+    return running(a, lambda x, y: x + y)
 
 
 # ---------------------------------------------------------------- vectorised word hashing

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, rules, secrets
+from . import chat, lines, rules, secrets
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op8_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_quality_rules": rules.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
