@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, rules, secrets
+from . import chat, decontam, lines, rules, secrets
 from .common import Scratch
 
 
@@ -26,6 +26,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(hard)))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op5"))
+    return leaks.drop("hamming")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op8_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op5_benchmark_decontamination, op8_quality_rules, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_benchmark_decontamination": decontam.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
