@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lines, rules, secrets
+from . import chat, decontam, gam, jaccard, lines, rules, secrets, toxicity
 from .common import Scratch
 
 
@@ -18,6 +18,15 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op3")).drop("n_links")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame(
@@ -35,13 +44,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.score_documents(docs, gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op4_chat_formatting, op5_benchmark_decontamination, op8_quality_rules, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_toxicity, op3_ngram_jaccard_join, op4_chat_formatting, op5_benchmark_decontamination, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_benchmark_decontamination": decontam.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op3_ngram_jaccard_join": jaccard.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_benchmark_decontamination": decontam.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
