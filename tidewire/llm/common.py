@@ -92,6 +92,11 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, even where use refers to it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running(a: Column, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
     """op over the first 0, 1, ... n elements of an array of bigint (n + 1 values); op has the identity 0.
 
@@ -102,20 +107,41 @@ def running(a: Column, op: Callable[[Column, Column], Column], block: int = 64)
     scan = lambda x: F.aggregate(
         x, F.array(zero), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v)))
     )
-    n = F.size(a)
-    parts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / block).cast("int"), F.lit(0))),
-        lambda i: scan(F.slice(a, i * block + 1, F.lit(block))),
-    )
-    starts = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
-    shifted = F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.lit(block)), lambda v: op(v, F.get(starts, i))))
-    return F.when(n <= block, scan(a)).otherwise(F.concat(F.array(zero), F.flatten(shifted)))
+
+    def by_block(x: Column) -> Column:
+        parts = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / block).cast("int"), F.lit(0))),
+            lambda i: scan(F.slice(x, i * block + 1, F.lit(block))),
+        )
+        return let(parts, lambda p: let(scan(F.transform(p, lambda q: F.element_at(q, -1))), lambda starts: shift(p, starts)))
+
+    def shift(parts: Column, starts: Column) -> Column:
+        moved = F.transform(parts, lambda p, i: let(F.get(starts, i), lambda s: F.transform(F.slice(p, 2, F.lit(block)), lambda v: op(v, s))))
+        return F.concat(F.array(zero), F.flatten(moved))
+
+    return let(a, lambda x: F.when(F.size(x) <= block, scan(x)).otherwise(by_block(x)))
 
 
 def running_sums(a: Column) -> Column:
     return running(a, lambda x, y: x + y)
 
 
+def fold_of(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text modulo folds (a null id counts as the empty string)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int) -> DataFrame:
+    """doc_id, text, y of at most per_class rows of either label outside fold `held`, in hash order of doc_id."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
+    known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    pick = None
+    for y in (0, 1):
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        pick = some if pick is None else pick.unionByName(some)
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(pick), "doc_id")
+
+
 # ---------------------------------------------------------------- vectorised word hashing
 
 _rng = np.random.RandomState(20240607)
@@ -207,9 +233,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[
         if hi - lo >= k:
             yield np.unique(acc[lo : hi - k + 1])
         elif hi > lo:
-            one = np.uint64(hi - lo)
+            one = np.array([hi - lo], np.uint64)
             for x in h[lo:hi]:
-                one = mix(np.array([one * _P + x]))[0]
-            yield np.array([one], np.uint64)
+                one = mix(one * _P + x)
+            yield one
         else:
             yield np.zeros(0, np.uint64)

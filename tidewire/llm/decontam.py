@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, text_or_empty, words_of
+from .common import BROADCAST_IDS, Scratch, let, text_or_empty, words_of
 
 WORDS = 5
 THRESHOLD_PCT = 80
@@ -73,13 +73,13 @@ def simhash(bag: Column) -> Column:
             out = out.bitwiseOR(F.when(high * 2 > n, top).otherwise(F.lit(0)).cast("bigint"))
         return out
 
-    return F.transform(F.array(total), pack)[0]
+    return let(total, pack)
 
 
 def occurrences(bag: Column) -> Column:
     """The bag as a set: each element hashed with the number of its occurrence, so set overlap is bag overlap."""
-    s = F.sort_array(bag)
-    return F.transform(F.array(s), lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x).cast("int"))))[0]
+    number = lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x).cast("int")))
+    return let(F.sort_array(bag), number)
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:

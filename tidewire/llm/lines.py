@@ -89,7 +89,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     near = scratch.write(lines.select(*ORDER, "w").join(side, list(ORDER)), "near")
     # Position-bound word hashes, folded by XOR: x over a prefix, y over the words after it moved one left.
     xor = lambda a, b: a.bitwiseXOR(b)
-    v = near.withColumn("x", running(F.transform("w", lambda s, i: F.xxhash64(s, i)), xor))
+    spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    v = near.repartition(spread, *ORDER).withColumn("x", running(F.transform("w", lambda s, i: F.xxhash64(s, i)), xor))
     v = v.withColumn("y", running(F.transform("w", lambda s, i: F.xxhash64(s, i - 1)), xor))
     n = F.size("w")
     variant = lambda i: F.get("x", i).bitwiseXOR(F.get("y", n)).bitwiseXOR(F.get("y", i + 1))

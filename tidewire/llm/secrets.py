@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums, text_or_empty
+from .common import let, running_sums, text_or_empty
 
 _ANY = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _SEP = r"""["']?\x20*[:=]\x20*["']?"""
@@ -45,27 +45,21 @@ def spans_of(text: Column, kind: int) -> Column:
     if group == 0 and pattern.endswith("+") and name in ("hex", "mixed", "access"):
         head = 4 if name == "access" else 0
         pattern = f"{pattern[:-1]}{{{least - head},}}"
-    # both are one struct, so each is evaluated once
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.struct(found.alias("m"), pieces.alias("p"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
     def place(b: Column) -> Column:
         sizes = F.transform(b.m, lambda m, i: (F.length(m) + F.length(F.get(b.p, i))).cast("bigint"))
-        return F.transform(
-            F.array(F.struct(b.m.alias("m"), b.p.alias("p"), running_sums(sizes).alias("at"))),
-            lambda c: F.transform(
-                c.m,
+        return let(
+            running_sums(sizes),
+            lambda at: F.transform(
+                b.m,
                 lambda m, i: F.struct(
-                    (F.get(c.at, i) + F.length(F.get(c.p, i))).alias("s"),
-                    F.lit(kind).alias("k"),
-                    F.get(c.at, i + 1).alias("e"),
-                    m.alias("m"),
+                    (F.get(at, i) + F.length(F.get(b.p, i))).alias("s"), F.lit(kind).alias("k"), F.get(at, i + 1).alias("e"), m.alias("m")
                 ),
             ),
-        )[0]
+        )
 
-    placed = F.transform(F.array(both), place)[0]
+    placed = let(both, place)
     ok = lambda x: F.length(F.regexp_extract(x.m, pattern, group) if group else x.m) >= least
     if name == "mixed":
         ok = lambda x: x.m.rlike(MIXED_NEEDS[0]) & x.m.rlike(MIXED_NEEDS[1]) & x.m.rlike(MIXED_NEEDS[2])
