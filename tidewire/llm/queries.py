@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, gam, jaccard, lines, repeats, rules, secrets, toxicity
+from . import chat, decontam, gam, jaccard, lines, pieces, repeats, rules, secrets, toxicity
 from .common import Scratch
 
 
@@ -40,6 +40,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.drop("hamming")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup_substrings(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
@@ -58,8 +62,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_toxicity, op3_ngram_jaccard_join, op4_chat_formatting, op5_benchmark_decontamination, op7_suffix_array_dedup, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+    registered = (
+        op1_secret_scans,
+        op2_toxicity,
+        op3_ngram_jaccard_join,
+        op4_chat_formatting,
+        op5_benchmark_decontamination,
+        op6_sentencepiece,
+        op7_suffix_array_dedup,
+        op8_quality_rules,
+        op9_quality_classifier,
+        op10_line_dedup,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op3_ngram_jaccard_join": jaccard.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_benchmark_decontamination": decontam.ORACLE, "op8_quality_rules": rules.ORACLE, "op10_line_dedup": lines.ORACLE}
+    return {
+        "op1_secret_scans": secrets.ORACLE,
+        "op3_ngram_jaccard_join": jaccard.ORACLE,
+        "op4_chat_formatting": chat.ORACLE,
+        "op5_benchmark_decontamination": decontam.ORACLE,
+        "op8_quality_rules": rules.ORACLE,
+        "op10_line_dedup": lines.ORACLE,
+    }
