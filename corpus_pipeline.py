@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import rules
+from tidewire.llm import decontam, jaccard, lines, pieces, rules
 from tidewire.llm.common import Scratch
 
 
@@ -13,7 +14,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within one word edit of an earlier line go; a document without a word left goes too."""
+    df = lines.dedup_lines(docs, Scratch(spark, "line_dedup"))
+    left = F.array_join("kept_lines", "\n")
+    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
+    df = df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint"))
+    return df.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    return jaccard.keep_one(docs, Scratch(spark, "near_duplicates"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.drop_leaks(docs, benchmark, Scratch(spark, "decontamination"))
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every remaining document."""
+    return pieces.encode_documents(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece_encoding", sentencepiece_encoding),
+]
 
 #: SQL can't express subword encoding; tests/llm holds run() against a plain Python version.
 ORACLE_SQL = None
