@@ -86,17 +86,17 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """Words [^SPACE]+ of a text as an array; an empty array for a text without words."""
-    trimmed = F.btrim(text, F.lit(SPACE_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value evaluated once, even where use refers to it inside a lambda."""
     return F.transform(F.array(value), use)[0]
 
 
+def words_of(text: Column) -> Column:
+    """Words [^SPACE]+ of a text as an array; an empty array for a text without words."""
+    none = F.array().cast("array<string>")
+    return let(F.btrim(text, F.lit(SPACE_CHARS)), lambda t: F.when(t == "", none).otherwise(F.split(t, f"[{SPACE}]+")))
+
+
 def running(a: Column, op: Callable[[Column, Column], Column], block: int = 64) -> Column:
     """op over the first 0, 1, ... n elements of an array of bigint (n + 1 values); op has the identity 0.
 

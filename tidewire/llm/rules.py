@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty, words_of
+from .common import SPACE, let, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed phrases of page furniture, matched in either case inside one line.
@@ -42,57 +42,71 @@ def line_fails(line: Column) -> Column:
     return line.rlike(BREADCRUMB) | (symbols * 100 > F.length(line) * MAX_SYMBOL_PCT) | bare | phrase
 
 
-def windows_of_three(words: Column, n: Column) -> Column:
-    """Hashes of the three-word windows of a text, in order."""
-    return F.when(
+def repeated_words(words: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more in the text.
+
+    Only texts with an equal pair are sorted: (hash, position) pairs bring equal windows
+    together, and their positions mark the words.
+    """
+    n = F.size(words)
+    hashes = F.when(
         n >= 3,
         F.transform(F.slice(words, F.lit(1), n - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
 
+    def covered(s: Column) -> Column:
+        same = F.filter(
+            s,
+            lambda x, i: F.when(i > 0, x.h == F.get(s, i - 1).h).otherwise(False)
+            | F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False)),
+        )
+        return F.size(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs plus the columns m.* of measures; see judge_documents."""
-    q = "`__m`."
-    text = text_or_empty()
-    df = docs.withColumn("__text", text).withColumn("__w", words_of(F.col("__text")))
-    df = df.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")))
-    df = df.withColumn("__n", F.size("__w"))
-    df = df.withColumn("__tri", windows_of_three(F.col("__w"), F.col("__n")))
-    df = df.withColumn("__once", F.size(F.array_distinct("__tri")) == F.size("__tri"))
-    # Sorting (hash, position) brings equal windows together; their positions mark the covered words.
-    df = df.withColumn(
-        "__sorted",
-        F.when(F.col("__once"), F.lit(None)).otherwise(
-            F.sort_array(F.transform("__tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        ),
-    )
-    s = F.col("__sorted")
-    same = F.filter(
-        s,
-        lambda x, i: F.when(i > 0, x.h == F.get(s, i - 1).h).otherwise(False)
-        | F.coalesce(x.h == F.get(s, i + 1).h, F.lit(False)),
-    )
-    covered = F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x.i, x.i + 1, x.i + 2))))
-    lines = F.col("__lines")
-    lost = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when(line_fails(x), F.length(x)).otherwise(0))
-    total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
-    df = df.withColumn(
-        "__m",
-        F.struct(
-            F.col("__n").cast("bigint").alias("n_words"),
-            F.length(F.regexp_replace("__text", f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
-            (F.size(F.split("__text", SYMBOLS, -1)) - 1).cast("bigint").alias("n_symbols"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-            F.when(F.col("__once"), 0).otherwise(F.size(covered)).cast("bigint").alias("n_repeat_words"),
+    pairs = lambda t: F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(hashes, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), 0).otherwise(let(pairs(t), covered)))
+
+
+def verdict(text: Column) -> Column:
+    """A struct of all measures, base_failed and kept, as one expression in which nothing is evaluated twice.
+
+    It is one expression so that a filter on it, which Spark moves below the projection,
+    doesn't multiply the work.
+    """
+
+    def of_lines(lines: Column) -> list[Column]:
+        lost = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when(line_fails(x), F.length(x)).otherwise(0))
+        total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
+        return [
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             lost.cast("bigint").alias("lost_chars"),
             total.cast("bigint").alias("line_chars"),
-        ),
-    )
-    m = lambda c: F.col(q + c)
-    failed = (m("n_words") < MIN_WORDS) | (m("n_repeat_words") * 100 > m("n_words") * MAX_REPEAT_PCT)
-    return df.withColumn("__failed", failed).withColumn(
-        "__kept", ~failed & (m("lost_chars") * 100 <= m("line_chars") * MAX_LOST_PCT)
-    )
+        ]
+
+    def measures(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
+        words = lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).cast("bigint").alias("n_repeat_words"))
+        return F.struct(
+            let(words_of(t), words).alias("w"),
+            F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
+            (F.size(F.split(t, SYMBOLS, -1)) - 1).cast("bigint").alias("n_symbols"),
+            let(lines, lambda x: F.struct(*of_lines(x))).alias("l"),
+        )
+
+    def judged(m: Column) -> Column:
+        failed = (m.w.n_words < MIN_WORDS) | (m.w.n_repeat_words * 100 > m.w.n_words * MAX_REPEAT_PCT)
+        return F.struct(
+            m.w.n_words.alias("n_words"),
+            m.word_chars.alias("word_chars"),
+            m.n_symbols.alias("n_symbols"),
+            m.l.n_dup_lines.alias("n_dup_lines"),
+            m.w.n_repeat_words.alias("n_repeat_words"),
+            m.l.lost_chars.alias("lost_chars"),
+            m.l.line_chars.alias("line_chars"),
+            failed.alias("base_failed"),
+            (~failed & (m.l.lost_chars * 100 <= m.l.line_chars * MAX_LOST_PCT)).alias("kept"),
+        )
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(measures(t), judged))
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
@@ -102,14 +116,12 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     arise (each row stands alone), repeated rows give repeated results, a null doc_id is
     passed through, and other columns of docs are ignored.
     """
-    return measured(docs.select("doc_id", "text")).select(
-        "doc_id", "__m.*", F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept")
-    )
+    return docs.select("doc_id", verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge_documents keeps, with docs' own columns."""
-    return measured(docs).where("__kept").select([F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict(F.col("text")).kept)
 
 
 def cleaned_text(text: Column) -> Column:
