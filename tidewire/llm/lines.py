@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, running, text_or_empty, words_of
+from .common import BROADCAST_IDS, Scratch, running, text_or_empty, with_ids, words_of
 
 #: Shorter lines (headings, list marks, empty lines) are never compared: one edit in five words leaves 80 %.
 MIN_WORDS = 5
@@ -25,11 +25,15 @@ ORDER = ("doc_id", "v", "line_no")
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, v (the text's hash), line_no, w (words) of every line that is compared."""
-    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("t"))
-    d = d.select("doc_id", F.xxhash64("t").alias("v"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
-    d = d.select("doc_id", "v", "line_no", words_of(F.col("line")).alias("w"), F.length("line").alias("c"))
-    return d.where(F.size("w") >= min_words)
+    """doc_id, v (the text's hash), line_no, w (words), c (characters) of every line that is compared.
+
+    Words are made and short lines dropped inside the array, before it is exploded.
+    """
+    t = text_or_empty()
+    line = lambda x, i: F.struct(i.alias("line_no"), words_of(x).alias("w"), F.length(x).alias("c"))
+    long = F.filter(F.transform(F.split(t, "\n", -1), line), lambda x: F.size(x.w) >= min_words)
+    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(t).alias("v"), F.explode(long).alias("x"))
+    return d.select("doc_id", "v", "x.*")
 
 
 def _halves() -> Column:
@@ -86,7 +90,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     )
     candidates = scratch.write(candidates, "candidates")
     side = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    near = scratch.write(lines.select(*ORDER, "w").join(side, list(ORDER)), "near")
+    some = with_ids(docs, scratch.write(candidates.select("doc_id").distinct(), "ids"), "doc_id")
+    near = scratch.write(_lines(some, min_words).select(*ORDER, "w").join(side, list(ORDER)), "near")
     # Position-bound word hashes, folded by XOR: x over a prefix, y over the words after it moved one left.
     xor = lambda a, b: a.bitwiseXOR(b)
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
