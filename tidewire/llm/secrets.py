@@ -83,10 +83,12 @@ def weak_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     (document, block) whose groups are bounded by what fits into a block.
     """
     t = F.col("t")
+    none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
+    weak = F.concat(*[spans_of(t, k) for k in range(BASE, len(KINDS))])
+    # strong parts are looked up only where a weak one was found, and all of it inside one array
+    parts = let(weak, lambda w: F.when(F.size(w) > 0, F.concat(w, *[spans_of(t, k) for k in range(BASE)])).otherwise(none))
     cols = docs.select("doc_id", text_or_empty().alias("t"))
-    cols = cols.withColumn("weak", F.concat(*[spans_of(t, k) for k in range(BASE, len(KINDS))])).where(F.size("weak") > 0)
-    cols = cols.withColumn("parts", F.concat("weak", *[spans_of(t, k) for k in range(BASE)])).where(F.size("parts") > 1)
-    rows = cols.select("doc_id", F.md5(t.cast("binary")).alias("key"), F.explode("parts").alias("x"))
+    rows = cols.select("doc_id", F.md5(t.cast("binary")).alias("key"), F.explode(parts).alias("x"))
     rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "doc_id", "key", "x.*").distinct()
     roles = F.array(*[F.lit(ROLE[k[0]]) for k in KINDS])
     rows = rows.withColumn("role", F.get(roles, F.col("k")))
