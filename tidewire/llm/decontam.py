@@ -121,11 +121,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         of_k = items.where(F.col("k") == k)
         terms = of_k.select("item_id", "n", "m", F.explode(F.array_distinct("bag")).alias("h"))
         last = F.size("w") - k
-        spots = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(s)),
-            lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice("w", p + 1, F.lit(k))).alias("h")),
+        spots = F.when(
+            last >= 0,
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(s)),
+                lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice("w", p + 1, F.lit(k))).alias("h")),
+            ),
         )
-        hits = d.where(last >= 0).select("doc_id", "v", F.explode(spots).alias("x")).select("doc_id", "v", "x.*")
+        hits = d.select("doc_id", "v", F.explode(spots).alias("x")).select("doc_id", "v", "x.*")
         # The seeds of one item in one document; a window needs nearly all of its sampled positions among them.
         seeds = hits.join(small(terms), "h").groupBy("doc_id", "v", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
         missing = F.col("m") - F.ceil(F.lit(2 * THRESHOLD_PCT) * F.col("m") / (100 + THRESHOLD_PCT))
