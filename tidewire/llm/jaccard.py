@@ -12,9 +12,12 @@ K follows from the size band; a document near its band's upper end is also sketc
 the next band, so every pair of compatible sizes meets in one band. No link is lost;
 every candidate pair is verified on the whole sets.
 
-Equal sets are one vertex. Documents that share a key are not paired with each other:
-they are tested against one of them, labels are merged, and only those that are still
-apart are tested again (against another one, finally each against each).
+Equal sets are one vertex. Documents that share a key are not paired with each other.
+Each is first verified against the smallest document it shares a key with (its hub), and
+components are taken. Only where the documents around a hub still lie in several
+components, those outside the largest are compared with all of them: block against block
+inside tasks, by parity bit sketches (one toggled bit per shingle, so their Hamming
+distance is at most D, too). Only pairs that pass become rows, to be verified on the sets.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ WORDS = 5
 PCT = 80
 #: Sizes [BAND^i, BAND^(i+1)) form a band.
 BAND = 4
-#: Rounds of one-against-the-others before all pairs that are still apart are tested.
-STAR_ROUNDS = 3
+#: Documents in a block of the block-against-block comparison.
+BLOCK = 2048
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -98,15 +101,87 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """64-bit words of a parity sketch of 4 to 16 bits per element; a power of two, so longer ones fold onto shorter ones by XOR."""
+    n = 64
+    while n < 4 * len(hashes):
+        n *= BAND
+    odd = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in chunks(batch, "text"):
-            sets = [s.tobytes() for s in shingle_sets(data, offs, WORDS)]
+            sets = list(shingle_sets(data, offs, WORDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "s"]
+                [
+                    batch.column("doc_id").slice(lo, hi - lo),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                    pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary()),
+                ],
+                names=["doc_id", "n", "s", "bits"],
             )
 
 
+def _folded(values: list[bytes], words: int) -> np.ndarray:
+    out = np.zeros((len(values), words), np.uint64)
+    for i, v in enumerate(values):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def _near_blocks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (outer document, inner document) of one block pair whose sketches and sizes allow the threshold."""
+    outer = rows["outer"].to_numpy(zero_copy_only=False)
+    doc, c, n, bits = (rows[x].to_numpy(zero_copy_only=False) for x in ("doc", "c", "n", "bits"))
+    o, m = np.flatnonzero(outer), np.flatnonzero(~outer)
+    z = np.zeros(0, np.int64)
+    if not len(o) or not len(m):
+        return z, z
+    words = min(len(x) for x in bits) // 8
+    x, y = _folded(list(bits[o]), words), _folded(list(bits[m]), words)
+    left, right = [z], [z]
+    step = max(1, (1 << 21) // (len(m) * words))
+    for i in range(0, len(o), step):
+        part = o[i : i + step]
+        apart = np.bitwise_count(x[i : i + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+        total = n[part][:, None] + n[m][None, :]
+        ok = (apart <= total - 2 * (-(-PCT * total // (100 + PCT)))) & (c[part][:, None] != c[m][None, :])
+        a, b = np.nonzero(ok)
+        left.append(doc[part][a])
+        right.append(doc[m][b])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows sorted by (hub, sb, mb, lb); what a batch ends with is carried to the next."""
+
+    def give(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        key = np.stack([t[k].to_numpy() for k in ("hub", "sb", "mb", "lb")], 1)
+        cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
+        found = [_near_blocks(t.slice(i, j - i)) for i, j in zip(cut[:-1], cut[1:])]
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in ("hub", "sb", "mb", "lb")], 1)
+        other = np.flatnonzero((key != key[-1]).any(1))
+        edge = int(other[-1]) + 1 if len(other) else 0
+        before = [held[-1].column(k)[0].as_py() for k in ("hub", "sb", "mb", "lb")] if held else None
+        if edge or (held and before != key[0].tolist()):
+            yield give([*held, batch.slice(0, edge)])
+            held = []
+        held.append(batch.slice(edge))
+    if held:
+        yield give(held)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -123,6 +198,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    return scratch.write(both.mapInArrow(_verify, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "links")
+
+
+def _still_apart(star: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Pairs of documents around one hub in different components that size and sketch allow.
+
+    Around each hub, documents outside the largest component (outer) meet all documents of
+    their own and the two neighbouring size bands, dealt as pairs of blocks.
+    """
+    t = star.join(label, "doc")
+    parts = t.groupBy("hub", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("hub").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("k")).where("k > 1")
+    t = t.join(mixed.select("hub", "big"), "hub").join(sets.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PCT))).cast("int")
+    t = t.withColumn("outer", F.col("c") != F.col("big")).withColumn("sb", band)
+    t = scratch.write(t.select("hub", "doc", "c", "n", "bits", "outer", "sb"), "around")
+    outer = t.where("outer").withColumn("sb", F.explode(F.array(F.col("sb") - 1, F.col("sb"), F.col("sb") + 1)))
+    many = lambda df, name: df.groupBy("hub", "sb").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    size = many(t, "nm").join(many(outer, "nl"), ["hub", "sb"])
+    spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = t.withColumn("outer", F.lit(False)).join(size, ["hub", "sb"]).withColumn("mb", spot("nm")).withColumn("lb", upto("nl"))
+    outer = outer.join(size, ["hub", "sb"]).withColumn("lb", spot("nl")).withColumn("mb", upto("nm"))
+    keys = ["hub", "sb", "mb", "lb"]
+    rows = inner.select(*keys, "doc", "c", "n", "bits", "outer").unionByName(outer.select(*keys, "doc", "c", "n", "bits", "outer"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links per row of docs.
 
@@ -147,38 +255,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     crowd = F.count("*").over(Window.partitionBy("key"))
     met = scratch.write(keyed.withColumn("n", crowd).where("n > 1").select("key", "doc").distinct(), "met")
     ids = scratch.write(met.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    sets = scratch.write(with_ids(d, ids, "doc_id").mapInArrow(_sets, "doc_id bigint, s binary"), "sets")
-    label = scratch.write(ids.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("c")), "label")
-    tested, links = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        now = scratch.write(met.join(label, "doc"), "labelled")
-        if turn < STAR_ROUNDS:  # everyone against the first (then some other) member of each key
-            order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-            star = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "c")).alias("hub"), F.max("c").alias("c2"), F.min("c").alias("c1"))
-            star = star.where("c1 <> c2").select("key", F.col("hub.doc").alias("hub"), F.col("hub.c").alias("hc"))
-            pairs = now.join(star, "key").where("c <> hc").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-        else:  # whatever is still apart under a common key
-            mixed = now.groupBy("key").agg(F.max("c").alias("c2"), F.min("c").alias("c1")).where("c1 <> c2").select("key")
-            left = now.join(mixed, "key")
-            right = left.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(right, "key").where("doc < b and c <> cb").select(F.col("doc").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
-            sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
-        )
-        done = scratch.write(both.mapInArrow(_verify, "a bigint, b bigint, ok boolean"), "tested")
-        scratch.drop(now)
-        if done.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        tested = done if tested is None else tested.unionByName(done)
-        links = tested.where("ok").select("a", "b").distinct()
+    schema = "doc_id bigint, n bigint, s binary, bits binary"
+    sets = scratch.write(with_ids(d, ids, "doc_id").mapInArrow(_sets, schema), "sets")
+    hubs = met.groupBy("key").agg(F.min("doc").alias("hub"))
+    star = scratch.write(met.join(hubs, "key").select("hub", "doc").distinct(), "star")
+    nearest = star.where("hub < doc").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
+    links = _verified(nearest, sets, scratch)
+    label = ids.select(F.col("doc_id").alias("doc"))
+    if not links.isEmpty():
+        label = label.join(components(links, scratch), "doc", "left").select("doc", F.coalesce("c", "doc").alias("c"))
+    else:
+        label = label.withColumn("c", F.col("doc"))
+    label = scratch.write(label, "label")
+    more = _verified(_still_apart(star, label, sets, scratch), sets, scratch)
+    if not more.isEmpty():
+        links = scratch.write(links.unionByName(more).distinct(), "links")
         reach = components(links, scratch)
         label = label.select("doc").join(reach, "doc", "left").select("doc", F.coalesce("c", "doc").alias("c"))
-        label = scratch.write(label, "label")
+    links = None if links.isEmpty() else links
     degree = None
     if links is not None:
         ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc")))
