@@ -17,10 +17,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one word edit of an earlier line go; a document without a word left goes too."""
     df = lines.dedup_lines(docs, Scratch(spark, "line_dedup"))
-    left = F.array_join("kept_lines", "\n")
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text"))
-    df = df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint"))
-    return df.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    changed = F.col(lines.REMOVED) > 0
+    text = F.when(changed, F.array_join(lines.KEPT, "\n")).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.length(F.array_join(lines.KEPT, "\n"))).otherwise(F.col("n_chars")).cast("bigint")
+    own = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
+    left = df.where(~changed | F.exists(lines.KEPT, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return left.select([own.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,9 +182,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that hold no benchmark item, with docs' own columns."""
-    leaked = scratch.write(find_leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("__id")).distinct(), "leaked")
+    leaked = scratch.write(find_leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("__tw_id")).distinct(), "leaked")
     side = F.broadcast(leaked) if leaked.count() <= BROADCAST_IDS else leaked
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__tw_id")), "left_anti")
 
 
 ORACLE = rf"""

@@ -175,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> bytes
     rows = labelled_sample(docs, labels, "quality", HELD, FOLDS, per_class)
     schema = "doc_id bigint, y int, " + ", ".join(f"{f} double" for f in FEATURES)
     one = rows.mapInArrow(_featured, schema).repartition(1)
-    return bytes(one.mapInPandas(_train_task, "model binary").first()["model"])
+    trained = one.mapInPandas(_train_task, "model binary").first()  # nothing runs where there are no rows
+    return bytes(trained["model"]) if trained else next(_train_task(iter(())))["model"][0]
 
 
 def score_documents(docs: DataFrame, model: bytes) -> DataFrame:

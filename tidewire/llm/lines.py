@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, running, text_or_empty, with_ids, words_of
+from .common import BROADCAST_IDS, Scratch, let, running, text_or_empty, with_ids, words_of
 
 #: Shorter lines (headings, list marks, empty lines) are never compared: one edit in five words leaves 80 %.
 MIN_WORDS = 5
@@ -133,8 +133,12 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     return scratch.write(reduce(DataFrame.unionByName, [exact, checked]).distinct(), "removed")
 
 
+#: Columns that dedup_lines adds; named so that they don't meet a column of docs.
+KEPT, REMOVED = "__tw_kept_lines", "__tw_n_removed"
+
+
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs plus kept_lines (array) and n_removed.
+    """docs plus KEPT (array of lines) and REMOVED (their number).
 
     Lines are what "\n" separates. Comparison is by words (runs of SPACE are equal);
     whether an earlier line was itself removed plays no part. Null text is empty. Rows
@@ -142,18 +146,16 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     nothing. Repeated rows hold the same place, so they do not remove each other's lines.
     An empty table gives no rows; other columns pass through.
     """
-    gone = removed_lines(docs, scratch, min_words).groupBy("doc_id", "v").agg(F.collect_list("line_no").alias("__gone"))
-    gone = scratch.write(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("v", "__v"), "gone")
+    gone = removed_lines(docs.select("doc_id", "text"), scratch, min_words)
+    gone = gone.groupBy(F.col("doc_id").alias("__tw_id"), F.col("v").alias("__tw_v")).agg(F.collect_list("line_no").alias("__tw_gone"))
+    gone = scratch.write(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 4 else gone
-    df = docs.join(side, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__v")), "left")
+    df = docs.join(side, (F.col("doc_id") == F.col("__tw_id")) & (F.xxhash64(text_or_empty()) == F.col("__tw_v")), "left")
     lines = F.split(text_or_empty(), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    df = df.withColumn(
-        "kept_lines",
-        F.when(F.col("__gone").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i))),
-    )
-    df = df.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"))
-    return df.drop("__gone", "__id", "__v")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__tw_gone"))
+    kept = F.when(F.col("__tw_gone").isNull(), lines).otherwise(let(lines, lambda a: F.transform(left, lambda i: F.get(a, i))))
+    n = F.coalesce(F.size("__tw_gone"), F.lit(0)).cast("bigint")
+    return df.withColumn(KEPT, kept).withColumn(REMOVED, n).drop("__tw_gone", "__tw_id", "__tw_v")
 
 
 def dedup_report(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -161,9 +163,9 @@ def dedup_report(docs: DataFrame, scratch: Scratch) -> DataFrame:
     df = dedup_lines(docs.select("doc_id", "text"), scratch)
     return df.select(
         "doc_id",
-        (F.size("kept_lines") + F.col("n_removed")).cast("bigint").alias("n_lines"),
-        "n_removed",
-        F.sha2(F.array_join("kept_lines", "\n").cast("binary"), 256).alias("kept_sha256"),
+        (F.size(KEPT) + F.col(REMOVED)).cast("bigint").alias("n_lines"),
+        F.col(REMOVED).alias("n_removed"),
+        F.sha2(F.array_join(KEPT, "\n").cast("binary"), 256).alias("kept_sha256"),
     )
 
 
