@@ -254,8 +254,14 @@ over_tables("dns_transactions", lambda s, d: folds.dns_transactions(transactions
 WITH q AS (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), m AS (SELECT max(greatest(us, CASE WHEN event_id % 3 <> 0 THEN us + event_id % 1500 * 1000 END)) AS e FROM q)
 SELECT '10.0.0.1' AS client, '8.8.8.8' AS server, (event_id % 65536)::INT AS id, 'h' || event_id % 20 || '.example' AS qname, CASE WHEN event_id % 3 <> 0 THEN event_id % 1500 * 1000 END AS took_us, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END END::INT AS rcode,
 CASE WHEN event_id % 3 = 0 THEN CASE WHEN e - us >= 5000000 THEN 'timeout' ELSE 'open' END WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 1500 * 1000 > 1000000 THEN 'slow' ELSE 'success' END AS status FROM q, m""")
-_NAMED = F.when(F.col("rcode") == 3, "NXDOMAIN").when(F.col("rcode") == 0, "NOERROR").alias("rcode")
-over_tables("dns_problem_domains", lambda s, d: names.dns_problems(folds.dns_transactions(transactions(s, d)).where("status <> 'open'").select("qname", "status", _NAMED)))
+
+
+def named_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("rcode") == 3, "NXDOMAIN").when(F.col("rcode") == 0, "NOERROR").alias("rcode")
+    return folds.dns_transactions(transactions(spark, sf_dir)).where("status <> 'open'").select("qname", "status", name)
+
+
+over_tables("dns_problem_domains", lambda s, d: names.dns_problems(named_lookups(s, d)))
 
 # ---------------------------------------------------------------- scores, reports, text
 
