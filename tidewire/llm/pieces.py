@@ -20,18 +20,22 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Encoded units that a task keeps at hand before it starts anew.
 CACHE = 500_000
+#: Units of more characters are folded one by one.
+LONG = 48
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -86,7 +90,7 @@ def lattice(unit: str, v: Vocabulary) -> dict[tuple[int, int], tuple[float, int]
 
 def fold_merges(n: int, edges: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
     """Cut points after joining the best-scored neighbours (the left ones of equals) until none is a piece."""
-    if n > 48:  # the same by a heap, for long units
+    if n > LONG:  # the same by a heap, for long units
         after, before = list(range(1, n + 2)), list(range(-1, n))
         heap = [(-edges[i, i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in edges]
         heapq.heapify(heap)
@@ -142,20 +146,112 @@ def encode_unit(unit: str, v: Vocabulary) -> list[int]:
     return ids
 
 
+def _codes(units: list[str], n: int) -> np.ndarray:
+    """The code points of units of n characters, a row each."""
+    return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+
+
+class Lattices:
+    """Lattices of many units at once: substrings of bounded length as hashes, matched with the sorted piece table."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        names = sorted(v.pieces, key=len)
+        keys = np.concatenate([self._substrings(_codes(list(same), n))[-1][:, 0] for n, same in groupby(names, len)])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.scores = np.array([v.pieces[s][0] for s in names], np.float32)[order]
+        self.ids = np.array([v.pieces[s][1] for s in names], np.int32)[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.keys & np.uint64(len(self.maybe) - 1)] = True
+
+    def _substrings(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Per length 1, 2, ... the hashes of all substrings: one row per unit, one column per start."""
+        x = mix(codes.astype(np.uint64) + np.uint64(1))
+        out, roll = [], np.zeros_like(x)
+        for n in range(1, min(self.v.longest, codes.shape[1]) + 1):
+            roll = roll[:, : codes.shape[1] - n + 1] * _STEP + x[:, n - 1 :]
+            out.append(mix(roll + np.uint64(n)))
+        return out
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) by unit, start and length; -inf and -1 where a substring is no piece."""
+        rows, n = codes.shape
+        most = min(self.v.longest, n)
+        score, ids = np.full((rows, n, most + 1), -np.inf, np.float32), np.full((rows, n, most + 1), -1, np.int32)
+        for size, h in enumerate(self._substrings(codes), 1):
+            r, c = np.nonzero(self.maybe[h & np.uint64(len(self.maybe) - 1)])
+            found = h[r, c]
+            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            ok = self.keys[at] == found
+            score[r[ok], c[ok], size], ids[r[ok], c[ok], size] = self.scores[at[ok]], self.ids[at[ok]]
+        return score, ids
+
+    def fold(self, units: list[str]) -> list[bytes]:
+        """fold_merges of units of one length: each round joins the best neighbours of every unit that still has some,
+        so units still in play always have equally many pieces."""
+        n = len(units[0])
+        score, ids = self.edges(_codes(units, n))
+        most = score.shape[2] - 1
+        out, live = [b""] * len(units), np.arange(len(units))
+        cuts = np.tile(np.arange(n + 1), (len(units), 1))
+        while len(live):
+            if cuts.shape[1] > 2:
+                size = cuts[:, 2:] - cuts[:, :-2]
+                value = np.where(size <= most, score[live[:, None], cuts[:, :-2], np.minimum(size, most)], -np.inf)
+                best = value.argmax(1)
+                more = value[np.arange(len(live)), best] > -np.inf
+            else:
+                best, more = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
+            done, last = live[~more], cuts[~more]
+            got = ids[done[:, None], last[:, :-1], last[:, 1:] - last[:, :-1]]
+            for i, row, at, known in zip(done.tolist(), got.astype("<i4"), last, (got >= 0).all(1)):
+                out[i] = row.tobytes() if known else self._with_bytes(units[i], row.tolist(), at.tolist())
+            live, cuts, best = live[more], cuts[more], best[more]
+            keep = np.arange(cuts.shape[1]) != best[:, None] + 1
+            cuts = cuts[keep].reshape(len(live), cuts.shape[1] - 1)
+        return out
+
+    def _with_bytes(self, unit: str, row: list[int], cuts: list[int]) -> bytes:
+        """The ids of a cut unit in which some characters (-1) are no piece and go by their bytes."""
+        ids: list[int] = []
+        for x, s, e in zip(row, cuts, cuts[1:]):
+            ids += [x] if x >= 0 else [self.v.bytes[b] for b in unit[s:e].encode()]
+        return np.array(ids, "<i4").tobytes()
+
+
 class Encoder:
-    """Encodes texts; distinct units are encoded once while their number stays under CACHE."""
+    """Encodes texts; distinct units are encoded once, many at a time, while their number stays under CACHE."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.seen = v, {}
+        self.lattices = Lattices(v) if v.merges else None
+
+    def learn(self, units: set[str]) -> None:
+        """Encodes the units not seen yet: those of one length together, long ones and best-path models one by one."""
+        by_size: dict[int, list[str]] = {}
+        for u in units - self.seen.keys():
+            by_size.setdefault(len(_full(u)), []).append(u)
+        for n, us in by_size.items():
+            if self.lattices is None or n > LONG:
+                for u in us:
+                    self.seen[u] = np.array(encode_unit(_full(u), self.v), "<i4").tobytes()
+                continue
+            step = max(1, (1 << 21) // (n * (min(n, self.v.longest) + 1)))
+            for i in range(0, len(us), step):
+                part = us[i : i + step]
+                self.seen.update(zip(part, self.lattices.fold([_full(u) for u in part])))
 
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as 32-bit little-endian integers."""
-        units = units_of(text or "")
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian integers."""
         if len(self.seen) > CACHE:
             self.seen = {}
-        for u in set(units) - self.seen.keys():
-            self.seen[u] = np.array(encode_unit(_full(u), self.v), "<i4").tobytes()
-        return b"".join(map(self.seen.__getitem__, units))
+        split = [units_of(t or "") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.seen.__getitem__, units)) for units in split]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, without the space that encoding puts first."""
@@ -176,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.slice(lo, 200)
-                out = [np.frombuffer(encode(t), "<i4") for t in part.column("text").to_pylist()]
+                out = [np.frombuffer(x, "<i4") for x in encode.many(part.column("text").to_pylist())]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -205,12 +301,13 @@ def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
         encode = Encoder(shared.value)
         for batch in batches:
             rows = []
-            for t in batch.column("text").to_pylist():
-                ids = encode(t)
-                back = encode.decode(ids)
-                rows.append(
-                    (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == (t or "").encode())
-                )
+            for lo in range(0, len(batch), 200):
+                texts = batch.column("text").slice(lo, 200).to_pylist()
+                for t, ids in zip(texts, encode.many(texts)):
+                    back = encode.decode(ids)
+                    rows.append(
+                        (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == (t or "").encode())
+                    )
             cols = list(zip(*rows)) or [()] * 4
             types = (pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
