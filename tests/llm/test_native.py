@@ -156,9 +156,9 @@ def test_decontamination(spark, frame, scratch):
     import random
 
     rng = random.Random(3)
-    items = [(i, prose(rng, n)) for i, n in enumerate((15, 20, 30, 57, 57))] + [(7, "tiny three words"), (8, ""), (9, None), (1, "x y")]
+    items = [(i, prose(rng, n)) for i, n in enumerate((15, 20, 30, 57, 57, 160))] + [(7, "tiny three words"), (8, ""), (9, None), (1, "x y")]
     rows = [(i, prose(rng, 60)) for i in range(20)]
-    for i, (_, x) in enumerate(items[:5]):
+    for i, (_, x) in enumerate(items[:6]):
         w = x.split(" ")
         for k, cut in enumerate((0, 1, 3)):
             v = list(w)
