@@ -25,12 +25,12 @@ ORDER = ("doc_id", "v", "line_no")
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, v (the text's hash), line_no, w (words), c (characters) of every line that is compared.
+    """doc_id, v (the text's hash), line_no, w (words) of every line that is compared.
 
     Words are made and short lines dropped inside the array, before it is exploded.
     """
     t = text_or_empty()
-    line = lambda x, i: F.struct(i.alias("line_no"), words_of(x).alias("w"), F.length(x).alias("c"))
+    line = lambda x, i: F.struct(i.alias("line_no"), words_of(x).alias("w"))
     long = F.filter(F.transform(F.split(t, "\n", -1), line), lambda x: F.size(x.w) >= min_words)
     d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(t).alias("v"), F.explode(long).alias("x"))
     return d.select("doc_id", "v", "x.*")
@@ -72,9 +72,10 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     o = F.struct(*ORDER)
     lines = _lines(docs, min_words)
     table = scratch.write(
-        lines.select(*ORDER, F.size("w").alias("n"), "c", F.xxhash64("w").alias("h"), _halves().alias("halves")), "lines"
+        lines.select(*ORDER, F.size("w").alias("n"), F.hash("w").alias("c"), F.xxhash64("w").alias("h"), _halves().alias("halves")),
+        "lines",
     )
-    # Equal lines: everything but the first of each content.
+    # Equal lines (by their words, however spaced): everything but the first of each content.
     whole = ["h", "n", "c"]
     first = table.groupBy(whole).agg(F.min(o).alias("o"), F.min("halves").alias("halves"))
     first = scratch.write(first, "first")
