@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return secrets.scan_documents(table(spark, sf_dir, "documents"), scratch=Scratch(spark, "op1"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

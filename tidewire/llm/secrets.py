@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running_sums, text_or_empty
+from .common import Scratch, let, running_sums, text_or_empty
 
 _ANY = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _SEP = r"""["']?\x20*[:=]\x20*["']?"""
@@ -75,21 +75,30 @@ def _join(spans: Column) -> Column:
     )
 
 
-def weak_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak parts with their complement in scope: doc_id, key (the text's digest), spans (sorted).
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, id, key (the text's digest), found (base spans, sorted) and weak (all weak parts) per row of docs.
+
+    The one pass over the texts: everything after it works on spans.
+    """
+    t = F.col("t")
+    return docs.select("doc_id", text_or_empty().alias("t")).select(
+        "doc_id",
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.md5(t.cast("binary")).alias("key"),
+        F.sort_array(F.concat(*[spans_of(t, k) for k in range(BASE)])).alias("found"),
+        F.concat(*[spans_of(t, k) for k in range(BASE, len(KINDS))]).alias("weak"),
+    )
+
+
+def weak_spans(table: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Weak parts of a scanned table with their complement in scope: id, key, linked (sorted spans).
 
     Every part is a row. Parts are keyed by each block of `scope` code points that they (one
     side) or their surroundings (other side) touch, so the interval join is an equi-join on
     (document, block) whose groups are bounded by what fits into a block.
     """
-    t = F.col("t")
-    none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
-    weak = F.concat(*[spans_of(t, k) for k in range(BASE, len(KINDS))])
-    # strong parts are looked up only where a weak one was found, and all of it inside one array
-    parts = let(weak, lambda w: F.when(F.size(w) > 0, F.concat(w, *[spans_of(t, k) for k in range(BASE)])).otherwise(none))
-    cols = docs.select("doc_id", text_or_empty().alias("t"))
-    rows = cols.select("doc_id", F.md5(t.cast("binary")).alias("key"), F.explode(parts).alias("x"))
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "doc_id", "key", "x.*").distinct()
+    rows = table.where(F.size("weak") > 0).select("id", "doc_id", "key", F.explode(F.concat("weak", "found")).alias("x"))
+    rows = rows.select("id", "doc_id", "key", "x.*").distinct()
     roles = F.array(*[F.lit(ROLE[k[0]]) for k in KINDS])
     rows = rows.withColumn("role", F.get(roles, F.col("k")))
     block = lambda c: F.floor(c / scope)
@@ -123,30 +132,19 @@ def weak_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return linked.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("linked"))
 
 
-def scan_documents(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def scan_documents(docs: DataFrame, scope: int = SCOPE, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs with its secrets.
 
     doc_id; n_assign, n_access, n_hex; base_sha256 over the base spans; spans (base and
     linked weak ones) as kind:start:end by start, then kind in KINDS' order; n_linked.
     A null text is empty and has no secrets (base_sha256 is that of the empty string).
     Repeated rows get equal results; a null doc_id is a document of its own text; other
-    columns are ignored.
+    columns are ignored. Spans are written to scratch once; the texts are read once.
     """
-    t = text_or_empty()
-    base = docs.select("doc_id", t.alias("t")).select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        "t",
-        *[spans_of(F.col("t"), k).alias(f"s{k}") for k in range(BASE)],
-    )
-    base = base.select(
-        "doc_id",
-        "id",
-        F.md5(F.col("t").cast("binary")).alias("key"),
-        *[F.size(f"s{k}").cast("bigint").alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
-        F.sort_array(F.concat("s0", "s1", "s2")).alias("found"),
-    )
-    out = base.join(weak_spans(docs, scope), ["id", "key"], "left")
+    table = (scratch or Scratch(docs.sparkSession, "secrets")).write(scanned(docs), "spans")
+    of_kind = lambda k: F.size(F.filter("found", lambda x: x.k == k)).cast("bigint")
+    base = table.select("doc_id", "id", "key", *[of_kind(k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)], "found")
+    out = base.join(weak_spans(table, scope), ["id", "key"], "left")
     linked = F.coalesce(F.col("linked"), F.array().cast("array<struct<s:bigint,k:int,e:bigint>>"))
     return out.select(
         "doc_id",
