@@ -176,3 +176,19 @@ def test_streams(spark, packets, tmp_path):
     assert {(r.protocol, r.packets) for r in spark.table("mem_t").collect()} == {("TCP", 4)}
     assert spark.table("mem_s").count() == 3
     assert spark.table("mem_h").where("status = 'complete'").first().ack_us == 1_100_000
+
+
+def test_jitter_trend(packets):
+    times, t = [0.0], 0.0
+    for d in (0.01, 0.02, 0.03, 0.23, 0.03):
+        t += d
+        times.append(t)
+    rows = [at(x, protocol="UDP") for x in times] + [at(x, protocol="UDP", src_port=9) for x in (0, 0.1, 0.2)]
+    got = {r.src_port: (r.n, r.trend) for r in timing.jitter_trend(packets(*rows)).collect()}
+    assert got == {12345: (4, "degrading"), 9: (1, "stable")}
+
+
+def test_flow_quality(packets):
+    p = packets(*[at(x, tcp_payload_len=10) for x in (0, 0.1, 0.3)], *[at(x, protocol="UDP", src_port=9, tcp_seq=None) for x in (0, 0.1, 0.3)])
+    got = report.flow_quality(timing.jitter_flow_stats(p), tcp.rtt_flow_stats(p), tcp.exact_retransmissions(p)).collect()
+    assert {(r.src_port, r.jitter_mean_us, r.rtt_mean_us, r.retransmissions) for r in got} == {(12345, 100000.0, None, 2), (9, 100000.0, None, 0)}

@@ -92,6 +92,23 @@ def jitter_sessions(p: DataFrame, min_packets: int = 3, **cuts: int) -> DataFram
     return g.where(F.col("packets") >= min_packets)
 
 
+def jitter_trend(p: DataFrame, high_us: int = 50_000, factor: float = 1.5, **cuts: int) -> DataFrame:
+    """Per flow the mean jitter of its first and last quarter (a quarter has max(1, n // 4) values) and a trend.
+
+    degrading: the last quarter exceeds factor times the first, and high_us; high: the mean
+    exceeds high_us; stable: all others, and flows of fewer than three values.
+    """
+    order = Window.partitionBy(*FIVE).orderBy("session", "packet_num")
+    j = jitter(p, **cuts).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*FIVE)))
+    j = j.withColumn("q", F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("bigint"))
+    mean = lambda c, n, name: (F.sum(F.when(c, F.col("jitter_us"))) / F.max(n).cast("double")).alias(name)
+    g = j.groupBy(*FIVE).agg(
+        F.max("n").alias("n"), mean(F.col("r") <= F.col("q"), "q", "first_us"), mean(F.col("r") > F.col("n") - F.col("q"), "q", "last_us"), mean(F.lit(True), "n", "mean_us"),
+    )
+    degrading = (F.col("last_us") > F.col("first_us") * factor) & (F.col("last_us") > high_us)
+    return g.withColumn("trend", F.when(F.col("n") < 3, "stable").when(degrading, "degrading").when(F.col("mean_us") > high_us, "high").otherwise("stable"))
+
+
 def jitter_severity(protocol: Column, p95_ms: Column) -> Column:
     udp = F.when(p95_ms < 20, "excellent").when(p95_ms < 30, "low").when(p95_ms < 50, "medium").otherwise("critical")
     tcp = F.when(p95_ms < 100, "low").when(p95_ms < 200, "medium").otherwise("critical")

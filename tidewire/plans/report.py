@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cols import FLOW
+
 
 def summary(p: DataFrame) -> DataFrame:
     """metric, value (text) of one capture, one row per metric."""
@@ -29,6 +31,17 @@ def capture_sanity(p: DataFrame, first: int = 100) -> DataFrame:
     return g.withColumn("verdict", verdict)
 
 
+def flow_quality(jitter: DataFrame, rtt: DataFrame, retransmissions: DataFrame) -> DataFrame:
+    """Jitter per flow with its round-trip times and number of retransmissions; a flow without them has nulls and 0.
+
+    All three are aggregates keyed by the 4-tuple, so equal keys meet once on either side.
+    """
+    j = jitter.select("protocol", *FLOW, F.col("mean_us").alias("jitter_mean_us"), F.col("max_us").alias("jitter_max_us"))
+    r = rtt.select(*FLOW, F.col("mean_us").alias("rtt_mean_us"), F.col("max_us").alias("rtt_max_us"))
+    x = retransmissions.groupBy(*FLOW).agg(F.count("*").alias("retransmissions"))
+    return j.join(r, list(FLOW), "left").join(x, list(FLOW), "left").withColumn("retransmissions", F.coalesce("retransmissions", F.lit(0).cast("bigint")))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -111,6 +111,10 @@ over_packets("jitter_flow_stats", lambda p: timing.jitter_flow_stats(p, **CUTS),
 list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.95)::BIGINT, count(*) - 1)] AS p95_us, list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.99)::BIGINT, count(*) - 1)] AS p99_us FROM j GROUP BY {_FIVE}""")
 over_packets("jitter_global", lambda p: timing.jitter_global(p, **CUTS), f", {_J} SELECT count(*) AS n, min(jitter_us) AS min_us, max(jitter_us) AS max_us, sum(jitter_us) / count(*)::DOUBLE AS mean_us FROM j")
 over_packets("jitter_sessions", lambda p: timing.jitter_sessions(p, **CUTS), f", {_J} SELECT {_FIVE}, session, count(*) AS packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM s1 GROUP BY {_FIVE}, session HAVING count(*) >= 3")
+over_packets("jitter_trend", lambda p: timing.jitter_trend(p, 12 * HOUR, **CUTS), f""", {_J}, k0 AS (SELECT {_FIVE}, jitter_us, row_number() OVER (PARTITION BY {_FIVE} ORDER BY session, packet_num) AS r, count(*) OVER (PARTITION BY {_FIVE}) AS n FROM j),
+k AS (SELECT *, greatest(1, n // 4) AS q FROM k0),
+g AS (SELECT {_FIVE}, max(n)::BIGINT AS n, sum(jitter_us) FILTER (r <= q) / max(q)::DOUBLE AS first_us, sum(jitter_us) FILTER (r > n - q) / max(q)::DOUBLE AS last_us, sum(jitter_us) / max(n)::DOUBLE AS mean_us FROM k GROUP BY {_FIVE})
+SELECT *, CASE WHEN n < 3 THEN 'stable' WHEN last_us > first_us * 1.5 AND last_us > {12 * HOUR} THEN 'degrading' WHEN mean_us > {12 * HOUR} THEN 'high' ELSE 'stable' END AS trend FROM g""")
 _W = BURST.burst_interval_us
 _B = f"""b0 AS (SELECT ts_us // {_W} AS b, count(*) AS packets, sum(packet_length) AS bytes FROM p GROUP BY 1), m AS (SELECT sum(packets) / count(*)::DOUBLE AS mean FROM b0),
 b1 AS (SELECT b0.*, mean, CASE WHEN (b - lag(b) OVER (ORDER BY b)) * {_W} <= {BURST.burst_merge_us} THEN 0 ELSE 1 END AS new FROM b0, m WHERE packets >= greatest(mean * 2, 3.0)),
@@ -181,6 +185,9 @@ SELECT {FLOW}, retransmissions, CASE WHEN fl & 31 = 0 THEN 'NONE' ELSE concat_ws
 FROM g ORDER BY retransmissions DESC, {FLOW} LIMIT 10""")
 over_packets("retrans_flow_groups", tcp.retransmission_groups, f""", {_X}, g AS (SELECT {FLOW}, count(*) AS n, count(*) FILTER ((tcp_flags & 2) <> 0) AS s, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'RTO') AS r, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Fast Retransmission') AS f,
 count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Retransmission') AS o FROM x GROUP BY {FLOW}) SELECT {FLOW}, n, CASE WHEN s >= 0.8 * n THEN 'syn' WHEN r >= 0.8 * n THEN 'rto' WHEN f >= 0.8 * n THEN 'fast' WHEN o >= 0.8 * n THEN 'generic' ELSE 'mixed' END AS kind FROM g""")
+over_packets("flow_quality", lambda p: report.flow_quality(timing.jitter_flow_stats(p, **CUTS), tcp.rtt_flow_stats(both_ways(p), 96 * HOUR, 24 * HOUR), tcp.exact_retransmissions(p)), f""", {_J}, {_R}, {_X},
+jf AS (SELECT {_FIVE}, sum(jitter_us) / count(*)::DOUBLE AS jitter_mean_us, max(jitter_us) AS jitter_max_us FROM j GROUP BY {_FIVE}), rf AS (SELECT {FLOW}, sum(rtt_us) / count(*)::DOUBLE AS rtt_mean_us, max(rtt_us) AS rtt_max_us FROM rtt GROUP BY {FLOW}),
+xf AS (SELECT {FLOW}, count(*) AS retransmissions FROM x GROUP BY {FLOW}) SELECT {_FIVE}, jitter_mean_us, jitter_max_us, rtt_mean_us, rtt_max_us, coalesce(retransmissions, 0) AS retransmissions FROM jf LEFT JOIN rf USING ({FLOW}) LEFT JOIN xf USING ({FLOW})""")
 over_packets("syn_retries", lambda p: tcp.syn_retries(p, 480 * HOUR), f""", s AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {FLOW}, seq ORDER BY ts_us, packet_num) AS gap FROM e WHERE syn)
 SELECT {FLOW}, seq AS tcp_seq, count(*) AS attempts, count(*) FILTER (gap < {480 * HOUR}) AS retries, max(ts_us) - min(ts_us) AS span_us FROM s GROUP BY {FLOW}, seq HAVING count(*) FILTER (gap < {480 * HOUR}) > 0""")
 over_packets("burst_retrans_overlap", lambda p: tcp.bursts_with_retransmissions(p, timing.bursts(p, BURST), 0, 1.0), f""", {_B}, {_X} SELECT burst_id, count(*) AS hits FROM x JOIN p USING (packet_num) JOIN bursts ON p.ts_us BETWEEN start_us AND end_us GROUP BY burst_id
