@@ -86,6 +86,26 @@ def test_keys_meet_at_the_threshold(n):
             assert int(np.bitwise_count(fold(x) ^ fold(y)).sum()) <= m + len(b) - 2 * both
 
 
+def test_keys_meet_for_every_pair_of_sizes():
+    """Random sets of each pair of sizes that differ in as much as the threshold allows."""
+    rng, lost = np.random.RandomState(4), {}
+    for n in range(4, 65):
+        for m in range(n, 100 * n // 80 + 1):
+            d = jaccard.largest_difference(n, m)
+            if d < m - n:
+                continue
+            both = (n + m - d) // 2
+            for _ in range(150 if n < 16 else 25):
+                x = rng.randint(0, 2**62, n + m - both).astype(np.uint64)
+                a, b = np.sort(x[:n]), np.sort(x[n - both :])
+                if not np.intersect1d(jaccard.band_keys(a), jaccard.band_keys(b)).size:
+                    lost[n, m] = lost.get((n, m), 0) + 1
+    assert not lost
+    for n in range(1, 65):
+        for largest in range(n, 100 * n // 80 + 1):
+            assert jaccard.most_keys(n, largest) > max(jaccard.largest_difference(n, m) for m in range(-(-80 * n // 100), largest + 1))
+
+
 def removed(rows):
     seen, out = {}, {}
     for i, t in sorted(set(rows)):

@@ -46,6 +46,15 @@ def largest_difference(a: int, b: int, pct: int = PCT) -> int:
     return a + b - 2 * (-(-pct * (a + b) // (100 + pct)))
 
 
+def most_keys(n: int, largest: int, pct: int = PCT) -> int:
+    """One more than the most differences of a set of n to any partner of at most `largest` elements.
+
+    largest_difference grows in steps of two elements but not of one, so a partner one
+    smaller than the largest can differ in more.
+    """
+    return max(largest_difference(n, b, pct) for b in (largest - 1, largest)) + 1
+
+
 def band_keys(hashes: np.ndarray, pct: int = PCT) -> np.ndarray:
     """The keys of a set (sorted distinct hashes) in its band and, near the upper end, in the next."""
     n = len(hashes)
@@ -59,7 +68,7 @@ def band_keys(hashes: np.ndarray, pct: int = PCT) -> np.ndarray:
     out = []
     for upper in (top, top * BAND) if partner >= top else (top,):
         k = max(8, upper * (100 - pct) // pct + 1)
-        keep = largest_difference(n, min(partner, upper - 1), pct) + 1
+        keep = most_keys(n, min(partner, upper - 1), pct)
         place = (hashes >> np.uint64(33)) % np.uint64(k)
         order = np.argsort(place, kind="stable")
         p = place[order]
