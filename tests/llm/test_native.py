@@ -179,6 +179,33 @@ def test_decontamination(spark, frame, scratch):
     assert decontam.find_leaks(frame([], odd=False), bench, scratch).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark, frame, scratch):
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    items = [(i, prose(rng, n)) for i, n in enumerate((5, 6, 9, 14, 22, 59, 59, 160))] + [(None, prose(rng, 30)), (2, prose(rng, 9))]
+    rows, want = [], {}
+    for _, x in items:
+        w = x.split()
+        for cut in range(1, len(w) // 4 + 2):
+            v = w[cut // 3 : len(w) - (cut - cut // 3)]
+            rows.append((len(rows) + 1000, " ".join(v)))
+            if cut < 6 and len(v) > 8:
+                rows.append((len(rows) + 1000, " ".join([*v[:1], "other", *v[2:]])))
+    for d, t in rows:
+        for i, x in items:
+            a, b = (SPACE.findall(y.translate(str.maketrans(decontam._FROM[:26], decontam._TO, decontam._FROM[26:]))) for y in (t, x))
+            bags = [Counter(tuple(y[p : p + 5]) for p in range(len(y) - 4)) for y in (a, b)]
+            both, n = (bags[0] & bags[1]).total(), (bags[0] | bags[1]).total()
+            if len(a) < len(b) and 100 * both >= 80 * n:
+                want[d, i] = (0, both / n)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontam.find_leaks(frame(rows), bench, scratch).collect()}
+    assert got == want and len(want) > 30 and {i for _, i in want} >= {4, 5, 6, 7, None}
+    assert {r.doc_id for r in decontam.drop_leaks(frame(rows, odd=False), bench, scratch).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

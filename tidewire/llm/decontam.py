@@ -5,6 +5,9 @@ similarity of their shingle bags reaches the threshold. All windows are searched
 only those are fingerprinted that can reach it: bags of equal size m with similarity
 `threshold` have at most `allowed` positions whose shingle the item lacks, so among every
 stride-th position enough must carry a shingle of the item (see _stride).
+
+A document of fewer shingles than an item is one window, whole. It meets the items whose
+shingles it holds by their id, not by blocks, so no radius applies to it.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     """doc_id, item_id, start_word, hamming, similarity: the most similar window (ties: first) of each leak.
 
     A null or empty text has no windows; items without words match nothing. A null doc_id
-    or item_id is carried like a value. Repeated documents or items give their pairs once.
+    or item_id is carried like a value. A text shorter than an item is compared whole. Repeated documents or items give their pairs once.
     Empty tables give no rows; other columns are ignored.
     """
     items = scratch.write(item_table(benchmark), "items")
@@ -128,11 +131,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
                 lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice("w", p + 1, F.lit(k))).alias("h")),
             ),
         )
-        hits = d.select("doc_id", "v", F.explode(spots).alias("x")).select("doc_id", "v", "x.*")
+        hits = d.select("doc_id", "v", (last + 1).alias("l"), F.explode(spots).alias("x")).select("doc_id", "v", "l", "x.*")
         # The seeds of one item in one document; a window needs nearly all of its sampled positions among them.
-        seeds = hits.join(small(terms), "h").groupBy("doc_id", "v", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
-        missing = F.col("m") - F.ceil(F.lit(2 * THRESHOLD_PCT) * F.col("m") / (100 + THRESHOLD_PCT))
-        seeds = seeds.withColumn("need", F.greatest(F.lit(1), F.floor(F.col("m") / s) - missing).cast("int"))
+        seeds = hits.join(small(terms), "h").groupBy("doc_id", "v", "l", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        # A window of `wide` shingles; where that is the whole document, position 0 is sampled, too.
+        wide = F.least("l", "m")
+        sampled = F.when(F.col("l") < F.col("m"), F.ceil(wide / s)).otherwise(F.floor(wide / s))
+        missing = wide - F.ceil(F.lit(THRESHOLD_PCT) * (wide + F.col("m")) / (100 + THRESHOLD_PCT))
+        seeds = seeds.withColumn("need", F.greatest(F.lit(1), sampled - missing).cast("int"))
         seeds = seeds.where(F.size("ps") >= F.col("need")).groupBy("doc_id", "v").agg(
             F.collect_list(F.struct("item_id", "n", "m", "need", "ps")).alias("seeds")
         )
@@ -141,30 +147,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         hit = d.join(side, (F.col("v") == F.col("v_")) & F.col("doc_id").eqNullSafe(F.col("id")))
         hit = hit.select("doc_id", shingles(F.col("w"), k).alias("sh"), F.explode("seeds").alias("x")).select("doc_id", "sh", "x.*")
         # Starts of windows that hold `need` seeds: those reaching from one seed over the next need - 1.
-        ps = F.col("ps")
+        ps, wide = F.col("ps"), F.least(F.col("m"), F.size("sh"))
         spans = F.transform(
             F.slice(ps, F.lit(1), F.size(ps) - F.col("need") + 1),
             lambda p, i: F.struct(
-                F.greatest(F.get(ps, i + F.col("need") - 1) - F.col("m") + 1, F.lit(0)).alias("a"),
-                F.least(p, F.size("sh") - F.col("m")).alias("b"),
+                F.greatest(F.get(ps, i + F.col("need") - 1) - wide + 1, F.lit(0)).alias("a"),
+                F.least(p, F.size("sh") - wide).alias("b"),
             ),
         )
         starts = F.array_distinct(
             F.flatten(F.transform(F.filter(spans, lambda x: x.a <= x.b), lambda x: F.sequence(x.a, x.b)))
         )
-        win = hit.select("doc_id", F.col("n").alias("wn"), "m", "sh", F.explode(starts).alias("start"))
+        short = (F.size("sh") < F.col("m")).alias("short")
+        win = hit.select("doc_id", F.col("item_id").alias("of"), F.col("n").alias("wn"), "m", "sh", short, F.explode(starts).alias("start"))
         win = win.withColumn("bag", F.slice("sh", F.col("start") + 1, F.col("m"))).drop("sh")
         win = win.withColumn("wfp", simhash(F.col("bag")))
         cuts = blocks(radius)
-        keyed = lambda df, fp: df.withColumn(
-            "b", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block_value(F.col(fp), *c).alias("x")) for i, c in enumerate(cuts)]))
+        by_blocks = lambda fp: F.array(
+            *[F.struct(F.lit(i).alias("i"), block_value(F.col(fp), *c).alias("x")) for i, c in enumerate(cuts)]
         )
-        item_blocks = keyed(of_k.select("item_id", "n", "set", "fp"), "fp").select("item_id", "n", "set", "fp", F.col("b").alias("ib"))
-        pairs = keyed(win, "wfp").join(small(item_blocks), (F.col("wn") == F.col("n")) & (F.col("b") == F.col("ib")))
+        by_item = lambda item: F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(item).alias("x")))
+        item_blocks = of_k.select("item_id", "n", "set", "fp", F.explode(F.concat(by_blocks("fp"), by_item("item_id"))).alias("ib"))
+        win = win.withColumn("b", F.explode(F.when(F.col("short"), by_item("of")).otherwise(by_blocks("wfp"))))
+        pairs = win.join(small(item_blocks), (F.col("wn") == F.col("n")) & (F.col("b") == F.col("ib")))
         diff = F.col("wfp").bitwiseXOR(F.col("fp"))
         # A pair meets once for every equal block; it is taken at the first of them.
         first = F.coalesce(*[F.when(block_value(diff, *c) == 0, F.lit(i)) for i, c in enumerate(cuts)])
-        pairs = pairs.where(F.col("b.i") == first).withColumn("hamming", F.bit_count(diff)).where(F.col("hamming") <= radius)
+        pairs = pairs.withColumn("hamming", F.bit_count(diff)).where(
+            F.col("short") | ((F.col("b.i") == first) & (F.col("hamming") <= radius))
+        )
         common = F.size(F.array_intersect("set", occurrences(F.col("bag"))))
         pairs = pairs.withColumn("common", common).withColumn("total", F.size("bag") + F.size("set") - F.col("common"))
         pairs = pairs.where(F.col("common") * 100 >= F.col("total") * THRESHOLD_PCT)
