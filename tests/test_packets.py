@@ -70,6 +70,44 @@ def test_jitter_gaps_and_syn_retries(packets):
     assert [(r.tcp_seq, r.retries) for r in tcp.syn_retries(s).collect()] == [(1000, 1)]
 
 
+def test_no_connection_is_held_whole(packets, spark):
+    """A long connection is read over many small batches; no plan groups packets into pandas frames."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for i in range(600):
+        side, port = rng.choice((at, back)), rng.choice((22, 22, 22, 445))
+        ends = {"dst_port" if side is at else "src_port": port, "tcp_flags": rng.choice((2, 18, 16, 24, 24, 17, 4)), "tcp_payload_len": rng.choice((0, 100))}
+        rows.append(side(rng.randrange(90), tcp_seq=rng.randrange(4) * 100, tcp_ack=rng.randrange(4) * 100 + 1) | ends)
+    p = packets(*rows)
+    plain = sorted(p.select("src_ip", "src_port", "dst_ip", "dst_port", *folds.COLUMNS).collect(), key=lambda r: (r.ts_us, r.packet_num))
+    groups, tries = {}, {}
+    for r in plain:
+        groups.setdefault(frozenset(((r.src_ip, r.src_port), (r.dst_ip, r.dst_port))), []).append(tuple(r[c] for c in folds.COLUMNS))
+        if r.dst_port in (22, 445):
+            tries.setdefault((r.src_ip, r.dst_ip, r.dst_port), []).append(r)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = folds.handshakes(p), folds.retransmissions(p), folds.brute_force(p, 1, -1.0)
+        for df, step in zip(found, (folds.handshakes_of, folds.retransmissions_of)):
+            want = [x for g in groups.values() for x in step(iter(g))]
+            got = [tuple(r)[: len(want[0])] for r in df.collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 20
+        for r in found[2].collect():
+            n, last, seen = 0, set(), set()
+            for x in tries[r.src_ip, r.dst_ip, r.dst_port]:
+                if x.tcp_flags == 2:
+                    n += 1
+                elif x.tcp_flags == 24 and x.src_port not in seen and n:
+                    seen.add(x.src_port)
+                    last.add(n)
+            assert (r.attempts, r.established) == (n, len(last)) and n > 10
+        for df in found:
+            assert "InPandas" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_floods_scans_and_brute_force(packets):
     low = packets(*[at(i * 0.01, tcp_flags=2, src_ip=f"9.9.9.{i % 50}") for i in range(150)])
     assert security.syn_floods(low).count() == 0

@@ -1,19 +1,21 @@
 """Order-dependent analyses: one pass over each connection's packets, in order.
 
-Step functions are plain Python over small states, one connection at a time. A group is
-one connection (both directions); what can be said by windows and joins is in tcp.py, and
-these functions define the cases that can't: consume-once matching and shared ACK state.
+Step functions are plain Python over the packets of one connection (both directions),
+streamed to them; what can be said by windows and joins is in tcp.py, and these functions
+define the cases that can't: consume-once matching and shared ACK state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import ACK, FIN, PSH, RST, SYN, with_ends
+from ..functions.cols import ACK, ENDS, FIN, PSH, RST, SYN, has, syn_only, with_ends
 
 COLUMNS = ("packet_num", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "tcp_payload_len")
 
@@ -90,50 +92,44 @@ def retransmissions_of(rows: Iterator[tuple]) -> Iterator[tuple]:
             r["closed"] = r["closed"] or bool(flags & RST)
 
 
-def brute_force_of(rows: Iterator[tuple]) -> tuple[int, int, int, int]:
-    """(attempts, established, first_us, last_us) of one source and service: the first PSH-ACK of a 4-tuple establishes the last attempt."""
-    attempts, last, seen = [], None, set()
-    for num, us, sip, sport, dip, dport, seq, ack, flags, win, size in rows:
-        if flags & SYN and not flags & ACK:
-            attempts.append([us, False])
-        elif flags & (PSH | ACK) == PSH | ACK and (sport, dip) not in seen and attempts:
-            seen.add((sport, dip))
-            attempts[-1][1] = True
-    return len(attempts), sum(a[1] for a in attempts), attempts[0][0] if attempts else 0, attempts[-1][0] if attempts else 0
+#: Result rows that a task gathers before it hands them on.
+CHUNK = 10_000
 
 
-def _per_group(step: Callable, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", "packet_num"])
-        rows = zip(*[[None if pd.isna(x) else x for x in g[c].tolist()] for c in COLUMNS])
-        return pd.DataFrame(list(step(rows)), columns=columns)
+def _connections(p: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """step over every TCP connection's packets in order.
 
-    return run
+    A connection lies sorted in one partition (the sort spills) and is read batch by batch,
+    so a task holds a batch and the step's state, never a whole connection. The state of
+    retransmissions_of is the distinct segments since the last SYN that starts it anew.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    out = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in (*ENDS, *COLUMNS)]))
+        groups = groupby(rows, lambda r: r[: len(ENDS)])
+        found = (x for _, g in groups for x in step(r[len(ENDS) :] for r in g))
+        while part := list(islice(found, CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), out.types)], schema=out)
 
-def _connections(p: DataFrame) -> DataFrame:
-    """TCP packets with the ends of their connection and its epoch: epochs bound what one group holds."""
-    t = with_ends(p.where((F.col("protocol") == "TCP") & F.col("tcp_flags").isNotNull()))
-    return t.select(*COLUMNS, "ip_a", "port_a", "ip_b", "port_b")
+    t = with_ends(p.where((F.col("protocol") == "TCP") & F.col("tcp_flags").isNotNull())).select(*ENDS, *COLUMNS)
+    t = t.repartition(*ENDS).sortWithinPartitions(*ENDS, F.col("ts_us").asc_nulls_last(), F.col("packet_num").asc_nulls_last())
+    return t.mapInArrow(run, schema)
 
 
 def handshakes(p: DataFrame, slow_us: int = 300_000) -> DataFrame:
     """Handshakes with their delays; incomplete ones have nulls."""
     schema = "src_ip string, src_port int, dst_ip string, dst_port int, syn_us bigint, synack_us bigint, ack_us bigint"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return _per_group(handshakes_of, names)(g).astype({"synack_us": "Int64", "ack_us": "Int64"})
-
-    h = _connections(p).groupBy("ip_a", "port_a", "ip_b", "port_b").applyInPandas(run, schema)
+    h = _connections(p, handshakes_of, schema)
     total = F.col("ack_us") - F.col("syn_us")
     return h.withColumn("total_us", total).withColumn("slow", F.coalesce(total > slow_us, F.lit(False)))
 
 
 def retransmissions(p: DataFrame) -> DataFrame:
     schema = "packet_num bigint, original_num bigint, delay_us bigint, kind string, spurious boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return _connections(p).groupBy("ip_a", "port_a", "ip_b", "port_b").applyInPandas(_per_group(retransmissions_of, names), schema)
+    return _connections(p, retransmissions_of, schema)
 
 
 #: Groups that a server's transaction ids are dealt to; ids are independent of each other.
@@ -142,17 +138,26 @@ AUTH_PORTS = {21: "FTP", 22: "SSH", 23: "Telnet", 445: "SMB", 3306: "MySQL", 338
 
 
 def brute_force(p: DataFrame, least: int = 10, fail: float = 0.7) -> DataFrame:
-    """Sources with many failed attempts at one login service."""
-    t = p.where((F.col("protocol") == "TCP") & F.col("dst_port").isin(*AUTH_PORTS) & F.col("tcp_flags").isNotNull()).select(*COLUMNS)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", "packet_num"])
-        out = brute_force_of(zip(*[g[c].tolist() for c in COLUMNS]))
-        return pd.DataFrame([(*key, *out)], columns=["src_ip", "dst_ip", "dst_port", "attempts", "established", "first_us", "last_us"])
+    """Sources with many failed attempts at one login service.
 
-    g = t.groupBy("src_ip", "dst_ip", "dst_port").applyInPandas(
-        run, "src_ip string, dst_ip string, dst_port int, attempts bigint, established bigint, first_us bigint, last_us bigint"
-    )
+    Of each source and service, the first PSH-ACK of a 4-tuple after a SYN establishes the
+    last attempt before it.
+    """
+    service = ["src_ip", "dst_ip", "dst_port"]
+    t = p.where((F.col("protocol") == "TCP") & F.col("dst_port").isin(*AUTH_PORTS) & F.col("tcp_flags").isNotNull())
+    t = t.where(syn_only() | (has(PSH) & has(ACK))).select(*service, "src_port", "ts_us", "packet_num", syn_only().alias("syn"))
+    order = [F.col(c).asc_nulls_last() for c in ("ts_us", "packet_num")]
+    before = Window.partitionBy(*service).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("attempt", F.sum(F.col("syn").cast("bigint")).over(before))
+    us = F.when(F.col("syn"), F.col("ts_us"))
+    g = t.groupBy(*service, "src_port").agg(
+        F.count_if("syn").alias("attempts"), F.min(us).alias("first_us"), F.max(us).alias("last_us"),
+        F.min(F.when(~F.col("syn") & (F.col("attempt") > 0), F.col("attempt"))).alias("attempt"),
+    )
+    g = g.groupBy(*service).agg(
+        F.sum("attempts").alias("attempts"), F.count_distinct("attempt").alias("established"),
+        F.coalesce(F.min("first_us"), F.lit(0)).alias("first_us"), F.coalesce(F.max("last_us"), F.lit(0)).alias("last_us"),
+    )
     failed = F.col("attempts") - F.col("established")
     g = g.where((F.col("attempts") >= least) & (failed > fail * F.col("attempts")))
     return g.withColumn("severity", F.when(F.col("attempts") >= 50, "critical").when(F.col("attempts") >= 30, "high").when(F.col("attempts") >= 20, "medium").otherwise("low"))
