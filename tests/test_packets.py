@@ -144,6 +144,22 @@ def test_health_score(spark):
     assert score.findings(spark.createDataFrame([(0.03, 0.1, 0.0)], "retransmission double, dns double, loss double")).count() == 2
 
 
+def test_all_metrics(packets, spark):
+    p = packets(at(0, tcp_payload_len=9), at(1, tcp_payload_len=9), at(2, tcp_payload_len=9), back(3))
+    lookups = spark.createDataFrame([("success",), ("timeout",), ("error",), ("slow",)], "status string")
+    args = p, spark.createDataFrame([(60_000,)], "rtt_us bigint"), tcp.exact_retransmissions(p)
+    got = score.all_metrics_of(*args, lookups, spark.createDataFrame([(100_000,), (500_000,)], "jitter_us bigint"))
+    r = score.health_score(got).first()
+    assert [r[m] for m in score.METRICS] == pytest.approx([0.5, 0.06, 0.25, 0.5, 0.3, 0.0])
+    assert (r.loss_penalty, r.dns_penalty, r.jitter_penalty) == pytest.approx((20.0, 13.5, 10.0))
+    none = score.all_metrics_of(*args, lookups.limit(0), spark.createDataFrame([], "jitter_us bigint")).first()
+    assert none.dns is None and none.jitter is None
+    from tidewire import queries
+
+    r = queries.QUERIES["health_score_full"](spark, "/root/testdata/sf0.001").first()
+    assert all(r[m] is not None for m in score.METRICS) and r.dns > 0.3 and r.jitter > 0.2 and 0 <= r.score <= 55
+
+
 def test_column_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(cols.flag_names(F.lit(0x12))) == "SYN,ACK" and one(cols.flag_names(F.lit(0))) == "NONE"

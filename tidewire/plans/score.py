@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import piecewise
+from ..functions.cols import FLOW, piecewise
 
 #: Metric: weight, penalty lines (x0, y0, x1, y1), penalty beyond. Jumps between lines are meant.
 METRICS = {
@@ -48,6 +48,21 @@ def metrics_of(p: DataFrame, rtt: DataFrame, retransmissions: DataFrame) -> Data
     )
 
 
+def all_metrics_of(p: DataFrame, rtt: DataFrame, retransmissions: DataFrame, lookups: DataFrame, jitters: DataFrame) -> DataFrame:
+    """metrics_of with the other three from retransmissions, lookups (status) and jitters (jitter_us).
+
+    loss is estimated: distinct segments (flow, number) sent again, per packet. dns is the share of lookups
+    that failed or timed out, jitter the mean in seconds; both null without rows.
+    """
+    lost = retransmissions.agg(F.count_distinct(F.struct(*FLOW, "tcp_seq")).alias("lost"))
+    bad = F.count_if(F.col("status").isin("timeout", "error")) / F.count("*").cast("double")
+    dns = lookups.agg(F.when(F.count("*") > 0, bad).alias("dns"))
+    jitter = jitters.agg((F.sum("jitter_us") / F.count("jitter_us").cast("double") / 1e6).alias("jitter"))
+    rows = metrics_of(p, rtt, retransmissions).drop("loss", "dns", "jitter").crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
+    rows = rows.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(dns)).crossJoin(F.broadcast(jitter))
+    return rows.withColumn("loss", F.col("lost") / F.col("n").cast("double")).select(*METRICS)
+
+
 def findings(metrics: DataFrame) -> DataFrame:
     """Rows (finding, value) of what exceeds its bound in one metrics row."""
     rules = (("retransmission rate", "retransmission", 0.02), ("dns failures", "dns", 0.05), ("packet loss", "loss", 0.02))

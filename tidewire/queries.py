@@ -277,6 +277,17 @@ g AS (SELECT (SELECT count(*) FROM x) / count(*)::DOUBLE AS retransmission, coun
 y AS (SELECT *, CASE WHEN retransmission <= 0.01 THEN retransmission * 1600 WHEN retransmission <= 0.03 THEN 16 + (retransmission - 0.01) * 900 WHEN retransmission <= 0.05 THEN 34 + (retransmission - 0.03) * 1300 WHEN retransmission <= 0.1 THEN 60 + (retransmission - 0.05) * 640 ELSE 100 END AS a,
 CASE WHEN anomaly <= 10 THEN anomaly WHEN anomaly <= 50 THEN 10 + (anomaly - 10) * 0.45 WHEN anomaly <= 150 THEN 25 + (anomaly - 50) * 0.3 WHEN anomaly <= 500 THEN 50 + (anomaly - 150) * 0.1 ELSE 100 END AS b FROM g),
 z AS (SELECT *, 100 - a * 0.25 - b * 0.1 - 20 AS s FROM y) SELECT retransmission, anomaly, CASE WHEN s >= 95 THEN 0 WHEN s >= 85 THEN 1 WHEN s >= 65 THEN 2 WHEN s >= 45 THEN 3 WHEN s >= 25 THEN 4 ELSE 5 END::INT AS class FROM z""")
+
+
+def health_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six metrics, the score and its class; health_score is the part that its SQL covers."""
+    p = packets(spark, sf_dir)
+    rtt, again = tcp.rtt_measurements(both_ways(p), 96 * HOUR), tcp.exact_retransmissions(p)
+    m = score.all_metrics_of(p, rtt, again, folds.dns_transactions(transactions(spark, sf_dir)), timing.jitter(p, **CUTS))
+    return score.health_score(m).select(*score.METRICS, "score", "class")
+
+
+over_tables("health_score_full", health_score_full)
 over_packets("capture_sanity", report.capture_sanity, """, h AS (SELECT * FROM p ORDER BY packet_num LIMIT 100), g AS (SELECT count(*) AS packets, (SELECT count(*) FROM (SELECT DISTINCT ts_us, src_ip, dst_ip, packet_length FROM h)) AS distinct_packets, count(*) FILTER (src_ip = dst_ip) AS self_loops, max(ts_us) - min(ts_us) AS span_us FROM h)
 SELECT *, CASE WHEN packets < 2 THEN 'too few packets' WHEN span_us > 31536000000000 THEN 'time jump' WHEN (packets - distinct_packets) * 2 > packets THEN 'duplicates' WHEN self_loops * 10 > packets THEN 'self loops' ELSE 'valid' END AS verdict FROM g""")
 over_packets("summary_unpivot", report.summary, """, g AS (SELECT count(*)::VARCHAR AS packets, sum(packet_length)::VARCHAR AS bytes, count(DISTINCT src_ip)::VARCHAR AS sources, count(DISTINCT dst_ip)::VARCHAR AS destinations, (max(ts_us) - min(ts_us))::VARCHAR AS span_us FROM p)
