@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 #: Characters that separate words everywhere in this subpackage (a class body).
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Most ids that are ever broadcast (16 bytes each in flight); larger id sets are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Most bytes of rows that are ever broadcast, by a count of all of them; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: What a broadcast row takes besides its values: row header and hash slots.
+ROW_BYTES = 32
+#: Most ids that are ever broadcast.
+BROADCAST_IDS = BROADCAST_BYTES // (ROW_BYTES + 8)
 
 
 # ---------------------------------------------------------------- written tables
@@ -74,9 +78,11 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str, keep: bool = True) -> DataF
     return df.join(side, on, "left_semi" if keep else "left_anti")
 
 
-def attach(df: DataFrame, side: DataFrame, on: str, rows: int, how: str = "left", most: int = BROADCAST_IDS) -> DataFrame:
-    """Equi-join that broadcasts side only if its counted size `rows` is at most `most`."""
-    return df.join(F.broadcast(side) if rows <= most else side, on, how)
+def few(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """df, marked for broadcast only if all its rows (row_bytes of values each) are at most BROADCAST_BYTES."""
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    total = df.agg(F.sum(size.cast("bigint") + ROW_BYTES).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 # ---------------------------------------------------------------- native column helpers

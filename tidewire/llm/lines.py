@@ -17,41 +17,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, let, running, text_or_empty, with_ids, words_of
+from .common import Scratch, few, let, running, text_or_empty
 
 #: Shorter lines (headings, list marks, empty lines) are never compared: one edit in five words leaves 80 %.
 MIN_WORDS = 5
 ORDER = ("doc_id", "v", "line_no")
+#: What separates words inside a line, wherever it is more than one blank.
+_BLANKS = r"[\t\x0B\f\r][ \t\x0B\f\r]*| [ \t\x0B\f\r]+"
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, v (the text's hash), line_no, w (words) of every line that is compared.
+def _flat_lines(text: Column) -> Column:
+    """The lines of a text; inside them single blanks separate words (and may stand at either end)."""
+    return F.split(F.regexp_replace(text, _BLANKS, " "), "\n", -1)
 
-    Words are made and short lines dropped inside the array, before it is exploded.
-    """
+
+def _part(x: Column, words: Column) -> Column:
+    """The first `words` words of a line, or the last if negative."""
+    return F.call_function("substring_index", x, F.lit(" "), words.cast("int"))
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, v (the text's hash), line_no, x (its words, joined by blanks) of every line that is compared."""
     t = text_or_empty()
-    line = lambda x, i: F.struct(i.alias("line_no"), words_of(x).alias("w"))
-    long = F.filter(F.transform(F.split(t, "\n", -1), line), lambda x: F.size(x.w) >= min_words)
-    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(t).alias("v"), F.explode(long).alias("x"))
-    return d.select("doc_id", "v", "x.*")
+    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(t).alias("v"), _flat_lines(t).alias("a"))
+    d = d.select("doc_id", "v", F.posexplode("a").alias("line_no", "x")).select(*ORDER, F.trim("x").alias("x"))
+    return d.where(F.octet_length(_part(F.col("x"), F.lit(min_words - 1))) < F.octet_length("x"))
 
 
-def _halves() -> Column:
-    """Keys of the halves by which a line meets every line within one edit.
+def _half_keys(lines: DataFrame) -> DataFrame:
+    """lines with h and c (hashes of the line), half keys k1, k2, k3 and whether the third is a head.
 
     With n words against n or n + 1 words, the edit spares the first n // 2 words or the
-    last n - n // 2; each line keys these for its own length and for one word less.
+    last n - n // 2; a line keys these for its own length and for one word less. Of the
+    four two are always the same: with n even the tails, with n odd the heads.
     """
-    n = F.size("w")
-    keys = []
-    for m in (n, n - 1):
-        head = F.floor(m / 2).cast("int")
-        keys.append(F.struct(F.xxhash64(F.lit("head"), head, F.slice("w", F.lit(1), head)).alias("key"), F.lit(True).alias("head")))
-        tail = m - head
-        keys.append(
-            F.struct(F.xxhash64(F.lit("tail"), tail, F.slice("w", n - tail + 1, tail)).alias("key"), F.lit(False).alias("head"))
-        )
-    return F.array_distinct(F.array(*keys))
+    d = lines.withColumn("n", F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
+    k, x, even = F.floor(F.col("n") / 2).cast("int"), F.col("x"), F.col("n") % 2 == 0
+    head = lambda m: F.xxhash64(F.lit("head"), m, _part(x, m))
+    tail = lambda m: F.xxhash64(F.lit("tail"), m, _part(x, -m))
+    return d.select(
+        *ORDER, F.xxhash64("x").alias("h"), F.hash("x").alias("c"), head(k).alias("k1"), tail(F.col("n") - k).alias("k2"),
+        F.when(even, head(k - 1)).otherwise(tail(k)).alias("k3"), even.alias("third_head"),
+    )
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -70,29 +77,27 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, v, line_no of every line that has an earlier line (by doc_id, then place) within one word edit."""
     o = F.struct(*ORDER)
-    lines = _lines(docs, min_words)
-    table = scratch.write(
-        lines.select(*ORDER, F.size("w").alias("n"), F.hash("w").alias("c"), F.xxhash64("w").alias("h"), _halves().alias("halves")),
-        "lines",
-    )
+    table = scratch.write(_half_keys(_lines(docs, min_words)), "lines")
     # Equal lines (by their words, however spaced): everything but the first of each content.
-    whole = ["h", "n", "c"]
-    first = table.groupBy(whole).agg(F.min(o).alias("o"), F.min("halves").alias("halves"))
+    whole, halves = ["h", "c"], ["k1", "k2", "k3", "third_head"]
+    first = table.groupBy(whole).agg(F.min(o).alias("o"), F.count("*").alias("times"), *[F.min(k).alias(k) for k in halves])
     first = scratch.write(first, "first")
-    exact = table.join(first.select(*whole, F.col("o").alias("first")), whole).where(o > F.col("first")).select(*ORDER)
+    again = first.where("times > 1").select(*whole, F.col("o").alias("first"))
+    exact = table.select(*ORDER, *whole).join(again, whole).where(o > F.col("first")).select(*ORDER)
     # Distinct lines that share a half with another distinct line.
-    keys = first.select("o", "h", F.explode("halves").alias("k")).select("o", "h", "k.*")
+    pairs = [(F.col("k1"), F.lit(True)), (F.col("k2"), F.lit(False)), (F.col("k3"), F.col("third_head"))]
+    keys = F.array(*[F.struct(k.alias("key"), head.alias("head")) for k, head in pairs])
+    keys = first.select("o", "h", F.inline(keys))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    candidates = (
-        keys.join(shared, "key")
-        .groupBy("o")
-        .agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
-        .select("o.*", "head", "tail")
-    )
-    candidates = scratch.write(candidates, "candidates")
-    side = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    some = with_ids(docs, scratch.write(candidates.select("doc_id").distinct(), "ids"), "doc_id")
-    near = scratch.write(_lines(some, min_words).select(*ORDER, "w").join(side, list(ORDER)), "near")
+    candidates = keys.join(shared, "key").groupBy("o").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
+    by_doc = candidates.groupBy("o.doc_id", "o.v").agg(F.collect_list(F.struct("o.line_no", "head", "tail")).alias("at"))
+    by_doc = scratch.write(by_doc.withColumnsRenamed({"doc_id": "id", "v": "id_v"}), "candidates")
+    side = few(by_doc, 24 + 24 * F.size("at"))
+    t = text_or_empty()
+    near = docs.join(side, (F.col("doc_id") == F.col("id")) & (F.xxhash64(t) == F.col("id_v")))
+    near = near.select("doc_id", F.col("id_v").alias("v"), _flat_lines(t).alias("a"), "at")
+    near = near.select("doc_id", "v", "a", F.inline("at")).select(*ORDER, F.split(F.trim(F.get("a", F.col("line_no"))), " ").alias("w"), "head", "tail")
+    near = scratch.write(near, "near")
     # Position-bound word hashes, folded by XOR: x over a prefix, y over the words after it moved one left.
     xor = lambda a, b: a.bitwiseXOR(b)
     spread = 4 * docs.sparkSession.sparkContext.defaultParallelism
@@ -150,7 +155,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     gone = removed_lines(docs.select("doc_id", "text"), scratch, min_words)
     gone = gone.groupBy(F.col("doc_id").alias("__tw_id"), F.col("v").alias("__tw_v")).agg(F.collect_list("line_no").alias("__tw_gone"))
     gone = scratch.write(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 4 else gone
+    side = few(gone, 24 + 4 * F.size("__tw_gone"))
     df = docs.join(side, (F.col("doc_id") == F.col("__tw_id")) & (F.xxhash64(text_or_empty()) == F.col("__tw_v")), "left")
     lines = F.split(text_or_empty(), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__tw_gone"))
