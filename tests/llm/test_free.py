@@ -121,7 +121,8 @@ def removed(rows):
 
 
 @pytest.mark.parametrize("hot", [50_000, 2])
-def test_substring_dedup(frame, scratch, hot):
+def test_substring_dedup(frame, scratch, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 3)
     rng = random.Random(4)
     rows = corpus() + [(800, "ab" * 300), (801, "x" * 99), (802, "y" * 100), (803, "y" * 150), (804, "é" * 80 + prose(rng, 30))]
     rows += [(805, prose(rng, 10) + "é" * 80 + " z")]
@@ -133,6 +134,38 @@ def test_substring_dedup(frame, scratch, hot):
     assert repeats.dedup_substrings(frame([], odd=False), scratch, hot).count() == 0
 
 
+def test_substring_dedup_of_zero_bytes(frame, scratch):
+    """Shared strings followed by different numbers of zero bytes: padding must not hide where they end."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        core = prose(random.Random(i % 4), 30)[:98]
+        rows.append((i, "\0" * rng.randrange(3) + core + "\0" * rng.randrange(6)))
+    for hot in (50_000, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup_substrings(frame(rows, odd=False), scratch, hot).collect()}
+        assert got == removed(rows) and sum(x[1] for x in got.values()) > 1000
+
+
+def test_covered_equals_brute_force_with_zero_bytes():
+    rng = np.random.RandomState(3)
+    for _ in range(200):
+        n = rng.randint(3, 9)
+        lefts = [b"ab"[: rng.randint(0, 3)] + b"\0" * rng.randint(0, 3) + b"L" * 40 for _ in range(n)]
+        rights = [b"R" * 58 + b"\0" * rng.randint(0, 6) + b"xy"[: rng.randint(0, 3)] for _ in range(n)]
+        pos = np.array([len(x) for x in lefts])
+        row, start, end = repeats.covered(np.zeros(n, np.int64), np.arange(n), pos, lefts, rights)
+        got = [bytearray(len(a + b)) for a, b in zip(lefts, rights)]
+        for i, s, e in zip(row, start, end):
+            got[i][s:e] = b"\1" * (e - s)
+        seen: dict[bytes, int] = {}
+        for i, t in enumerate(a + b for a, b in zip(lefts, rights)):
+            want = bytearray(len(t))
+            for p in range(len(t) - 99):
+                if seen.setdefault(t[p : p + 100], i) != i:
+                    want[p : p + 100] = b"\1" * 100
+            assert got[i] == want
+
+
 def test_maximal_repeats_list_all_occurrences():
     core = bytes(range(65, 65 + 26)) * 2
     lefts = [b"AAA" + core[:20], b"BBB" + core[:20], b"CCB" + core[:20]]

@@ -10,6 +10,12 @@ same is done with the bytes to the left: where members' left extensions differ,
 can't be extended to the left, and if left and right part together reach `length` it is a
 maximal repeat with all its occurrences.
 
+Anchors that occur in very many places must not meet in one task. Of their suffixes only
+the nodes of depth `length` are needed (who shares a whole string with an earlier one),
+and those are formed without sorting: suffixes are grouped by their first `length` bytes,
+a group is reduced to its first occurrence before it is shuffled, and the firsts of crowded
+groups are joined by broadcast, so no task gets a crowded group whole.
+
 Texts that equal an earlier one as a whole are set aside before; they are repeats from
 end to end.
 """
@@ -24,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _P, BROADCAST_IDS, Scratch, _pow, chunks, mix, text_or_empty, with_ids
+from .common import _BYTE, _P, Scratch, _pow, chunks, few, mix, text_or_empty, with_ids
 
 LENGTH = 100
 GRAM = 32
-#: Anchors that occur more often are compared by hashing every string around them, spread over tasks.
+#: Suffixes of anchors that occur more often are grouped by whole strings, spread over tasks.
 HOT = 50_000
+#: Strings that occur more often are joined with their first occurrence by broadcast.
+CROWD = 10_000
 _POS = 30
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -129,13 +137,14 @@ def maximal_repeats(
 ) -> Iterator[tuple[int, int, np.ndarray]]:
     """(left length, right length, members) of each maximal repeat among the contexts of one anchor hash."""
     r, rs = _matrix(rights, length, False)
-    order = np.lexsort((np.ascontiguousarray(r).view(f"S{length}").ravel(), np.zeros(len(rights))))
+    # Padding sorts like the byte 0, so equal padded rows go by their length: a prefix comes first.
+    order = np.lexsort((rs, np.ascontiguousarray(r).view(f"S{length}").ravel()))
     lcp = _common(r, rs, order[:-1], order[1:])
     width = length - GRAM
     m, ms = _matrix(lefts, width, True)
     text = np.ascontiguousarray(m).view(f"S{width}").ravel()
     rank = np.empty(len(lefts), np.int64)
-    rank[np.argsort(text, kind="stable")] = np.arange(len(lefts))
+    rank[np.lexsort((ms, text))] = np.arange(len(lefts))
     for right, lo, hi in intervals(lcp, GRAM):
         members = order[lo : hi + 1]
         members = members[np.argsort(rank[members])]
@@ -216,7 +225,7 @@ def _cover_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all strings of LENGTH bytes around each anchor."""
+    """Two hashes of every string of LENGTH bytes around the anchors, once for each place (in a batch) where it starts."""
     for batch in batches:
         doc, pos = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy().astype(np.int64)
         out: list[tuple[np.ndarray, ...]] = []
@@ -233,7 +242,11 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two.append(mix((s[LENGTH:] - s[:n]) * down[:n]).view(np.int64))
             out.append((two[0], two[1], np.full(n, doc[i]), pos[i] - len(left) + np.arange(n)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k1", "k2", "doc_id", "s"])
+            cols = [np.concatenate(c) for c in zip(*out)]
+            order = np.lexsort((cols[0], cols[3], cols[2]))  # the places of one string around several anchors are the same
+            cols = [c[order] for c in cols]
+            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[3][1:] != cols[3][:-1]) | (cols[2][1:] != cols[2][:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in cols], names=["k1", "k2", "doc_id", "s"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +279,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[D
     copies = scratch.write(ids.join(heads, "t").where("doc_id > head").select("doc_id").distinct(), "copies")
     rest = with_ids(long, copies, "doc_id", keep=False)
     rows = rest.mapInArrow(_anchor_rows, "key bigint, doc_id bigint, pos int")
-    crowd = F.count("*").over(Window.partitionBy("key"))
-    met = scratch.write(rows.withColumn("n", crowd).where("n > 1"), "met")
+    rows = scratch.write(rows, "anchors")
+    times = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.write(rows.join(times, "key").select("key", "doc_id", "pos", "n"), "met")
+    scratch.drop(rows)
     by_doc = met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "n", "pos")).alias("at"))
-    side = F.broadcast(by_doc) if met.count() <= BROADCAST_IDS // 2 else by_doc
-    around = rest.join(side, "doc_id").mapInArrow(
+    around = rest.join(by_doc, "doc_id").mapInArrow(
         _contexts, "key bigint, n bigint, doc_id bigint, pos int, lhs binary, rhs binary"
     )
     around = scratch.write(around, "around")
@@ -279,8 +293,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[D
     crowded = around.where(F.col("n") > hot)
     if not crowded.isEmpty():
         strings = scratch.write(crowded.mapInArrow(_string_rows, "k1 bigint, k2 bigint, doc_id bigint, s bigint"), "strings")
-        first = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "s")).alias("first"))
-        later = strings.join(first, ["k1", "k2"]).where(F.struct("doc_id", "s") > F.col("first"))
+        place = F.struct("doc_id", "s")
+        first = strings.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+        first = scratch.write(first, "firsts")
+        crowd = few(first.where(F.col("times") > CROWD).drop("times"), 32)
+        apart = strings.join(crowd, ["k1", "k2"], "left").withColumnRenamed("first", "known")
+        found = apart.where("known is not null").select("doc_id", "s", F.col("known").alias("first"))
+        rare = first.where(F.col("times") <= CROWD).drop("times")
+        found = found.unionByName(apart.where("known is null").join(rare, ["k1", "k2"]).select("doc_id", "s", "first"))
+        later = found.where(place > F.col("first"))
         covers = covers.unionByName(later.select("doc_id", "s", (F.col("s") + LENGTH).alias("e")))
     # Overlapping and touching covers become runs.
     w = Window.partitionBy("doc_id").orderBy("s", "e")
@@ -302,8 +323,7 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataF
     """
     spans, copies = repeated_spans(docs, scratch, hot)
     d = docs.select("doc_id", "text")
-    few = F.broadcast if copies.count() <= BROADCAST_IDS else (lambda x: x)
-    some = F.broadcast if spans.count() <= BROADCAST_IDS // 8 else (lambda x: x)
-    d = d.join(few(copies.withColumn("copy", F.lit(True))), "doc_id", "left").join(some(spans), "doc_id", "left")
+    whole = few(copies.withColumn("copy", F.lit(True)), 9)
+    d = d.join(whole, "doc_id", "left").join(few(spans, 16 + 32 * F.size("spans")), "doc_id", "left")
     d = d.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return d.mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
