@@ -32,8 +32,34 @@ def base_measures(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ls) - len(set(ls)), len(rep)
 
 
+PHRASES = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our")
+
+
+def fails(line):
+    if not SPACE.search(line):
+        return False
+    bare = len(SPACE.findall(line)) >= 8 and not re.search("[.!?;:]", line)
+    symbols = sum(c in "#*$%&|<>" for c in line)
+    return sum(c in "|>" for c in line) >= 3 or symbols * 100 > len(line) * 10 or bare or any(p in line.lower() for p in PHRASES)
+
+
+def cleaned(text):
+    """(cleaned text, failing lines, kept) in plain Python."""
+    n, _, _, _, rep = base_measures(text)
+    ls = (text or "").split("\n")
+    lost, total = sum(len(x) for x in ls if fails(x)), sum(len(x) for x in ls if SPACE.search(x))
+    ok = not (n < 50 or 100 * rep > 50 * n) and lost * 100 <= total * 50
+    return "\n".join(x for x in ls if not fails(x)), sum(map(fails, ls)), ok
+
+
 def test_quality_rules(frame):
-    rows = [r for r in corpus() if len(r[1]) < 5000] + [(500, "a b c a b c d"), (501, "x | y | z | q | " * 30), (502, "é#é$ \n" * 3)]
+    rows = corpus() + [(500, "a b c a b c d"), (501, "x | y | z | q | " * 30), (502, "é#é$ \n" * 3)]
+    rng = __import__("random").Random(5)
+    for i in range(20):  # good lines between failing ones, from few of them to most
+        some = lambda n, by=" ": by.join(f"u{rng.randrange(900)}" for _ in range(n))
+        bad = [lambda: some(8, " | "), lambda: some(9), lambda: "Click here , " + some(5) + ".", lambda: "### " + some(2)]
+        ls = [rng.choice(bad)() if rng.random() < i / 20 else some(5) + "." for _ in range(30)]
+        rows.append((600 + i, "\n".join(ls) + "\n \n"))
     got = rules.judge_documents(frame(rows)).collect()
     texts = dict(rows) | {None: "a row without an id , its words are many enough to be looked at here .", 900: None, 901: "", 902: " \n\t "}
     assert len(got) == len(rows) + 4
@@ -41,10 +67,12 @@ def test_quality_rules(frame):
         want = base_measures(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r.base_failed and r.kept)
+        assert (r.cleaned, r.n_failed_lines, r.kept) == cleaned(texts[r.doc_id])
+    assert 2 < sum(r.kept and r.n_failed_lines > 0 for r in got) and any(not r.kept and not r.base_failed for r in got)
     kept = rules.keep_documents(frame(rows))
-    assert kept.columns == frame(rows).columns
-    assert kept.count() == sum(r.kept for r in got)
+    assert kept.columns == [*frame(rows).columns, rules.FAILED]
+    want = [(i, cleaned(t)[0]) for i, t in [*rows, *[(i, texts[i]) for i in (None, 900, 901, 902)]] if cleaned(t)[2]]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
     assert rules.judge_documents(frame([], odd=False)).count() == 0
 
 
@@ -55,7 +83,7 @@ def test_lines_that_fail(spark):
     got = {r.x: r.f for r in df.select("x", rules.line_fails(F.col("x")).alias("f")).collect()}
     assert [got[x] for x in bad] == [True] * 4 and [got[x] for x in good] == [False] * 3
     text = spark.createDataFrame([("Good line.\nHome | About | Contact | Help\n\nBye.",)], "text string")
-    assert text.select(rules.cleaned_text(F.col("text")).alias("t")).first().t == "Good line.\n\nBye."
+    assert text.select(rules.verdict(F.col("text")).cleaned.alias("t")).first().t == "Good line.\n\nBye."
 
 
 def base_spans(t):

@@ -1,4 +1,4 @@
-"""Quality rules: lines are judged first, documents by what is left of them.
+"""Quality rules: lines are judged first and go if they fail; documents are judged by what is left of them.
 
 Every rule is a Column expression, so the whole operator is one projection over the
 scan: no shuffle, no Python, memory of one row at a time.
@@ -73,23 +73,29 @@ def verdict(text: Column) -> Column:
     doesn't multiply the work.
     """
 
-    def of_lines(lines: Column) -> list[Column]:
-        lost = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when(line_fails(x), F.length(x)).otherwise(0))
-        total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
+    def of_lines(marks: Column) -> list[Column]:
+        inked = F.transform(F.filter(marks, lambda m: m.inked), lambda m: m.line)
+        left = F.transform(F.filter(marks, lambda m: ~m.fails), lambda m: m.line)
+        chars = lambda rule: F.aggregate(marks, F.lit(0), lambda acc, m: acc + F.when(rule(m), F.length(m.line)).otherwise(0))
         return [
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-            lost.cast("bigint").alias("lost_chars"),
-            total.cast("bigint").alias("line_chars"),
+            let(inked, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            (F.size(marks) - F.size(left)).cast("bigint").alias("n_failed_lines"),
+            chars(lambda m: m.fails).cast("bigint").alias("lost_chars"),
+            chars(lambda m: m.inked).cast("bigint").alias("line_chars"),
+            F.array_join(left, "\n").alias("cleaned"),
         ]
 
+    def mark(line: Column) -> Column:
+        inked = line.rlike(f"[^{SPACE}]")
+        return F.struct(line.alias("line"), inked.alias("inked"), F.when(inked, line_fails(line)).otherwise(False).alias("fails"))
+
     def measures(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
         words = lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).cast("bigint").alias("n_repeat_words"))
         return F.struct(
             let(words_of(t), words).alias("w"),
             F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
             (F.size(F.split(t, SYMBOLS, -1)) - 1).cast("bigint").alias("n_symbols"),
-            let(lines, lambda x: F.struct(*of_lines(x))).alias("l"),
+            let(F.transform(F.split(t, "\n", -1), mark), lambda x: F.struct(*of_lines(x))).alias("l"),
         )
 
     def judged(m: Column) -> Column:
@@ -100,35 +106,46 @@ def verdict(text: Column) -> Column:
             m.n_symbols.alias("n_symbols"),
             m.l.n_dup_lines.alias("n_dup_lines"),
             m.w.n_repeat_words.alias("n_repeat_words"),
+            m.l.n_failed_lines.alias("n_failed_lines"),
             m.l.lost_chars.alias("lost_chars"),
             m.l.line_chars.alias("line_chars"),
             failed.alias("base_failed"),
             (~failed & (m.l.lost_chars * 100 <= m.l.line_chars * MAX_LOST_PCT)).alias("kept"),
+            m.l.cleaned.alias("cleaned"),
         )
 
     return let(F.coalesce(text, F.lit("")), lambda t: let(measures(t), judged))
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, the measures, base_failed and kept.
+    """One row per row of docs: doc_id, the measures, base_failed, kept and cleaned (the text without its failing lines).
 
-    A null or empty text has no words: base_failed is true and kept false. Ties do not
-    arise (each row stands alone), repeated rows give repeated results, a null doc_id is
-    passed through, and other columns of docs are ignored.
+    A null or empty text has no words: base_failed is true, kept false and cleaned empty.
+    Lines without a word never fail. Ties do not arise (each row stands alone), repeated
+    rows give repeated results, a null doc_id is passed through, other columns of docs are
+    ignored, and an empty table gives no rows.
     """
     return docs.select("doc_id", verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge_documents keeps, with docs' own columns."""
-    return docs.where(verdict(F.col("text")).kept)
+def report(docs: DataFrame) -> DataFrame:
+    """judge_documents with the hash of the cleaned text in its place."""
+    return judge_documents(docs).withColumn("cleaned_sha256", F.sha2(F.col("cleaned").cast("binary"), 256)).drop("cleaned")
+
+
+#: Column that keep_documents adds; named so that it doesn't meet a column of docs.
+FAILED = "__tw_n_failed_lines"
 
 
-def cleaned_text(text: Column) -> Column:
-    """text without the lines that line_fails; lines without a word stay."""
-    return F.array_join(
-        F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(f"[^{SPACE}]") & line_fails(x))), "\n"
-    )
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge_documents keeps, with their cleaned texts, plus FAILED (lines that were removed).
+
+    Verdicts are generated, not filtered, so each is evaluated once.
+    """
+    kept = F.filter(F.array(verdict(F.col("text"))), lambda v: v.kept)
+    d = docs.select("*", F.explode(F.transform(kept, lambda v: F.struct(v.cleaned.alias("text"), v.n_failed_lines.alias("n")))).alias("__tw_v"))
+    own = [F.col("__tw_v.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return d.select(*own, F.col("__tw_v.n").alias(FAILED))
 
 
 _SP = r"[\x20\x09-\x0D]"
@@ -140,17 +157,18 @@ w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{_SP}+'), lambda x
 tri AS (SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri),
 cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i+1, i+2]) AS j FROM rep WHERE c > 1) GROUP BY r),
-ln AS (SELECT r, l FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-lf AS (SELECT r, l, length(l) AS c,
-  regexp_matches(l, '([|>][^|>]*){{3}}') OR 100 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > {MAX_SYMBOL_PCT} * length(l)
-  OR (NOT regexp_matches(l, '[.!?;:]') AND regexp_matches(l, '{_BARE}')) OR {_PHRASES} AS bad FROM ln),
-la AS (SELECT r, count(*) - count(DISTINCT l) AS dup, sum(c) AS total, sum(CASE WHEN bad THEN c ELSE 0 END) AS lost FROM lf GROUP BY r),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+lf AS (SELECT r, l, i, length(l) AS c, regexp_matches(l, '[^\x20\x09-\x0D]') AS ink,
+  regexp_matches(l, '[^\x20\x09-\x0D]') AND (regexp_matches(l, '([|>][^|>]*){{3}}') OR 100 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > {MAX_SYMBOL_PCT} * length(l)
+  OR (NOT regexp_matches(l, '[.!?;:]') AND regexp_matches(l, '{_BARE}')) OR {_PHRASES}) AS bad FROM ln),
+la AS (SELECT r, count(*) FILTER (ink) - count(DISTINCT l) FILTER (ink) AS dup, count(*) FILTER (bad) AS failed, sum(CASE WHEN ink THEN c ELSE 0 END) AS total, sum(CASE WHEN bad THEN c ELSE 0 END) AS lost,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '')) AS cleaned FROM lf GROUP BY r),
 m AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '{_SP}+', '', 'g')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(la.dup, 0) AS n_dup_lines,
-  coalesce(cov.n, 0) AS n_repeat_words, coalesce(la.lost, 0) AS lost_chars, coalesce(la.total, 0) AS line_chars
+  coalesce(cov.n, 0) AS n_repeat_words, la.failed, la.cleaned, coalesce(la.lost, 0) AS lost_chars, coalesce(la.total, 0) AS line_chars
   FROM w LEFT JOIN la USING (r) LEFT JOIN cov USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, lost_chars::BIGINT AS lost_chars, line_chars::BIGINT AS line_chars,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed::BIGINT AS n_failed_lines, cleaned AS cleaned_sha256, lost_chars::BIGINT AS lost_chars, line_chars::BIGINT AS line_chars,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words) AND lost_chars * 100 <= line_chars * {MAX_LOST_PCT} AS kept
 FROM m
