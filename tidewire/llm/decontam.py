@@ -2,9 +2,17 @@
 
 A window of a document as long as a benchmark item is a leak when the weighted Jaccard
 similarity of their shingle bags reaches the threshold. All windows are searched, but
-only those are fingerprinted that can reach it: bags of equal size m with similarity
-`threshold` have at most `allowed` positions whose shingle the item lacks, so among every
-stride-th position enough must carry a shingle of the item (see _stride).
+only those are fingerprinted that can reach it. That bound is exact: bags of m shingles
+each with overlap i have similarity i / (2m - i), so at the threshold at most
+`allowed_misses` positions of the window carry a shingle that the item lacks; a window
+over m consecutive positions holds at least floor(m / s) multiples of s, so if fewer than
+floor(m / s) - allowed_misses sampled positions carry a shingle of the item, the window
+is no leak. No leak is lost by it, whatever the texts.
+
+The windows left are indexed by blocks of their SimHash: fingerprints within the radius
+share a block. At this threshold the index can't do without the bound: two fingerprints
+differ in 9.7 bits on average, so a radius that loses nothing needs blocks of two or three
+bits, which most unrelated pairs share.
 
 A document of fewer shingles than an item is one window, whole. It meets the items whose
 shingles it holds by their id, not by blocks, so no radius applies to it.
@@ -15,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, let, text_or_empty, words_of
+from .common import Scratch, few, let, text_or_empty, words_of
 
 WORDS = 5
 THRESHOLD_PCT = 80
-#: Hamming radius. At similarity 0.8 the expected distance of two 64-bit SimHashes is under 10 bits; 20 is 3.6 deviations above.
-RADIUS = 20
+#: Hamming radius. At similarity 0.8 two 64-bit SimHashes differ in 9.7 bits on average, deviation 2.9; 28 is 6.4 deviations above.
+RADIUS = 28
 BITS = 64
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"
 _TO = "abcdefghijklmnopqrstuvwxyz"
@@ -113,8 +121,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     """
     items = scratch.write(item_table(benchmark), "items")
     sizes = [(r.k, r.m) for r in items.select("k", "m").distinct().sort("k", "m").collect()]  # lengths, not items
-    few = items.count() <= BROADCAST_IDS // 100
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     d = docs.select("doc_id", text_or_empty().alias("t")).select(
         "doc_id", F.xxhash64("t").alias("v"), normal_words(F.col("t")).alias("w")
     )
@@ -133,7 +139,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         )
         hits = d.select("doc_id", "v", (last + 1).alias("l"), F.explode(spots).alias("x")).select("doc_id", "v", "l", "x.*")
         # The seeds of one item in one document; a window needs nearly all of its sampled positions among them.
-        seeds = hits.join(small(terms), "h").groupBy("doc_id", "v", "l", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        seeds = hits.join(few(terms, 32), "h").groupBy("doc_id", "v", "l", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
         # A window of `wide` shingles; where that is the whole document, position 0 is sampled, too.
         wide = F.least("l", "m")
         sampled = F.when(F.col("l") < F.col("m"), F.ceil(wide / s)).otherwise(F.floor(wide / s))
@@ -143,8 +149,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
             F.collect_list(F.struct("item_id", "n", "m", "need", "ps")).alias("seeds")
         )
         seeds = scratch.write(seeds.withColumnRenamed("doc_id", "id").withColumnRenamed("v", "v_"), f"seeds{k}")
-        side = F.broadcast(seeds) if seeds.count() <= BROADCAST_IDS // 20 else seeds
-        hit = d.join(side, (F.col("v") == F.col("v_")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        size = F.aggregate("seeds", F.lit(0), lambda acc, x: acc + 48 + 8 * F.size(x.ps))
+        hit = d.join(few(seeds, size), (F.col("v") == F.col("v_")) & F.col("doc_id").eqNullSafe(F.col("id")))
         hit = hit.select("doc_id", shingles(F.col("w"), k).alias("sh"), F.explode("seeds").alias("x")).select("doc_id", "sh", "x.*")
         # Starts of windows that hold `need` seeds: those reaching from one seed over the next need - 1.
         ps, wide = F.col("ps"), F.least(F.col("m"), F.size("sh"))
@@ -166,16 +172,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         by_blocks = lambda fp: F.array(
             *[F.struct(F.lit(i).alias("i"), block_value(F.col(fp), *c).alias("x")) for i, c in enumerate(cuts)]
         )
-        by_item = lambda item: F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(item).alias("x")))
-        item_blocks = of_k.select("item_id", "n", "set", "fp", F.explode(F.concat(by_blocks("fp"), by_item("item_id"))).alias("ib"))
-        win = win.withColumn("b", F.explode(F.when(F.col("short"), by_item("of")).otherwise(by_blocks("wfp"))))
-        pairs = win.join(small(item_blocks), (F.col("wn") == F.col("n")) & (F.col("b") == F.col("ib")))
+        whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("x")))  # short documents, whatever their distance
+        item_blocks = of_k.select("item_id", "n", "fp", F.explode(F.concat(by_blocks("fp"), whole)).alias("ib"))
+        win = win.withColumn("b", F.explode(F.when(F.col("short"), whole).otherwise(by_blocks("wfp"))))
+        # A window was seeded by one item; another item has its own seeds and windows.
+        same = F.col("of").eqNullSafe(F.col("item_id")) & (F.col("wn") == F.col("n")) & (F.col("b") == F.col("ib"))
+        pairs = win.join(few(item_blocks, 48), same)
         diff = F.col("wfp").bitwiseXOR(F.col("fp"))
         # A pair meets once for every equal block; it is taken at the first of them.
         first = F.coalesce(*[F.when(block_value(diff, *c) == 0, F.lit(i)) for i, c in enumerate(cuts)])
         pairs = pairs.withColumn("hamming", F.bit_count(diff)).where(
             F.col("short") | ((F.col("b.i") == first) & (F.col("hamming") <= radius))
         )
+        bags = of_k.select(F.col("item_id").alias("set_of"), F.col("n").alias("set_n"), F.col("fp").alias("set_fp"), "set")
+        mine = F.col("of").eqNullSafe(F.col("set_of")) & (F.col("n") == F.col("set_n")) & (F.col("fp") == F.col("set_fp"))
+        pairs = pairs.join(few(bags, 32 + 8 * F.size("set")), mine)
         common = F.size(F.array_intersect("set", occurrences(F.col("bag"))))
         pairs = pairs.withColumn("common", common).withColumn("total", F.size("bag") + F.size("set") - F.col("common"))
         pairs = pairs.where(F.col("common") * 100 >= F.col("total") * THRESHOLD_PCT)
@@ -194,8 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that hold no benchmark item, with docs' own columns."""
     leaked = scratch.write(find_leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("__tw_id")).distinct(), "leaked")
-    side = F.broadcast(leaked) if leaked.count() <= BROADCAST_IDS else leaked
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__tw_id")), "left_anti")
+    return docs.join(few(leaked, 8), F.col("doc_id").eqNullSafe(F.col("__tw_id")), "left_anti")
 
 
 ORACLE = rf"""
