@@ -186,6 +186,9 @@ def test_pieces_equal_the_library(spark, frame):
     back = {r.doc_id: r.text for r in pieces.decode_documents(pieces.encode_documents(frame(rows))).collect()}
     assert all(back[i] == t for i, t in rows)
     assert all(r.exact for r in pieces.round_trip(frame(rows)).collect())
+    for units in (0, 30):  # which units go by joins must not matter; repeated rows give repeated results
+        few = pieces.encode_documents(frame([*rows, rows[5]]), units=units).collect()
+        assert len(few) == len(rows) + 5 and all(x.ids == got[x.doc_id] for x in few)
     assert pieces.encode_documents(frame([], odd=False)).count() == 0
     words = [("▁" + w,) for t in texts[:40] for w in t.replace(" ", "▁").split("▁") if w] + [("▁▁▁x",)]
     v = pieces.Vocabulary()

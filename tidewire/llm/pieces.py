@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-A text becomes units that no piece crosses (words with the space mark before them). The
-distinct units of a batch are encoded once: all their substrings of bounded length are
-exploded, matched with the piece table, and the matches, grouped by unit, are the edges
-of its lattice. A fold over the lattice gives the pieces.
+A text becomes units that no piece crosses (words with the space mark before them). Units
+are encoded once, by joins (`encode_words`): their substrings of bounded length are
+exploded and equi-joined to the piece table, the matches, grouped by unit, are the edges
+of its lattice, and a higher-order aggregate folds each lattice into pieces. The texts are
+then put together from the units.
+
+Texts hold more units than can be broadcast or shuffled back to their documents, so the
+joins serve the UNITS most frequent ones, found by a count over all texts; their pieces go
+to the tasks that put the texts together. Any other unit (rare ones, long ones, those with
+several space marks) is encoded by the task that meets it, by the same lattice in arrays.
+The result does not depend on which way a unit goes.
 
 The fold depends on the model. Merge-trained (BPE) models join, again and again, the two
 neighbours whose union is the best-scored piece; a best-path (Viterbi) fold gives other,
-wrong pieces for them, so it is used for unigram models only. `encode_words` is the same
-lattice as Spark joins with both folds written as higher-order aggregates.
+wrong pieces for them, so it is used for unigram models only.
 
-Documents are read once and nothing is shuffled; the piece table (tens of thousands of
-rows, fixed by the model file) is all that is broadcast.
+Only counts of units are shuffled; the piece table (tens of thousands of rows, fixed by
+the model file) and the UNITS encoded units are all that is broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .common import let, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
+#: Most frequent units that are encoded by joins and broadcast, of at most LONG characters each.
+UNITS = 200_000
 #: Encoded units that a task keeps at hand before it starts anew.
 CACHE = 500_000
 #: Units of more characters are folded one by one.
@@ -223,8 +231,9 @@ class Lattices:
 class Encoder:
     """Encodes texts; distinct units are encoded once, many at a time, while their number stays under CACHE."""
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.seen = v, {}
+    def __init__(self, v: Vocabulary, known: dict[str, bytes] | None = None):
+        self.v, self.known = v, known or {}
+        self.seen = dict(self.known)
         self.lattices = Lattices(v) if v.merges else None
 
     def learn(self, units: set[str]) -> None:
@@ -244,8 +253,8 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        if len(self.seen) > CACHE:
-            self.seen = {}
+        if len(self.seen) > CACHE + len(self.known):
+            self.seen = dict(self.known)
         split = [units_of(t or "") for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.seen.__getitem__, units)) for units in split]
@@ -259,16 +268,17 @@ class Encoder:
         return out[1:] if out.startswith(b" ") else out
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, units: int = UNITS) -> DataFrame:
     """doc_id, ids (array<int>) per row of docs.
 
-    A null or empty text has no ids. Texts that hold the space mark itself decode to a
+    The `units` most frequent units are encoded by joins, any others in the tasks. A null
+    or empty text has no ids, an empty table gives no rows. Texts that hold the space mark itself decode to a
     space there (as the model has it). Repeated rows, null doc_ids and other columns don't matter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(path), known_units(docs, path, units)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = Encoder(*shared.value)
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.slice(lo, 200)
@@ -293,12 +303,15 @@ def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of 32-bit little-endian ids), decoded_sha256 and exact (decoded = text) per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+def round_trip(docs: DataFrame, path: str = MODEL, units: int = UNITS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of 32-bit little-endian ids), decoded_sha256 and exact (decoded = text) per row of docs.
+
+    Cases as in encode_documents.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(path), known_units(docs, path, units)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = Encoder(*shared.value)
         for batch in batches:
             rows = []
             for lo in range(0, len(batch), 200):
@@ -322,6 +335,20 @@ def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
 # ---------------------------------------------------------------- the lattice as Spark joins
 
 
+def frequent_units(docs: DataFrame, most: int = UNITS) -> DataFrame:
+    """word (with its space mark) of the `most` most frequent units of at most LONG characters (ties: by text)."""
+    word = F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), " ", -1)).alias("u")
+    plain = (F.col("u") != "") & ~F.contains("u", F.lit(SPACE_MARK)) & (F.length("u") < LONG)
+    counts = docs.select(word).where(plain).groupBy("u").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "u").limit(most).select(F.concat(F.lit(SPACE_MARK), "u").alias("word"))
+
+
+def known_units(docs: DataFrame, path: str = MODEL, most: int = UNITS) -> dict[str, bytes]:
+    """The ids of the most frequent units (without their space mark), as 32-bit little-endian integers."""
+    t = encode_words(frequent_units(docs, most), path).toArrow()
+    return {w[1:]: np.array(x, "<i4").tobytes() for w, x in zip(t["word"].to_pylist(), t["ids"].to_pylist())}
+
+
 def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
     rows = [(s, float(x), i) for s, (x, i) in Vocabulary(path).pieces.items()]
     return spark.createDataFrame(rows, "piece string, score double, id int")
@@ -331,8 +358,7 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     """word, ids of each distinct word (a unit with its space marks), by joins and aggregates alone.
 
     Substrings of bounded length are exploded, equi-joined to the piece table and grouped by
-    word; the fold over a word's edges is a higher-order aggregate. Grouping needs no second
-    shuffle: words are dealt by word when they are made distinct.
+    word; the fold over a word's edges is a higher-order aggregate.
     """
     v = Vocabulary(path)
     w = words.select("word").where("word <> ''").distinct()
@@ -348,16 +374,20 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     edges = w.select("word", F.explode(spans).alias("x")).select("word", "x.*")
     edges = edges.join(F.broadcast(piece_table(words.sparkSession, path)), "piece", "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("e") == F.col("s") + 1))
-    found = edges.groupBy("word").agg(F.collect_list(F.struct("s", "e", "score", "id", "piece")).alias("edges"))
+    found = edges.groupBy("word").agg(F.collect_list(F.struct("s", "e", "score", "id")).alias("edges"))
     e = F.col("edges")
+    at = lambda s, t: s.cast("bigint") * (1 << 24) + t  # noqa: E731  # an edge from s to t, as one number
+    known = F.filter(e, lambda x: x.id.isNotNull())
+    table = lambda f: F.map_from_entries(F.transform(known, lambda x: F.struct(at(x.s, x.e), x[f])))
+    df = found.select("word", "edges", table("score").alias("scores"), table("id").alias("ids_at"))
     if v.merges:
-        def step(cuts):  # without the cut between the best neighbours; the same cuts if none are a piece
-            fit = F.filter(e, lambda x: x.id.isNotNull() & (F.array_position(cuts, x.e) == F.array_position(cuts, x.s) + 2) & F.array_contains(cuts, x.s))
-            best = F.element_at(F.array_sort(F.transform(fit, lambda x: F.struct((-x.score).alias("k"), x.s.alias("s"), x.e.alias("e")))), 1)
-            return F.when(F.size(fit) > 0, let(best, lambda b: F.filter(cuts, lambda c: (c <= b.s) | (c >= b.e)))).otherwise(cuts)
+        def step(cuts):  # without the cut between the best neighbours (the left ones of equals); the same cuts if none are a piece
+            some = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.element_at("scores", at(F.get(cuts, i), F.get(cuts, i + 2))))
+            left = lambda joined: F.array_position(joined, F.array_max(joined)).cast("int")
+            without = lambda k: F.when(k > 0, F.concat(F.slice(cuts, F.lit(1), k), F.slice(cuts, k + 2, F.size(cuts)))).otherwise(cuts)
+            return F.when(F.size(cuts) < 3, cuts).otherwise(let(some, lambda x: let(F.coalesce(left(x), F.lit(0)), without)))
 
-        start = F.sequence(F.lit(0), F.length("word"))
-        cuts = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, lambda acc, _: step(acc))
+        cuts = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), lambda acc, _: step(acc))
     else:
         low = min((s for s, _ in v.pieces.values()), default=0.0) - 10
         nodes = F.array_sort(F.transform(e, lambda x: F.struct(x.e.alias("e"), x.s.alias("s"), F.coalesce(x.score, F.lit(low)).alias("score"))))
@@ -373,17 +403,17 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
             )
 
         cuts = F.element_at(F.aggregate(nodes, zero, relax), -1).path
-    df = found.withColumn("cuts", cuts)
+    df = df.withColumn("cuts", cuts)
     codes = F.array(*[F.lit(b) for b in v.bytes])
     c = F.col("cuts")
 
     def ids_of(a, i):
-        hit = F.filter(e, lambda x: (x.s == a) & (x.e == F.get(c, i + 1)))[0]
-        raw = F.hex(F.encode(hit.piece, "utf-8"))
+        id_ = F.element_at("ids_at", at(a, F.get(c, i + 1)))
+        raw = F.hex(F.encode(F.substr("word", a + 1, F.lit(1)), "utf-8"))  # what is no piece is one character
         as_bytes = F.transform(
             F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1),
             lambda k: F.get(codes, F.conv(F.substr(raw, k * 2 + 1, F.lit(2)), 16, 10).cast("int")),
         )
-        return F.when(hit.id.isNotNull(), F.array(hit.id)).otherwise(as_bytes)
+        return F.when(id_.isNotNull(), F.array(id_)).otherwise(as_bytes)
 
     return df.select("word", F.flatten(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), ids_of)).alias("ids"))
