@@ -1,4 +1,10 @@
-"""Corpus pipeline over `documents`: each stage's result is written as Parquet and read by the next."""
+"""Corpus pipeline over `documents`: each stage's result is written as Parquet and read by the next.
+
+Rows with a null doc_id take part in no comparison with others and stay (if their text
+does); repeated rows are one document, so they all stay or all go. Ties go to the smaller
+doc_id. An empty table gives no rows. Columns beyond those of documents pass through all
+stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +16,10 @@ from tidewire.llm.common import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return rules.keep_documents(docs)
+    """Lines that fail the quality rules go; documents that the rules reject go, those with a null or empty text among them."""
+    df = rules.keep_documents(docs)
+    n_chars = F.when(F.col(rules.FAILED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars")
+    return df.select([n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
