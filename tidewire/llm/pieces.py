@@ -38,7 +38,7 @@ from .common import let, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Most frequent units that are encoded by joins and broadcast, of at most LONG characters each.
-UNITS = 200_000
+UNITS = 50_000
 #: Encoded units that a task keeps at hand before it starts anew.
 CACHE = 500_000
 #: Units of more characters are folded one by one.
@@ -379,15 +379,15 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     at = lambda s, t: s.cast("bigint") * (1 << 24) + t  # noqa: E731  # an edge from s to t, as one number
     known = F.filter(e, lambda x: x.id.isNotNull())
     table = lambda f: F.map_from_entries(F.transform(known, lambda x: F.struct(at(x.s, x.e), x[f])))
-    df = found.select("word", "edges", table("score").alias("scores"), table("id").alias("ids_at"))
     if v.merges:
-        def step(cuts):  # without the cut between the best neighbours (the left ones of equals); the same cuts if none are a piece
-            some = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.element_at("scores", at(F.get(cuts, i), F.get(cuts, i + 2))))
+        def step(cuts, scores):  # without the cut between the best neighbours (the left ones of equals); the same cuts if none are a piece
+            some = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.element_at(scores, at(F.get(cuts, i), F.get(cuts, i + 2))))
             left = lambda joined: F.array_position(joined, F.array_max(joined)).cast("int")
             without = lambda k: F.when(k > 0, F.concat(F.slice(cuts, F.lit(1), k), F.slice(cuts, k + 2, F.size(cuts)))).otherwise(cuts)
             return F.when(F.size(cuts) < 3, cuts).otherwise(let(some, lambda x: let(F.coalesce(left(x), F.lit(0)), without)))
 
-        cuts = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), lambda acc, _: step(acc))
+        fold = lambda scores: F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), lambda acc, _: step(acc, scores))
+        cuts = let(table("score"), fold)  # a map named by let is made once, not at every look into it
     else:
         low = min((s for s, _ in v.pieces.values()), default=0.0) - 10
         nodes = F.array_sort(F.transform(e, lambda x: F.struct(x.e.alias("e"), x.s.alias("s"), F.coalesce(x.score, F.lit(low)).alias("score"))))
@@ -403,12 +403,10 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
             )
 
         cuts = F.element_at(F.aggregate(nodes, zero, relax), -1).path
-    df = df.withColumn("cuts", cuts)
     codes = F.array(*[F.lit(b) for b in v.bytes])
-    c = F.col("cuts")
 
-    def ids_of(a, i):
-        id_ = F.element_at("ids_at", at(a, F.get(c, i + 1)))
+    def ids_of(a, b, ids):
+        id_ = F.element_at(ids, at(a, b))
         raw = F.hex(F.encode(F.substr("word", a + 1, F.lit(1)), "utf-8"))  # what is no piece is one character
         as_bytes = F.transform(
             F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1),
@@ -416,4 +414,5 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
         )
         return F.when(id_.isNotNull(), F.array(id_)).otherwise(as_bytes)
 
-    return df.select("word", F.flatten(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), ids_of)).alias("ids"))
+    every = lambda c, ids: F.flatten(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: ids_of(a, F.get(c, i + 1), ids)))
+    return found.select("word", let(cuts, lambda c: let(table("id"), lambda ids: every(c, ids))).alias("ids"))
