@@ -85,6 +85,24 @@ def few(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+#: Keys that occur in more rows are joined by broadcast.
+CROWD = 10_000
+
+
+def join_crowded(df: DataFrame, side: DataFrame, on: list[str], times: str = "times", crowd: int = CROWD) -> DataFrame:
+    """Inner equi-join of df with one row per key of side, where side's column `times` says in how many rows of df the key is.
+
+    No task gets a crowded key whole: there are at most rows / crowd of those keys, which
+    are broadcast (while their bytes allow it); the rows of all others are shuffled.
+    """
+    marks = side.where(F.col(times) > crowd).select(*on, F.struct(*[c for c in side.columns if c not in on]).alias("__tw_side"))
+    marked = df.join(few(marks, 64), on, "left")
+    more = [F.col(f"__tw_side.{c}").alias(c) for c in side.columns if c not in on]
+    found = marked.where(F.col("__tw_side").isNotNull()).select(*df.columns, *more)
+    rest = marked.where(F.col("__tw_side").isNull()).drop("__tw_side")
+    return found.unionByName(rest.join(side.where(F.col(times) <= crowd), on).select(*found.columns))
+
+
 # ---------------------------------------------------------------- native column helpers
 
 

@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _P, Scratch, _pow, chunks, few, mix, text_or_empty, with_ids
+from .common import _BYTE, _P, Scratch, _pow, chunks, few, join_crowded, mix, text_or_empty, with_ids
 
 LENGTH = 100
 GRAM = 32
 #: Suffixes of anchors that occur more often are grouped by whole strings, spread over tasks.
 HOT = 50_000
-#: Strings that occur more often are joined with their first occurrence by broadcast.
-CROWD = 10_000
 _POS = 30
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -280,8 +278,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[D
     rest = with_ids(long, copies, "doc_id", keep=False)
     rows = rest.mapInArrow(_anchor_rows, "key bigint, doc_id bigint, pos int")
     rows = scratch.write(rows, "anchors")
-    times = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.write(rows.join(times, "key").select("key", "doc_id", "pos", "n"), "met")
+    times = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "times")
+    met = scratch.write(join_crowded(rows, times, ["key"], "n").select("key", "doc_id", "pos", "n"), "met")
     scratch.drop(rows)
     by_doc = met.groupBy("doc_id").agg(F.collect_set(F.struct("key", "n", "pos")).alias("at"))
     around = rest.join(by_doc, "doc_id").mapInArrow(
@@ -296,12 +294,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[D
         place = F.struct("doc_id", "s")
         first = strings.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
         first = scratch.write(first, "firsts")
-        crowd = few(first.where(F.col("times") > CROWD).drop("times"), 32)
-        apart = strings.join(crowd, ["k1", "k2"], "left").withColumnRenamed("first", "known")
-        found = apart.where("known is not null").select("doc_id", "s", F.col("known").alias("first"))
-        rare = first.where(F.col("times") <= CROWD).drop("times")
-        found = found.unionByName(apart.where("known is null").join(rare, ["k1", "k2"]).select("doc_id", "s", "first"))
-        later = found.where(place > F.col("first"))
+        later = join_crowded(strings, first, ["k1", "k2"]).where(place > F.col("first"))
         covers = covers.unionByName(later.select("doc_id", "s", (F.col("s") + LENGTH).alias("e")))
     # Overlapping and touching covers become runs.
     w = Window.partitionBy("doc_id").orderBy("s", "e")
