@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, shingle_sets, with_ids
+from .common import Scratch, chunks, join_crowded, mix, shingle_sets, with_ids
 from .graph import components
 
 WORDS = 5
@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = scratch.write(copies.select("doc_id", "head").distinct(), "copies")
     one = with_ids(full, copies.select("doc_id").distinct(), "doc_id", keep=False)
     keyed = one.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    crowd = F.count("*").over(Window.partitionBy("key"))
-    met = scratch.write(keyed.withColumn("n", crowd).where("n > 1").select("key", "doc").distinct(), "met")
+    times = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    met = scratch.write(join_crowded(keyed, times, ["key"]).select("key", "doc").distinct(), "met")
     ids = scratch.write(met.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     schema = "doc_id bigint, n bigint, s binary, bits binary"
     sets = scratch.write(with_ids(d, ids, "doc_id").mapInArrow(_sets, schema), "sets")
