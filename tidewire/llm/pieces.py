@@ -30,10 +30,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, mix
+from .common import Scratch, let, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -335,17 +335,26 @@ def round_trip(docs: DataFrame, path: str = MODEL, units: int = UNITS) -> DataFr
 # ---------------------------------------------------------------- the lattice as Spark joins
 
 
-def frequent_units(docs: DataFrame, most: int = UNITS) -> DataFrame:
-    """word (with its space mark) of the `most` most frequent units of at most LONG characters (ties: by text)."""
+def frequent_units(docs: DataFrame, scratch: Scratch, most: int = UNITS) -> DataFrame:
+    """word (with its space mark) of all units of under LONG characters that occur so often that there are at most `most` of them.
+
+    How often that is comes from the number of units by count, a table of few rows, so
+    units are never sorted in one task.
+    """
     word = F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), " ", -1)).alias("u")
     plain = (F.col("u") != "") & ~F.contains("u", F.lit(SPACE_MARK)) & (F.length("u") < LONG)
-    counts = docs.select(word).where(plain).groupBy("u").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "u").limit(most).select(F.concat(F.lit(SPACE_MARK), "u").alias("word"))
+    counts = scratch.write(docs.select(word).where(plain).groupBy("u").agg(F.count("*").alias("n")), "units")
+    by = counts.groupBy("n").agg(F.count("*").alias("units"))
+    upto = F.sum("units").over(Window.orderBy(F.desc("n")))
+    least = by.withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("n").alias("least"))
+    return counts.join(F.broadcast(least), F.col("n") >= F.col("least")).select(F.concat(F.lit(SPACE_MARK), "u").alias("word"))
 
 
 def known_units(docs: DataFrame, path: str = MODEL, most: int = UNITS) -> dict[str, bytes]:
     """The ids of the most frequent units (without their space mark), as 32-bit little-endian integers."""
-    t = encode_words(frequent_units(docs, most), path).toArrow()
+    scratch = Scratch(docs.sparkSession, "units")
+    t = encode_words(frequent_units(docs, scratch, most), path).toArrow()
+    scratch.close()
     return {w[1:]: np.array(x, "<i4").tobytes() for w, x in zip(t["word"].to_pylist(), t["ids"].to_pylist())}
 
 
