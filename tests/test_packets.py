@@ -88,7 +88,7 @@ def test_no_connection_is_held_whole(packets, spark):
             tries.setdefault((r.src_ip, r.dst_ip, r.dst_port), []).append(r)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        found = folds.handshakes(p), folds.retransmissions(p), folds.brute_force(p, 1, -1.0)
+        found = folds.handshakes(p), folds.retransmissions(p), security.brute_force(p, 1, -1.0)
         for df, step in zip(found, (folds.handshakes_of, folds.retransmissions_of)):
             want = [x for g in groups.values() for x in step(iter(g))]
             got = [tuple(r)[: len(want[0])] for r in df.collect()]
@@ -116,7 +116,7 @@ def test_floods_scans_and_brute_force(packets):
     scan = security.port_scans(packets(*[at(i * 0.1, tcp_flags=2, dst_port=i) for i in range(1, 31)])).first()
     assert (scan.kind, scan.attempts, scan.severity) == ("horizontal", 30, "critical")
     tries = packets(*[at(i, tcp_flags=2, dst_port=22, src_port=1000 + i) for i in range(20)])
-    assert folds.brute_force(tries).first().severity == "medium"
+    assert security.brute_force(tries).first().severity == "high"
 
 
 def test_dns_matching(spark):
@@ -128,8 +128,8 @@ def test_dns_matching(spark):
 
 def test_icmp_fragments_and_sack(spark, packets):
     p = packets(*[{"protocol": "ICMP", "icmp_type": 3, "icmp_code": c} for c in (4, 4, 1)], {"protocol": "ICMP", "icmp_type": 8, "icmp_code": 0})
-    assert {(r.name, r.severity): r.packets for r in names.icmp_summary(p).collect()}["Destination Unreachable - Fragmentation Needed", "error"] == 2
-    assert names.unreachable_targets(p).first().reason == "Destination Unreachable - Fragmentation Needed"
+    assert {(r.name, r.severity): r.packets for r in names.icmp_summary(p).collect()}["Destination Unreachable - Fragmentation Needed and DF Set", "error"] == 2
+    assert names.unreachable_targets(p).first().reason == "Destination Unreachable - Fragmentation Needed and DF Set"
     f = spark.createDataFrame([("a", "b", (1, False, m, o, n, 17)) for m, o, n in ((True, 0, 1480), (True, 1480, 1480), (False, 2960, 100))] + [("a", "b", (2, False, True, 0, 8, 17))],
                               "src_ip string, dst_ip string, frag struct<ip_id:int,df:boolean,mf:boolean,offset_bytes:int,payload_bytes:int,proto:int>")
     assert {r.ip_id: r.complete for r in names.reassembly(f).collect()} == {1: True, 2: False}
@@ -246,3 +246,68 @@ def test_flow_quality(packets):
     p = packets(*[at(x, tcp_payload_len=10) for x in (0, 0.1, 0.3)], *[at(x, protocol="UDP", src_port=9, tcp_seq=None) for x in (0, 0.1, 0.3)])
     got = report.flow_quality(timing.jitter_flow_stats(p), tcp.rtt_flow_stats(p), tcp.exact_retransmissions(p)).collect()
     assert {(r.src_port, r.jitter_mean_us, r.rtt_mean_us, r.retransmissions) for r in got} == {(12345, 100000.0, None, 2), (9, 100000.0, None, 0)}
+
+
+def test_syn_delays(packets):
+    syn = lambda t, port, seq=1000: at(t, tcp_flags=2, src_port=port, tcp_seq=seq)
+    answer = lambda t, port: at(t, tcp_flags=18, src_ip="2.2.2.2", dst_ip="1.1.1.1", src_port=80, dst_port=port)
+    p = packets(
+        syn(0, 1), syn(1, 1), syn(3, 1), answer(3.2, 1),  # sent again after 1 and 2 seconds, answered late
+        syn(0, 2), syn(1, 2),  # never answered
+        syn(0, 3), syn(1, 3, 77), answer(1.1, 3),  # another number: a new attempt, answered at once
+        syn(0, 4), answer(2.5, 4),
+        syn(0, 5), syn(1, 5), at(2, tcp_flags=4, src_port=5),  # given up
+        syn(0, 6), syn(20, 6), syn(21, 6), answer(22, 6),  # 20 seconds are too long to be sent again
+    )
+    got = {r.src_port: (r.retries, r.answered, r.delay_us, r.issue) for r in tcp.syn_delays(p).collect()}
+    assert got == {
+        1: (2, True, 3_200_000, "server_delayed_response"), 2: (1, False, 1_000_000, "no_synack_received"),
+        4: (0, True, 2_500_000, "moderate_network_delay"), 6: (0, True, 22_000_000, "severe_network_delay"),
+    }
+
+
+def test_brute_force_levels(packets):
+    """Bounds are exceeded, not reached; failures, speed and the service raise the level."""
+    def level(n, gap, port=21, answered=0, **kw):
+        rows = [at(i * gap, tcp_flags=2, dst_port=port, src_port=1000 + i, **kw) for i in range(n)]
+        rows += [at(i * gap + gap / 2, tcp_flags=24, dst_port=port, src_port=1000 + i, **kw) for i in range(answered)]
+        r = security.brute_force(packets(*rows)).first()
+        return r and r.severity
+
+    assert level(20, 1, answered=4) == "low" and level(21, 1, answered=4) == "medium" and level(20, 1, 22, answered=4) == "medium"
+    assert level(20, 1) == "high" and level(20, 0.1, answered=4) == "high" and level(31, 0.1, answered=6) == "critical"
+    assert level(51, 1, answered=12) == "critical" and level(9, 1) is None and level(20, 1, answered=10) is None
+    assert level(20, 1, src_ip="10.0.0.1", dst_ip="10.0.0.2") is None and level(20, 1, src_ip="127.0.0.1") is None
+
+
+def test_scan_kinds_and_levels(packets):
+    scan = lambda *pairs: security.port_scans(packets(*[at(i * 10, tcp_flags=2, dst_ip=f"3.3.3.{t}", dst_port=n) for i, (t, n) in enumerate(pairs)])).first()
+    one = scan(*[(1, n) for n in range(25)])
+    assert (one.kind, one.severity) == ("horizontal", "high")  # 25 ports are medium, all failed
+    assert scan(*[(1, n) for n in range(15)]).severity == "medium" and scan(*[(t, 22) for t in range(10)]).kind == "vertical"
+    assert scan(*[(n, n) for n in range(12)]).kind == "distributed"
+
+
+def test_lateral_levels(packets):
+    move = lambda n, port, kind=2: packets(*[at(i, tcp_flags=kind, src_ip="10.0.0.1", dst_ip=f"10.0.1.{i}", dst_port=port) for i in range(n)])
+    got = [security.lateral_targets(move(n, port)).first().severity for n, port in ((3, 22), (3, 3389), (5, 3389), (7, 22), (10, 22))]
+    assert got == ["medium", "high", "medium", "high", "critical"]
+    assert security.lateral_targets(move(3, 139, 16)).count() == 1 and security.lateral_spread(move(4, 3389)).count() == 0
+    assert [security.lateral_spread(move(n, port)).first().severity for n, port in ((5, 5986), (5, 445), (10, 445))] == ["critical", "medium", "high"]
+
+
+def test_gap_keys(packets):
+    u = {"protocol": "UDP", "tcp_flags": None}
+    two = timing.with_gaps(packets(at(0, dst_port=5000, **u), at(9, dst_port=6000, **u), at(0, dst_port=53, dst_ip="8.8.8.8", **u), at(7, dst_port=53, dst_ip="9.9.9.9", **u)))
+    assert [r.gap_us for r in two.orderBy("packet_num").collect()] == [None, None, None, 7_000_000]
+
+
+def test_name_encodings(spark):
+    digits = "0123456789abcdef" * 2
+    subs = {"a" * 256: [0, 2], digits.upper(): [2], digits: [2], "abcdefghijklmnopqrstuvwxyz0123456789": [1], "abcdefghijklmnopqrstuvwxyz0123456789abcd": [1, 4], "12345678-1234-1234-1234-1234567890ab": [3], "www": []}
+    df = spark.createDataFrame([(k,) for k in subs], "s string")
+    s = F.col("s")
+    got = df.select("s", F.array(*[F.coalesce(x, F.lit(False)) for x in names.encodings(s, cols.entropy(s))]).alias("e")).collect()
+    assert {r.s: [i for i, x in enumerate(r.e) if x] for r in got} == subs
+    q = spark.createDataFrame([("10.0.0.1", i * 1_000_000, f"{digits}{i}.{d}.", "TXT") for i in range(5) for d in ("svc.cluster.local", "evil.example")], "src_ip string, ts_us bigint, qname string, qtype string")
+    assert [(r.domain, r.signs) for r in names.dns_tunnels(q).collect()] == [("evil.example", 3)]

@@ -12,10 +12,10 @@ from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import ACK, ENDS, FIN, PSH, RST, SYN, has, syn_only, with_ends
+from ..functions.cols import ACK, ENDS, FIN, RST, SYN, with_ends
 
 COLUMNS = ("packet_num", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "tcp_payload_len")
 
@@ -134,33 +134,6 @@ def retransmissions(p: DataFrame) -> DataFrame:
 
 #: Groups that a server's transaction ids are dealt to; ids are independent of each other.
 ID_GROUPS = 64
-AUTH_PORTS = {21: "FTP", 22: "SSH", 23: "Telnet", 445: "SMB", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL"}
-
-
-def brute_force(p: DataFrame, least: int = 10, fail: float = 0.7) -> DataFrame:
-    """Sources with many failed attempts at one login service.
-
-    Of each source and service, the first PSH-ACK of a 4-tuple after a SYN establishes the
-    last attempt before it.
-    """
-    service = ["src_ip", "dst_ip", "dst_port"]
-    t = p.where((F.col("protocol") == "TCP") & F.col("dst_port").isin(*AUTH_PORTS) & F.col("tcp_flags").isNotNull())
-    t = t.where(syn_only() | (has(PSH) & has(ACK))).select(*service, "src_port", "ts_us", "packet_num", syn_only().alias("syn"))
-    order = [F.col(c).asc_nulls_last() for c in ("ts_us", "packet_num")]
-    before = Window.partitionBy(*service).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("attempt", F.sum(F.col("syn").cast("bigint")).over(before))
-    us = F.when(F.col("syn"), F.col("ts_us"))
-    g = t.groupBy(*service, "src_port").agg(
-        F.count_if("syn").alias("attempts"), F.min(us).alias("first_us"), F.max(us).alias("last_us"),
-        F.min(F.when(~F.col("syn") & (F.col("attempt") > 0), F.col("attempt"))).alias("attempt"),
-    )
-    g = g.groupBy(*service).agg(
-        F.sum("attempts").alias("attempts"), F.count_distinct("attempt").alias("established"),
-        F.coalesce(F.min("first_us"), F.lit(0)).alias("first_us"), F.coalesce(F.max("last_us"), F.lit(0)).alias("last_us"),
-    )
-    failed = F.col("attempts") - F.col("established")
-    g = g.where((F.col("attempts") >= least) & (failed > fail * F.col("attempts")))
-    return g.withColumn("severity", F.when(F.col("attempts") >= 50, "critical").when(F.col("attempts") >= 30, "high").when(F.col("attempts") >= 20, "medium").otherwise("low"))
 
 
 def dns_transactions(q: DataFrame, timeout_us: int = 5_000_000, slow_us: int = 1_000_000) -> DataFrame:

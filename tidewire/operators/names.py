@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import FLOW, entropy
+from ..functions.cols import FLOW, entropy, is_localhost
 
 #: ICMP type names; code names of type 3.
 ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 4: "Source Quench", 5: "Redirect", 8: "Echo Request", 11: "Time Exceeded", 12: "Parameter Problem"}
-UNREACHABLE = {0: "Network Unreachable", 1: "Host Unreachable", 2: "Protocol Unreachable", 3: "Port Unreachable", 4: "Fragmentation Needed", 13: "Administratively Prohibited"}
-WHITELIST = ("in-addr.arpa", "cluster.local", "amazonaws.com", "cloudfront.net")
+UNREACHABLE = {
+    0: "Network Unreachable", 1: "Host Unreachable", 2: "Protocol Unreachable", 3: "Port Unreachable", 4: "Fragmentation Needed and DF Set", 5: "Source Route Failed",
+    6: "Network Unknown", 7: "Host Unknown", 13: "Communication Administratively Prohibited",
+}
+#: Domains whose names are no sign of a tunnel, with all below them.
+WHITELIST = (
+    "google.com", "googleapis.com", "gstatic.com", "microsoft.com", "windows.com", "office.com", "apple.com", "icloud.com", "amazon.com", "facebook.com",
+    "mozilla.org", "firefox.com", "ubuntu.com", "debian.org", "fedoraproject.org", "cluster.local", "svc.cluster.local", "pod.cluster.local",
+    "amazonaws.com", "cloudfront.net", "awsstatic.com", "azure.com", "azurewebsites.net", "cloudapp.net", "trafficmanager.net", "visualstudio.com",
+    "azurefd.net", "azureedge.net", "office365.com", "sharepoint.com", "onmicrosoft.com", "microsoftonline.com", "googleusercontent.com", "appspot.com",
+    "cloudflare.com", "cloudflare.net", "akamai.net", "akamaized.net", "akamaiedge.net", "fastly.net", "fastlylb.net", "edgecastcdn.net", "cdn77.org",
+    "digitalocean.com", "linode.com", "vultr.com", "heroku.com", "herokuapp.com", "slack.com", "salesforce.com", "atlassian.net", "zendesk.com",
+    "shopify.com", "stripe.com", "twilio.com", "sendgrid.net",
+)
 
 
 def _name(table: dict[int, str], c: Column, other: str) -> Column:
@@ -21,7 +33,8 @@ def icmp_messages(p: DataFrame) -> DataFrame:
     """ICMP rows with a name and a severity."""
     t, c = F.col("icmp_type"), F.col("icmp_code")
     name = _name(ICMP_TYPES, t, "Other")
-    name = F.when(t == 3, F.concat(name, F.lit(" - "), _name(UNREACHABLE, c, "Other"))).otherwise(name)
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in UNREACHABLE.items() for x in kv]), c.cast("int")), F.concat(F.lit("Code "), c.cast("string")))
+    name = F.when(t == 3, F.concat(name, F.lit(" - "), code)).otherwise(name)
     severity = (
         F.when((t == 3) & c.isin(0, 1, 4, 6, 7, 13), "error").when(t.isin(3, 4, 11, 12), "warning").otherwise("info")
     )
@@ -50,31 +63,49 @@ def subdomain(name: Column) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(0))), ".")
 
 
-def dns_tunnels(q: DataFrame, length: int = 50, bits: float = 4.2, per_min: float = 10.0, least: int = 3) -> DataFrame:
+def encodings(sub: Column, bits: Column) -> list[Column]:
+    """Whether a subdomain looks abnormally long, base64, hex, a UUID, or random; longer ones are judged by their first 255 characters."""
+    s, n = F.substr(sub, F.lit(1), F.lit(255)), F.least(F.length(sub), F.lit(255))
+    kinds = F.size(F.array_distinct(F.filter(F.split(s, ""), lambda c: c != "")))
+    return [
+        F.length(sub) > 255,
+        (n >= 32) & s.rlike("^[A-Za-z0-9+/=]+$") & (bits > 5),
+        (n >= 32) & s.rlike("^[0-9a-fA-F]+$"),
+        s.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+        (n >= 40) & s.rlike("^[a-z0-9]+$") & (kinds > n * 0.6),
+    ]
+
+
+def dns_tunnels(q: DataFrame, length: int = 50, bits: float = 4.2, per_min: float = 10.0, least: int = 1) -> DataFrame:
     """Source and domain pairs of queries (src_ip, ts_us, qname, qtype) with two or more signs of a tunnel.
 
-    Signs: long names, high entropy, a high rate, encoded labels, unusual record types.
+    Signs: long names, high entropy, a high rate (over a second at least), encoded labels,
+    unusual record types. Severity adds up points for each of length, entropy, rate, number and encodings.
     """
-    base, sub = base_domain(F.col("qname")), subdomain(F.col("qname"))
-    d = q.withColumn("domain", base).withColumn("sub", sub)
-    listed = F.col("domain").isin(*WHITELIST)
-    for x in WHITELIST:
-        listed = listed | F.col("domain").endswith("." + x)
-    d = d.where(~listed).withColumn("bits", entropy(F.col("sub")))
-    coded = F.col("sub").rlike("^[0-9a-f]{32,}$") | F.col("sub").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$") | (F.col("sub").rlike("^[A-Za-z0-9+/=_-]{32,}$") & (F.col("bits") > 5))
+    d = q.withColumn("domain", base_domain(F.col("qname"))).withColumn("sub", subdomain(F.col("qname")))
+    listed = F.col("domain").rlike(r"(^|\.)(" + "|".join(x.replace(".", r"\.") for x in WHITELIST) + ")$")
+    d = d.where(~listed & ~is_localhost(F.col("src_ip"))).withColumn("bits", F.round(entropy(F.col("sub")), 6))
+    kinds = [F.max(k.cast("int")).alias(f"e{i}") for i, k in enumerate(encodings(F.col("sub"), F.col("bits")))]
     g = d.groupBy("src_ip", "domain").agg(
-        F.count("*").alias("queries"), F.sum(F.length("qname")).alias("chars"), F.sum(F.floor(F.col("bits") * 1000)).alias("millibits"),
-        F.count_if(F.col("bits") > 0).alias("coded_names"), (F.max("ts_us") - F.min("ts_us")).alias("span_us"),
-        F.count_if(coded).alias("encoded"), F.count_if(F.col("qtype").isin("TXT", "NULL")).alias("unusual"),
+        F.count("*").alias("queries"), F.sum(F.length("qname")).alias("chars"), F.sum(F.col("bits").cast("decimal(18,6)")).alias("bits"),
+        F.count_if(F.col("bits") > 0).alias("coded"), (F.max("ts_us") - F.min("ts_us")).alias("span_us"), *kinds,
+        F.count_if(F.col("qtype").isin("TXT", "NULL")).alias("unusual"),
     ).where(F.col("queries") >= least)
     n = F.col("queries")
-    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    signs = (
-        one(F.col("chars") > length * n) + one(F.col("millibits") > bits * 1000 * F.col("coded_names"))
-        + one((F.col("span_us") >= 1_000_000) & (n * 6e7 / F.greatest("span_us", F.lit(1)) > per_min)) + one(F.col("encoded") > 0) + one(F.col("unusual") * 10 > n * 3)
+    g = g.select(
+        "src_ip", "domain", "queries", "unusual", (F.col("chars") / n.cast("double")).alias("chars"),
+        F.when(F.col("coded") > 0, F.col("bits").cast("double") / F.col("coded")).otherwise(0.0).alias("bits"),
+        F.when(F.col("span_us") >= 1_000_000, n * 6e7 / F.col("span_us")).otherwise(0.0).alias("rate"),
+        sum((F.col(f"e{i}") for i in range(1, len(kinds))), F.col("e0")).alias("kinds"),
     )
-    g = g.withColumn("signs", signs).where("signs >= 2")
-    return g.select("src_ip", "domain", "queries", "signs", F.when(F.col("signs") >= 4, "critical").when(F.col("signs") == 3, "high").otherwise("medium").alias("severity"))
+    one = lambda c: c.cast("int")
+    chars, high, rate = F.col("chars"), F.col("bits"), F.col("rate")
+    signs = one(chars > length) + one(high > bits) + one(rate > per_min) + one(F.col("kinds") > 0) + one(F.col("unusual") > n * 0.3)
+    points = lambda x, *steps: F.coalesce(*[F.when(x > b, k) for b, k in steps], F.lit(0))
+    score = points(chars, (100, 3), (75, 2), (50, 1)) + points(high, (5.0, 3), (4.5, 2), (3.5, 1)) + points(rate, (50, 3), (30, 2), (10, 1))
+    score = score + points(n, (100, 2), (50, 1)) + F.least(F.col("kinds"), F.lit(2))
+    severity = F.when(score >= 9, "critical").when(score >= 6, "high").when(score >= 3, "medium").otherwise("low")
+    return g.withColumn("signs", signs).where("signs >= 2").select("src_ip", "domain", "queries", "signs", score.alias("score"), severity.alias("severity"))
 
 
 def dns_problems(tx: DataFrame, k: int = 10) -> DataFrame:

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import has, is_internal, is_localhost, is_private, is_tcp, ladder, syn_ack, syn_only, SYN
+from ..functions.cols import ACK, PSH, SYN, has, is_internal, is_localhost, is_private, is_tcp, ladder, syn_ack, syn_only
 
-ADMIN_PORTS = {22: "SSH", 445: "SMB", 3389: "RDP", 5985: "WinRM", 135: "RPC"}
-SUSPICIOUS_PORTS = (20, 21, 22, 23, 53, 4444, 6667, 8080)
+#: Administrative services by port, those of high risk, and ports that uploads seldom use.
+ADMIN_PORTS = {135: "RPC", 139: "NetBIOS/SMB", 445: "SMB/CIFS", 593: "RPC over HTTP", 3389: "RDP", 5985: "WinRM HTTP", 5986: "WinRM HTTPS", 22: "SSH"}
+HIGH_RISK_PORTS = (3389, 5985, 5986)
+SUSPICIOUS_PORTS = (8080, 8443, 8888, 9000, 9001, 3128, 8123, 4444, 5555, 6666, 7777, 31337, 12345)
 
 
 def _no_local() -> Column:
@@ -18,7 +20,9 @@ def _no_local() -> Column:
 
 
 def port_scans(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, min_attempts: int = 5, fail: float = 0.7, rate: float = 5.0, skip_private: bool = False) -> DataFrame:
-    """Sources that try many ports or many targets.
+    """Sources that try many ports at few targets (horizontal), many targets at few ports (vertical), or both (distributed).
+
+    Where bounds overlap, the first of these kinds that fits is taken.
 
     An answered attempt is the first SYN to (target, port) that a later SYN-ACK answers;
     further SYNs to it stay failed, so answers are counted per (source, target, port).
@@ -32,12 +36,12 @@ def port_scans(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, m
         F.sum("n").alias("attempts"), F.sum("ok").alias("answered"), F.count_distinct("dst_ip").alias("targets"), F.count_distinct("dst_port").alias("ports"),
         (F.max("last") - F.min("first")).alias("span_us"),
     ).where((F.col("attempts") >= min_attempts) & (F.col("span_us") > 0))
-    kind = F.when((F.col("ports") >= ports) & (F.col("targets") >= targets), "distributed").when((F.col("ports") >= ports) & (F.col("targets") <= few), "horizontal").when((F.col("targets") >= targets) & (F.col("ports") <= few), "vertical")
+    kind = F.when((F.col("ports") >= ports) & (F.col("targets") <= few), "horizontal").when((F.col("targets") >= targets) & (F.col("ports") <= few), "vertical").when((F.col("ports") >= ports) & (F.col("targets") >= targets), "distributed")
     g = g.withColumn("kind", kind).where("kind is not null")
     level = (
         F.when(F.col("kind") == "distributed", 2)
-        .when(F.col("kind") == "horizontal", F.when(F.col("ports") >= 50, 3).when(F.col("ports") >= 25, 2).when(F.col("ports") >= 15, 1).otherwise(0))
-        .otherwise(F.when(F.col("targets") >= 50, 3).when(F.col("targets") >= 20, 2).when(F.col("targets") >= 10, 1).otherwise(0))
+        .when(F.col("kind") == "horizontal", F.when(F.col("ports") > 50, 3).when(F.col("ports") > 25, 2).when(F.col("ports") > 15, 1).otherwise(0))
+        .otherwise(F.when(F.col("targets") > 50, 3).when(F.col("targets") > 20, 2).when(F.col("targets") > 10, 1).otherwise(0))
     )
     failed = F.col("attempts") - F.col("answered")
     level = F.when((failed > fail * F.col("attempts")) & (level < 2), level + 1).otherwise(level)
@@ -101,25 +105,84 @@ def upload_ports(p: DataFrame, bytes_: int = 5_000_000) -> DataFrame:
     return g.where(F.col("bytes") >= bytes_)
 
 
-def _admin_syns(p: DataFrame) -> DataFrame:
+def _admin(p: DataFrame) -> DataFrame:
+    """Packets between two internal hosts to an administrative port."""
     inside = is_internal(F.col("src_ip")) & is_internal(F.col("dst_ip")) & (F.col("src_ip") != F.col("dst_ip"))
-    return p.where(is_tcp() & has(SYN) & inside & F.col("dst_port").isin(*ADMIN_PORTS))
+    return p.where(is_tcp() & inside & F.col("dst_port").isin(*ADMIN_PORTS))
 
 
 def lateral_targets(p: DataFrame, least: int = 3) -> DataFrame:
-    g = _admin_syns(p).groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("targets"), F.count_distinct("dst_port").alias("ports"), F.count("*").alias("syns"))
-    g = g.where(F.col("targets") >= least)
-    return g.withColumn("severity", ladder(F.col("targets"), ((10, "critical"), (7, "high"), (5, "medium")), "low"))
+    """Sources that reach `least` internal hosts at administrative ports, by any packet."""
+    g = _admin(p).groupBy("src_ip").agg(
+        F.count_distinct("dst_ip").alias("targets"), F.count_distinct("dst_port").alias("ports"), F.count_if(has(SYN)).alias("syns"),
+        F.max(F.col("dst_port").isin(*HIGH_RISK_PORTS)).alias("risky"),
+    ).where(F.col("targets") >= least)
+    n = F.col("targets")
+    severity = F.when(n >= 10, "critical").when(n >= 7, "high").when(n >= 5, "medium").when(F.col("risky"), "high").otherwise("medium")
+    return g.withColumn("severity", severity).drop("risky")
+
+
+def lateral_spread(p: DataFrame, least: int = 3, min_syns: int = 5) -> DataFrame:
+    """Sources of min_syns administrative SYNs that open one protocol to `least` internal hosts."""
+    syns = _admin(p).where(has(SYN))
+    busy = syns.groupBy("src_ip").agg(F.count("*").alias("all")).where(F.col("all") >= min_syns).select("src_ip")
+    g = syns.groupBy("src_ip", "dst_port").agg(F.count_distinct("dst_ip").alias("targets")).where(F.col("targets") >= least).join(busy, "src_ip")
+    n = F.col("targets")
+    risky = F.when(n >= 5, "critical").otherwise("high")
+    severity = F.when(F.col("dst_port").isin(*HIGH_RISK_PORTS), risky).otherwise(F.when(n >= 10, "high").otherwise("medium"))
+    names = F.create_map(*[F.lit(x) for kv in ADMIN_PORTS.items() for x in kv])
+    return g.select("src_ip", F.element_at(names, F.col("dst_port")).alias("service"), "targets", severity.alias("severity"))
 
 
 def lateral_rapid(p: DataFrame, least: int = 3, window_us: int = 300_000_000) -> DataFrame:
-    """Per source the first window [t, t + window_us] with `least` targets."""
+    """Per source the first window [t, t + window_us] with `least` targets; every SYN counts, also one sent again soon."""
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(0, window_us)
-    d = _admin_syns(p).withColumn("targets", F.size(F.collect_set("dst_ip").over(w))).where(F.col("targets") >= least)
+    d = _admin(p).where(has(SYN)).withColumn("targets", F.size(F.collect_set("dst_ip").over(w))).where(F.col("targets") >= least)
     g = d.groupBy("src_ip").agg(F.min(F.struct("ts_us", "packet_num", "targets")).alias("x"))
     return g.select("src_ip", F.col("x.ts_us").alias("start_us"), F.col("x.targets").cast("bigint").alias("targets"))
 
 
+#: Services that ask for a password, by port; the first ones of those that matter most.
+AUTH_PORTS = {
+    21: "FTP", 22: "SSH", 23: "Telnet", 80: "HTTP", 443: "HTTPS", 445: "SMB", 1433: "MSSQL", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL",
+    5900: "VNC", 6379: "Redis", 8080: "HTTP-Alt", 8443: "HTTPS-Alt", 27017: "MongoDB",
+}
+CRITICAL_PORTS = (22, 3389, 445)
+
+
+def brute_force(p: DataFrame, least: int = 10, fail: float = 0.7, success: float = 0.9, private: bool = False) -> DataFrame:
+    """Sources with many failed attempts at one login service.
+
+    Of each source and service, the first PSH-ACK of a 4-tuple after a SYN establishes the
+    last attempt before it. Localhost is left out, and unless `private` also what two
+    private addresses exchange.
+    """
+    service = ["src_ip", "dst_ip", "dst_port"]
+    keep = _no_local() if private else _no_local() & ~(is_private(F.col("src_ip")) & is_private(F.col("dst_ip")))
+    t = p.where(is_tcp() & keep & F.col("dst_port").isin(*AUTH_PORTS) & F.col("tcp_flags").isNotNull())
+    t = t.where(syn_only() | (has(PSH) & has(ACK))).select(*service, "src_port", "ts_us", "packet_num", syn_only().alias("syn"))
+    order = [F.col(c).asc_nulls_last() for c in ("ts_us", "packet_num")]
+    before = Window.partitionBy(*service).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("attempt", F.sum(F.col("syn").cast("bigint")).over(before))
+    us = F.when(F.col("syn"), F.col("ts_us"))
+    g = t.groupBy(*service, "src_port").agg(
+        F.count_if("syn").alias("attempts"), F.min(us).alias("first_us"), F.max(us).alias("last_us"),
+        F.min(F.when(~F.col("syn") & (F.col("attempt") > 0), F.col("attempt"))).alias("attempt"),
+    )
+    g = g.groupBy(*service).agg(
+        F.sum("attempts").alias("attempts"), F.count_distinct("attempt").alias("established"),
+        F.coalesce(F.min("first_us"), F.lit(0)).alias("first_us"), F.coalesce(F.max("last_us"), F.lit(0)).alias("last_us"),
+    )
+    n, failed = F.col("attempts"), F.col("attempts") - F.col("established")
+    g = g.where((n >= least) & (failed > fail * n) & (F.col("established") <= success * n))
+    level = F.when(n > 50, 3).when(n > 30, 2).when(n > 20, 1).otherwise(0)
+    raised = lambda x, c: F.when(c, F.when(x < 2, 2).when(x == 2, 3).otherwise(x)).otherwise(x)
+    level = raised(level, failed > 0.9 * n)
+    level = raised(level, n * 1e6 > 2.0 * F.greatest(F.col("last_us") - F.col("first_us"), F.lit(1000)))
+    level = F.when(F.col("dst_port").isin(*CRITICAL_PORTS) & (level < 2), level + 1).otherwise(level)
+    return g.withColumn("severity", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), level + 1))
+
+
 def event_breakdown(events: DataFrame) -> DataFrame:
     """Counts of detector events (kind, severity, src_ip) by kind, by severity, by both and over all."""
     return events.groupingSets([("kind", "severity"), ("kind",), ("severity",), ()], "kind", "severity").agg(

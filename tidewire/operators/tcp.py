@@ -124,7 +124,7 @@ def exact_retransmissions(p: DataFrame) -> DataFrame:
     t = t.withColumn("delay_us", F.col("ts_us") - F.col("first.ts_us"))
     syn_kind = F.when(F.col("delay_us") >= 500_000, "RTO").otherwise("Retransmission")
     kind = F.when(F.col("delay_us") >= 200_000, "RTO").when(F.col("delay_us") <= 50_000, "Fast Retransmission").otherwise("Retransmission")
-    return t.select("packet_num", *FLOW, "tcp_seq", "tcp_flags", F.col("first.packet_num").alias("original_num"), "delay_us", F.when(has(SYN), syn_kind).otherwise(kind).alias("kind"))
+    return t.select("packet_num", "ts_us", *FLOW, "tcp_seq", "tcp_flags", F.col("first.packet_num").alias("original_num"), "delay_us", F.when(has(SYN), syn_kind).otherwise(kind).alias("kind"))
 
 
 def retransmission_offenders(p: DataFrame, k: int = 10) -> DataFrame:
@@ -155,9 +155,52 @@ def syn_retries(p: DataFrame, within_us: int = 10_000_000) -> DataFrame:
     return g.where("retries > 0")
 
 
+def syn_delays(p: DataFrame, slow_us: int = 2_000_000, within_us: int = 10_000_000) -> DataFrame:
+    """Connection attempts that were sent again or answered late, with their delay and what it points to.
+
+    An attempt is a run of SYNs of one initial number, up to the SYN-ACK, or a close of
+    either side, that follows; another number, or a SYN after those, starts a new one. A
+    repeated SYN counts while each comes within within_us of the one before. An attempt
+    that a close ends before any answer is not reported.
+    """
+    t = p.where(is_tcp() & (has(SYN) | has(RST) | has(FIN)))
+    back = dict(zip(FLOW, ("dst_ip", "dst_port", "src_ip", "src_port")))
+    kind = F.when(syn_only(), "syn").when(syn_ack(), "answer").otherwise("close")
+    ways = F.when(syn_only(), F.array(F.lit(True))).when(syn_ack(), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    t = t.withColumn("kind", kind).withColumn("forth", F.explode(ways))
+    t = t.select(*[F.when(F.col("forth"), F.col(c)).otherwise(F.col(back[c])).alias(c) for c in FLOW], "kind", "ts_us", "packet_num", "tcp_seq")
+    w = Window.partitionBy(*FLOW).orderBy(*IN_ORDER)
+    is_syn = F.col("kind") == "syn"
+    follows = (F.lag("kind").over(w) == "syn") & (F.lag("tcp_seq").over(w) == F.col("tcp_seq"))
+    t = t.withColumn("new", (is_syn & ~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("attempt", F.sum("new").over(_so_far(w))).where("attempt > 0")
+    s = Window.partitionBy(*FLOW, "attempt").orderBy(*IN_ORDER)
+    t = t.withColumn("gap", F.when(is_syn & (F.col("new") == 0), F.col("ts_us") - F.lag("ts_us").over(s)))
+    t = t.withColumn("late", F.max(F.coalesce(F.col("gap") >= within_us, F.lit(False))).over(_so_far(s))).withColumn("r", F.row_number().over(s))
+    counted = is_syn & ~F.col("late")
+    g = t.groupBy(*FLOW, "attempt").agg(
+        F.min(F.when(is_syn, F.col("ts_us"))).alias("first_us"), F.max(F.when(counted, F.col("ts_us"))).alias("last_us"), (F.count_if(counted) - 1).alias("retries"),
+        F.min(F.when(~is_syn, F.struct("ts_us", "packet_num", "kind"))).alias("end"),
+        *[F.max(F.when(counted & (F.col("r") == i + 1), F.col("gap"))).alias(f"gap{i}") for i in (1, 2)],
+    )
+    answered = F.col("end.kind") == "answer"
+    g = g.withColumn("answered", F.coalesce(answered, F.lit(False))).where(F.col("end").isNull() | F.col("answered"))
+    g = g.withColumn("delay_us", F.when(F.col("answered"), F.col("end.ts_us")).otherwise(F.col("last_us")) - F.col("first_us"))
+    g = g.where((F.col("retries") > 0) | (F.col("answered") & (F.col("delay_us") >= slow_us)))
+    doubling = F.col("gap1").between(900_000, 1_100_000) & F.col("gap2").between(1_900_000, 2_100_000)
+    late = F.col("delay_us") >= 3_000_000
+    issue = F.when(~F.col("answered"), "no_synack_received").when(F.coalesce(doubling, F.lit(False)) & late, "server_delayed_response")
+    issue = issue.when(late, "severe_network_delay").when(F.col("delay_us") >= 1_000_000, "moderate_network_delay").otherwise("normal")
+    return g.select(*FLOW, "first_us", "retries", "answered", "delay_us", issue.alias("issue"))
+
+
 def bursts_with_retransmissions(p: DataFrame, bursts: DataFrame, min_hits: int = 5, min_ratio: float = 5.0) -> DataFrame:
-    """Bursts in which more than min_hits retransmissions fall; bursts are few and broadcast."""
-    r = exact_retransmissions(p).join(p.select("packet_num", "ts_us"), "packet_num")
-    b = F.broadcast(bursts.select("burst_id", "start_us", "end_us", "peak_ratio"))
-    g = r.join(b, F.col("ts_us").between(F.col("start_us"), F.col("end_us"))).groupBy("burst_id").agg(F.count("*").alias("hits"), F.max("peak_ratio").alias("peak_ratio"))
+    """Bursts in which more than min_hits retransmissions fall.
+
+    Bursts are laid out over blocks of time, so they meet retransmissions by an equi-join.
+    """
+    block = 60_000_000
+    at = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    r = exact_retransmissions(p).withColumn("block", at("ts_us"))
+    b = bursts.select("burst_id", "start_us", "end_us", "peak_ratio", F.explode(F.sequence(at("start_us"), at("end_us"))).alias("block"))
+    g = r.join(b, "block").where(F.col("ts_us").between(F.col("start_us"), F.col("end_us"))).groupBy("burst_id").agg(F.count("*").alias("hits"), F.max("peak_ratio").alias("peak_ratio"))
     return g.where((F.col("hits") > min_hits) & (F.col("peak_ratio") > min_ratio)).select("burst_id", "hits")

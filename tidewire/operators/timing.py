@@ -25,9 +25,14 @@ def gap_limit_us(t: Thresholds = Thresholds()) -> Column:
 
 
 def with_gaps(p: DataFrame) -> DataFrame:
-    """p plus prev_us and gap_us against the flow's previous packet (TCP by 4-tuple, others by source)."""
-    tcp = F.col("protocol") == "TCP"
-    key = [F.col("protocol"), F.col("src_ip"), *[F.when(tcp, F.col(c)) for c in ("src_port", "dst_ip", "dst_port")]]
+    """p plus prev_us and gap_us against the flow's previous packet.
+
+    TCP and UDP flows are 4-tuples; DNS, and what is neither TCP nor UDP, goes by source.
+    """
+    udp = F.col("protocol") == "UDP"
+    dns = udp & ((F.coalesce("src_port", F.lit(0)) == 53) | (F.coalesce("dst_port", F.lit(0)) == 53))
+    flow = (F.col("protocol") == "TCP") | (udp & ~dns)
+    key = [F.when(dns, "DNS").otherwise(F.col("protocol")), F.col("src_ip"), *[F.when(flow, F.col(c)) for c in ("src_port", "dst_ip", "dst_port")]]
     w = Window.partitionBy(*key).orderBy("ts_us", "packet_num")
     return p.withColumn("prev_us", F.lag("ts_us").over(w)).withColumn("gap_us", F.col("ts_us") - F.col("prev_us"))
 
@@ -82,7 +87,7 @@ def jitter_flow_stats(p: DataFrame, **cuts: int) -> DataFrame:
 
 
 def jitter_global(p: DataFrame, **cuts: int) -> DataFrame:
-    """One row over all flows; quantiles come from counts per value, so no task sorts all rows."""
+    """One row over all flows: number, least, most and mean of the values, from counts per value."""
     per = jitter(p, **cuts).groupBy("jitter_us").agg(F.count("*").alias("c"))
     return per.agg(F.sum("c").alias("n"), F.min("jitter_us").alias("min_us"), F.max("jitter_us").alias("max_us"), (F.sum(F.col("jitter_us") * F.col("c")) / F.sum("c").cast("double")).alias("mean_us"))
 
@@ -135,11 +140,12 @@ def bursts(p: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 
 def burst_top_sources(p: DataFrame, t: Thresholds = Thresholds(), k: int = 5) -> DataFrame:
-    """The k busiest sources of each burst; bursts are few and broadcast into the range join."""
-    b = bursts(p, t).select("burst_id", "start_us", "end_us")
-    per = p.groupBy("src_ip", F.floor(F.col("ts_us") / t.burst_interval_us).alias("b")).agg(F.count("*").alias("c"))
-    at = F.col("b") * t.burst_interval_us
-    g = per.join(F.broadcast(b), (at >= F.col("start_us")) & (at < F.col("end_us"))).groupBy("burst_id", "src_ip").agg(F.sum("c").alias("packets"))
+    """The k busiest sources of each burst; bursts are laid out over their intervals, so they meet sources by an equi-join."""
+    width = t.burst_interval_us
+    at = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    b = bursts(p, t).select("burst_id", F.explode(F.sequence(at("start_us"), at("end_us") - 1)).alias("b"))
+    per = p.groupBy("src_ip", at("ts_us").alias("b")).agg(F.count("*").alias("c"))
+    g = per.join(b, "b").groupBy("burst_id", "src_ip").agg(F.sum("c").alias("packets"))
     w = Window.partitionBy("burst_id").orderBy(F.desc("packets"), "src_ip")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import ENDS, FLOW, is_tcp, with_ends
 
-#: Destination port: service.
-SERVICES = {22: "SSH", 53: "DNS", 80: "HTTP", 443: "HTTPS", 445: "SMB", 3389: "RDP"}
-
-
-def service_of(port: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in SERVICES.items() for x in kv])
+#: Names of ports in port counts, and services that classify a flow.
+SERVICES = {
+    20: "FTP-DATA", 21: "FTP", 22: "SSH", 23: "TELNET", 25: "SMTP", 53: "DNS", 67: "DHCP-Server", 68: "DHCP-Client", 80: "HTTP", 110: "POP3", 123: "NTP", 143: "IMAP", 161: "SNMP",
+    443: "HTTPS", 465: "SMTPS", 587: "SMTP-Submission", 993: "IMAPS", 995: "POP3S", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC", 6379: "Redis", 8080: "HTTP-Alt",
+    8443: "HTTPS-Alt", 9200: "Elasticsearch", 27017: "MongoDB",
+}
+FLOW_SERVICES = {
+    9092: "Kafka", 9093: "Kafka SSL", 5672: "RabbitMQ", 5671: "RabbitMQ SSL", 6379: "Redis", 27017: "MongoDB", 27018: "MongoDB Shard", 27019: "MongoDB Config", 3306: "MySQL",
+    5432: "PostgreSQL", 9200: "Elasticsearch", 9300: "Elasticsearch Cluster", 80: "HTTP", 443: "HTTPS", 8080: "HTTP Alt", 8443: "HTTPS Alt", 53: "DNS", 22: "SSH", 23: "Telnet",
+    20: "FTP Data", 21: "FTP Control", 25: "SMTP", 110: "POP3", 143: "IMAP", 993: "IMAPS", 995: "POP3S",
+}
+
+
+def service_of(port: Column, table: dict[int, str] = SERVICES) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.coalesce(F.element_at(names, port), F.lit("Unknown"))
 
 
@@ -95,6 +104,13 @@ def protocol_distribution(p: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("protocol", "packets", (F.col("packets") / F.col("total")).alias("share"))
 
 
+def address_families(p: DataFrame) -> DataFrame:
+    """Packets per IP version and share of all."""
+    g = p.groupBy(F.concat(F.lit("IPv"), F.col("ip_version").cast("string")).alias("family")).agg(F.count("*").alias("packets"))
+    total = g.agg(F.sum("packets").alias("total"))
+    return g.crossJoin(F.broadcast(total)).select("family", "packets", (F.col("packets") / F.col("total")).alias("share"))
+
+
 def top_ports(p: DataFrame, k: int = 10) -> DataFrame:
     g = p.where(F.col("dst_port").isNotNull()).groupBy("protocol", "dst_port").agg(F.count("*").alias("packets"))
     return g.withColumn("service", service_of(F.col("dst_port"))).orderBy(F.desc("packets"), "protocol", "dst_port").limit(k)
@@ -107,7 +123,7 @@ def unique_flows(p: DataFrame) -> DataFrame:
 def classify_services(p: DataFrame) -> DataFrame:
     """Directed flows with a service: by known port, else by the best of four behaviour scores.
 
-    Scores are in tenths; of equal scores streaming, bulk, dns, web win in this order.
+    Scores are in tenths; of equal scores streaming, bulk, small datagrams and interactive win in this order.
     """
     g = p.groupBy("protocol", *FLOW).agg(
         F.count("*").alias("packets"), F.sum("packet_length").alias("bytes"),
@@ -126,8 +142,9 @@ def classify_services(p: DataFrame) -> DataFrame:
     dns = F.when(udp, pt(size <= 512, 4) + pt(iat >= 0.5, 3) + pt(n < 50, 2) + pt((dur < 10) | (n < 10), 1)).otherwise(0)
     web = F.when(tcp, pt(size.between(200, 1200), 3) + pt(dur.between(0.1, 30), 2) + pt(n.between(5, 100), 3) + pt(spread > 50000, 2)).otherwise(0)
     g = g.withColumn("s", F.array(streaming, bulk, dns, web)).withColumn("best", F.array_max("s"))
-    behaviour = F.element_at(F.array(*map(F.lit, ("Streaming", "Bulk Transfer", "DNS", "Web"))), F.array_position("s", F.col("best")).cast("int"))
-    by_dst, by_src = service_of(F.col("dst_port")), service_of(F.col("src_port"))
+    small = F.when(F.contains(F.coalesce(F.col("dst_port").cast("string"), F.lit("")), F.lit("53")), "DNS").otherwise("Control")
+    behaviour = F.element_at(F.array(F.lit("Streaming"), F.lit("Bulk"), small, F.lit("Interactive")), F.array_position("s", F.col("best")).cast("int"))
+    by_dst, by_src = service_of(F.col("dst_port"), FLOW_SERVICES), service_of(F.col("src_port"), FLOW_SERVICES)
     return g.select(
         "protocol", *FLOW, "packets", "bytes",
         F.when(by_dst != "Unknown", by_dst).when(by_src != "Unknown", by_src).when(F.col("best") > 0, behaviour).otherwise("Unknown").alias("service"),

@@ -17,7 +17,7 @@ from .sources.adapters import events_to_packets
 from .thresholds import Thresholds
 
 HOUR = 3_600_000_000
-SLOW = Thresholds().override(gap_interactive_s=86400, gap_tcp_s=43200, gap_dns_s=43200, gap_other_s=86400)
+SLOW = Thresholds().override(gap_interactive_s=86400, gap_tcp_s=43200, gap_dns_s=43200, gap_icmp_s=86400, gap_other_s=86400)
 BURST = Thresholds().override(burst_interval_us=600_000_000, burst_factor=2, burst_min_packets=3, burst_merge_us=1_200_000_000)
 SLOTS = Thresholds().override(slot_us=HOUR)
 CUTS = {"gap_us": 48 * HOUR, "syn_gap_us": 24 * HOUR, "close_gap_us": 12 * HOUR}
@@ -37,9 +37,19 @@ f AS (SELECT *, (src_ip, src_port) <= (dst_ip, dst_port) AS fw, tcp AND (flags &
   tcp AND (flags & 2) = 0 AND (flags & 16) <> 0 AS ackonly, tcp AND (flags & 4) <> 0 AS rst, tcp AND (flags & 1) <> 0 AS fin, tcp AND (flags & 8) <> 0 AS psh FROM p),
 e AS (SELECT *, CASE WHEN fw THEN src_ip ELSE dst_ip END AS ip_a, CASE WHEN fw THEN src_port ELSE dst_port END AS port_a, CASE WHEN fw THEN dst_ip ELSE src_ip END AS ip_b, CASE WHEN fw THEN dst_port ELSE src_port END AS port_b FROM f)
 """
+#: Ports that the varied view deals out, by packet number modulo 9 (0 keeps the port), and ICMP types, modulo 8.
+VARIED_PORTS = (8080, 4444, 31337, 139, 5986, 1433, 9999, 593)
+VARIED_TYPES = (3, 3, 3, 11, 8, 0, 5, 12)
+#: The same packets with many ports, UDP beyond DNS, and ICMP, so that the rules' other branches are reached.
+VARIED = PACKETS.replace("WITH p AS", "WITH p0 AS").replace("f AS (", """p AS (SELECT * REPLACE (CASE WHEN packet_num % 10 = 3 THEN NULL WHEN packet_num % 9 = 0 THEN dst_port ELSE [8080, 4444, 31337, 139, 5986, 1433, 9999, 593][packet_num % 9] END AS dst_port,
+  CASE WHEN packet_num % 10 <> 3 THEN src_port END AS src_port, CASE packet_num % 10 WHEN 3 THEN 'ICMP' WHEN 7 THEN 'UDP' ELSE protocol END AS protocol, tcp AND packet_num % 10 NOT IN (3, 7) AS tcp,
+  CASE WHEN packet_num % 10 NOT IN (3, 7) THEN seq END AS seq, CASE WHEN packet_num % 10 NOT IN (3, 7) THEN ack END AS ack, CASE WHEN packet_num % 10 NOT IN (3, 7) THEN flags END AS flags),
+  CASE WHEN packet_num % 10 = 3 THEN [3, 3, 3, 11, 8, 0, 5, 12][packet_num // 10 % 8 + 1] END AS icmp_type, CASE WHEN packet_num % 10 = 3 THEN packet_num // 80 % 15 END AS icmp_code FROM p0),
+f AS (""", 1)
 ENDS = "ip_a, port_a, ip_b, port_b"
 FLOW = "src_ip, src_port, dst_ip, dst_port"
-FLOW_SERVICE = "CASE {0} WHEN 22 THEN 'SSH' WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 443 THEN 'HTTPS' WHEN 445 THEN 'SMB' WHEN 3389 THEN 'RDP' ELSE 'Unknown' END"
+PORT_NAME = "CASE {0} WHEN 22 THEN 'SSH' WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 443 THEN 'HTTPS' WHEN 3389 THEN 'RDP' WHEN 8080 THEN 'HTTP-Alt' ELSE 'Unknown' END"
+FLOW_SERVICE = "CASE {0} WHEN 22 THEN 'SSH' WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 443 THEN 'HTTPS' WHEN 8080 THEN 'HTTP Alt' END"
 INTERNAL = r"({0} LIKE '10.%' OR {0} LIKE '192.168.%' OR regexp_matches({0}, '^172\.(1[6-9]|2[0-9]|3[01])\.'))"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +68,26 @@ def over_packets(name: str, run: Callable[[DataFrame], DataFrame], sql: str | No
         ORACLES[name] = PACKETS + sql
 
 
+def varied(p: DataFrame) -> DataFrame:
+    """The packets of VARIED."""
+    n = F.col("packet_num")
+    icmp, bare = n % 10 == 3, (n % 10).isin(3, 7)
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i.cast("int"))
+    new = {
+        "dst_port": F.when(~icmp, F.when(n % 9 == 0, F.col("dst_port")).otherwise(pick(VARIED_PORTS, F.greatest(n % 9, F.lit(1))))),
+        "src_port": F.when(~icmp, F.col("src_port")), "protocol": F.when(icmp, "ICMP").when(bare, "UDP").otherwise(F.col("protocol")),
+        **{c: F.when(~bare, F.col(c)) for c in ("tcp_seq", "tcp_ack", "tcp_flags", "tcp_window")},
+        "icmp_type": F.when(icmp, pick(VARIED_TYPES, F.floor(n / 10) % 8 + 1)).cast("smallint"), "icmp_code": F.when(icmp, F.floor(n / 80) % 15).cast("smallint"),
+    }
+    return p.select(*[new[c].alias(c) if c in new else F.col(c) for c in p.columns])
+
+
+def over_varied(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(varied(packets(spark, sf_dir)))
+    if sql is not None:
+        ORACLES[name] = VARIED + sql
+
+
 def over_tables(name: str, run: Query, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql is not None:
@@ -83,10 +113,22 @@ over_packets("asymmetric_flows", lambda p: traffic.asymmetric_flows(p, **_LIM),
 over_packets("asymmetry_protocols", lambda p: traffic.asymmetry_by_protocol(p, **_LIM), f""", {_A} SELECT protocol, count(*) AS flows, count(*) FILTER (kind = 'unidirectional') AS unidirectional,
 count(*) FILTER (kind = 'asymmetric') AS asymmetric, count(*) FILTER (kind = 'moderate') AS moderate, count(*) FILTER (kind = 'symmetric') AS symmetric FROM c GROUP BY protocol""")
 over_packets("protocol_distribution_l4", traffic.protocol_distribution, "SELECT protocol, count(*) AS packets, count(*) / (SELECT count(*) FROM p)::DOUBLE AS share FROM p GROUP BY protocol")
-over_packets("port_top10", traffic.top_ports, f"SELECT protocol, dst_port, count(*) AS packets, {FLOW_SERVICE.format('dst_port')} AS service FROM p GROUP BY protocol, dst_port ORDER BY packets DESC, protocol, dst_port LIMIT 10")
+over_packets("port_top10", traffic.top_ports, f"SELECT protocol, dst_port, count(*) AS packets, {PORT_NAME.format('dst_port')} AS service FROM p GROUP BY protocol, dst_port ORDER BY packets DESC, protocol, dst_port LIMIT 10")
 over_packets("unique_flows", traffic.unique_flows, f"SELECT protocol, count(*) AS flows FROM (SELECT DISTINCT protocol, {FLOW} FROM p) GROUP BY protocol")
-over_packets("service_classification", traffic.service_summary, f"""SELECT service, count(*) AS flows, sum(packets)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes, 1.0::DOUBLE AS least_confidence FROM
-(SELECT {FLOW_SERVICE.format('dst_port')} AS service, count(*) AS packets, sum(packet_length) AS bytes FROM p GROUP BY protocol, {FLOW}) GROUP BY service""")
+_SERVICES = f"""g AS (SELECT protocol, {FLOW}, count(*) AS n, sum(packet_length) AS bytes, sum(packet_length * packet_length) AS q, max(ts_us) - min(ts_us) AS span FROM p GROUP BY protocol, {FLOW}),
+h AS (SELECT *, bytes / n::DOUBLE AS size, span / 1e6 AS dur, CASE WHEN span > 0 THEN bytes / (span / 1e6) ELSE 0 END AS rate, CASE WHEN n > 1 THEN span / 1e6 / (n - 1) ELSE 0 END AS iat, (q * n - bytes * bytes) / (n * greatest(n - 1, 1))::DOUBLE AS spread FROM g),
+k AS (SELECT *, (size >= 1000)::INT * 4 + (rate >= 1e6)::INT * 3 + (dur >= 2)::INT * 2 + (n >= 50)::INT AS s1,
+  CASE WHEN protocol = 'TCP' THEN (size >= 1200)::INT * 4 + (dur >= 5)::INT * 3 + (n >= 100)::INT * 2 + (rate >= 5e5)::INT ELSE 0 END AS s2,
+  CASE WHEN protocol = 'UDP' THEN (size <= 512)::INT * 4 + (iat >= 0.5)::INT * 3 + (n < 50)::INT * 2 + (dur < 10 OR n < 10)::INT ELSE 0 END AS s3,
+  CASE WHEN protocol = 'TCP' THEN (size BETWEEN 200 AND 1200)::INT * 3 + (dur BETWEEN 0.1 AND 30)::INT * 2 + (n BETWEEN 5 AND 100)::INT * 3 + (spread > 50000)::INT * 2 ELSE 0 END AS s4 FROM h),
+m AS (SELECT *, greatest(s1, s2, s3, s4) AS best FROM k),
+o AS (SELECT n, bytes, coalesce({FLOW_SERVICE.format('dst_port')}, {FLOW_SERVICE.format('src_port')}, CASE WHEN best = 0 THEN 'Unknown' WHEN s1 = best THEN 'Streaming' WHEN s2 = best THEN 'Bulk' WHEN s3 = best THEN CASE WHEN coalesce(dst_port::VARCHAR, '') LIKE '%53%' THEN 'DNS' ELSE 'Control' END ELSE 'Interactive' END) AS service,
+  CASE WHEN {FLOW_SERVICE.format('dst_port')} IS NOT NULL THEN 1.0::DOUBLE WHEN {FLOW_SERVICE.format('src_port')} IS NOT NULL THEN 0.9::DOUBLE ELSE best / 10.0::DOUBLE END AS c FROM m)
+SELECT service, count(*) AS flows, sum(n)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes, min(c) AS least_confidence FROM o GROUP BY service"""
+over_packets("service_classification", traffic.service_summary, f", {_SERVICES}")
+over_varied("service_classification_varied", traffic.service_summary, f", {_SERVICES}")
+over_varied("protocol_ports_varied", traffic.top_ports, f"SELECT protocol, dst_port, count(*) AS packets, {PORT_NAME.format('dst_port')} AS service FROM p WHERE dst_port IS NOT NULL GROUP BY protocol, dst_port ORDER BY packets DESC, protocol, dst_port LIMIT 10")
+over_varied("protocol_distribution_l3", traffic.address_families, "SELECT 'IPv4' AS family, count(*) AS packets, 1.0::DOUBLE AS share FROM p")
 
 
 def _ranges(spark: SparkSession) -> DataFrame:
@@ -98,9 +140,11 @@ count(*) AS packets, sum(packet_length)::BIGINT AS bytes FROM p GROUP BY 1""")
 
 # ---------------------------------------------------------------- timing
 
-_G = f"""g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY protocol, src_ip, CASE WHEN tcp THEN src_port END, CASE WHEN tcp THEN dst_ip END, CASE WHEN tcp THEN dst_port END ORDER BY ts_us, packet_num) AS gap_us FROM p),
-h AS (SELECT * FROM g WHERE gap_us > CASE WHEN tcp AND dst_port IN (22, 23) THEN {24 * HOUR} ELSE {12 * HOUR} END)"""
+_G = f"""g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY kind, src_ip, CASE WHEN flow THEN src_port END, CASE WHEN flow THEN dst_ip END, CASE WHEN flow THEN dst_port END ORDER BY ts_us, packet_num) AS gap_us
+FROM (SELECT *, CASE WHEN protocol = 'UDP' AND dst_port = 53 THEN 'DNS' ELSE protocol END AS kind, protocol = 'TCP' OR (protocol = 'UDP' AND dst_port <> 53) AS flow FROM p)),
+h AS (SELECT * FROM g WHERE gap_us > CASE WHEN tcp AND dst_port NOT IN (22, 23) THEN {12 * HOUR} WHEN kind = 'DNS' THEN {12 * HOUR} ELSE {24 * HOUR} END)"""
 over_packets("gap_detection", lambda p: timing.gaps(p, SLOW), f", {_G} SELECT packet_num, packet_num - 1 AS packet_before, protocol, src_ip, dst_ip, gap_us FROM h")
+over_varied("gap_detection_varied", lambda p: timing.gaps(p, SLOW), f", {_G} SELECT packet_num, packet_num - 1 AS packet_before, protocol, src_ip, dst_ip, gap_us FROM h")
 over_packets("gap_periodicity", lambda p: timing.gap_periodicity(p, SLOW), f", {_G} SELECT count(*) AS n, sum(gap_us) / count(*)::DOUBLE AS mean_us, count(*) >= 3 AND stddev_samp(gap_us) / avg(gap_us) < 0.1 AS periodic FROM h")
 _FIVE = f"protocol, {FLOW}"
 _J = f"""s0 AS (SELECT *, ts_us - lag(ts_us) OVER w AS d, lag(rst OR fin) OVER w AS closed FROM e WINDOW w AS (PARTITION BY {_FIVE} ORDER BY ts_us, packet_num)),
@@ -179,7 +223,7 @@ quantile_cont(rtt_us, 0.5)::DOUBLE AS median_us, count(*) FILTER (rtt_us > {24 *
 _X = f"""x0 AS (SELECT *, first_value(packet_num) OVER w AS original_num, ts_us - first_value(ts_us) OVER w AS delay_us FROM e WHERE tcp AND (payload > 0 OR (flags & 3) <> 0) WINDOW w AS (PARTITION BY {FLOW}, seq, payload ORDER BY ts_us, packet_num)),
 x AS (SELECT packet_num, {FLOW}, seq AS tcp_seq, flags AS tcp_flags, original_num, delay_us, CASE WHEN (flags & 2) <> 0 THEN CASE WHEN delay_us >= 500000 THEN 'RTO' ELSE 'Retransmission' END WHEN delay_us >= 200000 THEN 'RTO' WHEN delay_us <= 50000 THEN 'Fast Retransmission' ELSE 'Retransmission' END AS kind
 FROM x0 WHERE original_num <> packet_num)"""
-over_packets("retrans_exact", tcp.exact_retransmissions, f", {_X} SELECT * FROM x")
+over_packets("retrans_exact", lambda p: tcp.exact_retransmissions(p).drop("ts_us"), f", {_X} SELECT * FROM x")
 over_packets("retrans_offenders", tcp.retransmission_offenders, f""", {_X}, k AS (SELECT {FLOW}, tcp_flags, count(*) AS c FROM x GROUP BY ALL), g AS (SELECT {FLOW}, sum(c)::BIGINT AS retransmissions, arg_max(tcp_flags, (c, -tcp_flags)) AS fl FROM k GROUP BY {FLOW})
 SELECT {FLOW}, retransmissions, CASE WHEN fl & 31 = 0 THEN 'NONE' ELSE concat_ws(',', CASE WHEN fl & 2 <> 0 THEN 'SYN' END, CASE WHEN fl & 1 <> 0 THEN 'FIN' END, CASE WHEN fl & 4 <> 0 THEN 'RST' END, CASE WHEN fl & 8 <> 0 THEN 'PSH' END, CASE WHEN fl & 16 <> 0 THEN 'ACK' END) END AS flags
 FROM g ORDER BY retransmissions DESC, {FLOW} LIMIT 10""")
@@ -190,23 +234,51 @@ jf AS (SELECT {_FIVE}, sum(jitter_us) / count(*)::DOUBLE AS jitter_mean_us, max(
 xf AS (SELECT {FLOW}, count(*) AS retransmissions FROM x GROUP BY {FLOW}) SELECT {_FIVE}, jitter_mean_us, jitter_max_us, rtt_mean_us, rtt_max_us, coalesce(retransmissions, 0) AS retransmissions FROM jf LEFT JOIN rf USING ({FLOW}) LEFT JOIN xf USING ({FLOW})""")
 over_packets("syn_retries", lambda p: tcp.syn_retries(p, 480 * HOUR), f""", s AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {FLOW}, seq ORDER BY ts_us, packet_num) AS gap FROM e WHERE syn)
 SELECT {FLOW}, seq AS tcp_seq, count(*) AS attempts, count(*) FILTER (gap < {480 * HOUR}) AS retries, max(ts_us) - min(ts_us) AS span_us FROM s GROUP BY {FLOW}, seq HAVING count(*) FILTER (gap < {480 * HOUR}) > 0""")
-over_packets("burst_retrans_overlap", lambda p: tcp.bursts_with_retransmissions(p, timing.bursts(p, BURST), 0, 1.0), f""", {_B}, {_X} SELECT burst_id, count(*) AS hits FROM x JOIN p USING (packet_num) JOIN bursts ON p.ts_us BETWEEN start_us AND end_us GROUP BY burst_id
+over_packets("burst_retrans_overlap", lambda p: tcp.bursts_with_retransmissions(p, timing.bursts(p, BURST), 0, 1.0), f""", {_B}, {_X} SELECT burst_id, count(*) AS hits FROM x JOIN p ON p.packet_num = x.packet_num JOIN bursts ON p.ts_us BETWEEN start_us AND end_us GROUP BY burst_id
 HAVING count(*) > 0 AND max(peak_ratio) > 1.0""")
 over_packets("handshake", lambda p: folds.handshakes(both_ways(p), 96 * HOUR))
 over_packets("retransmission_full", lambda p: folds.retransmissions(both_ways(p)))
-over_packets("brute_force", lambda p: folds.brute_force(p, 2, 0.2))
-over_packets("tcp_window_bottleneck", lambda p: tcp.window_bottleneck(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p)))
+over_packets("tcp_window_bottleneck", lambda p: tcp.window_bottleneck(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p)), f""", {_TW}, st AS (SELECT {FLOW}, count(*) AS packets, min(win)::INT AS min_window, max(win)::INT AS max_window, sum(win) / count(*)::DOUBLE AS mean_window,
+count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows, min(win) FILTER (r > 5)::INT AS settled_min FROM tw GROUP BY {FLOW}),
+z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw),
+zp AS (SELECT {FLOW}, max(d) AS longest_us FROM (SELECT {FLOW}, coalesce(max(nxt), max(ts_us)) - min(ts_us) AS d FROM z WHERE win = 0 GROUP BY {FLOW}, run) GROUP BY {FLOW})
+SELECT st.*, longest_us, CASE WHEN packets < 30 THEN 'none' WHEN zero_windows > 5 OR coalesce(longest_us, 0) > 1000000 THEN 'application' WHEN low_windows * 100 > packets * 30 AND zero_windows > 0 THEN 'receiver' ELSE 'none' END AS bottleneck FROM st LEFT JOIN zp USING ({FLOW})""")
+over_packets("syn_delays", lambda p: tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR), f""", t AS (SELECT packet_num, ts_us, seq, flags, CASE WHEN packet_num % 2 = 1 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN packet_num % 2 = 1 THEN dst_port ELSE src_port END AS src_port,
+CASE WHEN packet_num % 2 = 1 THEN src_ip ELSE dst_ip END AS dst_ip, CASE WHEN packet_num % 2 = 1 THEN src_port ELSE dst_port END AS dst_port FROM e WHERE tcp AND (flags & 7) <> 0),
+k AS (SELECT *, CASE WHEN (flags & 18) = 2 THEN 'syn' WHEN (flags & 18) = 18 THEN 'answer' ELSE 'close' END AS kind FROM t),
+ev AS (SELECT packet_num, ts_us, seq, kind, {FLOW} FROM k WHERE kind <> 'answer' UNION ALL SELECT packet_num, ts_us, seq, kind, dst_ip, dst_port, src_ip, src_port FROM k WHERE kind <> 'syn'),
+n AS (SELECT *, kind = 'syn' AND NOT coalesce(lag(kind) OVER w = 'syn' AND lag(seq) OVER w = seq, false) AS new FROM ev WINDOW w AS (PARTITION BY {FLOW} ORDER BY ts_us, packet_num)),
+att AS (SELECT *, sum(new::INT) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS attempt FROM n),
+gp AS (SELECT *, CASE WHEN kind = 'syn' AND NOT new THEN ts_us - lag(ts_us) OVER w END AS gap, row_number() OVER w AS r FROM att WHERE attempt > 0 WINDOW w AS (PARTITION BY {FLOW}, attempt ORDER BY ts_us, packet_num)),
+lt AS (SELECT *, bool_or(coalesce(gap >= {480 * HOUR}, false)) OVER (PARTITION BY {FLOW}, attempt ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS late FROM gp),
+ag AS (SELECT {FLOW}, attempt, min(ts_us) FILTER (kind = 'syn') AS first_us, max(ts_us) FILTER (kind = 'syn' AND NOT late) AS last_us, count(*) FILTER (kind = 'syn' AND NOT late) - 1 AS retries, min((ts_us, packet_num, kind)) FILTER (kind <> 'syn') AS fin FROM lt GROUP BY {FLOW}, attempt),
+dl AS (SELECT *, coalesce(fin[3] = 'answer', false) AS answered, CASE WHEN fin[3] = 'answer' THEN fin[1] ELSE last_us END - first_us AS delay_us FROM ag WHERE fin IS NULL OR fin[3] = 'answer')
+SELECT {FLOW}, first_us, retries, answered, delay_us, CASE WHEN NOT answered THEN 'no_synack_received' WHEN delay_us >= 3000000 THEN 'severe_network_delay' WHEN delay_us >= 1000000 THEN 'moderate_network_delay' ELSE 'normal' END AS issue FROM dl WHERE retries > 0 OR (answered AND delay_us >= {24 * HOUR})""")
 
 # ---------------------------------------------------------------- security
 
-over_packets("port_scan_events", lambda p: security.port_scans(p, ports=3, targets=3, few=5, min_attempts=3), """, s AS (SELECT src_ip, dst_ip, dst_port, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM e WHERE syn GROUP BY ALL),
+_SCAN = """, s AS (SELECT src_ip, dst_ip, dst_port, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM e WHERE syn GROUP BY ALL),
 b AS (SELECT dst_ip AS src_ip, src_ip AS dst_ip, src_port AS dst_port, max(ts_us) AS answer FROM e WHERE synack GROUP BY ALL),
 g AS (SELECT src_ip, sum(n)::BIGINT AS attempts, count(*) FILTER (answer > first)::BIGINT AS answered, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, max(last) - min(first) AS span FROM s LEFT JOIN b USING (src_ip, dst_ip, dst_port) GROUP BY src_ip HAVING sum(n) >= 3 AND max(last) > min(first)),
-k AS (SELECT *, CASE WHEN ports >= 3 AND targets >= 3 THEN 'distributed' WHEN ports >= 3 AND targets <= 5 THEN 'horizontal' WHEN targets >= 3 AND ports <= 5 THEN 'vertical' END AS kind FROM g),
-l AS (SELECT *, CASE WHEN kind = 'distributed' THEN 2 ELSE 0 END AS level FROM k WHERE kind IS NOT NULL),
+k AS (SELECT *, CASE WHEN ports >= 3 AND targets <= {few} THEN 'horizontal' WHEN targets >= 3 AND ports <= {few} THEN 'vertical' WHEN ports >= 3 AND targets >= 3 THEN 'distributed' END AS kind FROM g),
+l AS (SELECT *, CASE kind WHEN 'distributed' THEN 2 WHEN 'horizontal' THEN CASE WHEN ports > 50 THEN 3 WHEN ports > 25 THEN 2 WHEN ports > 15 THEN 1 ELSE 0 END ELSE CASE WHEN targets > 50 THEN 3 WHEN targets > 20 THEN 2 WHEN targets > 10 THEN 1 ELSE 0 END END AS level FROM k WHERE kind IS NOT NULL),
 m AS (SELECT *, CASE WHEN attempts - answered > 0.7 * attempts AND level < 2 THEN level + 1 ELSE level END AS l2 FROM l),
-o AS (SELECT *, CASE WHEN attempts * 1e6 / span > 5.0 THEN CASE WHEN l2 < 2 THEN 2 ELSE 3 END ELSE l2 END AS l3 FROM m)
-SELECT src_ip, kind, attempts, answered, targets, ports, ['low', 'medium', 'high', 'critical'][l3 + 1] AS severity FROM o""")
+o AS (SELECT *, CASE WHEN attempts * 1e6 / span > {rate} THEN CASE WHEN l2 < 2 THEN 2 ELSE 3 END ELSE l2 END AS l3 FROM m)
+SELECT src_ip, kind, attempts, answered, targets, ports, ['low', 'medium', 'high', 'critical'][l3 + 1] AS severity FROM o"""
+over_packets("port_scan_events", lambda p: security.port_scans(p, ports=3, targets=3, few=5, min_attempts=3), _SCAN.format(few=5, rate="5.0"))
+over_varied("port_scan_varied", lambda p: security.port_scans(p, ports=3, targets=3, few=2, min_attempts=3, rate=2e-5), _SCAN.format(few=2, rate="2e-5"))
+_NOT_PRIVATE = f"NOT ({INTERNAL.format('src_ip')} AND {INTERNAL.format('dst_ip')})"
+over_varied("port_scan_public", lambda p: security.port_scans(p, ports=3, targets=3, few=2, min_attempts=3, rate=2e-5, skip_private=True), _SCAN.format(few=2, rate="2e-5").replace("FROM e WHERE syn", f"FROM e WHERE {_NOT_PRIVATE} AND syn"))
+_BRUTE = f"""t AS (SELECT *, sum(syn::INT) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS attempt FROM e WHERE tcp AND {_NOT_PRIVATE} AND (syn OR (psh AND (flags & 16) <> 0))
+  AND dst_port IN (21, 22, 23, 80, 443, 445, 1433, 3306, 3389, 5432, 5900, 6379, 8080, 8443, 27017)),
+g AS (SELECT src_ip, dst_ip, dst_port, src_port, count(*) FILTER (syn) AS attempts, min(ts_us) FILTER (syn) AS a, max(ts_us) FILTER (syn) AS b, min(attempt) FILTER (NOT syn AND attempt > 0) AS first FROM t GROUP BY ALL),
+h AS (SELECT src_ip, dst_ip, dst_port, sum(attempts)::BIGINT AS attempts, count(DISTINCT first) AS established, coalesce(min(a), 0) AS first_us, coalesce(max(b), 0) AS last_us FROM g GROUP BY src_ip, dst_ip, dst_port),
+i AS (SELECT *, CASE WHEN attempts > 50 THEN 3 WHEN attempts > 30 THEN 2 WHEN attempts > 20 THEN 1 ELSE 0 END AS l FROM h WHERE attempts >= {{least}} AND attempts - established > {{fail}} * attempts AND established <= 0.9 * attempts),
+j AS (SELECT *, CASE WHEN attempts - established > 0.9 * attempts THEN CASE WHEN l < 2 THEN 2 ELSE 3 END ELSE l END AS l2 FROM i),
+k AS (SELECT *, CASE WHEN attempts * 1e6 > 2.0 * greatest(last_us - first_us, 1000) THEN CASE WHEN l2 < 2 THEN 2 ELSE 3 END ELSE l2 END AS l3 FROM j)
+SELECT src_ip, dst_ip, dst_port, attempts, established, first_us, last_us, ['low', 'medium', 'high', 'critical'][CASE WHEN dst_port IN (22, 445, 3389) AND l3 < 2 THEN l3 + 1 ELSE l3 END + 1] AS severity FROM k"""
+over_packets("brute_force", lambda p: security.brute_force(p, 2, 0.2), ", " + _BRUTE.format(least=2, fail=0.2))
+over_varied("brute_force_varied", lambda p: security.brute_force(p, 1, 0.0), ", " + _BRUTE.format(least=1, fail="0.0"))
 over_packets("ddos_syn_flood", lambda p: security.syn_floods(p, 1e-4, 0.9, HOUR), f""", s AS (SELECT dst_ip, dst_port, count(*) AS syns, count(DISTINCT src_ip) AS sources FROM e WHERE syn GROUP BY ALL), w AS (SELECT dst_ip, (max(ts_us // {HOUR}) - min(ts_us // {HOUR}) + 1) * {HOUR} AS span FROM e WHERE syn GROUP BY dst_ip),
 b AS (SELECT src_ip AS dst_ip, src_port AS dst_port, count(*) AS c FROM e WHERE synack GROUP BY ALL), g AS (SELECT dst_ip, dst_port, syns, coalesce(c, 0) AS synacks, sources, syns * 1e6 / span AS rate FROM s JOIN w USING (dst_ip) LEFT JOIN b USING (dst_ip, dst_port))
 SELECT *, CASE WHEN rate >= 1e-3 THEN 'critical' WHEN rate >= 5e-4 THEN 'high' WHEN rate >= 2e-4 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE rate > 1e-4 AND synacks <= 0.9 * syns""")
@@ -219,29 +291,52 @@ over_packets("exfil_ratio", lambda p: security.upload_ratios(both_ways(p), 1000,
 up AS (SELECT src_ip AS ip, sum(packet_length)::BIGINT AS up FROM t WHERE {INTERNAL.format('src_ip')} AND NOT {INTERNAL.format('dst_ip')} GROUP BY 1), dn AS (SELECT dst_ip AS ip, sum(packet_length)::BIGINT AS down FROM t WHERE {INTERNAL.format('dst_ip')} AND NOT {INTERNAL.format('src_ip')} GROUP BY 1),
 g AS (SELECT ip, up, coalesce(down, 0) AS down, CASE WHEN coalesce(down, 0) > 0 THEN up / down::DOUBLE END AS ratio FROM up LEFT JOIN dn USING (ip))
 SELECT ip, up, down, CASE WHEN ratio IS NULL THEN 'critical' WHEN ratio >= 20 THEN 'high' WHEN ratio >= 10 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE up >= 1000 AND (ratio IS NULL OR ratio >= 1.0)""")
-over_packets("exfil_ports", lambda p: security.upload_ports(p, 500), f", {_UP} SELECT src_ip, dst_port, sum(packet_length)::BIGINT AS bytes, count(*) AS packets FROM u WHERE dst_port IN (20, 21, 22, 23, 53, 4444, 6667, 8080) GROUP BY ALL HAVING sum(packet_length) >= 500")
-_LT = f"l AS (SELECT * FROM e WHERE (syn OR synack) AND {INTERNAL.format('src_ip')} AND {INTERNAL.format('dst_ip')} AND src_ip <> dst_ip AND dst_port IN (22, 445, 3389, 5985, 135))"
-over_packets("lateral_multi_target", lambda p: security.lateral_targets(p, 2), f", {_LT} SELECT src_ip, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, count(*) AS syns, CASE WHEN count(DISTINCT dst_ip) >= 10 THEN 'critical' WHEN count(DISTINCT dst_ip) >= 7 THEN 'high' WHEN count(DISTINCT dst_ip) >= 5 THEN 'medium' ELSE 'low' END AS severity FROM l GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 2")
+over_varied("exfil_ports", lambda p: security.upload_ports(p, 500), f", {_UP} SELECT src_ip, dst_port, sum(packet_length)::BIGINT AS bytes, count(*) AS packets FROM u WHERE dst_port IN (8080, 8443, 8888, 9000, 9001, 3128, 8123, 4444, 5555, 6666, 7777, 31337, 12345) GROUP BY ALL HAVING sum(packet_length) >= 500")
+_LA = f"la AS (SELECT * FROM e WHERE tcp AND {INTERNAL.format('src_ip')} AND {INTERNAL.format('dst_ip')} AND src_ip <> dst_ip AND dst_port IN (22, 135, 139, 445, 593, 3389, 5985, 5986))"
+_LT = f"{_LA}, l AS (SELECT * FROM la WHERE syn OR synack)"
+_LS = """lt AS (SELECT src_ip, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, count(*) FILTER (syn OR synack) AS syns, bool_or(dst_port IN (3389, 5985, 5986)) AS risky FROM la GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 2),
+ls AS (SELECT src_ip, targets, ports, syns, CASE WHEN targets >= 10 THEN 'critical' WHEN targets >= 7 THEN 'high' WHEN targets >= 5 THEN 'medium' WHEN risky THEN 'high' ELSE 'medium' END AS severity FROM lt)"""
+over_packets("lateral_multi_target", lambda p: security.lateral_targets(p, 2), f", {_LA}, {_LS} SELECT * FROM ls")
+over_varied("lateral_multi_target_varied", lambda p: security.lateral_targets(p, 2), f", {_LA}, {_LS} SELECT * FROM ls")
+over_varied("lateral_spread", lambda p: security.lateral_spread(p, 2, 3), f""", {_LT}, b AS (SELECT src_ip FROM l GROUP BY src_ip HAVING count(*) >= 3), g AS (SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS targets FROM l GROUP BY ALL HAVING count(DISTINCT dst_ip) >= 2)
+SELECT src_ip, CASE dst_port WHEN 22 THEN 'SSH' WHEN 139 THEN 'NetBIOS/SMB' WHEN 445 THEN 'SMB/CIFS' WHEN 593 THEN 'RPC over HTTP' WHEN 3389 THEN 'RDP' WHEN 5986 THEN 'WinRM HTTPS' END AS service, targets,
+CASE WHEN dst_port IN (3389, 5985, 5986) THEN CASE WHEN targets >= 5 THEN 'critical' ELSE 'high' END WHEN targets >= 10 THEN 'high' ELSE 'medium' END AS severity FROM g JOIN b USING (src_ip)""")
 over_packets("lateral_rapid", lambda p: security.lateral_rapid(p, 2, 48 * HOUR), f""", {_LT}, w AS (SELECT a.src_ip, a.ts_us, a.packet_num, count(DISTINCT b.dst_ip) AS targets FROM l a JOIN l b ON a.src_ip = b.src_ip AND b.ts_us BETWEEN a.ts_us AND a.ts_us + {48 * HOUR} GROUP BY ALL)
 SELECT src_ip, arg_min(ts_us, (ts_us, packet_num)) AS start_us, arg_min(targets, (ts_us, packet_num)) AS targets FROM w WHERE targets >= 2 GROUP BY src_ip""")
-over_packets("event_breakdown_grouping_sets", lambda p: security.event_breakdown(security.all_events(("upload", security.large_uploads(p, 3000, 24 * HOUR), "src_ip"), ("lateral", security.lateral_targets(p, 2), "src_ip"))), f""", {_UP}, {_LT},
+over_packets("event_breakdown_grouping_sets", lambda p: security.event_breakdown(security.all_events(("upload", security.large_uploads(p, 3000, 24 * HOUR), "src_ip"), ("lateral", security.lateral_targets(p, 2), "src_ip"))), f""", {_UP}, {_LA}, {_LS},
 w AS (SELECT *, sum(packet_length) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {24 * HOUR} FOLLOWING) AS s FROM u), g AS (SELECT src_ip, arg_min(s, (ts_us, packet_num)) AS b FROM w WHERE s >= 3000 GROUP BY src_ip),
 ev AS (SELECT 'upload' AS kind, CASE WHEN b >= 30000 THEN 'critical' WHEN b >= 12000 THEN 'high' WHEN b >= 6000 THEN 'medium' ELSE 'low' END AS severity FROM g UNION ALL
-SELECT 'lateral', CASE WHEN count(DISTINCT dst_ip) >= 10 THEN 'critical' WHEN count(DISTINCT dst_ip) >= 7 THEN 'high' WHEN count(DISTINCT dst_ip) >= 5 THEN 'medium' ELSE 'low' END FROM l GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 2)
+SELECT 'lateral', severity FROM ls)
 SELECT kind, severity, grouping(kind, severity)::BIGINT AS level, count(*) AS events FROM ev GROUP BY GROUPING SETS ((kind, severity), (kind), (severity), ())""")
 
 
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DNS queries made of the pages table: one per page, the name is made of its address's letters."""
+    """DNS queries made of the pages table: one per page, names of its address's letters or encoded ones."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    name = F.lower(F.regexp_replace("url", r"^https?://|[^A-Za-z0-9.]", ""))
+    n, code = F.col("page_id"), F.md5(F.col("url").cast("binary"))
+    part = lambda a, size: F.substring(code, a, size)
+    letters = F.lower(F.regexp_replace("url", r"^https?://|[^A-Za-z0-9.]", ""))
+    name = F.when(n % 5 == 0, code).when(n % 5 == 1, F.concat(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), part(1, 6)))
+    name = name.when(n % 5 == 2, F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))).otherwise(letters)
     return pages.select(
-        F.concat(F.lit("10.0.0."), (F.col("page_id") % 10).cast("string")).alias("src_ip"), (F.col("page_id") * 1_000_000).alias("ts_us"),
-        F.concat(name, F.lit(".t"), (F.col("page_id") % 3).cast("string"), F.lit(".example.")).alias("qname"), F.when(F.col("page_id") % 2 == 0, "TXT").otherwise("A").alias("qtype"),
+        F.concat(F.lit("10.0.0."), (n % 10).cast("string")).alias("src_ip"), (n * 1_000_000).alias("ts_us"),
+        F.concat(name, F.lit(".t"), (n % 7).cast("string"), F.lit(".example.")).alias("qname"), F.when(n % 4 == 0, "TXT").otherwise("A").alias("qtype"),
     )
 
 
-over_tables("dns_tunneling", lambda s, d: names.dns_tunnels(lookups(s, d), 20, 3.0, 1.0))
+over_tables("dns_tunneling", lambda s, d: names.dns_tunnels(lookups(s, d), 45, 3.9, 1.0), r"""
+WITH m AS (SELECT page_id AS n, md5(url) AS c, lower(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9.]', '', 'g')) AS u FROM pages),
+q AS (SELECT '10.0.0.' || n % 10 AS src_ip, n * 1000000 AS us, CASE n % 5 WHEN 0 THEN c WHEN 1 THEN 'abcdefghijklmnopqrstuvwxyz0123456789' || c[1:6] WHEN 2 THEN c[1:8] || '-' || c[9:12] || '-' || c[13:16] || '-' || c[17:20] || '-' || c[21:32] ELSE u END AS sub,
+  't' || n % 7 || '.example' AS domain, n % 4 = 0 AS txt, n FROM m),
+ch AS (SELECT n, count(*) AS k FROM (SELECT n, unnest(string_split(sub, '')) AS x FROM q) GROUP BY n, x),
+b AS (SELECT q.*, length(sub) + length(domain) + 2 AS chars, coalesce(e.bits, 0) AS bits, coalesce(e.kinds, 0) AS kinds FROM q LEFT JOIN (SELECT n, round(sum(-(k / t) * log2(k / t)), 6) AS bits, count(*) AS kinds FROM (SELECT n, k::DOUBLE AS k, (sum(k) OVER (PARTITION BY n))::DOUBLE AS t FROM ch) GROUP BY n) e USING (n)),
+g AS (SELECT src_ip, domain, count(*) AS queries, sum(chars) / count(*)::DOUBLE AS len, coalesce(sum(bits::DECIMAL(18,6)) FILTER (bits > 0)::DOUBLE / count(*) FILTER (bits > 0), 0) AS bits, CASE WHEN max(us) - min(us) >= 1000000 THEN count(*) * 6e7 / (max(us) - min(us)) ELSE 0 END AS rate, count(*) FILTER (txt) AS txt,
+  bool_or(length(sub) > 255)::INT + bool_or(length(sub) >= 32 AND regexp_matches(sub, '^[A-Za-z0-9+/=]+$') AND bits > 5)::INT + bool_or(length(sub) >= 32 AND regexp_matches(sub, '^[0-9a-fA-F]+$'))::INT
+  + bool_or(regexp_matches(sub, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$'))::INT + bool_or(length(sub) >= 40 AND regexp_matches(sub, '^[a-z0-9]+$') AND kinds > 0.6 * length(sub))::INT AS kinds FROM b GROUP BY src_ip, domain),
+h AS (SELECT *, (len > 45)::INT + (bits > 3.9)::INT + (rate > 1)::INT + (kinds > 0)::INT + (txt > 0.3 * queries)::INT AS signs,
+  (CASE WHEN len > 100 THEN 3 WHEN len > 75 THEN 2 WHEN len > 50 THEN 1 ELSE 0 END + CASE WHEN bits > 5 THEN 3 WHEN bits > 4.5 THEN 2 WHEN bits > 3.5 THEN 1 ELSE 0 END + CASE WHEN rate > 50 THEN 3 WHEN rate > 30 THEN 2 WHEN rate > 10 THEN 1 ELSE 0 END
+  + CASE WHEN queries > 100 THEN 2 WHEN queries > 50 THEN 1 ELSE 0 END + least(kinds, 2))::INT AS score FROM g)
+SELECT src_ip, domain, queries, signs, score, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS severity FROM h WHERE signs >= 2""")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,10 +352,10 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.unionByName(r)
 
 
-over_tables("dns_transactions", lambda s, d: folds.dns_transactions(transactions(s, d)), """
-WITH q AS (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), m AS (SELECT max(greatest(us, CASE WHEN event_id % 3 <> 0 THEN us + event_id % 1500 * 1000 END)) AS e FROM q)
-SELECT '10.0.0.1' AS client, '8.8.8.8' AS server, (event_id % 65536)::INT AS id, 'h' || event_id % 20 || '.example' AS qname, CASE WHEN event_id % 3 <> 0 THEN event_id % 1500 * 1000 END AS took_us, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END END::INT AS rcode,
-CASE WHEN event_id % 3 = 0 THEN CASE WHEN e - us >= 5000000 THEN 'timeout' ELSE 'open' END WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 1500 * 1000 > 1000000 THEN 'slow' ELSE 'success' END AS status FROM q, m""")
+_DNS = """WITH q AS (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), m AS (SELECT max(greatest(us, CASE WHEN event_id % 3 <> 0 THEN us + event_id % 1500 * 1000 END)) AS e FROM q),
+tx AS (SELECT '10.0.0.1' AS client, '8.8.8.8' AS server, (event_id % 65536)::INT AS id, 'h' || event_id % 20 || '.example' AS qname, CASE WHEN event_id % 3 <> 0 THEN event_id % 1500 * 1000 END AS took_us, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END END::INT AS rcode,
+CASE WHEN event_id % 3 = 0 THEN CASE WHEN e - us >= 5000000 THEN 'timeout' ELSE 'open' END WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 1500 * 1000 > 1000000 THEN 'slow' ELSE 'success' END AS status FROM q, m)"""
+over_tables("dns_transactions", lambda s, d: folds.dns_transactions(transactions(s, d)), _DNS + " SELECT * FROM tx")
 
 
 def named_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +363,44 @@ def named_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.dns_transactions(transactions(spark, sf_dir)).where("status <> 'open'").select("qname", "status", name)
 
 
-over_tables("dns_problem_domains", lambda s, d: names.dns_problems(named_lookups(s, d)))
+over_tables("dns_problem_domains", lambda s, d: names.dns_problems(named_lookups(s, d)), _DNS + """, l AS (SELECT qname, CASE status WHEN 'timeout' THEN 'Timeout' WHEN 'slow' THEN 'Slow Response' ELSE 'NXDOMAIN' END AS problem, count(*) AS c FROM tx WHERE status IN ('timeout', 'slow', 'error') GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY c DESC, problem) AS r, sum(c) OVER (PARTITION BY qname)::BIGINT AS total FROM l) SELECT qname, total AS count, problem FROM o WHERE r = 1 ORDER BY total DESC, qname LIMIT 10""")
+
+# ---------------------------------------------------------------- ICMP, fragments, selective acknowledgements
+
+_I = """i AS (SELECT dst_ip, icmp_type AS t, icmp_code AS c, CASE icmp_type WHEN 0 THEN 'Echo Reply' WHEN 3 THEN 'Destination Unreachable' WHEN 5 THEN 'Redirect' WHEN 8 THEN 'Echo Request' WHEN 11 THEN 'Time Exceeded' WHEN 12 THEN 'Parameter Problem' END AS kind,
+CASE icmp_code WHEN 0 THEN 'Network Unreachable' WHEN 1 THEN 'Host Unreachable' WHEN 2 THEN 'Protocol Unreachable' WHEN 3 THEN 'Port Unreachable' WHEN 4 THEN 'Fragmentation Needed and DF Set' WHEN 5 THEN 'Source Route Failed' WHEN 6 THEN 'Network Unknown'
+WHEN 7 THEN 'Host Unknown' WHEN 13 THEN 'Communication Administratively Prohibited' ELSE 'Code ' || icmp_code END AS why FROM p WHERE protocol = 'ICMP')"""
+over_varied("icmp_summary", names.icmp_summary, f""", {_I} SELECT CASE WHEN t = 3 THEN kind || ' - ' || why ELSE kind END AS name, CASE WHEN t = 3 AND c IN (0, 1, 4, 6, 7, 13) THEN 'error' WHEN t IN (3, 4, 11, 12) THEN 'warning' ELSE 'info' END AS severity, count(*) AS packets FROM i GROUP BY ALL""")
+over_varied("icmp_unreachable_targets", names.unreachable_targets, f""", {_I}, k AS (SELECT dst_ip, kind || ' - ' || why AS name, count(*) AS c FROM i WHERE t = 3 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY c DESC, name) AS r, sum(c) OVER (PARTITION BY dst_ip)::BIGINT AS m FROM k)
+SELECT dst_ip, m AS messages, name AS reason FROM o WHERE r = 1 ORDER BY m DESC, dst_ip LIMIT 10""")
+
+
+def fragments(p: DataFrame) -> DataFrame:
+    """The packet view as fragments: four numbers in a row are one datagram; every thirteenth fragment is lost."""
+    n = F.col("packet_num")
+    frag = F.struct(
+        (F.floor(n / 4) % 500).cast("int").alias("ip_id"), F.lit(False).alias("df"), (n % 4 < 3).alias("mf"), (n % 4 * 1480).cast("int").alias("offset_bytes"),
+        F.when(n % 4 < 3, 1480).otherwise(n % 100 + 1).cast("int").alias("payload_bytes"), F.lit(17).alias("proto"),
+    )
+    return p.where(n % 13 != 0).select(F.concat(F.lit("10.1."), F.floor(n / 2000).cast("string")).alias("src_ip"), F.lit("10.2.0.1").alias("dst_ip"), frag.alias("frag"))
+
+
+over_packets("fragment_reassembly", lambda p: names.reassembly(fragments(p)), """, g AS (SELECT '10.1.' || packet_num // 2000 AS src_ip, '10.2.0.1' AS dst_ip, (packet_num // 4 % 500)::INT AS ip_id, packet_num % 4 AS i, CASE WHEN packet_num % 4 < 3 THEN 1480 ELSE packet_num % 100 + 1 END AS size FROM p WHERE packet_num % 13 <> 0)
+SELECT src_ip, dst_ip, ip_id, count(*) AS fragments, max(i * 1480 + size)::INT AS total, count(*) = 4 AS complete, (max(size) + 20)::INT AS path_mtu FROM g GROUP BY src_ip, dst_ip, ip_id""")
+
+
+def acked_blocks(p: DataFrame) -> DataFrame:
+    """TCP packets of the view with up to two SACK blocks around their acknowledgement."""
+    n, a = F.col("packet_num"), F.col("tcp_ack")
+    block = lambda x, y: F.struct(x.cast("bigint").alias("left"), y.cast("bigint").alias("right"))
+    one = block(a + n % 5 * 100 - 200, a + n % 5 * 100 - 100)
+    blocks = F.when(n % 3 == 0, F.array(one)).when(n % 3 == 1, F.array(one, block(a + 100, a + 100 + n % 4 * 100))).otherwise(F.array().cast("array<struct<left:bigint,right:bigint>>"))
+    return p.where("protocol = 'TCP'").withColumn("sack", blocks)
+
+
+over_packets("sack_flows", lambda p: names.sack_flows(acked_blocks(p)), f""", b AS (SELECT {FLOW}, packet_num % 5 * 100 - 100 AS r, packet_num % 3 = 1 AND packet_num % 4 > 0 AS two, packet_num % 4 * 100 AS w FROM e WHERE tcp AND packet_num % 3 <> 2)
+SELECT {FLOW}, count(*) AS packets, sum(1 + two::INT)::BIGINT AS blocks, count(*) FILTER (r <= 0 OR (two AND r - 100 >= 100 AND r <= 100 + w)) AS dsacks FROM b GROUP BY {FLOW}""")
 
 # ---------------------------------------------------------------- scores, reports, text
 
