@@ -216,6 +216,24 @@ def labelled(spark, rng, n, label, make):
     return docs, spark.createDataFrame([(i, i % 2) for i in range(n)] + [(None, 1), (5000, None)], f"doc_id bigint, {label} int")
 
 
+def test_labelled_sample_of_repeated_rows(spark, frame):
+    docs = [(i, f"text {i}") for i in range(40)] * 3 + [(7, "a second text")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(8, 1)], "doc_id bigint, toxic int")
+    got = common.labelled_sample(frame(docs), labels, "toxic", 0, 5, 6).collect()
+    assert sorted(r.y for r in got) == [0] * 6 + [1] * 6 and len({r.doc_id for r in got}) == 12
+    every = {r.doc_id: (r.text, r.y) for r in common.labelled_sample(frame(docs), labels, "toxic", -1, 5, 100).collect()}
+    assert len(every) == 40 and every[7] == ("a second text", 1) and every[8] == ("text 8", 1)
+
+
+def test_scratch_on_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.Scratch(Cluster, "x")
+
+
 def test_toxicity_learns_roots(spark, frame):
     def make(rng, bad):
         w = prose(rng, rng.choice([20, 60, 200])).split(" ")

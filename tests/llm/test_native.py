@@ -149,10 +149,14 @@ def test_chat_layouts(spark):
         "instruction_input": {"instruction": "q", "input": "", "output": "a"},
     }
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()] + [("x", '{"foo": 1}'), ("n", None), ("bad", "{")], "name string, record string")
+    df = df.withColumns({"fingerprint": F.lit("old"), "layout": F.lit("old"), "turns": F.lit(1), "__r": F.lit("own"), "formatted": F.lit(2)})
     got = {r.name: r for r in chat.canonical_turns(df).collect()}
     for k in records:
         assert got[k].layout == k and [tuple(t) for t in got[k].turns] == [("user", "q"), ("assistant", "a")]
     assert all(got[k].layout is None and got[k].turns is None for k in ("x", "n", "bad"))
+    assert all(r["__r"] == "own" and r.formatted == 2 for r in got.values())
+    formatted = chat.format_turns(chat.canonical_turns(df)).where("name = 'prompt'").first()
+    assert formatted.formatted.startswith("<|im_start|>user") and formatted["__r"] == "own"
 
 
 def leaks(rows, items):

@@ -76,17 +76,18 @@ def field_paths(record: Column) -> Column:
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """records plus fingerprint (bigint), layout (null if undeclared) and turns (null if undeclared).
 
-    A null, empty or malformed record has the fingerprint of no paths and no turns.
+    A null, empty or malformed record has the fingerprint of no paths and no turns. Columns
+    of these three names in records are replaced, all others pass through.
     """
     df = records.withColumn("fingerprint", fingerprint(field_paths(F.col(column))))
-    df = df.withColumn("__r", F.from_json(column, RECORD))
+    df = df.withColumn("__tw_r", F.from_json(column, RECORD))
     layout = turns = None
     for name, paths, to_turns in LAYOUTS:
         hit = F.col("fingerprint") == F.xxhash64(F.lit("\n".join(sorted(paths))))
         layout = F.when(hit, name) if layout is None else layout.when(hit, name)
-        got = to_turns(F.col("__r")).cast(TURNS)
+        got = to_turns(F.col("__tw_r")).cast(TURNS)
         turns = F.when(hit, got) if turns is None else turns.when(hit, got)
-    return df.withColumn("layout", layout).withColumn("turns", turns).drop("__r")
+    return df.withColumn("layout", layout).withColumn("turns", turns).drop("__tw_r")
 
 
 def escape(text: Column) -> Column:
@@ -100,7 +101,10 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(df: DataFrame) -> DataFrame:
-    """df (with turns) plus formatted and loss_spans: the assistant texts' (s, e) in code points of formatted."""
+    """df (with turns) plus formatted and loss_spans: the assistant texts' (s, e) in code points of formatted.
+
+    Columns of these two names in df are replaced, all others pass through.
+    """
     head = lambda t: F.concat(F.lit(START), F.url_encode(t.role), F.lit("\n"))
     whole = F.transform(
         "turns",
@@ -110,16 +114,16 @@ def format_turns(df: DataFrame) -> DataFrame:
             (t.role == "assistant").alias("loss"),
         ),
     )
-    df = df.withColumn("__p", whole).withColumn("formatted", F.array_join(F.col("__p.out"), ""))
-    df = df.withColumn("__at", running_sums(F.transform("__p", lambda p: F.length(p.out).cast("bigint"))))
+    df = df.withColumn("__tw_p", whole).withColumn("formatted", F.array_join(F.col("__tw_p.out"), ""))
+    df = df.withColumn("__tw_at", running_sums(F.transform("__tw_p", lambda p: F.length(p.out).cast("bigint"))))
     spans = F.transform(
-        "__p",
+        "__tw_p",
         lambda p, i: F.struct(
-            (F.get("__at", i) + p.skip).alias("s"), (F.get("__at", i + 1) - len(END) - 1).alias("e"), p.loss.alias("loss")
+            (F.get("__tw_at", i) + p.skip).alias("s"), (F.get("__tw_at", i + 1) - len(END) - 1).alias("e"), p.loss.alias("loss")
         ),
     )
     spans = F.transform(F.filter(spans, lambda x: x.loss), lambda x: F.struct(x.s, x.e))
-    return df.withColumn("loss_spans", spans).drop("__p", "__at")
+    return df.withColumn("loss_spans", spans).drop("__tw_p", "__tw_at")
 
 
 def parse_turns(formatted: Column) -> Column:

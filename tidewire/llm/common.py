@@ -30,14 +30,16 @@ class Scratch:
     """Intermediate Parquet tables in the folder that spark.checkpoint.dir names.
 
     A written table cuts the lineage, so a lost executor costs a re-read and not a
-    recomputation. Only where the setting is absent (tests, a single machine) is a
-    temporary folder made.
+    recomputation. Only in local mode, where the setting is absent (tests, a single
+    machine), is a temporary folder made; on a cluster its absence is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="tidewire-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -156,14 +158,19 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: int, folds: int, per_class: int) -> DataFrame:
-    """doc_id, text, y of at most per_class rows of either label outside fold `held`, in hash order of doc_id."""
+    """doc_id, text, y of at most per_class documents of either label outside fold `held`, in hash order of doc_id.
+
+    Repeated rows are one document; of several texts of one doc_id the smallest is taken.
+    A document with several labels counts as 1 if any of them does.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     pick = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         pick = some if pick is None else pick.unionByName(some)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(pick), "doc_id")
+    some = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(pick), "doc_id")
+    return some.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 # ---------------------------------------------------------------- vectorised word hashing
