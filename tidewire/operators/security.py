@@ -142,7 +142,7 @@ def lateral_rapid(p: DataFrame, least: int = 3, window_us: int = 300_000_000) ->
     return g.select("src_ip", F.col("x.ts_us").alias("start_us"), F.col("x.targets").cast("bigint").alias("targets"))
 
 
-#: Services that ask for a password, by port; the first ones of those that matter most.
+#: Services that ask for a password, by port, and the ports among them that matter most.
 AUTH_PORTS = {
     21: "FTP", 22: "SSH", 23: "Telnet", 80: "HTTP", 443: "HTTPS", 445: "SMB", 1433: "MSSQL", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL",
     5900: "VNC", 6379: "Redis", 8080: "HTTP-Alt", 8443: "HTTPS-Alt", 27017: "MongoDB",
