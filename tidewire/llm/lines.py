@@ -8,6 +8,9 @@ before and after the shuffle: no pair of lines is ever formed within a group.
 
 A line of n words has n variants, so lines that cannot have a partner are set aside
 first: with one edit at most, two lines share their first or their second half whole.
+
+Lines of fewer than MIN_WORDS words have no variants: they go only where an earlier line
+has the same words. Lines without a word are never compared.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, few, let, running, text_or_empty
+from .common import Scratch, few, join_crowded, let, running, text_or_empty
 
-#: Shorter lines (headings, list marks, empty lines) are never compared: one edit in five words leaves 80 %.
+#: Shorter lines (headings, list marks) are compared for equality alone: one edit in five words leaves 80 %.
 MIN_WORDS = 5
 ORDER = ("doc_id", "v", "line_no")
 #: What separates words inside a line, wherever it is more than one blank.
@@ -36,25 +39,27 @@ def _part(x: Column, words: Column) -> Column:
     return F.call_function("substring_index", x, F.lit(" "), words.cast("int"))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, v (the text's hash), line_no, x (its words, joined by blanks) of every line that is compared."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, v (the text's hash), line_no, x (its words, joined by blanks) of every line with a word."""
     t = text_or_empty()
     d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(t).alias("v"), _flat_lines(t).alias("a"))
     d = d.select("doc_id", "v", F.posexplode("a").alias("line_no", "x")).select(*ORDER, F.trim("x").alias("x"))
-    return d.where(F.octet_length(_part(F.col("x"), F.lit(min_words - 1))) < F.octet_length("x"))
+    return d.where(F.col("x") != "")
 
 
-def _half_keys(lines: DataFrame) -> DataFrame:
+def _half_keys(lines: DataFrame, min_words: int) -> DataFrame:
     """lines with h and c (hashes of the line), half keys k1, k2, k3 and whether the third is a head.
 
     With n words against n or n + 1 words, the edit spares the first n // 2 words or the
     last n - n // 2; a line keys these for its own length and for one word less. Of the
-    four two are always the same: with n even the tails, with n odd the heads.
+    four two are always the same: with n even the tails, with n odd the heads. Lines of
+    fewer than min_words words have no half keys (nulls).
     """
     d = lines.withColumn("n", F.octet_length("x") - F.octet_length(F.replace("x", F.lit(" "), F.lit(""))) + 1)
     k, x, even = F.floor(F.col("n") / 2).cast("int"), F.col("x"), F.col("n") % 2 == 0
-    head = lambda m: F.xxhash64(F.lit("head"), m, _part(x, m))
-    tail = lambda m: F.xxhash64(F.lit("tail"), m, _part(x, -m))
+    long = F.col("n") >= min_words
+    head = lambda m: F.when(long, F.xxhash64(F.lit("head"), m, _part(x, m)))
+    tail = lambda m: F.when(long, F.xxhash64(F.lit("tail"), m, _part(x, -m)))
     return d.select(
         *ORDER, F.xxhash64("x").alias("h"), F.hash("x").alias("c"), head(k).alias("k1"), tail(F.col("n") - k).alias("k2"),
         F.when(even, head(k - 1)).otherwise(tail(k)).alias("k3"), even.alias("third_head"),
@@ -75,19 +80,19 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, v, line_no of every line that has an earlier line (by doc_id, then place) within one word edit."""
+    """doc_id, v, line_no of every line that has an earlier line (by doc_id, then place) within one word edit, or equal if shorter than min_words."""
     o = F.struct(*ORDER)
-    table = scratch.write(_half_keys(_lines(docs, min_words)), "lines")
+    table = scratch.write(_half_keys(_lines(docs), min_words), "lines")
     # Equal lines (by their words, however spaced): everything but the first of each content.
     whole, halves = ["h", "c"], ["k1", "k2", "k3", "third_head"]
     first = table.groupBy(whole).agg(F.min(o).alias("o"), F.count("*").alias("times"), *[F.min(k).alias(k) for k in halves])
     first = scratch.write(first, "first")
-    again = first.where("times > 1").select(*whole, F.col("o").alias("first"))
-    exact = table.select(*ORDER, *whole).join(again, whole).where(o > F.col("first")).select(*ORDER)
+    again = first.where("times > 1").select(*whole, F.col("o").alias("first"), "times")
+    exact = join_crowded(table.select(*ORDER, *whole), again, whole).where(o > F.col("first")).select(*ORDER)
     # Distinct lines that share a half with another distinct line.
     pairs = [(F.col("k1"), F.lit(True)), (F.col("k2"), F.lit(False)), (F.col("k3"), F.col("third_head"))]
     keys = F.array(*[F.struct(k.alias("key"), head.alias("head")) for k, head in pairs])
-    keys = first.select("o", "h", F.inline(keys))
+    keys = first.where(F.col("k1").isNotNull()).select("o", "h", F.inline(keys))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
     candidates = keys.join(shared, "key").groupBy("o").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
     by_doc = candidates.groupBy("o.doc_id", "o.v").agg(F.collect_list(F.struct("o.line_no", "head", "tail")).alias("at"))
@@ -146,7 +151,7 @@ KEPT, REMOVED = "__tw_kept_lines", "__tw_n_removed"
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """docs plus KEPT (array of lines) and REMOVED (their number).
 
-    Lines are what "\n" separates. Comparison is by words (runs of SPACE are equal);
+    Lines are what "\n" separates; those without a word stay. Comparison is by words (runs of SPACE are equal);
     whether an earlier line was itself removed plays no part. Null text is empty. Rows
     with a null doc_id have no place in the order: they are returned whole and remove
     nothing. Repeated rows hold the same place, so they do not remove each other's lines.
@@ -179,12 +184,12 @@ ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS ln FROM d),
 lw AS (SELECT doc_id, ln, w, array_to_string(w, ' ') AS s FROM (SELECT doc_id, ln, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l)
-  WHERE len(w) >= {MIN_WORDS}),
+  WHERE len(w) > 0),
 f AS MATERIALIZED (SELECT s, any_value(w) AS w, min((doc_id, ln)) AS o FROM lw GROUP BY s),
-v AS MATERIALIZED (SELECT o, i, array_to_string(w[:i-1] || w[i+1:], ' ') AS k FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS i FROM f)),
+v AS MATERIALIZED (SELECT o, i, array_to_string(w[:i-1] || w[i+1:], ' ') AS k FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= {MIN_WORDS})),
 bad AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY k, i) AS p FROM v) WHERE p < o
-  UNION SELECT v.o FROM v JOIN f ON f.s = v.k WHERE f.o < v.o
-  UNION SELECT f.o FROM v JOIN f ON f.s = v.k WHERE v.o < f.o),
+  UNION SELECT v.o FROM v JOIN f ON f.s = v.k WHERE f.o < v.o AND len(f.w) >= {MIN_WORDS}
+  UNION SELECT f.o FROM v JOIN f ON f.s = v.k WHERE v.o < f.o AND len(f.w) >= {MIN_WORDS}),
 gone AS (SELECT lw.doc_id, lw.ln FROM lw JOIN f USING (s) WHERE (lw.doc_id, lw.ln) > f.o OR f.o IN (SELECT o FROM bad))
 SELECT l.doc_id, count(*) AS n_lines, count(gone.ln) AS n_removed,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (gone.ln IS NULL), '')) AS kept_sha256
