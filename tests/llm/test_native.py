@@ -3,12 +3,14 @@
 import hashlib
 import json
 import re
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.llm import chat, decontam, lines, rules, secrets
-from tidewire.llm.common import running_sums
+from tidewire.llm.common import Scratch, running_sums
 
 from .conftest import corpus, prose
 
@@ -280,3 +282,14 @@ def test_line_dedup(frame, scratch):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got if r.doc_id in want} == want
     assert all(r.n_removed == 0 for r in got if r.doc_id not in want)
     assert lines.dedup_report(frame([], odd=False), scratch).count() == 0
+
+
+def test_scratch_folder_without_the_setting(spark):
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId="app-1")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context, _jvm=spark._jvm, _jsc=spark._jsc)
+
+    a, b = (Scratch(session("local[2]"), x) for x in "ab")
+    assert Path(a.root).parent == Path(b.root).parent and a.root != b.root
+    with pytest.raises(RuntimeError):
+        Scratch(session("spark://host:7077"), "c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +27,12 @@ BROADCAST_IDS = BROADCAST_BYTES // (ROW_BYTES + 8)
 # ---------------------------------------------------------------- written tables
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One folder for a local application; the setting can't be changed once a session runs."""
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
 class Scratch:
     """Intermediate Parquet tables in the folder that spark.checkpoint.dir names.
 
@@ -40,8 +47,7 @@ class Scratch:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="tidewire-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _local_folder(spark.sparkContext.applicationId)
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self.close)
