@@ -12,7 +12,7 @@ from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import ACK, ENDS, FIN, RST, SYN, with_ends
@@ -119,12 +119,29 @@ def _connections(p: DataFrame, step: Callable, schema: str) -> DataFrame:
     return t.mapInArrow(run, schema)
 
 
-def handshakes(p: DataFrame, slow_us: int = 300_000) -> DataFrame:
-    """Handshakes with their delays; incomplete ones have nulls."""
+def suspected_side(answer_us: Column, ack_us: Column, slow_us: int = 300_000, slow_answer_us: int = 100_000) -> Column:
+    """Who slows a handshake, by the delays up to the SYN-ACK and from there to the ACK."""
+    return (
+        F.when(answer_us.isNull() | (answer_us == 0), "unknown")
+        .when(answer_us > slow_answer_us, F.when(answer_us > 500_000, "server").otherwise("network"))
+        .when(ack_us > slow_answer_us, "client")
+        .when(answer_us + ack_us > slow_us, "network")
+        .otherwise("none")
+    )
+
+
+def handshakes(p: DataFrame, slow_us: int = 300_000, slow_answer_us: int = 100_000, at_least_us: int | None = None) -> DataFrame:
+    """Handshakes with their delays and the side suspected of slowness; incomplete ones have nulls.
+
+    With at_least_us only handshakes stay of which one delay or the total reaches it.
+    """
     schema = "src_ip string, src_port int, dst_ip string, dst_port int, syn_us bigint, synack_us bigint, ack_us bigint"
     h = _connections(p, handshakes_of, schema)
     total = F.col("ack_us") - F.col("syn_us")
-    return h.withColumn("total_us", total).withColumn("slow", F.coalesce(total > slow_us, F.lit(False)))
+    answer, ack = F.col("synack_us") - F.col("syn_us"), F.col("ack_us") - F.col("synack_us")
+    h = h.withColumn("total_us", total).withColumn("slow", F.coalesce(total > slow_us, F.lit(False)))
+    h = h.withColumn("suspected", suspected_side(answer, ack, slow_us, slow_answer_us))
+    return h if at_least_us is None else h.where(F.greatest(answer, ack, total) >= at_least_us)
 
 
 def retransmissions(p: DataFrame) -> DataFrame:

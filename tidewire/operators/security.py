@@ -19,7 +19,7 @@ def _no_local() -> Column:
     return ~is_localhost(F.col("src_ip")) & ~is_localhost(F.col("dst_ip"))
 
 
-def port_scans(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, min_attempts: int = 5, fail: float = 0.7, rate: float = 5.0, skip_private: bool = False) -> DataFrame:
+def scan_events(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, min_attempts: int = 5, fail: float = 0.7, rate: float = 5.0, skip_private: bool = False) -> DataFrame:
     """Sources that try many ports at few targets (horizontal), many targets at few ports (vertical), or both (distributed).
 
     Where bounds overlap, the first of these kinds that fits is taken.
@@ -34,7 +34,7 @@ def port_scans(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, m
     a = syn.join(back, ["src_ip", "dst_ip", "dst_port"], "left").withColumn("ok", F.coalesce(F.col("answer") > F.col("first"), F.lit(False)).cast("int"))
     g = a.groupBy("src_ip").agg(
         F.sum("n").alias("attempts"), F.sum("ok").alias("answered"), F.count_distinct("dst_ip").alias("targets"), F.count_distinct("dst_port").alias("ports"),
-        (F.max("last") - F.min("first")).alias("span_us"),
+        F.min("first").alias("start_us"), (F.max("last") - F.min("first")).alias("span_us"),
     ).where((F.col("attempts") >= min_attempts) & (F.col("span_us") > 0))
     kind = F.when((F.col("ports") >= ports) & (F.col("targets") <= few), "horizontal").when((F.col("targets") >= targets) & (F.col("ports") <= few), "vertical").when((F.col("ports") >= ports) & (F.col("targets") >= targets), "distributed")
     g = g.withColumn("kind", kind).where("kind is not null")
@@ -48,7 +48,12 @@ def port_scans(p: DataFrame, ports: int = 10, targets: int = 10, few: int = 3, m
     fast = F.col("attempts") * 1e6 / F.col("span_us") > rate
     level = F.when(fast, F.when(level < 2, 2).otherwise(3)).otherwise(level)
     severity = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), level.cast("int") + 1)
-    return g.select("src_ip", "kind", "attempts", "answered", "targets", "ports", severity.alias("severity"))
+    return g.select("src_ip", "kind", "attempts", "answered", "targets", "ports", severity.alias("severity"), "start_us", "span_us")
+
+
+def port_scans(p: DataFrame, **bounds: float) -> DataFrame:
+    """scan_events without their times."""
+    return scan_events(p, **bounds).drop("start_us", "span_us")
 
 
 def syn_floods(p: DataFrame, per_s: float = 100.0, ratio: float = 0.1, window_us: int = 10_000_000) -> DataFrame:

@@ -67,7 +67,7 @@ def jitter(p: DataFrame, **cuts: int) -> DataFrame:
     keys = [*FIVE, "session"]
     w = Window.partitionBy(*keys).orderBy("ts_us", "packet_num")
     d = sessions(p, **cuts).withColumn("delay", F.col("ts_us") - F.lag("ts_us").over(w))
-    return d.withColumn("jitter_us", F.abs(F.col("delay") - F.lag("delay").over(w))).where("jitter_us is not null").select(*keys, "packet_num", "jitter_us")
+    return d.withColumn("jitter_us", F.abs(F.col("delay") - F.lag("delay").over(w))).where("jitter_us is not null").select(*keys, "packet_num", "jitter_us", F.col("delay").alias("delay_us"))
 
 
 def _stats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -86,6 +86,11 @@ def jitter_flow_stats(p: DataFrame, **cuts: int) -> DataFrame:
     return _stats(jitter(p, **cuts), FIVE)
 
 
+def jitter_filtered_stats(p: DataFrame, longest_us: int = 60_000_000, **cuts: int) -> DataFrame:
+    """jitter_flow_stats without the values that follow a delay of longest_us or more."""
+    return _stats(jitter(p, **cuts).where(F.col("delay_us") < longest_us), FIVE)
+
+
 def jitter_global(p: DataFrame, **cuts: int) -> DataFrame:
     """One row over all flows: number, least, most and mean of the values, from counts per value."""
     per = jitter(p, **cuts).groupBy("jitter_us").agg(F.count("*").alias("c"))

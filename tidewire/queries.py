@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.cols import entropy, ip_num, redact
 from .operators import folds, names, security, tcp, timing, traffic
-from .plans import report, score
+from .plans import listings, report, score
 from .sources.adapters import events_to_packets
 from .thresholds import Thresholds
 
@@ -259,7 +259,7 @@ SELECT {FLOW}, first_us, retries, answered, delay_us, CASE WHEN NOT answered THE
 
 _SCAN = """, s AS (SELECT src_ip, dst_ip, dst_port, count(*) AS n, min(ts_us) AS first, max(ts_us) AS last FROM e WHERE syn GROUP BY ALL),
 b AS (SELECT dst_ip AS src_ip, src_ip AS dst_ip, src_port AS dst_port, max(ts_us) AS answer FROM e WHERE synack GROUP BY ALL),
-g AS (SELECT src_ip, sum(n)::BIGINT AS attempts, count(*) FILTER (answer > first)::BIGINT AS answered, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, max(last) - min(first) AS span FROM s LEFT JOIN b USING (src_ip, dst_ip, dst_port) GROUP BY src_ip HAVING sum(n) >= 3 AND max(last) > min(first)),
+g AS (SELECT src_ip, sum(n)::BIGINT AS attempts, count(*) FILTER (answer > first)::BIGINT AS answered, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS ports, min(first) AS start_us, max(last) - min(first) AS span FROM s LEFT JOIN b USING (src_ip, dst_ip, dst_port) GROUP BY src_ip HAVING sum(n) >= 3 AND max(last) > min(first)),
 k AS (SELECT *, CASE WHEN ports >= 3 AND targets <= {few} THEN 'horizontal' WHEN targets >= 3 AND ports <= {few} THEN 'vertical' WHEN ports >= 3 AND targets >= 3 THEN 'distributed' END AS kind FROM g),
 l AS (SELECT *, CASE kind WHEN 'distributed' THEN 2 WHEN 'horizontal' THEN CASE WHEN ports > 50 THEN 3 WHEN ports > 25 THEN 2 WHEN ports > 15 THEN 1 ELSE 0 END ELSE CASE WHEN targets > 50 THEN 3 WHEN targets > 20 THEN 2 WHEN targets > 10 THEN 1 ELSE 0 END END AS level FROM k WHERE kind IS NOT NULL),
 m AS (SELECT *, CASE WHEN attempts - answered > 0.7 * attempts AND level < 2 THEN level + 1 ELSE level END AS l2 FROM l),
@@ -432,3 +432,47 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 over_tables("user_entropy", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.round(entropy(F.col("c_name")), 6).alias("bits")), """
 WITH c AS (SELECT c_custkey, length(c_name)::DOUBLE AS n, unnest(string_split(lower(c_name), '')) AS ch FROM customer), k AS (SELECT c_custkey, ch, count(*) / any_value(n) AS f FROM c GROUP BY c_custkey, ch)
 SELECT c_custkey, round(sum(-f * log2(f)), 6) AS bits FROM k GROUP BY c_custkey""")
+
+# ---------------------------------------------------------------- listings, root causes, CSV tables
+
+_RANK = "list_position(['critical', 'high', 'medium', 'low'], severity)"
+over_varied("port_scan_worst", lambda p: listings.by_severity(security.scan_events(p, ports=3, targets=3, few=2, min_attempts=3, rate=2e-5), "start_us", "src_ip"), _SCAN.format(few=2, rate="2e-5").replace(
+    "SELECT src_ip, kind, attempts", ", v AS (SELECT src_ip, kind, attempts").replace(" AS severity FROM o", " AS severity, start_us, span AS span_us FROM o)") + f" SELECT *, row_number() OVER (ORDER BY {_RANK}, start_us, src_ip)::INT AS place FROM v ORDER BY place LIMIT 20")
+over_varied("brute_force_worst", lambda p: listings.by_severity(security.brute_force(p, 1, 0.0), "first_us", "src_ip", "dst_ip", "dst_port"), ", " + _BRUTE.format(least=1, fail="0.0").replace(
+    "SELECT src_ip, dst_ip, dst_port, attempts, established", ", v AS (SELECT src_ip, dst_ip, dst_port, attempts, established").replace(" AS severity FROM k", " AS severity FROM k)") + f" SELECT *, row_number() OVER (ORDER BY {_RANK}, first_us, src_ip, dst_ip, dst_port)::INT AS place FROM v ORDER BY place LIMIT 20")
+over_packets("retrans_slowest", listings.slowest_retransmissions, f", {_X} SELECT *, row_number() OVER (ORDER BY delay_us DESC, packet_num)::INT AS place FROM x ORDER BY place LIMIT 20")
+_RF = f"rf AS (SELECT {FLOW}, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us) / count(*)::DOUBLE AS mean_us, quantile_cont(rtt_us, 0.5)::DOUBLE AS median_us, count(*) FILTER (rtt_us > {24 * HOUR}) AS spikes FROM rtt GROUP BY {FLOW})"
+over_packets("rtt_worst_flows", lambda p: listings.worst_round_trips(tcp.rtt_flow_stats(both_ways(p), 96 * HOUR, 24 * HOUR)), f", {_R}, {_RF} SELECT *, row_number() OVER (ORDER BY max_us DESC, {FLOW})::INT AS place FROM rf ORDER BY place LIMIT 10")
+over_packets("rtt_global", lambda p: listings.round_trip_summary(tcp.rtt_measurements(both_ways(p), 96 * HOUR), 24 * HOUR, 72 * HOUR), f""", {_R}, g AS (SELECT count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us)::DOUBLE AS s, sum(rtt_us::HUGEINT * rtt_us)::DOUBLE AS q,
+count(*) FILTER (rtt_us > {24 * HOUR}) AS high, count(*) FILTER (rtt_us > {72 * HOUR}) AS critical FROM rtt) SELECT n, min_us, max_us, s / n::DOUBLE AS mean_us, sqrt(greatest((q * n::DOUBLE - s * s) / (n::DOUBLE * (n::DOUBLE - 1)), 0.0)) AS stdev_us, high, critical FROM g""")
+over_packets("rtt_of_a_flow", lambda p: listings.flow_details(tcp.rtt_measurements(both_ways(p), 96 * HOUR), dst_ip="93.184.216.34", dst_port=443), f", {_R} SELECT * FROM rtt WHERE dst_ip = '93.184.216.34' AND dst_port = 443")
+over_packets("syn_delays_slowest", lambda p: listings.slowest_attempts(tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR)), ORACLES["syn_delays"].removeprefix(PACKETS).replace("SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered", ", dv AS (SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered")
+    + f") SELECT *, row_number() OVER (ORDER BY delay_us DESC, {FLOW}, first_us)::INT AS place FROM dv ORDER BY place LIMIT 10")
+over_packets("burst_worst", lambda p: listings.worst_burst(timing.bursts(p, BURST)), f", {_B} SELECT * FROM bursts ORDER BY peak_ratio DESC, start_us LIMIT 1")
+over_packets("connections_longest_idle", lambda p: listings.longest_idle(tcp.connection_states(p, 24 * HOUR, 96 * HOUR)), ORACLES["tcp_connection_states"].removeprefix(PACKETS).replace(f"SELECT {ENDS}, packets, idle_us, CASE", f", st AS (SELECT {ENDS}, packets, idle_us, CASE")
+    + f") SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY idle_us DESC, {ENDS})::INT AS place FROM st) WHERE place <= 10")
+_JF = f"""jf AS (SELECT {_FIVE}, count(*) AS n, sum(jitter_us)::BIGINT AS total_us, min(jitter_us) AS min_us, max(jitter_us) AS max_us, sum(jitter_us) / count(*)::DOUBLE AS mean_us,
+list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.95)::BIGINT, count(*) - 1)] AS p95_us, list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.99)::BIGINT, count(*) - 1)] AS p99_us FROM j WHERE delay < {24 * HOUR} GROUP BY {_FIVE})"""
+over_packets("jitter_filtered_stats", lambda p: timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS), f", {_J}, {_JF} SELECT * FROM jf")
+over_packets("jitter_offenders", lambda p: listings.jitter_offenders(timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS)), f""", {_J}, {_JF}, o AS (SELECT {_FIVE}, n, mean_us, p95_us, max_us, CASE WHEN protocol = 'UDP' THEN CASE WHEN p95_us < 20000 THEN 'excellent' WHEN p95_us < 30000 THEN 'low' WHEN p95_us < 50000 THEN 'medium' ELSE 'critical' END
+WHEN p95_us < 100000 THEN 'low' WHEN p95_us < 200000 THEN 'medium' ELSE 'critical' END AS severity FROM jf WHERE p95_us > 30000 OR mean_us > 30000) SELECT *, row_number() OVER (ORDER BY p95_us DESC, {_FIVE})::INT AS place FROM o ORDER BY place LIMIT 10""")
+over_packets("retransmission_context", listings.retransmission_context, f""", {_X}, c AS (SELECT packet_num, list(packet_num) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l FROM e WHERE tcp)
+SELECT packet_num, coalesce(len(l), 0)::BIGINT AS n_before, coalesce(array_to_string(l, ','), '') AS before FROM c WHERE packet_num IN (SELECT packet_num FROM x)""")
+over_packets("traffic_shaping", lambda p: listings.shaped_flows(p, 3, 0.6), f""", {_X}, d AS (SELECT {FLOW}, ts_us - lag(ts_us) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS d FROM x JOIN (SELECT packet_num, ts_us FROM p) USING (packet_num)),
+g AS (SELECT {FLOW}, count(*) AS n, sum(d)::DOUBLE AS s, sum(d::HUGEINT * d)::DOUBLE AS q FROM d GROUP BY {FLOW} HAVING count(*) >= 3 AND sum(d) > 0), h AS (SELECT *, s / (n - 1)::DOUBLE AS mean_us FROM g),
+i AS (SELECT {FLOW}, n, mean_us, sqrt(greatest(q / (n - 1)::DOUBLE - mean_us * mean_us, 0.0)) / mean_us AS cv FROM h) SELECT * FROM i WHERE cv < 0.6""")
+_XT = _X.replace("FROM e WHERE tcp AND", "FROM t WHERE")
+over_packets("silent_targets", lambda p: listings.silent_targets(both_ways(p)), f""", {_R}, {_XT}, b AS (SELECT DISTINCT dst_ip AS src_ip, dst_port AS src_port, src_ip AS dst_ip, src_port AS dst_port FROM t WHERE (flags & 20) <> 0)
+SELECT {FLOW}, count(*) AS retries FROM x ANTI JOIN b USING ({FLOW}) WHERE (tcp_flags & 2) <> 0 GROUP BY {FLOW}""")
+over_packets("tcp_window_groups", lambda p: listings.window_groups(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p), 96 * HOUR), f""", {_TW}, st AS (SELECT {FLOW}, count(*) AS packets, count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows FROM tw GROUP BY {FLOW}),
+z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw),
+zp AS (SELECT {FLOW}, sum(d)::BIGINT AS closed_us FROM (SELECT {FLOW}, coalesce(max(nxt), max(ts_us)) - min(ts_us) AS d FROM z WHERE win = 0 GROUP BY {FLOW}, run) GROUP BY {FLOW}),
+k AS (SELECT *, CASE WHEN zero_windows > 5 OR closed_us > {96 * HOUR} THEN 'application' WHEN low_windows * 100 > packets * 30 THEN 'receiver' ELSE 'other' END AS kind FROM st JOIN zp USING ({FLOW}) WHERE zero_windows > 0)
+SELECT kind, count(*) AS flows, sum(zero_windows)::BIGINT AS zero_windows, sum(closed_us)::BIGINT AS closed_us, max(zero_windows::HUGEINT * closed_us)::DOUBLE AS worst FROM k GROUP BY kind""")
+_FLOW_TEXT = "concat(src_ip, ':', coalesce(src_port::VARCHAR, 'None'), ' -> ', dst_ip, ':', coalesce(dst_port::VARCHAR, 'None'), ' (', protocol, ')') AS \"Flow\""
+_SERVICE_FLOWS = _SERVICES.rsplit("\nSELECT service", 1)[0].replace("o AS (SELECT n, bytes,", f"o AS (SELECT protocol, {FLOW}, n, bytes,")
+over_varied("csv_protocol_distribution", lambda p: listings.csv_protocols(traffic.protocol_distribution(p)), """ SELECT protocol AS "Protocol", count(*) AS "Count", printf('%.2f%%', count(*) / (SELECT count(*) FROM p)::DOUBLE * 100.0) AS "Percentage" FROM p GROUP BY protocol""")
+over_varied("csv_service_classification", lambda p: listings.csv_services(traffic.service_summary(p)), f""", {_SERVICE_FLOWS} SELECT service AS "Service Type", count(*) AS "Flow Count", printf('%.2f%%', count(*) / (SELECT count(*) FROM o)::DOUBLE * 100.0) AS "Percentage" FROM o GROUP BY service""")
+over_packets("csv_jitter_statistics", lambda p: listings.csv_jitter(timing.jitter_flow_stats(p, **CUTS)), f""", {_J}, g AS (SELECT {_FIVE}, count(*) AS n, max(jitter_us) AS mx, sum(jitter_us) / count(*)::DOUBLE AS mean FROM j GROUP BY {_FIVE})
+SELECT {_FLOW_TEXT}, printf('%.3f', round_even(mean, 0) / 1000.0::DOUBLE) AS "Mean Jitter (ms)", printf('%.3f', mx / 1000.0::DOUBLE) AS "Max Jitter (ms)", n AS "Packet Count" FROM g""")
+over_varied("csv_classified_flows", lambda p: listings.csv_flows(traffic.classify_services(p)), f""", {_SERVICE_FLOWS} SELECT {_FLOW_TEXT}, service AS "Service Type", printf('%.2f', c) AS "Confidence", n AS "Packets", printf('%.0f', bytes / n::DOUBLE) AS "Avg Packet Size" FROM o""")
