@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     full = table.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "f1", "f2"]
-    heads = scratch.write(full.groupBy(same).agg(F.min("doc_id").alias("head")), "heads")
-    copies = full.select("doc_id", *same).join(heads, same).where("doc_id <> head")
+    heads = full.groupBy(same).agg(F.min("doc_id").alias("head"), F.count("*").alias("times")).where("times > 1")
+    copies = join_crowded(full.select("doc_id", *same), scratch.write(heads, "heads"), same).where("doc_id <> head")
     copies = scratch.write(copies.select("doc_id", "head").distinct(), "copies")
     one = with_ids(full, copies.select("doc_id").distinct(), "doc_id", keep=False)
     keyed = one.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
