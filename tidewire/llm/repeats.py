@@ -273,8 +273,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[D
     d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
     long = d.where(F.octet_length("text") >= LENGTH)
     ids = scratch.write(long.select("doc_id", F.md5(F.col("text").cast("binary")).alias("t")).distinct(), "texts")
-    heads = ids.groupBy("t").agg(F.min("doc_id").alias("head"))
-    copies = scratch.write(ids.join(heads, "t").where("doc_id > head").select("doc_id").distinct(), "copies")
+    heads = ids.groupBy("t").agg(F.min("doc_id").alias("head"), F.count("*").alias("times")).where("times > 1")
+    copies = scratch.write(join_crowded(ids, scratch.write(heads, "heads"), ["t"]).where("doc_id > head").select("doc_id").distinct(), "copies")
     rest = with_ids(long, copies, "doc_id", keep=False)
     rows = rest.mapInArrow(_anchor_rows, "key bigint, doc_id bigint, pos int")
     rows = scratch.write(rows, "anchors")
