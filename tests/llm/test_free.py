@@ -52,6 +52,26 @@ def test_near_duplicates(frame, scratch, monkeypatch):
     assert jaccard.near_duplicates(frame([], odd=False), scratch).count() == 0
 
 
+def test_hot_keys_give_way_to_rarer_ones(frame, scratch, monkeypatch):
+    """One licence sentence in many short, unlike texts: no key stays hot, and no link is lost."""
+    rng = random.Random(8)
+    licence = prose(rng, 20)
+    rows = [(i, f"{licence} {' '.join(f'w{rng.randrange(10**9)}' for _ in range(12))}") for i in range(60)]
+    for i in range(20):
+        w = rows[i][1].split(" ")
+        w[-1] = f"n{i}"
+        rows.append((60 + i, " ".join(w)))
+    rows += [(80, licence), (81, licence + " a"), (80, rows[3][1]), (82, rows[4][1]), (82, rows[4][1])]
+    df = frame(rows, odd=False)
+    want = components(rows)
+    for revisions in (0, 1, 3):
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, scratch, 5, revisions).collect()}
+        assert got == want
+    one = scratch.write(df.select("doc_id", "text").mapInArrow(jaccard._sketches, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>"))
+    most = lambda revisions: jaccard._rarest(df.select("doc_id", "text"), one, scratch, 5, revisions)[1].agg({"times": "max"}).first()[0]
+    assert most(0) > 30 and most(3) <= 10
+
+
 def test_chained_copies_around_hubs(frame, scratch, monkeypatch):
     """Copies of copies drift away from the first one; blocks of three force the block comparison to be split."""
     monkeypatch.setattr(jaccard._still_apart, "__defaults__", (3,))

@@ -76,12 +76,12 @@ class Scratch:
             pass
 
 
-def with_ids(df: DataFrame, ids: DataFrame, on: str, keep: bool = True) -> DataFrame:
-    """Rows of df whose `on` is (keep) or isn't (not keep) in the one-column table ids.
+def with_ids(df: DataFrame, ids: DataFrame, on: str | list[str], keep: bool = True) -> DataFrame:
+    """Rows of df whose `on` is (keep) or isn't (not keep) in the table ids, whose columns are `on`.
 
-    ids is broadcast only when counted to be at most BROADCAST_IDS; else both sides are shuffled.
+    ids is broadcast only when counted to be at most BROADCAST_IDS a column; else both sides are shuffled.
     """
-    small = ids.count() <= BROADCAST_IDS
+    small = ids.count() * len(ids.columns) <= BROADCAST_IDS
     side = F.broadcast(ids) if small else ids
     return df.join(side, on, "left_semi" if keep else "left_anti")
 

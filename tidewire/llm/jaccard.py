@@ -12,6 +12,11 @@ K follows from the size band; a document near its band's upper end is also sketc
 the next band, so every pair of compatible sizes meets in one band. No link is lost;
 every candidate pair is verified on the whole sets.
 
+The order may be any that all documents follow. So keys that occur in over HOT documents
+(a licence sentence, say) move to its end, and the documents that had them take rarer
+words of their own instead. Only a document with no more than D rare words keeps a hot
+key: its sketch is then almost wholly made of words that many documents share.
+
 Equal sets are one vertex. Documents that share a key are not paired with each other.
 Each is first verified against the smallest document it shares a key with (its hub), and
 components are taken. Only where the documents around a hub still lie in several
@@ -38,6 +43,10 @@ PCT = 80
 BAND = 4
 #: Documents in a block of the block-against-block comparison.
 BLOCK = 2048
+#: Keys in more documents than this go last in every document's order.
+HOT = 1000
+#: How often the order is revised: rarer words may prove to be hot in turn.
+REVISIONS = 2
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,11 +64,11 @@ def most_keys(n: int, largest: int, pct: int = PCT) -> int:
     return max(largest_difference(n, b, pct) for b in (largest - 1, largest)) + 1
 
 
-def band_keys(hashes: np.ndarray, pct: int = PCT) -> np.ndarray:
-    """The keys of a set (sorted distinct hashes) in its band and, near the upper end, in the next."""
+def band_orders(hashes: np.ndarray, pct: int = PCT) -> list[tuple[int, int, np.ndarray]]:
+    """(upper end of the band, keys to keep, all keys in order) of a set (sorted distinct hashes): its band and, near the upper end, the next."""
     n = len(hashes)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     partner = 100 * n // pct
     top = BAND
     while top <= n:
@@ -77,12 +86,14 @@ def band_keys(hashes: np.ndarray, pct: int = PCT) -> np.ndarray:
         count = np.diff(np.append(at, n))
         tag = np.uint64(upper * 0x9E3779B97F4A7C15 % 2**64)
         key = mix(word ^ mix(used + tag))
-        key = key[np.lexsort((key, -count))][:keep]
-        if len(key) < keep:  # too few words are in use: the empty ones follow, in order of place
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), used)[: keep - len(key)]
-            key = np.concatenate((key, mix(mix(empty + tag))))
-        out.append(key)
-    return np.concatenate(out)
+        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), used, assume_unique=True)  # they follow, in order of place
+        out.append((upper, keep, np.concatenate((key[np.lexsort((key, -count))], mix(mix(empty + tag))))))
+    return out
+
+
+def band_keys(hashes: np.ndarray, pct: int = PCT) -> np.ndarray:
+    """The keys that a set keeps while no key is known to be hot."""
+    return np.concatenate([np.zeros(0, np.uint64), *(key[:keep] for _, keep, key in band_orders(hashes, pct))])
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -110,6 +121,24 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offs in chunks(batch, "text"):
+            ids = batch.column("doc_id").slice(lo, hi - lo)
+            rows = [(i, mix(s).sum(dtype=np.uint64), *o) for i, s in enumerate(shingle_sets(data, offs, WORDS)) for o in band_orders(s)]
+            at, f1, upper, keep, keys = ([r[k] for r in rows] for k in range(5))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(at, pa.int64())),
+                    pa.array(np.array(f1, np.uint64).view(np.int64)),
+                    pa.array(upper, pa.int64()),
+                    pa.array(keep, pa.int32()),
+                    _lists(keys),
+                ],
+                names=["doc", "f1", "upper", "keep", "keys"],
+            )
+
+
 def bit_sketch(hashes: np.ndarray) -> np.ndarray:
     """64-bit words of a parity sketch of 4 to 16 bits per element; a power of two, so longer ones fold onto shorter ones by XOR."""
     n = 64
@@ -214,6 +243,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(both.mapInArrow(_verify, "a bigint, b bigint, ok boolean").where("ok").select("a", "b").distinct(), "links")
 
 
+def _counted(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.write(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
+
+
+def _rarest(d: DataFrame, one: DataFrame, scratch: Scratch, hot: int, revisions: int) -> tuple[DataFrame, DataFrame]:
+    """The keys (key, doc) of all documents, with hot ones last in every order, and how often each key occurs.
+
+    Every document that holds a hot key takes its keys anew from its whole order; the keys
+    of all others stand before the hot ones in any case, so all follow one order.
+    """
+    first = one.select("doc_id", "keys")
+    keyed = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    times = _counted(keyed, scratch)
+    crowded = None
+    orders = None
+    for _ in range(revisions):
+        now = times.where(F.col("times") > hot)
+        now = scratch.write(now if crowded is None else now.join(crowded, "key", "left_anti"), "hot")
+        if now.isEmpty():
+            break
+        crowded = now if crowded is None else scratch.write(crowded.unionByName(now), "crowded")
+        held = scratch.write(join_crowded(keyed, now, ["key"]).select(F.col("doc").alias("doc_id")).distinct(), "held")
+        if orders is not None:
+            held = with_ids(held, orders.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", keep=False)
+        more = with_ids(d, held, "doc_id").mapInArrow(_orders, "doc bigint, f1 bigint, upper bigint, keep int, keys array<bigint>")
+        more = scratch.write(more, "orders")
+        orders = more if orders is None else orders.unionByName(more)
+        row = ["doc", "f1", "upper"]
+        seen = join_crowded(orders.select(*row, F.explode("keys").alias("key")), crowded, ["key"])
+        seen = seen.groupBy(row).agg(F.collect_set("key").alias("late"))
+        late = F.coalesce("late", F.array().cast("array<bigint>"))
+        ordered = F.concat(F.array_except("keys", late), F.array_intersect("keys", late))
+        taken = orders.join(seen, row, "left").select(F.explode(F.slice(ordered, F.lit(1), F.col("keep"))).alias("key"), "doc")
+        moved = scratch.write(orders.select(F.col("doc").alias("doc_id")).distinct(), "moved")
+        rest = with_ids(first, moved, "doc_id", keep=False).select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+        keyed = rest.unionByName(scratch.write(taken, "taken"))
+        times = _counted(keyed, scratch)
+    return keyed, times
+
+
 def _still_apart(star: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Pairs of documents around one hub in different components that size and sketch allow.
 
@@ -240,7 +309,7 @@ def _still_apart(star: DataFrame, label: DataFrame, sets: DataFrame, scratch: Sc
     return dealt.mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, hot: int = HOT, revisions: int = REVISIONS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links per row of docs.
 
     component_id is the smallest doc_id reachable by links (itself included). n_links counts
@@ -258,10 +327,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     same = ["n_shingles", "f1", "f2"]
     heads = full.groupBy(same).agg(F.min("doc_id").alias("head"), F.count("*").alias("times")).where("times > 1")
     copies = join_crowded(full.select("doc_id", *same), scratch.write(heads, "heads"), same).where("doc_id <> head")
-    copies = scratch.write(copies.select("doc_id", "head").distinct(), "copies")
-    one = with_ids(full, copies.select("doc_id").distinct(), "doc_id", keep=False)
-    keyed = one.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    times = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    copies = scratch.write(copies.select("doc_id", *same, "head").distinct(), "copies")
+    one = with_ids(full, copies.select("doc_id", *same).distinct(), ["doc_id", *same], keep=False)
+    copies = copies.select("doc_id", "head")
+    keyed, times = _rarest(d, one, scratch, hot, revisions)
     met = scratch.write(join_crowded(keyed, times, ["key"]).select("key", "doc").distinct(), "met")
     ids = scratch.write(met.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     schema = "doc_id bigint, n bigint, s binary, bits binary"
@@ -291,8 +360,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         label = label.withColumn("n", F.lit(None).cast("bigint"))
     # A document with several texts joins their heads; the copies then follow their heads.
     several = copies.groupBy("doc_id").agg(F.min("head").alias("head"), F.count("*").alias("k"))
-    tied = copies.join(several.where("k > 1").select("doc_id"), "doc_id", "left_semi")
-    if not tied.isEmpty() or not _shared_ids(one).isEmpty():
+    texts = full.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high"))
+    if not texts.where("low <> high").isEmpty():
         more = copies.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
         links = more if links is None else links.unionByName(more)
         reach = components(links, scratch)
@@ -308,10 +377,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def _shared_ids(one: DataFrame) -> DataFrame:
-    return one.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-
-
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component (null doc_ids stay), with docs' own columns.
 
