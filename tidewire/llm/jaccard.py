@@ -247,8 +247,11 @@ def _counted(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
 
 
-def _rarest(d: DataFrame, one: DataFrame, scratch: Scratch, hot: int, revisions: int) -> tuple[DataFrame, DataFrame]:
-    """The keys (key, doc) of all documents, with hot ones last in every order, and how often each key occurs.
+def _rarest(d: DataFrame, one: DataFrame, scratch: Scratch, hot: int, revisions: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The keys (key, doc) of all documents, with hot ones last in every order, how often each key occurs, and pairs (a, b).
+
+    The pairs join every holder of hot keys with the smallest holder of one of them: one pair a
+    document and revision, which links most near copies before blocks are compared.
 
     Every document that holds a hot key takes its keys anew from its whole order; the keys
     of all others stand before the hot ones in any case, so all follow one order.
@@ -257,14 +260,19 @@ def _rarest(d: DataFrame, one: DataFrame, scratch: Scratch, hot: int, revisions:
     keyed = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     times = _counted(keyed, scratch)
     crowded = None
-    orders = None
+    orders = pairs = None
     for _ in range(revisions):
         now = times.where(F.col("times") > hot)
         now = scratch.write(now if crowded is None else now.join(crowded, "key", "left_anti"), "hot")
         if now.isEmpty():
             break
         crowded = now if crowded is None else scratch.write(crowded.unionByName(now), "crowded")
-        held = scratch.write(join_crowded(keyed, now, ["key"]).select(F.col("doc").alias("doc_id")).distinct(), "held")
+        holders = scratch.write(join_crowded(keyed, now, ["key"]).select("key", "doc"), "holders")
+        centre = scratch.write(holders.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("times")), "centre")
+        met = join_crowded(holders, centre, ["key"]).where("hub < doc").groupBy("doc").agg(F.min("hub").alias("a"))
+        met = scratch.write(met.select("a", F.col("doc").alias("b")), "pairs")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        held = scratch.write(holders.select(F.col("doc").alias("doc_id")).distinct(), "held")
         if orders is not None:
             held = with_ids(held, orders.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", keep=False)
         more = with_ids(d, held, "doc_id").mapInArrow(_orders, "doc bigint, f1 bigint, upper bigint, keep int, keys array<bigint>")
@@ -280,7 +288,7 @@ def _rarest(d: DataFrame, one: DataFrame, scratch: Scratch, hot: int, revisions:
         rest = with_ids(first, moved, "doc_id", keep=False).select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
         keyed = rest.unionByName(scratch.write(taken, "taken"))
         times = _counted(keyed, scratch)
-    return keyed, times
+    return keyed, times, pairs
 
 
 def _still_apart(star: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
@@ -330,7 +338,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, hot: int = HOT, revisions
     copies = scratch.write(copies.select("doc_id", *same, "head").distinct(), "copies")
     one = with_ids(full, copies.select("doc_id", *same).distinct(), ["doc_id", *same], keep=False)
     copies = copies.select("doc_id", "head")
-    keyed, times = _rarest(d, one, scratch, hot, revisions)
+    keyed, times, pairs = _rarest(d, one, scratch, hot, revisions)
     met = scratch.write(join_crowded(keyed, times, ["key"]).select("key", "doc").distinct(), "met")
     ids = scratch.write(met.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     schema = "doc_id bigint, n bigint, s binary, bits binary"
@@ -338,6 +346,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, hot: int = HOT, revisions
     hubs = met.groupBy("key").agg(F.min("doc").alias("hub"))
     star = scratch.write(met.join(hubs, "key").select("hub", "doc").distinct(), "star")
     nearest = star.where("hub < doc").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
+    if pairs is not None:
+        nearest = nearest.unionByName(pairs).distinct()
     links = _verified(nearest, sets, scratch)
     label = ids.select(F.col("doc_id").alias("doc"))
     if not links.isEmpty():
