@@ -221,13 +221,13 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((s[end] - s[start]) * down[start] ^ (end - start).astype(np.uint64) * _P)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document index) of every word in the concatenated texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document index) of every word in the concatenated texts; gap: which byte values separate words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~_IS_SPACE[data]
+    ink = ~gap[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = np.flatnonzero(ink & (np.concatenate(([True], ~ink[:-1])) | first[:n]))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, gam, jaccard, lines, pieces, repeats, rules, secrets, toxicity
+from . import chat, decontam, gam, jaccard, language, lines, negatives, pieces, repeats, rules, search, secrets, toxicity
 from .common import Scratch
 
 
@@ -61,6 +62,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op12"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"), label)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, Scratch(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_secret_scans,
@@ -73,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_quality_classifier,
         op10_line_dedup,
+        op11_language_id,
+        op12_ranked_search,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in registered}
 
@@ -85,4 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_benchmark_decontamination": decontam.ORACLE,
         "op8_quality_rules": rules.ORACLE,
         "op10_line_dedup": lines.ORACLE,
+        "op12_ranked_search": search.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
     }
