@@ -176,7 +176,9 @@ def _search(rows: DataFrame, anchors: DataFrame, blocks: int, same: bool, k: int
     needs = anchors.select("block", shortest.alias("t")).groupBy("block").agg(F.min("t").alias("t")).agg(F.collect_list(F.struct("block", "t")).alias("needs"))
     to = F.explode(F.filter("needs", lambda b: b["t"] <= F.col("norm") * (1 + SLACK) + SLACK))
     dealt = rows.crossJoin(F.broadcast(needs)).select("*", to.alias("b"))  # needs is one row
-    dealt = dealt.select(F.col("b.block").alias("block"), F.pmod("bucket", shares.cast("bigint")).cast("int").alias("share"), F.lit(1).alias("kind"), "bucket", "norm", "vec_id", "label", "q", F.array().cast("array<bigint>").alias("limits"))
+    # a bucket's id is its partition and its place there: neighbours go to different shares
+    place = F.pmod(F.shiftright("bucket", 33 - BUCKET_BITS) + F.col("bucket").bitwiseAND((1 << 33 - BUCKET_BITS) - 1), shares).cast("int")
+    dealt = dealt.select(F.col("b.block").alias("block"), place.alias("share"), F.lit(1).alias("kind"), "bucket", "norm", "vec_id", "label", "q", F.array().cast("array<bigint>").alias("limits"))
     both = sent.select(dealt.columns).unionByName(dealt).to(_schema(rows))
     keys = ("block", "share", "kind", "bucket", "vec_id")
     partial = both.repartition(blocks * SHARES, "block", "share").sortWithinPartitions(*keys).mapInArrow(_compare(same, k), FOUND)
