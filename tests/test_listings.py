@@ -62,4 +62,4 @@ def test_filtered_jitter_and_csv(packets, tmp_path, spark):  # noqa: F811
     report.write_csv(table, str(tmp_path / "jitter"))
     back_ = spark.read.csv(str(tmp_path / "jitter"), header=True).first()
     assert tuple(back_) == ("1.1.1.1:12345 -> 2.2.2.2:5000 (UDP)", "100.000", "100.000", "1")
-    assert listings.round_trip_summary(tcp.rtt_measurements(p)).select("n", F.col("stdev_us").isNull()).first() == (0, True)
+    assert listings.round_trip_summary(folds.round_trips(p)).select("n", F.col("stdev_us").isNull()).first() == (0, True)

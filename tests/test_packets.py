@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import cols
-from tidewire.operators import folds, names, security, tcp, timing, traffic
+from tidewire.operators import folds, names, security, steps, tcp, timing, traffic
 from tidewire.plans import report, score
 from tidewire.schema import PACKET_SCHEMA
 from tidewire.sources import adapters, pcap
@@ -56,7 +56,7 @@ def test_handshake(packets):
     ],
 )
 def test_retransmissions(packets, rows, want):
-    got = folds.retransmissions(packets(*rows)).orderBy("packet_num").collect()
+    got = folds.retransmissions(folds.segment_events(packets(*rows))).orderBy("packet_num").collect()
     assert [(r.packet_num, r.original_num, r.kind) for r in got] == want
 
 
@@ -88,9 +88,12 @@ def test_no_connection_is_held_whole(packets, spark):
             tries.setdefault((r.src_ip, r.dst_ip, r.dst_port), []).append(r)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        found = folds.handshakes(p), folds.retransmissions(p), security.brute_force(p, 1, -1.0)
-        for df, step in zip(found, (folds.handshakes_of, folds.retransmissions_of)):
-            want = [x for g in groups.values() for x in step(iter(g))]
+        found = folds.handshakes(p), folds.segment_events(p), security.brute_force(p, 1, -1.0)
+        for df, make in zip(found, (steps.Handshakes, lambda: steps.Segments(steps.Timers()))):
+            want = []
+            for g in groups.values():
+                step = make()
+                want += [x for r in g for x in step.feed(r)] + list(step.close())
             got = [tuple(r)[: len(want[0])] for r in df.collect()]
             assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 20
         for r in found[2].collect():
@@ -244,7 +247,7 @@ def test_jitter_trend(packets):
 
 def test_flow_quality(packets):
     p = packets(*[at(x, tcp_payload_len=10) for x in (0, 0.1, 0.3)], *[at(x, protocol="UDP", src_port=9, tcp_seq=None) for x in (0, 0.1, 0.3)])
-    got = report.flow_quality(timing.jitter_flow_stats(p), tcp.rtt_flow_stats(p), tcp.exact_retransmissions(p)).collect()
+    got = report.flow_quality(timing.jitter_flow_stats(p), tcp.rtt_flow_stats(folds.round_trips(p)), tcp.exact_retransmissions(p)).collect()
     assert {(r.src_port, r.jitter_mean_us, r.rtt_mean_us, r.retransmissions) for r in got} == {(12345, 100000.0, None, 2), (9, 100000.0, None, 0)}
 
 

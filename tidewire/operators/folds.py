@@ -1,122 +1,60 @@
-"""Order-dependent analyses: one pass over each connection's packets, in order.
+"""Order-dependent analyses: one pass over each key's rows, in order.
 
-Step functions are plain Python over the packets of one connection (both directions),
-streamed to them; what can be said by windows and joins is in tcp.py, and these functions
-define the cases that can't: consume-once matching and shared ACK state.
+What a row does to a key's state is said by the step objects of steps.py; here Spark deals
+the rows by key, sorts them in their partitions and streams them through. What can be said
+by windows and joins is in tcp.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby, islice
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import ACK, ENDS, FIN, RST, SYN, with_ends
+from ..functions.cols import ENDS, FLOW, SYN, is_tcp, with_ends
+from .steps import SEGMENT_EVENTS, Handshakes, Lookups, RoundTrips, Segments, Timers
 
 COLUMNS = ("packet_num", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "tcp_payload_len")
-
-
-def handshakes_of(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(src_ip, src_port, dst_ip, dst_port, syn_us, synack_us, ack_us) of SYN, SYN-ACK and the ACK that answers it.
-
-    The first SYN of a pending handshake counts, and its first SYN-ACK; the ACK must
-    acknowledge the SYN-ACK's number plus one. Then the next SYN starts anew.
-    """
-    open_: dict[tuple, list] = {}
-    for num, us, sip, sport, dip, dport, seq, ack, flags, win, size in rows:
-        key, back = (sip, sport, dip, dport), (dip, dport, sip, sport)
-        if flags & SYN and not flags & ACK:
-            open_.setdefault(key, [us, None, None])
-        elif flags & SYN:
-            h = open_.get(back)
-            if h is not None and h[1] is None:
-                h[1], h[2] = us, seq + 1
-        elif flags & ACK:
-            h = open_.get(key)
-            if h is not None and h[1] is not None and ack == h[2]:
-                yield (*key, h[0], h[1], us)
-                del open_[key]
-    for key, h in open_.items():
-        yield (*key, h[0], h[1], None)
-
-
-def retransmissions_of(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(packet_num, original_num, delay_us, kind, spurious) of each retransmission of one connection.
-
-    A segment is a retransmission if the same (number, length) was sent before, if the
-    other side had acknowledged all of it, or if it resends what three duplicate ACKs ask
-    for. State starts anew at a SYN with another initial number and after a close.
-    """
-    fresh = lambda: {"seen": {}, "max_ack": 0, "dup": 0, "last_ack": -1, "top": None, "isn": None, "closed": False}
-    side: dict[tuple, dict] = {}
-    for num, us, sip, sport, dip, dport, seq, ack, flags, win, size in rows:
-        key, back = (sip, sport), (dip, dport)
-        f, r = side.setdefault(key, fresh()), side.setdefault(back, fresh())
-        syn, fin = bool(flags & SYN), bool(flags & FIN)
-        if syn and not flags & ACK and (f["closed"] or (f["isn"] is not None and f["isn"] != seq)):
-            side[key], side[back] = f, r = fresh(), fresh()
-        if syn:
-            f["isn"] = seq
-        length = size + syn + fin
-        if length:
-            before = f["seen"].get((seq, size))
-            acked = seq + length <= r["max_ack"]
-            asked = r["dup"] > 2 and seq == r["last_ack"]
-            if before is not None or acked or asked:
-                first = before or f["top"] or (num, us)
-                delay = us - first[1]
-                if acked:
-                    kind = "Spurious Retransmission"
-                elif asked:
-                    kind = "Fast Retransmission"
-                elif syn:
-                    kind = "RTO" if delay >= 500_000 else "Retransmission"
-                else:
-                    kind = "RTO" if delay >= 200_000 else "Fast Retransmission" if delay <= 50_000 else "Retransmission"
-                yield num, first[0], delay, kind, acked
-            f["seen"].setdefault((seq, size), (num, us))
-            if f["top"] is None or seq >= f["top"][2]:
-                f["top"] = (num, us, seq)
-        if flags & ACK:
-            if ack == f["last_ack"] and not length:
-                f["dup"] += 1
-            elif ack != f["last_ack"]:
-                f["dup"] = 0
-            f["last_ack"], f["max_ack"] = ack, max(f["max_ack"], ack)
-        if flags & (RST | FIN):
-            f["closed"] = True
-            r["closed"] = r["closed"] or bool(flags & RST)
-
-
 #: Result rows that a task gathers before it hands them on.
 CHUNK = 10_000
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
-def _connections(p: DataFrame, step: Callable, schema: str) -> DataFrame:
-    """step over every TCP connection's packets in order.
+def ordered_fold(df: DataFrame, keys: Sequence[str], columns: Sequence[str], make: Callable, schema: str) -> DataFrame:
+    """Rows that the step of each key (make()) finds in `columns` of its rows, by ts_us and packet_num.
 
-    A connection lies sorted in one partition (the sort spills) and is read batch by batch,
-    so a task holds a batch and the step's state, never a whole connection. The state of
-    retransmissions_of is the distinct segments since the last SYN that starts it anew.
+    A key's rows lie sorted in one partition (the sort spills) and are read batch by batch,
+    so a task holds a batch and one step's state, never all rows of a key.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
-    out = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "))])
+    fields = [x.split() for x in schema.split(", ")]
+    out = pa.schema([(n, _KINDS[t]) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in (*ENDS, *COLUMNS)]))
-        groups = groupby(rows, lambda r: r[: len(ENDS)])
-        found = (x for _, g in groups for x in step(r[len(ENDS) :] for r in g))
-        while part := list(islice(found, CHUNK)):
+        rows = (r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)]))
+
+        def found() -> Iterator[tuple]:
+            for _, group in groupby(rows, itemgetter(*range(len(keys)))):
+                step = make()
+                for r in group:
+                    yield from step.feed(r[len(keys) :])
+                yield from step.close()
+
+        made = found()
+        while part := list(islice(made, CHUNK)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), out.types)], schema=out)
 
-    t = with_ends(p.where((F.col("protocol") == "TCP") & F.col("tcp_flags").isNotNull())).select(*ENDS, *COLUMNS)
-    t = t.repartition(*ENDS).sortWithinPartitions(*ENDS, F.col("ts_us").asc_nulls_last(), F.col("packet_num").asc_nulls_last())
-    return t.mapInArrow(run, schema)
+    t = df.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], *columns)
+    names = [f"key{i}" for i in range(len(keys))]
+    return t.repartition(*names).sortWithinPartitions(*names, F.col("ts_us").asc_nulls_last(), F.col("packet_num").asc_nulls_last()).mapInArrow(run, schema)
+
+
+def connections(p: DataFrame) -> DataFrame:
+    """The TCP packets that steps read, with the ends of their connection."""
+    return with_ends(p.where(is_tcp() & F.col("tcp_flags").isNotNull())).select(*ENDS, *COLUMNS)
 
 
 def suspected_side(answer_us: Column, ack_us: Column, slow_us: int = 300_000, slow_answer_us: int = 100_000) -> Column:
@@ -136,7 +74,7 @@ def handshakes(p: DataFrame, slow_us: int = 300_000, slow_answer_us: int = 100_0
     With at_least_us only handshakes stay of which one delay or the total reaches it.
     """
     schema = "src_ip string, src_port int, dst_ip string, dst_port int, syn_us bigint, synack_us bigint, ack_us bigint"
-    h = _connections(p, handshakes_of, schema)
+    h = ordered_fold(connections(p), ENDS, COLUMNS, Handshakes, schema)
     total = F.col("ack_us") - F.col("syn_us")
     answer, ack = F.col("synack_us") - F.col("syn_us"), F.col("ack_us") - F.col("synack_us")
     h = h.withColumn("total_us", total).withColumn("slow", F.coalesce(total > slow_us, F.lit(False)))
@@ -144,13 +82,59 @@ def handshakes(p: DataFrame, slow_us: int = 300_000, slow_answer_us: int = 100_0
     return h if at_least_us is None else h.where(F.greatest(answer, ack, total) >= at_least_us)
 
 
-def retransmissions(p: DataFrame) -> DataFrame:
-    schema = "packet_num bigint, original_num bigint, delay_us bigint, kind string, spurious boolean"
-    return _connections(p, retransmissions_of, schema)
+#: Rows that RoundTrips finds.
+ROUND_TRIPS = "packet_num bigint, src_ip string, src_port int, dst_ip string, dst_port int, ack_num bigint, rtt_us bigint"
 
 
-#: Groups that a server's transaction ids are dealt to; ids are independent of each other.
-ID_GROUPS = 64
+def round_trips(p: DataFrame, within_us: int = 60_000_000, at_least_us: int | None = None) -> DataFrame:
+    """Data segments with the ACK that covers them first, at most within_us later (see RoundTrips).
+
+    With at_least_us only round trips of that length stay.
+    """
+    r = ordered_fold(connections(p), ENDS, COLUMNS, lambda: RoundTrips(within_us), ROUND_TRIPS)
+    return r if at_least_us is None else r.where(F.col("rtt_us") >= at_least_us)
+
+
+def segment_events(p: DataFrame, timers: Timers = Timers()) -> DataFrame:
+    """Retransmissions and anomalies of every connection (rows of SEGMENT_EVENTS, see Segments)."""
+    return ordered_fold(connections(p), ENDS, COLUMNS, lambda: Segments(timers), SEGMENT_EVENTS)
+
+
+def retransmissions(events: DataFrame) -> DataFrame:
+    """The retransmissions among segment_events, with what was acknowledged by then and which side of a handshake failed."""
+    syn = F.col("tcp_flags").bitwiseAND(SYN) != 0
+    side = F.when(syn, F.when(F.col("tcp_flags").bitwiseAND(16) != 0, "client_unreachable").otherwise("server_unreachable"))
+    r = events.where("event = 'retransmission'").withColumnRenamed("expected", "expected_ack")
+    return r.select("packet_num", "ts_us", *FLOW, "tcp_seq", "tcp_flags", "original_num", "delay_us", "kind", "spurious", "confidence", "dup_acks", "last_ack", "last_ack_num", "expected_ack", side.alias("unreachable"))
+
+
+def flow_severity(p: DataFrame, events: DataFrame, low: int = 10, critical: int = 100, rates: tuple[float, float, float] = (1.0, 3.0, 5.0)) -> DataFrame:
+    """Per directed flow: packets, events of each kind, the rate of retransmissions in percent and its severity.
+
+    A flow needs `low` retransmissions to have one; rates are the bounds of low, medium and
+    critical; `critical` retransmissions are low whatever their rate.
+    """
+    count = lambda kind: F.count_if(F.col("event") == kind)
+    kinds = {"retransmissions": "retransmission", "dup_acks": "dup_ack", "out_of_order": "out_of_order", "zero_windows": "zero_window"}
+    e = events.groupBy(*FLOW).agg(*[count(k).alias(n) for n, k in kinds.items()])
+    t = p.where(is_tcp() & F.col("tcp_flags").isNotNull()).groupBy(*FLOW).agg(F.count("*").alias("packets")).join(e, list(FLOW), "left")
+    t = t.select(*FLOW, "packets", *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in kinds])
+    n, rate = F.col("retransmissions"), F.col("retransmissions") / F.col("packets").cast("double") * 100.0
+    by_rate = F.when(rate >= rates[2], "critical").when(rate >= rates[1], "medium").when((rate >= rates[0]) | (n >= critical), "low")
+    return t.withColumn("rate", rate).withColumn("severity", F.coalesce(F.when(n >= low, by_rate), F.lit("none")))
+
+
+def segment_report(events: DataFrame, severity: DataFrame) -> DataFrame:
+    """One row: flows, flows with a severity, retransmissions by kind (RTOs without SYNs), distinct segments sent again, anomalies by kind."""
+    e, kind = F.col("event"), F.col("kind")
+    again, syn = e == "retransmission", F.col("tcp_flags").bitwiseAND(SYN) != 0
+    g = events.agg(
+        F.count_if(again).alias("retransmissions"), F.count_if(again & (kind == "RTO") & ~syn).alias("rto"), F.count_if(again & (kind == "Fast Retransmission")).alias("fast"),
+        F.count_distinct(F.when(again, F.struct(*FLOW, "tcp_seq"))).alias("distinct_segments"), F.count_if(again & F.col("spurious")).alias("spurious"),
+        *[F.count_if(e == k).alias(n) for n, k in (("dup_acks", "dup_ack"), ("out_of_order", "out_of_order"), ("zero_windows", "zero_window"))],
+    )
+    s = severity.agg(F.count("*").alias("flows"), F.count_if(F.col("severity") != "none").alias("flows_with_issues"), *[F.count_if(F.col("severity") == x).alias(f"{x}_flows") for x in ("critical", "medium", "low")])
+    return s.crossJoin(g.withColumn("other", F.col("retransmissions") - F.col("rto") - F.col("fast")))  # both are one row
 
 
 def dns_transactions(q: DataFrame, timeout_us: int = 5_000_000, slow_us: int = 1_000_000) -> DataFrame:
@@ -158,22 +142,8 @@ def dns_transactions(q: DataFrame, timeout_us: int = 5_000_000, slow_us: int = 1
     open query of its id and server; open ones time out after timeout_us of DNS traffic."""
     end = q.agg(F.max("ts_us").alias("end_us"))
     schema = "client string, server string, id int, qname string, query_us bigint, response_us bigint, rcode int"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", "packet_num"])
-        open_: dict[int, dict[tuple, tuple]] = {}
-        out = []
-        for r in g.itertuples():
-            waiting = open_.setdefault(r.id, {})
-            if r.qr == 0:
-                waiting[r.client, r.client_port] = (r.client, r.server, r.id, r.qname, r.ts_us)
-            elif waiting:
-                out.append((*waiting.pop(next(iter(waiting))), r.ts_us, r.rcode))
-        out += [(*v, None, None) for waiting in open_.values() for v in waiting.values()]
-        return pd.DataFrame(out, columns=names).astype({"response_us": "Int64", "rcode": "Int32"})
-
-    t = q.groupBy("server", F.pmod(F.xxhash64("id"), F.lit(ID_GROUPS))).applyInPandas(run, schema).crossJoin(F.broadcast(end))
+    columns = ("packet_num", "ts_us", "client", "client_port", "server", "id", "qr", "rcode", "qname")
+    t = ordered_fold(q, ("server", "id"), columns, Lookups, schema).crossJoin(F.broadcast(end))
     took = F.col("response_us") - F.col("query_us")
     status = (
         F.when(F.col("response_us").isNull(), F.when(F.col("end_us") - F.col("query_us") >= timeout_us, "timeout").otherwise("open"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,11 +140,39 @@ def lateral_spread(p: DataFrame, least: int = 3, min_syns: int = 5) -> DataFrame
     return g.select("src_ip", F.element_at(names, F.col("dst_port")).alias("service"), "targets", severity.alias("severity"))
 
 
-def lateral_rapid(p: DataFrame, least: int = 3, window_us: int = 300_000_000) -> DataFrame:
-    """Per source the first window [t, t + window_us] with `least` targets; every SYN counts, also one sent again soon."""
-    w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(0, window_us)
-    d = _admin(p).where(has(SYN)).withColumn("targets", F.size(F.collect_set("dst_ip").over(w))).where(F.col("targets") >= least)
-    g = d.groupBy("src_ip").agg(F.min(F.struct("ts_us", "packet_num", "targets")).alias("x"))
+def admin_syns(p: DataFrame) -> DataFrame:
+    """SYNs between internal hosts to administrative ports."""
+    return _admin(p).where(has(SYN))
+
+
+def apart(df: DataFrame, keys: Sequence[str], apart_us: int) -> DataFrame:
+    """Rows of each key that come over apart_us after the last one taken, the first one included: keys, ts_us.
+
+    A gap of over apart_us between neighbours starts anew whatever was taken before, so times
+    are cut there by a window and only what lies between two such gaps is taken by a fold.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts_us", "packet_num")
+    start = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) > apart_us, F.lit(True)).cast("bigint")
+    t = df.select(*keys, "ts_us", "packet_num", start.alias("start")).withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    times = F.array_sort(F.collect_list("ts_us"))
+    taken = F.aggregate("times", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > apart_us), F.concat(acc, F.array(x))).otherwise(acc))
+    alone = F.array(F.min("ts_us"))  # most runs: one row, or all of them within apart_us of the first
+    g = t.groupBy(*keys, "run").agg(F.when(F.max("ts_us") - F.min("ts_us") > apart_us, times).otherwise(alone).alias("times"))
+    return g.select(*keys, F.explode(taken).alias("ts_us"))
+
+
+def lateral_rapid(p: DataFrame, least: int = 3, window_us: int = 300_000_000, apart_us: int = 5_000_000) -> DataFrame:
+    """Per source the first window [t, t + window_us] with `least` targets; a SYN within apart_us of the last one taken for its target doesn't count.
+
+    Windows are laid out over blocks of window_us, each row in its own block and the one
+    before, so a busy source is spread over its blocks and a frame holds at most two.
+    """
+    d = apart(admin_syns(p), ("src_ip", "dst_ip"), apart_us)
+    block = F.floor(F.col("ts_us") / window_us)
+    d = d.withColumn("block", F.explode(F.array(block, block - 1)))
+    w = Window.partitionBy("src_ip", "block").orderBy("ts_us").rangeBetween(0, window_us)
+    d = d.withColumn("targets", F.size(F.collect_set("dst_ip").over(w))).where((F.col("targets") >= least) & (block == F.col("block")))
+    g = d.groupBy("src_ip").agg(F.min(F.struct("ts_us", "targets")).alias("x"))
     return g.select("src_ip", F.col("x.ts_us").alias("start_us"), F.col("x.targets").cast("bigint").alias("targets"))
 
 

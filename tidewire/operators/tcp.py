@@ -88,30 +88,26 @@ def connection_states(p: DataFrame, idle_us: int = 30_000_000, zombie_us: int =
     return g.select(*ENDS, "packets", "idle_us", state.alias("state"))
 
 
-def rtt_measurements(p: DataFrame, within_us: int = 60_000_000) -> DataFrame:
-    """Data segments with the first covering acknowledgement of the other side, at most within_us later.
+def rtt_flow_stats(trips: DataFrame, warning_us: int = 100_000, critical_us: int = 500_000) -> DataFrame:
+    """Per flow of folds.round_trips: number, least, most, mean, median, sample deviation, spikes, and whether its round trips are long.
 
-    Both sides are keyed by time blocks of within_us, so the inequality join is an
-    equi-join on (flow, block) and a busy flow is spread over its blocks.
+    The median is read off the counts of the distinct values, so no list of a flow's values is held.
     """
-    t = p.where(is_tcp())
-    block = lambda c: F.floor(c / within_us)
-    data = t.where(F.col("tcp_payload_len") > 0).select(
-        "packet_num", *FLOW, "ts_us", (F.col("tcp_seq") + F.col("tcp_payload_len")).alias("need"), F.explode(F.array(block(F.col("ts_us")), block(F.col("ts_us")) + 1)).alias("b")
-    )
-    acks = t.where(has(ACK) & (F.col("tcp_ack") > 0)).select(
-        F.col("packet_num").alias("ack_num"), F.col("ts_us").alias("ack_us"), "tcp_ack", block(F.col("ts_us")).alias("b"),
-        F.col("dst_ip").alias("src_ip"), F.col("dst_port").alias("src_port"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"),
+    us, n = F.col("rtt_us"), F.col("n").cast("double")
+    c = trips.groupBy(*FLOW, "rtt_us").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*FLOW)
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("rtt_us").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(w))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, us))
+    g = c.groupBy(*FLOW).agg(
+        F.sum("c").alias("n"), F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.sum(us * F.col("c")).alias("s"), F.sum(us.cast("decimal(38,0)") * us * F.col("c")).cast("double").alias("q"),
+        at(F.floor((F.col("all") + 1) / 2)).alias("lower"), at(F.floor(F.col("all") / 2) + 1).alias("upper"), F.sum(F.when(us > warning_us, F.col("c")).otherwise(0)).alias("spikes"),
     )
-    later = (F.col("tcp_ack") >= F.col("need")) & (F.col("ack_num") > F.col("packet_num")) & (F.col("ack_us") - F.col("ts_us")).between(0, within_us)
-    g = data.join(acks, [*FLOW, "b"]).where(later).groupBy("packet_num", *FLOW, "ts_us").agg(F.min(F.struct("ack_us", "ack_num")).alias("a"))
-    return g.select("packet_num", *FLOW, F.col("a.ack_num").alias("ack_num"), (F.col("a.ack_us") - F.col("ts_us")).alias("rtt_us"))
-
-
-def rtt_flow_stats(p: DataFrame, within_us: int = 60_000_000, warning_us: int = 100_000) -> DataFrame:
-    return rtt_measurements(p, within_us).groupBy(*FLOW).agg(
-        F.count("*").alias("n"), F.min("rtt_us").alias("min_us"), F.max("rtt_us").alias("max_us"), (F.sum("rtt_us") / F.count("*").cast("double")).alias("mean_us"),
-        F.percentile("rtt_us", F.lit(0.5)).alias("median_us"), F.count_if(F.col("rtt_us") > warning_us).alias("spikes"),
+    s = F.col("s").cast("double")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest((F.col("q") * n - s * s) / (n * (n - 1)), F.lit(0.0))))
+    g = g.withColumn("mean_us", F.col("s") / n)
+    return g.select(
+        *FLOW, "n", "min_us", "max_us", "mean_us", ((F.col("lower") + F.col("upper")) / 2.0).alias("median_us"), spread.alias("stdev_us"), "spikes",
+        ((F.col("mean_us") > warning_us) | (F.col("max_us") > critical_us)).alias("high"),
     )
 
 

@@ -214,12 +214,27 @@ def both_ways(p: DataFrame) -> DataFrame:
 
 _R = f"""t AS (SELECT packet_num, ts_us, seq, ack, flags, payload, CASE WHEN packet_num % 2 = 1 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN packet_num % 2 = 1 THEN dst_port ELSE src_port END AS src_port,
 CASE WHEN packet_num % 2 = 1 THEN src_ip ELSE dst_ip END AS dst_ip, CASE WHEN packet_num % 2 = 1 THEN src_port ELSE dst_port END AS dst_port FROM e WHERE tcp),
-r AS (SELECT d.packet_num, d.src_ip, d.src_port, d.dst_ip, d.dst_port, d.ts_us, min((a.ts_us, a.packet_num)) AS m FROM t d JOIN t a ON a.src_ip = d.dst_ip AND a.src_port = d.dst_port AND a.dst_ip = d.src_ip AND a.dst_port = d.src_port
-AND a.ack >= d.seq + d.payload AND a.packet_num > d.packet_num AND a.ts_us - d.ts_us BETWEEN 0 AND {96 * HOUR} WHERE d.payload > 0 AND (a.flags & 16) <> 0 AND a.ack > 0 GROUP BY ALL),
-rtt AS (SELECT packet_num, {FLOW}, m[2] AS ack_num, m[1] - ts_us AS rtt_us FROM r)"""
-over_packets("rtt_measurements", lambda p: tcp.rtt_measurements(both_ways(p), 96 * HOUR), f", {_R} SELECT * FROM rtt")
-over_packets("rtt_flow_stats", lambda p: tcp.rtt_flow_stats(both_ways(p), 96 * HOUR, 24 * HOUR), f""", {_R} SELECT {FLOW}, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us) / count(*)::DOUBLE AS mean_us,
-quantile_cont(rtt_us, 0.5)::DOUBLE AS median_us, count(*) FILTER (rtt_us > {24 * HOUR}) AS spikes FROM rtt GROUP BY {FLOW}""")
+sg AS (SELECT d.packet_num, d.src_ip, d.src_port, d.dst_ip, d.dst_port, d.ts_us, d.seq, min((a.ts_us, a.packet_num)) FILTER (a.packet_num IS NOT NULL) AS m FROM t d LEFT JOIN t a ON a.src_ip = d.dst_ip AND a.src_port = d.dst_port AND a.dst_ip = d.src_ip AND a.dst_port = d.src_port
+AND a.ack >= d.seq + d.payload AND (a.ts_us, a.packet_num) > (d.ts_us, d.packet_num) AND a.ts_us - d.ts_us <= {96 * HOUR} AND (a.flags & 16) <> 0 AND a.ack > 0 WHERE d.payload > 0 GROUP BY ALL),
+sf AS (SELECT *, coalesce(m, (ts_us + {96 * HOUR}, 9000000000000000000)) AS fin FROM sg),
+rtt AS (WITH RECURSIVE c AS (SELECT * FROM sf QUALIFY row_number() OVER (PARTITION BY {FLOW}, seq ORDER BY ts_us, packet_num) = 1
+UNION ALL SELECT sf.* FROM (SELECT min((s.ts_us, s.packet_num)) AS k FROM c JOIN sf s USING ({FLOW}, seq) WHERE (s.ts_us, s.packet_num) > c.fin GROUP BY {FLOW}, seq) n JOIN sf ON sf.packet_num = n.k[2])
+SELECT packet_num, {FLOW}, m[2] AS ack_num, m[1] - ts_us AS rtt_us FROM c WHERE m IS NOT NULL)"""
+_RF = f"""rg AS (SELECT {FLOW}, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us)::DOUBLE AS s, sum(rtt_us::HUGEINT * rtt_us)::DOUBLE AS q, quantile_cont(rtt_us, 0.5)::DOUBLE AS median_us, count(*) FILTER (rtt_us > {24 * HOUR}) AS spikes FROM rtt GROUP BY {FLOW}),
+rf AS (SELECT {FLOW}, n, min_us, max_us, s / n AS mean_us, median_us, CASE WHEN n > 1 THEN sqrt(greatest((q * n - s * s) / (n * (n - 1)::DOUBLE), 0.0)) END AS stdev_us, spikes, s / n > {24 * HOUR} OR max_us > {72 * HOUR} AS high FROM rg)"""
+
+
+def _trips(p: DataFrame, at_least_us: int | None = None) -> DataFrame:
+    return folds.round_trips(both_ways(p), 96 * HOUR, at_least_us)
+
+
+def _trip_stats(p: DataFrame) -> DataFrame:
+    return tcp.rtt_flow_stats(_trips(p), 24 * HOUR, 72 * HOUR)
+
+
+over_packets("rtt_measurements", _trips, f", {_R} SELECT * FROM rtt")
+over_packets("rtt_long", lambda p: _trips(p, 48 * HOUR), f", {_R} SELECT * FROM rtt WHERE rtt_us >= {48 * HOUR}")
+over_packets("rtt_flow_stats", _trip_stats, f", {_R}, {_RF} SELECT * FROM rf")
 _X = f"""x0 AS (SELECT *, first_value(packet_num) OVER w AS original_num, ts_us - first_value(ts_us) OVER w AS delay_us FROM e WHERE tcp AND (payload > 0 OR (flags & 3) <> 0) WINDOW w AS (PARTITION BY {FLOW}, seq, payload ORDER BY ts_us, packet_num)),
 x AS (SELECT packet_num, {FLOW}, seq AS tcp_seq, flags AS tcp_flags, original_num, delay_us, CASE WHEN (flags & 2) <> 0 THEN CASE WHEN delay_us >= 500000 THEN 'RTO' ELSE 'Retransmission' END WHEN delay_us >= 200000 THEN 'RTO' WHEN delay_us <= 50000 THEN 'Fast Retransmission' ELSE 'Retransmission' END AS kind
 FROM x0 WHERE original_num <> packet_num)"""
@@ -229,7 +244,7 @@ SELECT {FLOW}, retransmissions, CASE WHEN fl & 31 = 0 THEN 'NONE' ELSE concat_ws
 FROM g ORDER BY retransmissions DESC, {FLOW} LIMIT 10""")
 over_packets("retrans_flow_groups", tcp.retransmission_groups, f""", {_X}, g AS (SELECT {FLOW}, count(*) AS n, count(*) FILTER ((tcp_flags & 2) <> 0) AS s, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'RTO') AS r, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Fast Retransmission') AS f,
 count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Retransmission') AS o FROM x GROUP BY {FLOW}) SELECT {FLOW}, n, CASE WHEN s >= 0.8 * n THEN 'syn' WHEN r >= 0.8 * n THEN 'rto' WHEN f >= 0.8 * n THEN 'fast' WHEN o >= 0.8 * n THEN 'generic' ELSE 'mixed' END AS kind FROM g""")
-over_packets("flow_quality", lambda p: report.flow_quality(timing.jitter_flow_stats(p, **CUTS), tcp.rtt_flow_stats(both_ways(p), 96 * HOUR, 24 * HOUR), tcp.exact_retransmissions(p)), f""", {_J}, {_R}, {_X},
+over_packets("flow_quality", lambda p: report.flow_quality(timing.jitter_flow_stats(p, **CUTS), _trip_stats(p), tcp.exact_retransmissions(p)), f""", {_J}, {_R}, {_X},
 jf AS (SELECT {_FIVE}, sum(jitter_us) / count(*)::DOUBLE AS jitter_mean_us, max(jitter_us) AS jitter_max_us FROM j GROUP BY {_FIVE}), rf AS (SELECT {FLOW}, sum(rtt_us) / count(*)::DOUBLE AS rtt_mean_us, max(rtt_us) AS rtt_max_us FROM rtt GROUP BY {FLOW}),
 xf AS (SELECT {FLOW}, count(*) AS retransmissions FROM x GROUP BY {FLOW}) SELECT {_FIVE}, jitter_mean_us, jitter_max_us, rtt_mean_us, rtt_max_us, coalesce(retransmissions, 0) AS retransmissions FROM jf LEFT JOIN rf USING ({FLOW}) LEFT JOIN xf USING ({FLOW})""")
 over_packets("syn_retries", lambda p: tcp.syn_retries(p, 480 * HOUR), f""", s AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {FLOW}, seq ORDER BY ts_us, packet_num) AS gap FROM e WHERE syn)
@@ -237,7 +252,18 @@ SELECT {FLOW}, seq AS tcp_seq, count(*) AS attempts, count(*) FILTER (gap < {480
 over_packets("burst_retrans_overlap", lambda p: tcp.bursts_with_retransmissions(p, timing.bursts(p, BURST), 0, 1.0), f""", {_B}, {_X} SELECT burst_id, count(*) AS hits FROM x JOIN p ON p.packet_num = x.packet_num JOIN bursts ON p.ts_us BETWEEN start_us AND end_us GROUP BY burst_id
 HAVING count(*) > 0 AND max(peak_ratio) > 1.0""")
 over_packets("handshake", lambda p: folds.handshakes(both_ways(p), 96 * HOUR))
-over_packets("retransmission_full", lambda p: folds.retransmissions(both_ways(p)))
+#: Connections of the events table last for weeks, so they end after days.
+TIMERS = folds.Timers(time_wait=48 * HOUR, idle=240 * HOUR, fin=24 * HOUR)
+
+
+def _segments(p: DataFrame) -> DataFrame:
+    return folds.segment_events(both_ways(p), TIMERS)
+
+
+over_packets("retransmission_full", lambda p: folds.retransmissions(_segments(p)))
+over_packets("tcp_anomalies", lambda p: _segments(p).where("event <> 'retransmission'").select("event", "packet_num", "ts_us", *tcp.FLOW, "tcp_seq", "dup_acks", "expected"))
+over_packets("retrans_flow_severity", lambda p: folds.flow_severity(both_ways(p), _segments(p), 3, 100))
+over_packets("retrans_report", lambda p: folds.segment_report(_segments(p), folds.flow_severity(both_ways(p), _segments(p), 3, 100)))
 over_packets("tcp_window_bottleneck", lambda p: tcp.window_bottleneck(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p)), f""", {_TW}, st AS (SELECT {FLOW}, count(*) AS packets, min(win)::INT AS min_window, max(win)::INT AS max_window, sum(win) / count(*)::DOUBLE AS mean_window,
 count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows, min(win) FILTER (r > 5)::INT AS settled_min FROM tw GROUP BY {FLOW}),
 z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw),
@@ -301,8 +327,10 @@ over_varied("lateral_multi_target_varied", lambda p: security.lateral_targets(p,
 over_varied("lateral_spread", lambda p: security.lateral_spread(p, 2, 3), f""", {_LT}, b AS (SELECT src_ip FROM l GROUP BY src_ip HAVING count(*) >= 3), g AS (SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS targets FROM l GROUP BY ALL HAVING count(DISTINCT dst_ip) >= 2)
 SELECT src_ip, CASE dst_port WHEN 22 THEN 'SSH' WHEN 139 THEN 'NetBIOS/SMB' WHEN 445 THEN 'SMB/CIFS' WHEN 593 THEN 'RPC over HTTP' WHEN 3389 THEN 'RDP' WHEN 5986 THEN 'WinRM HTTPS' END AS service, targets,
 CASE WHEN dst_port IN (3389, 5985, 5986) THEN CASE WHEN targets >= 5 THEN 'critical' ELSE 'high' END WHEN targets >= 10 THEN 'high' ELSE 'medium' END AS severity FROM g JOIN b USING (src_ip)""")
-over_packets("lateral_rapid", lambda p: security.lateral_rapid(p, 2, 48 * HOUR), f""", {_LT}, w AS (SELECT a.src_ip, a.ts_us, a.packet_num, count(DISTINCT b.dst_ip) AS targets FROM l a JOIN l b ON a.src_ip = b.src_ip AND b.ts_us BETWEEN a.ts_us AND a.ts_us + {48 * HOUR} GROUP BY ALL)
-SELECT src_ip, arg_min(ts_us, (ts_us, packet_num)) AS start_us, arg_min(targets, (ts_us, packet_num)) AS targets FROM w WHERE targets >= 2 GROUP BY src_ip""")
+over_packets("lateral_rapid", lambda p: security.lateral_rapid(p, 2, 48 * HOUR, 12 * HOUR), f""", {_LT}, lk AS (WITH RECURSIVE c AS (SELECT src_ip, dst_ip, min(ts_us) AS ts_us FROM l GROUP BY ALL
+UNION ALL SELECT src_ip, dst_ip, min(l.ts_us) FROM c JOIN l USING (src_ip, dst_ip) WHERE l.ts_us - c.ts_us > {12 * HOUR} GROUP BY ALL) SELECT * FROM c),
+w AS (SELECT a.src_ip, a.ts_us, count(DISTINCT b.dst_ip) AS targets FROM lk a JOIN lk b ON a.src_ip = b.src_ip AND b.ts_us BETWEEN a.ts_us AND a.ts_us + {48 * HOUR} GROUP BY ALL)
+SELECT src_ip, min(ts_us) AS start_us, arg_min(targets, ts_us) AS targets FROM w WHERE targets >= 2 GROUP BY src_ip""")
 over_packets("event_breakdown_grouping_sets", lambda p: security.event_breakdown(security.all_events(("upload", security.large_uploads(p, 3000, 24 * HOUR), "src_ip"), ("lateral", security.lateral_targets(p, 2), "src_ip"))), f""", {_UP}, {_LA}, {_LS},
 w AS (SELECT *, sum(packet_length) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {24 * HOUR} FOLLOWING) AS s FROM u), g AS (SELECT src_ip, arg_min(s, (ts_us, packet_num)) AS b FROM w WHERE s >= 3000 GROUP BY src_ip),
 ev AS (SELECT 'upload' AS kind, CASE WHEN b >= 30000 THEN 'critical' WHEN b >= 12000 THEN 'high' WHEN b >= 6000 THEN 'medium' ELSE 'low' END AS severity FROM g UNION ALL
@@ -404,7 +432,7 @@ SELECT {FLOW}, count(*) AS packets, sum(1 + two::INT)::BIGINT AS blocks, count(*
 
 # ---------------------------------------------------------------- scores, reports, text
 
-over_packets("health_score", lambda p: score.health_score(score.metrics_of(p, tcp.rtt_measurements(both_ways(p), 96 * HOUR), tcp.exact_retransmissions(p))).select("retransmission", "anomaly", "class"), f""", {_X},
+over_packets("health_score", lambda p: score.health_score(score.metrics_of(p, _trips(p), tcp.exact_retransmissions(p))).select("retransmission", "anomaly", "class"), f""", {_X},
 g AS (SELECT (SELECT count(*) FROM x) / count(*)::DOUBLE AS retransmission, count(*) FILTER (win = 0) * 1000 / count(*)::DOUBLE AS anomaly FROM p),
 y AS (SELECT *, CASE WHEN retransmission <= 0.01 THEN retransmission * 1600 WHEN retransmission <= 0.03 THEN 16 + (retransmission - 0.01) * 900 WHEN retransmission <= 0.05 THEN 34 + (retransmission - 0.03) * 1300 WHEN retransmission <= 0.1 THEN 60 + (retransmission - 0.05) * 640 ELSE 100 END AS a,
 CASE WHEN anomaly <= 10 THEN anomaly WHEN anomaly <= 50 THEN 10 + (anomaly - 10) * 0.45 WHEN anomaly <= 150 THEN 25 + (anomaly - 50) * 0.3 WHEN anomaly <= 500 THEN 50 + (anomaly - 150) * 0.1 ELSE 100 END AS b FROM g),
@@ -414,7 +442,7 @@ z AS (SELECT *, 100 - a * 0.25 - b * 0.1 - 20 AS s FROM y) SELECT retransmission
 def health_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six metrics, the score and its class; health_score is the part that its SQL covers."""
     p = packets(spark, sf_dir)
-    rtt, again = tcp.rtt_measurements(both_ways(p), 96 * HOUR), tcp.exact_retransmissions(p)
+    rtt, again = _trips(p), tcp.exact_retransmissions(p)
     m = score.all_metrics_of(p, rtt, again, folds.dns_transactions(transactions(spark, sf_dir)), timing.jitter(p, **CUTS))
     return score.health_score(m).select(*score.METRICS, "score", "class")
 
@@ -441,11 +469,10 @@ over_varied("port_scan_worst", lambda p: listings.by_severity(security.scan_even
 over_varied("brute_force_worst", lambda p: listings.by_severity(security.brute_force(p, 1, 0.0), "first_us", "src_ip", "dst_ip", "dst_port"), ", " + _BRUTE.format(least=1, fail="0.0").replace(
     "SELECT src_ip, dst_ip, dst_port, attempts, established", ", v AS (SELECT src_ip, dst_ip, dst_port, attempts, established").replace(" AS severity FROM k", " AS severity FROM k)") + f" SELECT *, row_number() OVER (ORDER BY {_RANK}, first_us, src_ip, dst_ip, dst_port)::INT AS place FROM v ORDER BY place LIMIT 20")
 over_packets("retrans_slowest", listings.slowest_retransmissions, f", {_X} SELECT *, row_number() OVER (ORDER BY delay_us DESC, packet_num)::INT AS place FROM x ORDER BY place LIMIT 20")
-_RF = f"rf AS (SELECT {FLOW}, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us) / count(*)::DOUBLE AS mean_us, quantile_cont(rtt_us, 0.5)::DOUBLE AS median_us, count(*) FILTER (rtt_us > {24 * HOUR}) AS spikes FROM rtt GROUP BY {FLOW})"
-over_packets("rtt_worst_flows", lambda p: listings.worst_round_trips(tcp.rtt_flow_stats(both_ways(p), 96 * HOUR, 24 * HOUR)), f", {_R}, {_RF} SELECT *, row_number() OVER (ORDER BY max_us DESC, {FLOW})::INT AS place FROM rf ORDER BY place LIMIT 10")
-over_packets("rtt_global", lambda p: listings.round_trip_summary(tcp.rtt_measurements(both_ways(p), 96 * HOUR), 24 * HOUR, 72 * HOUR), f""", {_R}, g AS (SELECT count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us)::DOUBLE AS s, sum(rtt_us::HUGEINT * rtt_us)::DOUBLE AS q,
+over_packets("rtt_worst_flows", lambda p: listings.worst_round_trips(_trip_stats(p)), f", {_R}, {_RF} SELECT *, row_number() OVER (ORDER BY max_us DESC, {FLOW})::INT AS place FROM rf ORDER BY place LIMIT 10")
+over_packets("rtt_global", lambda p: listings.round_trip_summary(_trips(p), 24 * HOUR, 72 * HOUR), f""", {_R}, g AS (SELECT count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us)::DOUBLE AS s, sum(rtt_us::HUGEINT * rtt_us)::DOUBLE AS q,
 count(*) FILTER (rtt_us > {24 * HOUR}) AS high, count(*) FILTER (rtt_us > {72 * HOUR}) AS critical FROM rtt) SELECT n, min_us, max_us, s / n::DOUBLE AS mean_us, sqrt(greatest((q * n::DOUBLE - s * s) / (n::DOUBLE * (n::DOUBLE - 1)), 0.0)) AS stdev_us, high, critical FROM g""")
-over_packets("rtt_of_a_flow", lambda p: listings.flow_details(tcp.rtt_measurements(both_ways(p), 96 * HOUR), dst_ip="93.184.216.34", dst_port=443), f", {_R} SELECT * FROM rtt WHERE dst_ip = '93.184.216.34' AND dst_port = 443")
+over_packets("rtt_of_a_flow", lambda p: listings.flow_details(_trips(p), dst_ip="93.184.216.34", dst_port=443), f", {_R} SELECT * FROM rtt WHERE dst_ip = '93.184.216.34' AND dst_port = 443")
 over_packets("syn_delays_slowest", lambda p: listings.slowest_attempts(tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR)), ORACLES["syn_delays"].removeprefix(PACKETS).replace("SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered", ", dv AS (SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered")
     + f") SELECT *, row_number() OVER (ORDER BY delay_us DESC, {FLOW}, first_us)::INT AS place FROM dv ORDER BY place LIMIT 10")
 over_packets("burst_worst", lambda p: listings.worst_burst(timing.bursts(p, BURST)), f", {_B} SELECT * FROM bursts ORDER BY peak_ratio DESC, start_us LIMIT 1")
