@@ -240,6 +240,20 @@ def test_decontamination_of_texts_shorter_than_an_item(spark, frame, scratch):
     assert {r.doc_id for r in decontam.drop_leaks(frame(rows, odd=False), bench, scratch).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_of_periodic_repeated_and_long_texts(spark, frame, scratch):
+    """Two words that alternate flip half of a fingerprint together; SimHash distance says nothing there."""
+    import random
+
+    rng = random.Random(12)
+    items = [(i, " ".join(f"a{i}" if j % 2 else f"b{i}" for j in range(23))) for i in range(6)] + [(9, prose(rng, 40)), (9, prose(rng, 40))]
+    rows = [(i, f"before {' '.join(f'b{i}' if j % 2 else f'a{i}' for j in range(23))} after {prose(rng, 4)}") for i in range(6)]
+    rows += [(20, " ".join(["a1 b1"] * 300)), (21, f"{prose(rng, 9000)} {items[6][1]} {prose(rng, 9000)}"), (22, items[7][1]), (22, items[7][1]), (23, prose(rng, 30))]
+    bench = spark.createDataFrame(items + items[:2], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontam.find_leaks(frame(rows + rows[:3]), bench, scratch).collect()}
+    want = leaks(rows, items[:7]) | leaks(rows, items[7:])
+    assert got == want and set(want) == {*((i, i) for i in range(6)), (20, 1), (21, 9), (22, 9)}
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False

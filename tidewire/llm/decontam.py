@@ -1,21 +1,20 @@
-"""Benchmark decontamination: SimHash over item-sized windows, multi-index blocks, exact check.
+"""Benchmark decontamination: item-sized windows, an exact bound on their seeds, exact check, SimHash distance of each leak.
 
 A window of a document as long as a benchmark item is a leak when the weighted Jaccard
 similarity of their shingle bags reaches the threshold. All windows are searched, but
-only those are fingerprinted that can reach it. That bound is exact: bags of m shingles
+only those are compared that can reach it. That bound is exact: bags of m shingles
 each with overlap i have similarity i / (2m - i), so at the threshold at most
 `allowed_misses` positions of the window carry a shingle that the item lacks; a window
 over m consecutive positions holds at least floor(m / s) multiples of s, so if fewer than
 floor(m / s) - allowed_misses sampled positions carry a shingle of the item, the window
 is no leak. No leak is lost by it, whatever the texts.
 
-The windows left are indexed by blocks of their SimHash: fingerprints within the radius
-share a block. At this threshold the index can't do without the bound: two fingerprints
-differ in 9.7 bits on average, so a radius that loses nothing needs blocks of two or three
-bits, which most unrelated pairs share.
+An index over blocks of SimHash fingerprints can't do this: fingerprints bound no
+similarity. Where two shingles dominate a bag (a periodic text), half of the bits flip
+together, so a leak of similarity 0.9 may lie beyond any radius that tells texts apart.
+The distance of each leak's window to its item is reported instead, as a column.
 
-A document of fewer shingles than an item is one window, whole. It meets the items whose
-shingles it holds by their id, not by blocks, so no radius applies to it.
+A document of fewer shingles than an item is one window, whole.
 """
 
 from __future__ import annotations
@@ -27,9 +26,6 @@ from .common import Scratch, few, let, text_or_empty, words_of
 
 WORDS = 5
 THRESHOLD_PCT = 80
-#: Hamming radius. At similarity 0.8 two 64-bit SimHashes differ in 9.7 bits on average, deviation 2.9; 28 is 6.4 deviations above.
-RADIUS = 28
-BITS = 64
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"
 _TO = "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,26 +89,15 @@ def occurrences(bag: Column) -> Column:
     return let(F.sort_array(bag), number)
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, width) of radius + 1 blocks over 64 bits: within the radius at least one is equal."""
-    n = radius + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def block_value(fp: Column, a: int, w: int) -> Column:
-    return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1))
-
-
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), k (shingle words), m (shingles), bag, set, fp of each item with a word."""
+    """key (of item and text), item_id, k (shingle words), m (shingles), bag, set, fp of each item with a word."""
     b = benchmark.select("item_id", normal_words(text_or_empty()).alias("w")).where(F.size("w") > 0).distinct()
-    b = b.withColumn("n", F.size("w")).withColumn("k", F.least(F.lit(WORDS), F.col("n")))
+    b = b.withColumn("k", F.least(F.lit(WORDS), F.size("w"))).withColumn("key", F.xxhash64("item_id", "w"))
     b = b.withColumn("bag", shingles(F.col("w"), F.col("k"))).withColumn("m", F.size("bag"))
-    return b.select("item_id", "n", "k", "m", "bag", occurrences(F.col("bag")).alias("set"), simhash(F.col("bag")).alias("fp"))
+    return b.select("key", "item_id", "k", "m", "bag", occurrences(F.col("bag")).alias("set"), simhash(F.col("bag")).alias("fp"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, item_id, start_word, hamming, similarity: the most similar window (ties: first) of each leak.
 
     A null or empty text has no windows; items without words match nothing. A null doc_id
@@ -128,7 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
     for k in sorted({k for k, _ in sizes}):
         s = min(_stride(m) for kk, m in sizes if kk == k)
         of_k = items.where(F.col("k") == k)
-        terms = of_k.select("item_id", "n", "m", F.explode(F.array_distinct("bag")).alias("h"))
+        terms = of_k.select(F.col("key").alias("item"), "m", F.explode(F.array_distinct("bag")).alias("h"))
         last = F.size("w") - k
         spots = F.when(
             last >= 0,
@@ -139,17 +124,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         )
         hits = d.select("doc_id", "v", (last + 1).alias("l"), F.explode(spots).alias("x")).select("doc_id", "v", "l", "x.*")
         # The seeds of one item in one document; a window needs nearly all of its sampled positions among them.
-        seeds = hits.join(few(terms, 32), "h").groupBy("doc_id", "v", "l", "item_id", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        seeds = hits.join(few(terms, 32), "h").groupBy("doc_id", "v", "l", "item", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
         # A window of `wide` shingles; where that is the whole document, position 0 is sampled, too.
         wide = F.least("l", "m")
         sampled = F.when(F.col("l") < F.col("m"), F.ceil(wide / s)).otherwise(F.floor(wide / s))
         missing = wide - F.ceil(F.lit(THRESHOLD_PCT) * (wide + F.col("m")) / (100 + THRESHOLD_PCT))
         seeds = seeds.withColumn("need", F.greatest(F.lit(1), sampled - missing).cast("int"))
         seeds = seeds.where(F.size("ps") >= F.col("need")).groupBy("doc_id", "v").agg(
-            F.collect_list(F.struct("item_id", "n", "m", "need", "ps")).alias("seeds")
+            F.collect_list(F.struct("item", "m", "need", "ps")).alias("seeds")
         )
         seeds = scratch.write(seeds.withColumnRenamed("doc_id", "id").withColumnRenamed("v", "v_"), f"seeds{k}")
-        size = F.aggregate("seeds", F.lit(0), lambda acc, x: acc + 48 + 8 * F.size(x.ps))
+        size = F.aggregate("seeds", F.lit(0), lambda acc, x: acc + 40 + 8 * F.size(x.ps))
         hit = d.join(few(seeds, size), (F.col("v") == F.col("v_")) & F.col("doc_id").eqNullSafe(F.col("id")))
         hit = hit.select("doc_id", shingles(F.col("w"), k).alias("sh"), F.explode("seeds").alias("x")).select("doc_id", "sh", "x.*")
         # Starts of windows that hold `need` seeds: those reaching from one seed over the next need - 1.
@@ -164,42 +149,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, radius:
         starts = F.array_distinct(
             F.flatten(F.transform(F.filter(spans, lambda x: x.a <= x.b), lambda x: F.sequence(x.a, x.b)))
         )
-        short = (F.size("sh") < F.col("m")).alias("short")
-        win = hit.select("doc_id", F.col("item_id").alias("of"), F.col("n").alias("wn"), "m", "sh", short, F.explode(starts).alias("start"))
-        win = win.withColumn("bag", F.slice("sh", F.col("start") + 1, F.col("m"))).drop("sh")
-        win = win.withColumn("wfp", simhash(F.col("bag")))
-        cuts = blocks(radius)
-        by_blocks = lambda fp: F.array(
-            *[F.struct(F.lit(i).alias("i"), block_value(F.col(fp), *c).alias("x")) for i, c in enumerate(cuts)]
-        )
-        whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("x")))  # short documents, whatever their distance
-        item_blocks = of_k.select("item_id", "n", "fp", F.explode(F.concat(by_blocks("fp"), whole)).alias("ib"))
-        win = win.withColumn("b", F.explode(F.when(F.col("short"), whole).otherwise(by_blocks("wfp"))))
-        # A window was seeded by one item; another item has its own seeds and windows.
-        same = F.col("of").eqNullSafe(F.col("item_id")) & (F.col("wn") == F.col("n")) & (F.col("b") == F.col("ib"))
-        pairs = win.join(few(item_blocks, 48), same)
-        diff = F.col("wfp").bitwiseXOR(F.col("fp"))
-        # A pair meets once for every equal block; it is taken at the first of them.
-        first = F.coalesce(*[F.when(block_value(diff, *c) == 0, F.lit(i)) for i, c in enumerate(cuts)])
-        pairs = pairs.withColumn("hamming", F.bit_count(diff)).where(
-            F.col("short") | ((F.col("b.i") == first) & (F.col("hamming") <= radius))
-        )
-        bags = of_k.select(F.col("item_id").alias("set_of"), F.col("n").alias("set_n"), F.col("fp").alias("set_fp"), "set")
-        mine = F.col("of").eqNullSafe(F.col("set_of")) & (F.col("n") == F.col("set_n")) & (F.col("fp") == F.col("set_fp"))
-        pairs = pairs.join(few(bags, 32 + 8 * F.size("set")), mine)
+        win = hit.select("doc_id", "item", F.explode(starts).alias("start"), "m", "sh")
+        win = win.select("doc_id", "item", "start", F.slice("sh", F.col("start") + 1, F.col("m")).alias("bag"))
+        bags = of_k.select(F.col("key").alias("item"), "item_id", "fp", "set")
+        pairs = win.join(few(bags, 32 + 8 * F.size("set")), "item")
         common = F.size(F.array_intersect("set", occurrences(F.col("bag"))))
         pairs = pairs.withColumn("common", common).withColumn("total", F.size("bag") + F.size("set") - F.col("common"))
         pairs = pairs.where(F.col("common") * 100 >= F.col("total") * THRESHOLD_PCT)
-        pairs = pairs.select(
-            "doc_id", "item_id", F.col("start").cast("bigint").alias("start_word"), "hamming",
-            (F.col("common").cast("double") / F.col("total")).alias("similarity"),
-        )
+        similarity = (F.col("common").cast("double") / F.col("total")).alias("similarity")
+        pairs = pairs.select("doc_id", "item_id", F.col("start").cast("bigint").alias("start_word"), F.struct("bag", "fp").alias("prints"), similarity)
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start_word bigint, hamming int, similarity double")
-    best = F.max_by(F.struct("start_word", "hamming"), F.struct("similarity", -F.col("start_word")))
+    best = F.max_by(F.struct("start_word", "prints"), F.struct("similarity", -F.col("start_word")))
     g = out.groupBy("doc_id", "item_id").agg(best.alias("x"), F.max("similarity").alias("similarity"))
-    return g.select("doc_id", "item_id", "x.start_word", "x.hamming", "similarity")
+    hamming = F.bit_count(simhash(F.col("x.prints.bag")).bitwiseXOR(F.col("x.prints.fp")))
+    return g.select("doc_id", "item_id", "x.start_word", hamming.alias("hamming"), "similarity")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
@@ -211,12 +176,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataF
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), '{_FROM}', '{_TO}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, w, len(w) AS n, least({WORDS}, len(w)) AS k FROM (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_FROM}', '{_TO}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
-ish AS (SELECT item_id, n, n - k + 1 AS m, array_to_string(w[p:p+k-1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)),
-dsh AS MATERIALIZED (SELECT r, p, array_to_string(w[p:p+{WORDS - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WORDS} + 2)) AS p FROM d)),
-win AS (SELECT DISTINCT r, item_id, m, t FROM (SELECT r, item_id, m, unnest(range(greatest(1, p - m + 1), least(p, len(w) - n + 1) + 1)) AS t FROM (SELECT DISTINCT r, item_id, n, m, p FROM dsh JOIN ish USING (s)) JOIN d USING (r))),
-wc AS (SELECT win.r, win.item_id, win.m, win.t, dsh.s, count(*) AS c FROM win JOIN dsh ON dsh.r = win.r AND dsh.p BETWEEN win.t AND win.t + win.m - 1 GROUP BY ALL),
+ish AS (SELECT item_id, k, n - k + 1 AS m, array_to_string(w[p:p+k-1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM i)),
+dsh AS MATERIALIZED (SELECT r, k, p, array_to_string(w[p:p+k-1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+hit AS (SELECT DISTINCT r, item_id, k, m, least(m, len(w) - k + 1) AS wide, len(w) - k + 1 AS l, p FROM dsh JOIN ish USING (k, s) JOIN d USING (r)),
+win AS (SELECT DISTINCT r, item_id, k, m, wide, unnest(range(greatest(1, p - wide + 1), least(p, l - wide + 1) + 1)) AS t FROM hit),
+wc AS (SELECT win.r, win.item_id, win.m, win.wide, win.t, dsh.s, count(*) AS c FROM win JOIN dsh ON dsh.r = win.r AND dsh.k = win.k AND dsh.p BETWEEN win.t AND win.t + win.wide - 1 GROUP BY ALL),
 ic AS (SELECT item_id, s, count(*) AS c FROM ish GROUP BY ALL),
-o AS (SELECT r, item_id, t, m, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic USING (item_id, s) GROUP BY r, item_id, t, m),
-f AS (SELECT doc_id, item_id, t - 1 AS start_word, common::DOUBLE / (2 * m - common) AS similarity FROM o JOIN d USING (r) WHERE common * 100 >= (2 * m - common) * {THRESHOLD_PCT})
+o AS (SELECT r, item_id, t, m + wide AS sizes, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic USING (item_id, s) GROUP BY r, item_id, t, m, wide),
+f AS (SELECT doc_id, item_id, t - 1 AS start_word, common::DOUBLE / (sizes - common) AS similarity FROM o JOIN d USING (r) WHERE common * 100 >= (sizes - common) * {THRESHOLD_PCT})
 SELECT doc_id, item_id, arg_min(start_word, (-similarity, start_word))::BIGINT AS start_word, max(similarity) AS similarity FROM f GROUP BY doc_id, item_id
 """
