@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import FLOW, entropy, is_localhost
 
-#: ICMP type names; code names of type 3.
+#: ICMP type names, and code names of type 3.
 ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 4: "Source Quench", 5: "Redirect", 8: "Echo Request", 11: "Time Exceeded", 12: "Parameter Problem"}
 UNREACHABLE = {
     0: "Network Unreachable", 1: "Host Unreachable", 2: "Protocol Unreachable", 3: "Port Unreachable", 4: "Fragmentation Needed and DF Set", 5: "Source Route Failed",
@@ -26,15 +26,21 @@ WHITELIST = (
 
 
 def _name(table: dict[int, str], c: Column, other: str) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c.cast("int")), F.lit(other))
+    """The number's name, else `other` with the number."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c.cast("int"))
+    return F.coalesce(named, F.concat(F.lit(other), c.cast("string")))
+
+
+def _icmp_detail(p: DataFrame, field: str, kind: str) -> Column:
+    """A field of the deep ICMP column, null where a capture was read without it."""
+    return F.col(f"icmp.{field}") if "icmp" in p.columns else F.lit(None).cast(kind)
 
 
 def icmp_messages(p: DataFrame) -> DataFrame:
     """ICMP rows with a name and a severity."""
     t, c = F.col("icmp_type"), F.col("icmp_code")
-    name = _name(ICMP_TYPES, t, "Other")
-    code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in UNREACHABLE.items() for x in kv]), c.cast("int")), F.concat(F.lit("Code "), c.cast("string")))
-    name = F.when(t == 3, F.concat(name, F.lit(" - "), code)).otherwise(name)
+    name = _name(ICMP_TYPES, t, "Type ")
+    name = F.when(t == 3, F.concat(name, F.lit(" - "), _name(UNREACHABLE, c, "Code "))).otherwise(name)
     severity = (
         F.when((t == 3) & c.isin(0, 1, 4, 6, 7, 13), "error").when(t.isin(3, 4, 11, 12), "warning").otherwise("info")
     )
@@ -45,12 +51,25 @@ def icmp_summary(p: DataFrame) -> DataFrame:
     return icmp_messages(p).groupBy("name", "severity").agg(F.count("*").alias("packets"))
 
 
+def _unreachable(p: DataFrame) -> DataFrame:
+    """Unreachable messages with what couldn't be reached: the quoted packet's destination, else only who says so."""
+    target = F.coalesce(_icmp_detail(p, "orig_dst", "string"), F.concat(F.lit("Unknown (from "), F.col("src_ip"), F.lit(")")))
+    return icmp_messages(p).where("icmp_type = 3").withColumn("target", target)
+
+
 def unreachable_targets(p: DataFrame, k: int = 10) -> DataFrame:
     """Targets by unreachable messages, with their most frequent reason (ties: by name)."""
-    g = icmp_messages(p).where("icmp_type = 3").groupBy("dst_ip", "name").agg(F.count("*").alias("c"))
-    r = F.row_number().over(Window.partitionBy("dst_ip").orderBy(F.desc("c"), "name"))
-    total = F.sum("c").over(Window.partitionBy("dst_ip"))
-    return g.withColumn("r", r).withColumn("messages", total).where("r = 1").orderBy(F.desc("messages"), "dst_ip").limit(k).select("dst_ip", "messages", F.col("name").alias("reason"))
+    g = _unreachable(p).groupBy("target", "name").agg(F.count("*").alias("c"))
+    g = g.groupBy("target").agg(F.sum("c").alias("messages"), F.min(F.struct((-F.col("c")).alias("c"), "name")).alias("x"))
+    return g.orderBy(F.desc("messages"), "target").limit(k).select("target", "messages", F.col("x.name").alias("reason"))
+
+
+def path_mtu_issues(p: DataFrame, usual: int = 1500) -> DataFrame:
+    """Targets whose packets needed fragmentation but may not be: messages, and the largest MTU that any of them offers, else the usual one."""
+    mtu = _icmp_detail(p, "mtu", "int")
+    d = _unreachable(p).where("icmp_code = 4")
+    g = d.groupBy("target").agg(F.count("*").alias("messages"), F.max(F.when(mtu > 0, mtu)).alias("mtu"))
+    return g.select("target", "messages", F.coalesce("mtu", F.lit(usual)).alias("suggested_mtu"))
 
 
 def base_domain(name: Column) -> Column:
@@ -122,13 +141,21 @@ def dns_problems(tx: DataFrame, k: int = 10) -> DataFrame:
 
 
 def reassembly(p: DataFrame) -> DataFrame:
-    """Fragment groups (src, dst, id): complete if the sorted fragments leave no hole from 0 to the last one's end."""
-    f = p.where(F.col("frag.mf") | (F.col("frag.offset_bytes") > 0)).select("src_ip", "dst_ip", "frag.*")
-    end = F.col("offset_bytes") + F.col("payload_bytes")
-    w = Window.partitionBy("src_ip", "dst_ip", "ip_id").orderBy("offset_bytes", "payload_bytes")
-    f = f.withColumn("end", end).withColumn("hole", (F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) < F.col("offset_bytes")))
-    g = f.groupBy("src_ip", "dst_ip", "ip_id").agg(F.count("*").alias("fragments"), F.max("end").alias("total"), F.max("hole").alias("hole"), F.min("mf").alias("all_mf"), F.max("payload_bytes").alias("largest"))
-    return g.select("src_ip", "dst_ip", "ip_id", "fragments", "total", (~F.col("hole") & ~F.col("all_mf")).alias("complete"), (F.col("largest") + 20).alias("path_mtu"))
+    """Fragment groups (src, dst, id): fragments, total (the end that the last-seen final fragment sets, null without one), complete, path_mtu.
+
+    Complete means that the fragments by offset follow each other exactly, from 0 to that
+    end: a hole, an overlap or a fragment that comes twice is none.
+    """
+    f = p.where(F.col("frag.mf") | (F.col("frag.offset_bytes") > 0)).select("src_ip", "dst_ip", "ts_us", "packet_num", "frag.*")
+    f = f.withColumn("end", F.col("offset_bytes") + F.col("payload_bytes"))
+    w = Window.partitionBy("src_ip", "dst_ip", "ip_id").orderBy("offset_bytes", "ts_us", "packet_num")
+    f = f.withColumn("follows", F.coalesce(F.lag("end").over(w), F.lit(0)) == F.col("offset_bytes")).withColumn("r", F.row_number().over(w))
+    g = f.groupBy("src_ip", "dst_ip", "ip_id").agg(
+        F.count("*").alias("fragments"), F.max_by(F.when(~F.col("mf"), F.col("end")), F.when(~F.col("mf"), F.struct("ts_us", "packet_num"))).alias("total"),
+        F.min("follows").alias("follows"), F.max_by("end", "r").alias("reached"), F.max("payload_bytes").alias("largest"),
+    )
+    complete = F.coalesce(F.col("follows") & (F.col("reached") == F.col("total")), F.lit(False))
+    return g.select("src_ip", "dst_ip", "ip_id", "fragments", "total", complete.alias("complete"), (F.col("largest") + 20).alias("path_mtu"))
 
 
 def sack_flows(p: DataFrame) -> DataFrame:

@@ -14,38 +14,48 @@ def _so_far(w):
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def window_stats(p: DataFrame, low: int = 8192, settle: int = 20) -> DataFrame:
-    """Per directed flow: window minimum, maximum, mean, zero and low windows, and the minimum once settled."""
+def _windows(p: DataFrame) -> DataFrame:
+    """TCP packets with their place r in their flow, whether their window is zero, starts a run of zero windows, and how long it then stays zero.
+
+    A zero window lasts to the flow's next packet; after its last one, to the last TCP packet of the capture.
+    """
     w = Window.partitionBy(*FLOW).orderBy(*IN_ORDER)
-    t = p.where(is_tcp()).withColumn("r", F.row_number().over(w))
-    win = F.col("tcp_window")
-    return t.groupBy(*FLOW).agg(
-        F.count("*").alias("packets"), F.min(win).alias("min_window"), F.max(win).alias("max_window"), (F.sum(win) / F.count("*").cast("double")).alias("mean_window"),
-        F.count_if(win == 0).alias("zero_windows"), F.count_if(win < low).alias("low_windows"), F.min(F.when(F.col("r") > settle, win)).alias("settled_min"),
+    t = p.where(is_tcp())
+    end = F.broadcast(t.agg(F.max("ts_us").alias("end_us")))  # one row
+    t = t.select(*FLOW, "ts_us", "tcp_window", F.coalesce(F.col("tcp_window") == 0, F.lit(False)).alias("zero"), F.row_number().over(w).alias("r"), F.lead("ts_us").over(w).alias("next_us"), "packet_num")
+    t = t.withColumn("start", F.col("zero") & ~F.coalesce(F.lag("zero").over(w), F.lit(False)))
+    return t.crossJoin(end).withColumn("closed_us", F.when(F.col("zero"), F.coalesce("next_us", "end_us") - F.col("ts_us")))
+
+
+def window_stats(p: DataFrame, low: int = 8192, settle: int = 20) -> DataFrame:
+    """Per directed flow: window minimum (once settled, if it lives that long), maximum and mean, packets with zero windows, runs of
+    them with their time and first start, low windows (above zero), and these in percent of the settled packets."""
+    win, settled = F.col("tcp_window"), F.col("r") > settle
+    g = _windows(p).groupBy(*FLOW).agg(
+        F.count("*").alias("packets"), F.min(win).alias("least"), F.max(win).alias("max_window"), (F.sum(win) / F.count("*").cast("double")).alias("mean_window"),
+        F.count_if("zero").alias("zero_windows"), F.count_if("start").alias("zero_runs"), F.coalesce(F.sum("closed_us"), F.lit(0).cast("bigint")).alias("closed_us"),
+        F.min(F.when(F.col("zero"), F.col("ts_us"))).alias("first_zero_us"), F.count_if((win > 0) & (win < low)).alias("low_windows"), F.count_if(settled).alias("settled"),
+        F.min(F.when(settled, win)).alias("settled_min"),
+    )
+    share = F.when(F.col("settled") > 0, F.col("low_windows") / F.col("settled").cast("double") * 100.0).otherwise(0.0)
+    return g.select(
+        *FLOW, "packets", F.coalesce("settled_min", "least").alias("min_window"), "max_window", "mean_window", "zero_windows", "zero_runs", "closed_us", "first_zero_us", "low_windows", share.alias("low_share"),
     )
 
 
 def zero_window_periods(p: DataFrame) -> DataFrame:
-    """Runs of zero windows per directed flow; a run ends at the flow's next open window (open runs: at their last packet)."""
+    """Runs of zero windows per directed flow; a run ends at the flow's next open window, open ones at the last TCP packet of the capture."""
     w = Window.partitionBy(*FLOW).orderBy(*IN_ORDER)
-    t = p.where(is_tcp()).withColumn("zero", F.col("tcp_window") == 0)
-    t = t.withColumn("start", F.col("zero") & ~F.coalesce(F.lag("zero").over(w), F.lit(False)))
-    t = t.withColumn("run", F.sum(F.col("start").cast("int")).over(_so_far(w))).withColumn("next_us", F.lead("ts_us").over(w)).where("zero")
-    g = t.groupBy(*FLOW, "run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"), F.max("next_us").alias("next_us"), F.count("*").alias("packets"))
-    return g.select(*FLOW, "start_us", (F.coalesce("next_us", "last_us") - F.col("start_us")).alias("duration_us"), "packets")
-
-
-def window_bottleneck(stats: DataFrame, periods: DataFrame) -> DataFrame:
-    """Flows with the side that holds them back: application, receiver or none."""
-    long = periods.groupBy(*FLOW).agg(F.max("duration_us").alias("longest_us"))
-    d = stats.join(long, list(FLOW), "left")
-    return d.withColumn(
-        "bottleneck",
-        F.when(F.col("packets") < 30, "none")
-        .when((F.col("zero_windows") > 5) | (F.coalesce("longest_us", F.lit(0)) > 1_000_000), "application")
-        .when((F.col("low_windows") * 100 > F.col("packets") * 30) & (F.col("zero_windows") > 0), "receiver")
-        .otherwise("none"),
-    )
+    t = _windows(p).where("zero").withColumn("run", F.sum(F.col("start").cast("int")).over(_so_far(w)))
+    g = t.groupBy(*FLOW, "run").agg(F.min("ts_us").alias("start_us"), F.sum("closed_us").alias("duration_us"), F.count("*").alias("packets"))
+    return g.select(*FLOW, "start_us", "duration_us", "packets")
+
+
+def window_bottleneck(stats: DataFrame, limit_us: int = 1_000_000, least: int = 30) -> DataFrame:
+    """Flows with the side that holds them back: application, receiver or none (also for flows of under `least` packets)."""
+    app = (F.col("zero_runs") > 5) | (F.col("closed_us") > limit_us)
+    receiver = (F.col("low_share") > 30) & (F.col("zero_runs") > 0)
+    return stats.withColumn("bottleneck", F.when(F.col("packets") < least, "none").when(app, "application").when(receiver, "receiver").otherwise("none"))
 
 
 def classified_resets(p: DataFrame) -> DataFrame:
@@ -132,8 +142,11 @@ def retransmission_offenders(p: DataFrame, k: int = 10) -> DataFrame:
 
 
 def retransmission_groups(p: DataFrame, share: float = 0.8) -> DataFrame:
-    """Per flow the kind that makes up `share` of its retransmissions, else mixed."""
-    r = exact_retransmissions(p)
+    return flow_kinds(exact_retransmissions(p), share)
+
+
+def flow_kinds(r: DataFrame, share: float = 0.8) -> DataFrame:
+    """Per flow of retransmissions (FLOW, tcp_flags, kind) the kind that makes up `share` of them, else mixed."""
     kind = F.when(F.col("tcp_flags").bitwiseAND(SYN) != 0, "syn").when(F.col("kind") == "RTO", "rto").when(F.col("kind") == "Fast Retransmission", "fast").otherwise("generic")
     g = r.groupBy(*FLOW).agg(F.count("*").alias("n"), *[F.count_if(kind == k).alias(k) for k in ("syn", "rto", "fast", "generic")])
     group = None
@@ -176,17 +189,18 @@ def syn_delays(p: DataFrame, slow_us: int = 2_000_000, within_us: int = 10_000_0
     g = t.groupBy(*FLOW, "attempt").agg(
         F.min(F.when(is_syn, F.col("ts_us"))).alias("first_us"), F.max(F.when(counted, F.col("ts_us"))).alias("last_us"), (F.count_if(counted) - 1).alias("retries"),
         F.min(F.when(~is_syn, F.struct("ts_us", "packet_num", "kind"))).alias("end"),
-        *[F.max(F.when(counted & (F.col("r") == i + 1), F.col("gap"))).alias(f"gap{i}") for i in (1, 2)],
+        F.array_sort(F.collect_list(F.when(counted & F.col("gap").isNotNull(), F.struct("r", "gap")))).alias("gaps"),
     )
+    g = g.withColumn("intervals_us", F.transform("gaps", lambda x: x["gap"]))
     answered = F.col("end.kind") == "answer"
     g = g.withColumn("answered", F.coalesce(answered, F.lit(False))).where(F.col("end").isNull() | F.col("answered"))
     g = g.withColumn("delay_us", F.when(F.col("answered"), F.col("end.ts_us")).otherwise(F.col("last_us")) - F.col("first_us"))
     g = g.where((F.col("retries") > 0) | (F.col("answered") & (F.col("delay_us") >= slow_us)))
-    doubling = F.col("gap1").between(900_000, 1_100_000) & F.col("gap2").between(1_900_000, 2_100_000)
+    doubling = F.get("intervals_us", F.lit(0)).between(900_000, 1_100_000) & F.get("intervals_us", F.lit(1)).between(1_900_000, 2_100_000)
     late = F.col("delay_us") >= 3_000_000
     issue = F.when(~F.col("answered"), "no_synack_received").when(F.coalesce(doubling, F.lit(False)) & late, "server_delayed_response")
     issue = issue.when(late, "severe_network_delay").when(F.col("delay_us") >= 1_000_000, "moderate_network_delay").otherwise("normal")
-    return g.select(*FLOW, "first_us", "retries", "answered", "delay_us", issue.alias("issue"))
+    return g.select(*FLOW, "first_us", "retries", "answered", "delay_us", issue.alias("issue"), "intervals_us")
 
 
 def bursts_with_retransmissions(p: DataFrame, bursts: DataFrame, min_hits: int = 5, min_ratio: float = 5.0) -> DataFrame:
@@ -200,3 +214,35 @@ def bursts_with_retransmissions(p: DataFrame, bursts: DataFrame, min_hits: int =
     b = bursts.select("burst_id", "start_us", "end_us", "peak_ratio", F.explode(F.sequence(at("start_us"), at("end_us"))).alias("block"))
     g = r.join(b, "block").where(F.col("ts_us").between(F.col("start_us"), F.col("end_us"))).groupBy("burst_id").agg(F.count("*").alias("hits"), F.max("peak_ratio").alias("peak_ratio"))
     return g.where((F.col("hits") > min_hits) & (F.col("peak_ratio") > min_ratio)).select("burst_id", "hits")
+
+
+def syn_conformance(p: DataFrame, within_us: int = 10_000_000, slow_us: int = 2_000_000, unit_us: int = 1_000_000, tolerance: float = 0.1) -> DataFrame:
+    """Attempts of syn_delays with how their SYNs were spaced: RFC 6298 asks for a first timeout of at least unit_us, then doubled each time.
+
+    intervals_us are the times between the counted SYNs; expected_us the doubling ones;
+    doubles says whether each is twice the one before, within the tolerance.
+    """
+    d = syn_delays(p, slow_us, within_us)
+    x = F.col("intervals_us")
+    ratios = F.zip_with(F.slice(x, F.lit(2), F.size(x)), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), lambda b, a: F.when(a > 0, b / a.cast("double")).otherwise(0.0))
+    low, high = 2 * (1 - tolerance), 2 * (1 + tolerance)
+    doubles = F.forall(ratios, lambda r: (r >= low) & (r <= high))
+    first = F.get(x, F.lit(0))
+    expected = F.transform(F.slice(F.array(*[F.lit(unit_us << i).cast("bigint") for i in range(4)]), F.lit(1), F.least(F.size(x), F.lit(4))), lambda v: v)
+    n = F.col("retries")
+    severity = F.when(n == 0, "normal").when(~F.col("answered"), "critical").when(n >= 3, "high").when(n >= 2, "medium").otherwise("low")
+    d = d.withColumn("first_timeout_us", first).withColumn("expected_us", expected).withColumn("doubles", doubles)
+    d = d.withColumn("conforms", F.col("doubles") & F.coalesce(first >= unit_us, F.lit(True)))
+    return d.withColumn("severity", severity)
+
+
+def syn_conformance_summary(attempts: DataFrame) -> DataFrame:
+    """One row over syn_conformance: attempts, those that conform and that double, their shares, the mean first timeout, and attempts by severity."""
+    n = F.col("attempts").cast("double")
+    levels = ("critical", "high", "medium", "low", "normal")
+    g = attempts.agg(
+        F.count("*").alias("attempts"), F.count_if("conforms").alias("conform"), F.count_if("doubles").alias("double"), (F.sum("first_timeout_us") / F.count("first_timeout_us").cast("double")).alias("mean_timeout_us"),
+        *[F.count_if(F.col("severity") == x).alias(x) for x in levels],
+    )
+    share = lambda c: F.when(F.col("attempts") > 0, F.col(c) / n).otherwise(0.0)
+    return g.select("attempts", "conform", "double", share("conform").alias("conform_share"), share("double").alias("double_share"), "mean_timeout_us", *levels)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import ENDS, FLOW, is_tcp, with_ends
+from ..functions.cols import ENDS, FLOW, ip_num, is_tcp, with_ends
 
 #: Names of ports in port counts, and services that classify a flow.
 SERVICES = {
@@ -159,12 +159,14 @@ def service_summary(p: DataFrame) -> DataFrame:
 
 
 def label_ranges(p: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Packets and bytes per labelled address range (label, lo, hi as numbers); ranges are few and broadcast.
+    """Packets and bytes per labelled address range (label, lo, hi as numbers); addresses in none are public, in several count for each.
 
-    Destinations are counted before the range join, so it runs over distinct addresses.
+    Destinations are counted before they meet the ranges, so those are distinct addresses.
+    Both are laid out over blocks of 65,536 addresses and joined by block.
     """
-    from ..functions.cols import ip_num
-
+    block = lambda c: F.shiftright(F.col(c), 16)
     g = p.groupBy("dst_ip").agg(F.count("*").alias("packets"), F.sum("packet_length").alias("bytes")).withColumn("num", ip_num(F.col("dst_ip")))
-    j = g.join(F.broadcast(ranges), F.col("num").between(F.col("lo"), F.col("hi")), "left")
+    r = ranges.withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
+    within = (F.col("block") == block("num")) & F.col("num").between(F.col("lo"), F.col("hi"))
+    j = g.join(r, within, "left")
     return j.groupBy(F.coalesce("label", F.lit("public")).alias("label")).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))

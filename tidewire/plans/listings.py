@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import ACK, FLOW, RST, SYN, has, is_tcp
+from ..functions.cols import ACK, ENDS, FIN, FLOW, RST, SYN, has, is_tcp, with_ends
 from ..operators.tcp import IN_ORDER, exact_retransmissions
 from ..operators.timing import FIVE, jitter_severity
 
@@ -59,13 +59,35 @@ def jitter_offenders(stats: DataFrame, high_us: int = 30_000, k: int = 10) -> Da
     return first_rows(d, [F.desc("p95_us"), *FIVE], k)
 
 
-def retransmission_context(p: DataFrame, before: int = 10) -> DataFrame:
-    """packet_num, n_before, before (numbers, joined by commas) of the packets of its flow that precede each retransmission."""
-    w = Window.partitionBy(*FLOW).orderBy(*IN_ORDER).rowsBetween(-before, -1)
-    t = p.where(is_tcp()).select("packet_num", F.collect_list("packet_num").over(w).alias("nums"))
-    r = exact_retransmissions(p).select("packet_num")
-    d = t.join(r, "packet_num", "left_semi")
-    return d.select("packet_num", F.size("nums").cast("bigint").alias("n_before"), F.array_join("nums", ",").alias("before"))
+def retransmission_context(p: DataFrame, forward: int = 5, reverse: int = 5, most: int = 10) -> DataFrame:
+    """The packets around each retransmission: packet_num, n_forward, n_reverse, context (numbers in order of time, joined by commas).
+
+    The last `forward` packets of its direction, itself included, and of the other direction
+    the last `reverse` ones before it that are no earlier than the first of these; merged by
+    time (the own direction first where times are equal) and cut to the first `most`. Windows
+    over the conversation number the packets, so the other direction's are looked up by
+    place, for retransmissions only.
+    """
+    side = ("up", *ENDS)
+    t = with_ends(p.where(is_tcp())).withColumn("up", (F.col("src_ip") == F.col("ip_a")) & F.col("src_port").eqNullSafe(F.col("port_a")))
+    one = Window.partitionBy(*ENDS, "up").orderBy(*IN_ORDER)
+    t = t.withColumn("all", F.row_number().over(Window.partitionBy(*ENDS).orderBy(*IN_ORDER))).withColumn("place", F.row_number().over(one))
+    entry = F.struct("ts_us", F.lit(0).alias("other"), "place", "packet_num")
+    t = t.withColumn("own", F.collect_list(entry).over(one.rowsBetween(1 - forward, 0)))
+    sends = (F.col("tcp_payload_len") > 0) | has(SYN) | has(FIN)
+    segment = Window.partitionBy(*ENDS, "up", sends, "tcp_seq", "tcp_payload_len").orderBy(*IN_ORDER)
+    t = t.withColumn("again", sends & (F.row_number().over(segment) > 1)).withColumn("before", F.col("all") - F.col("place"))
+    r = t.where("again").select(*side, "place", "packet_num", "own", "before")
+    asked = r.where("before > 0").select(
+        (~F.col("up")).alias("up"), *ENDS, F.col("place").alias("of"), F.get("own", F.lit(0))["ts_us"].alias("since"),
+        F.explode(F.sequence(F.greatest(F.col("before") - reverse + 1, F.lit(1)), F.col("before"))).alias("place"),
+    )
+    there = t.select(*side, "place", F.struct("ts_us", F.lit(1).alias("other"), "place", "packet_num").alias("x"))
+    met = asked.join(there, [*side, "place"]).where(F.col("x.ts_us") >= F.col("since"))
+    met = met.groupBy((~F.col("up")).alias("up"), *ENDS, F.col("of").alias("place")).agg(F.collect_list("x").alias("theirs"))
+    d = r.join(met, [*side, "place"], "left").withColumn("theirs", F.coalesce("theirs", F.array().cast(met.schema["theirs"].dataType)))
+    merged = F.slice(F.array_sort(F.concat("own", "theirs")), F.lit(1), F.lit(most))
+    return d.select("packet_num", F.size("own").cast("bigint").alias("n_forward"), F.size("theirs").cast("bigint").alias("n_reverse"), F.array_join(F.transform(merged, lambda x: x["packet_num"].cast("string")), ",").alias("context"))
 
 
 def round_trip_summary(rtt: DataFrame, warning_us: int = 100_000, critical_us: int = 500_000) -> DataFrame:
@@ -90,23 +112,29 @@ def shaped_flows(p: DataFrame, least: int = 10, spread: float = 0.3) -> DataFram
     return g.where(F.col("cv") < spread).select(*FLOW, "n", "mean_us", "cv")
 
 
+def answered_flows(p: DataFrame) -> DataFrame:
+    """Flows whose other side sent an ACK or RST."""
+    turned = dict(zip(FLOW, ("dst_ip", "dst_port", "src_ip", "src_port")))
+    return p.where(is_tcp() & (has(ACK) | has(RST))).select(*[F.col(v).alias(k) for k, v in turned.items()]).distinct()
+
+
 def silent_targets(p: DataFrame) -> DataFrame:
     """Flows whose SYNs were sent again though the other side never sent an ACK or RST, as behind a filter that drops them."""
     r = exact_retransmissions(p).where(F.col("tcp_flags").bitwiseAND(SYN) != 0).groupBy(*FLOW).agg(F.count("*").alias("retries"))
-    turned = dict(zip(FLOW, ("dst_ip", "dst_port", "src_ip", "src_port")))
-    heard = p.where(is_tcp() & (has(ACK) | has(RST))).select(*[F.col(v).alias(k) for k, v in turned.items()]).distinct()
-    return r.join(heard, list(FLOW), "left_anti")
-
-
-def window_groups(stats: DataFrame, periods: DataFrame, limit_us: int = 1_000_000) -> DataFrame:
-    """Flows that closed their window, by what holds them back: the application, the receiver's buffer or other causes."""
-    per = periods.groupBy(*FLOW).agg(F.sum("duration_us").alias("closed_us"))
-    d = stats.where("zero_windows > 0").join(per, list(FLOW), "left").withColumn("closed_us", F.coalesce("closed_us", F.lit(0).cast("bigint")))
-    app = (F.col("zero_windows") > 5) | (F.col("closed_us") > limit_us)
-    group = F.when(app, "application").when(F.col("low_windows") * 100 > F.col("packets") * 30, "receiver").otherwise("other")
-    weight = F.col("zero_windows").cast("decimal(38,0)") * F.col("closed_us")
-    return d.groupBy(group.alias("kind")).agg(
-        F.count("*").alias("flows"), F.sum("zero_windows").alias("zero_windows"), F.sum("closed_us").alias("closed_us"), F.max(weight).cast("double").alias("worst"),
+    return r.join(answered_flows(p), list(FLOW), "left_anti")
+
+
+def with_window_group(stats: DataFrame, limit_us: int = 1_000_000) -> DataFrame:
+    """Flows that closed their window with the group they are reported in, which short flows have, too: application, receiver or other."""
+    app = (F.col("bottleneck") == "application") | (F.col("zero_runs") > 5) | (F.col("closed_us") > limit_us)
+    return stats.where("zero_runs > 0").withColumn("kind", F.when(app, "application").when(F.col("bottleneck") == "receiver", "receiver").otherwise("other"))
+
+
+def window_groups(stats: DataFrame, limit_us: int = 1_000_000) -> DataFrame:
+    """The groups of with_window_group: flows, runs of zero windows, their time, and the largest product of both in a flow."""
+    weight = F.col("zero_runs").cast("decimal(38,0)") * F.col("closed_us")
+    return with_window_group(stats, limit_us).groupBy("kind").agg(
+        F.count("*").alias("flows"), F.sum("zero_runs").alias("zero_runs"), F.sum("closed_us").alias("closed_us"), F.max(weight).cast("double").alias("worst"),
     )
 
 

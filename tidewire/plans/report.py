@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import FLOW
@@ -18,14 +18,16 @@ def summary(p: DataFrame) -> DataFrame:
 
 
 def capture_sanity(p: DataFrame, first: int = 100) -> DataFrame:
-    """One row over the capture's first packets: count, duplicates, self loops, largest time jump and the verdict."""
+    """One row over the capture's first packets: count, duplicates, self loops, largest jump of time between neighbours, and the verdict."""
     h = p.orderBy("packet_num").limit(first)
-    jump = h.agg((F.max("ts_us") - F.min("ts_us")).alias("span_us"))
+    # the window runs over those few rows alone
+    h = h.withColumn("jump", F.abs(F.col("ts_us") - F.lag("ts_us").over(Window.orderBy("packet_num"))))
     g = h.agg(
-        F.count("*").alias("packets"), F.count_distinct("ts_us", "src_ip", "dst_ip", "packet_length").alias("distinct_packets"), F.count_if(F.col("src_ip") == F.col("dst_ip")).alias("self_loops")
-    ).crossJoin(jump)
+        F.count("*").alias("packets"), F.count_distinct("ts_us", "src_ip", "dst_ip", "packet_length").alias("distinct_packets"), F.count_if(F.col("src_ip") == F.col("dst_ip")).alias("self_loops"),
+        F.max("jump").alias("jump_us"),
+    )
     verdict = (
-        F.when(F.col("packets") < 2, "too few packets").when(F.col("span_us") > 31_536_000_000_000, "time jump")
+        F.when(F.col("packets") < 2, "too few packets").when(F.col("jump_us") > 31_536_000_000_000, "time jump")
         .when((F.col("packets") - F.col("distinct_packets")) * 2 > F.col("packets"), "duplicates").when(F.col("self_loops") * 10 > F.col("packets"), "self loops").otherwise("valid")
     )
     return g.withColumn("verdict", verdict)

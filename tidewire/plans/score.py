@@ -20,19 +20,22 @@ CLASSES = ((95, 0, "excellent"), (85, 1, "good"), (65, 2, "fair"), (45, 3, "degr
 
 
 def health_score(metrics: DataFrame) -> DataFrame:
-    """metrics (a column per METRICS name, null where not measured) plus <name>_penalty, score and class."""
+    """metrics (a column per METRICS name, null where not measured) plus <name>_penalty, score and class.
+
+    Penalties are rounded to two places before they are summed, the score to one after its class is set.
+    """
     out, total = metrics, None
     for name, (weight, lines, beyond) in METRICS.items():
         x = F.coalesce(F.col(name), F.lit(0.0))
         past = F.least(F.lit(95.0), 80 + 50 * (x - 0.30)) if beyond is None else float(beyond)
-        penalty = piecewise(x, lines, past) * (weight / 100.0)
+        penalty = F.round(piecewise(x, lines, past) * (weight / 100.0), 2)
         out = out.withColumn(f"{name}_penalty", penalty)
         total = F.col(f"{name}_penalty") if total is None else total + F.col(f"{name}_penalty")
     out = out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - total)))
     grade = None
     for bound, i, _ in CLASSES:
         grade = F.when(F.col("score") >= bound, i) if grade is None else grade.when(F.col("score") >= bound, i)
-    return out.withColumn("class", grade.otherwise(5))
+    return out.withColumn("class", grade.otherwise(5)).withColumn("score", F.round("score", 1))
 
 
 def metrics_of(p: DataFrame, rtt: DataFrame, retransmissions: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions.cols import entropy, ip_num, redact
 from .operators import folds, names, security, tcp, timing, traffic
-from .plans import listings, report, score
+from .plans import causes, listings, report, score
+from .sources import dissector
 from .sources.adapters import events_to_packets
 from .thresholds import Thresholds
 
@@ -39,12 +40,12 @@ e AS (SELECT *, CASE WHEN fw THEN src_ip ELSE dst_ip END AS ip_a, CASE WHEN fw T
 """
 #: Ports that the varied view deals out, by packet number modulo 9 (0 keeps the port), and ICMP types, modulo 8.
 VARIED_PORTS = (8080, 4444, 31337, 139, 5986, 1433, 9999, 593)
-VARIED_TYPES = (3, 3, 3, 11, 8, 0, 5, 12)
+VARIED_TYPES = (3, 3, 3, 11, 8, 13, 5, 12)
 #: The same packets with many ports, UDP beyond DNS, and ICMP, so that the rules' other branches are reached.
 VARIED = PACKETS.replace("WITH p AS", "WITH p0 AS").replace("f AS (", """p AS (SELECT * REPLACE (CASE WHEN packet_num % 10 = 3 THEN NULL WHEN packet_num % 9 = 0 THEN dst_port ELSE [8080, 4444, 31337, 139, 5986, 1433, 9999, 593][packet_num % 9] END AS dst_port,
   CASE WHEN packet_num % 10 <> 3 THEN src_port END AS src_port, CASE packet_num % 10 WHEN 3 THEN 'ICMP' WHEN 7 THEN 'UDP' ELSE protocol END AS protocol, tcp AND packet_num % 10 NOT IN (3, 7) AS tcp,
   CASE WHEN packet_num % 10 NOT IN (3, 7) THEN seq END AS seq, CASE WHEN packet_num % 10 NOT IN (3, 7) THEN ack END AS ack, CASE WHEN packet_num % 10 NOT IN (3, 7) THEN flags END AS flags),
-  CASE WHEN packet_num % 10 = 3 THEN [3, 3, 3, 11, 8, 0, 5, 12][packet_num // 10 % 8 + 1] END AS icmp_type, CASE WHEN packet_num % 10 = 3 THEN packet_num // 80 % 15 END AS icmp_code FROM p0),
+  CASE WHEN packet_num % 10 = 3 THEN [3, 3, 3, 11, 8, 13, 5, 12][packet_num // 10 % 8 + 1] END AS icmp_type, CASE WHEN packet_num % 10 = 3 AND packet_num % 30 <> 3 THEN '172.20.0.' || packet_num // 10 % 7 END AS orig_dst, CASE WHEN packet_num % 10 = 3 AND packet_num % 50 <> 3 THEN 1200 + packet_num // 10 % 5 * 50 END AS mtu, CASE WHEN packet_num % 10 = 3 THEN packet_num // 80 % 15 END AS icmp_code FROM p0),
 f AS (""", 1)
 ENDS = "ip_a, port_a, ip_b, port_b"
 FLOW = "src_ip, src_port, dst_ip, dst_port"
@@ -79,7 +80,9 @@ def varied(p: DataFrame) -> DataFrame:
         **{c: F.when(~bare, F.col(c)) for c in ("tcp_seq", "tcp_ack", "tcp_flags", "tcp_window")},
         "icmp_type": F.when(icmp, pick(VARIED_TYPES, F.floor(n / 10) % 8 + 1)).cast("smallint"), "icmp_code": F.when(icmp, F.floor(n / 80) % 15).cast("smallint"),
     }
-    return p.select(*[new[c].alias(c) if c in new else F.col(c) for c in p.columns])
+    quoted = F.when(icmp & (n % 30 != 3), F.concat(F.lit("172.20.0."), (F.floor(n / 10) % 7).cast("string")))
+    detail = F.struct(F.when(icmp & (n % 50 != 3), 1200 + F.floor(n / 10) % 5 * 50).cast("int").alias("mtu"), F.lit(None).cast("string").alias("orig_src"), quoted.alias("orig_dst"))
+    return p.select(*[new[c].alias(c) if c in new else F.col(c) for c in p.columns], detail.alias("icmp"))
 
 
 def over_varied(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
@@ -190,10 +193,25 @@ SELECT src_ip, dst_ip, dst_port, n, mean_ms, score, CASE WHEN score >= 90 THEN '
 # ---------------------------------------------------------------- TCP
 
 _TW = f"tw AS (SELECT *, row_number() OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS r, lag(win) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS prev, lead(ts_us) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS nxt FROM e WHERE tcp)"
-over_packets("tcp_window_stats", lambda p: tcp.window_stats(p, 9000, 5), f""", {_TW} SELECT {FLOW}, count(*) AS packets, min(win)::INT AS min_window, max(win)::INT AS max_window, sum(win) / count(*)::DOUBLE AS mean_window,
-count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows, min(win) FILTER (r > 5)::INT AS settled_min FROM tw GROUP BY {FLOW}""")
-over_packets("zero_window_periods", tcp.zero_window_periods, f""", {_TW}, z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw)
-SELECT {FLOW}, min(ts_us) AS start_us, coalesce(max(nxt), max(ts_us)) - min(ts_us) AS duration_us, count(*) AS packets FROM z WHERE win = 0 GROUP BY {FLOW}, run""")
+_TS = f"""tz AS (SELECT *, coalesce(win = 0, false) AS zero, CASE WHEN win = 0 THEN coalesce(nxt, (SELECT max(ts_us) FROM tw)) - ts_us END AS closed, coalesce(win = 0, false) AND NOT coalesce(prev = 0, false) AS start FROM tw),
+tg AS (SELECT {FLOW}, count(*) AS packets, coalesce(min(win) FILTER (r > 5), min(win))::INT AS min_window, max(win)::INT AS max_window, sum(win) / count(*)::DOUBLE AS mean_window, count(*) FILTER (zero) AS zero_windows, count(*) FILTER (start) AS zero_runs,
+coalesce(sum(closed), 0)::BIGINT AS closed_us, min(ts_us) FILTER (zero) AS first_zero_us, count(*) FILTER (win > 0 AND win < 9000) AS low_windows, count(*) FILTER (r > 5) AS settled FROM tz GROUP BY {FLOW}),
+ts AS (SELECT * EXCLUDE (settled), CASE WHEN settled > 0 THEN low_windows / settled::DOUBLE * 100.0 ELSE 0.0 END AS low_share FROM tg),
+tb AS (SELECT *, CASE WHEN packets < 10 THEN 'none' WHEN zero_runs > 5 OR closed_us > {96 * HOUR} THEN 'application' WHEN low_share > 30 AND zero_runs > 0 THEN 'receiver' ELSE 'none' END AS bottleneck FROM ts),
+tk AS (SELECT *, CASE WHEN bottleneck = 'application' OR zero_runs > 5 OR closed_us > {96 * HOUR} THEN 'application' WHEN bottleneck = 'receiver' THEN 'receiver' ELSE 'other' END AS kind FROM tb WHERE zero_runs > 0)"""
+
+
+def _bottlenecks(p: DataFrame) -> DataFrame:
+    return tcp.window_bottleneck(tcp.window_stats(p, 9000, 5), 96 * HOUR, 10)
+
+
+def _window_groups(p: DataFrame) -> DataFrame:
+    return listings.with_window_group(_bottlenecks(p), 96 * HOUR)
+
+
+over_packets("tcp_window_stats", lambda p: tcp.window_stats(p, 9000, 5), f", {_TW}, {_TS} SELECT * FROM ts")
+over_packets("zero_window_periods", tcp.zero_window_periods, f""", {_TW}, {_TS}, z AS (SELECT *, sum(start::INT) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tz)
+SELECT {FLOW}, min(ts_us) AS start_us, CASE WHEN bool_or(nxt IS NULL) THEN (SELECT max(ts_us) FROM tw) ELSE max(nxt) END - min(ts_us) AS duration_us, count(*) AS packets FROM z WHERE zero GROUP BY {FLOW}, run""")
 over_packets("tcp_reset_classified", tcp.classified_resets, f""", r AS (SELECT *, bool_or((flags & 2) <> 0) OVER w AS syn_seen, bool_or(psh OR payload > 0) OVER w AS data_seen FROM e WHERE tcp WINDOW w AS (PARTITION BY {ENDS} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING))
 SELECT packet_num, {FLOW}, syn_seen, data_seen, NOT data_seen AS premature FROM r WHERE rst""")
 over_packets("tcp_reset_flows", tcp.reset_flows, f"SELECT {ENDS}, count(*) FILTER (rst) AS resets, NOT bool_or(psh OR payload > 0) AS premature FROM e WHERE tcp GROUP BY {ENDS} HAVING count(*) FILTER (rst) > 0 ORDER BY resets DESC, {ENDS} LIMIT 10")
@@ -260,16 +278,28 @@ def _segments(p: DataFrame) -> DataFrame:
     return folds.segment_events(both_ways(p), TIMERS)
 
 
+def as_export(p: DataFrame) -> DataFrame:
+    """Repeated segments written as an outside dissector exports them: JSON objects whose fields are lists."""
+    r = tcp.exact_retransmissions(p).select("packet_num", "ts_us", *tcp.FLOW, "tcp_seq", "tcp_flags", "kind")
+    epoch = F.format_string("%d.%06d000", F.floor(F.col("ts_us") / 1_000_000), F.col("ts_us") % 1_000_000)
+    values = {dissector.FIELDS[c][0]: F.col(c).cast("string") for c in ("packet_num", *tcp.FLOW, "tcp_seq")} | {"frame.time_epoch": epoch, "tcp.flags": F.format_string("0x%04x", "tcp_flags")}
+    marks = {dissector.RTO: "RTO", dissector.FAST: "Fast Retransmission"}
+    layers = F.map_filter(
+        F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(v))], *[x for m, k in marks.items() for x in (F.lit(m), F.when(F.col("kind") == k, F.array(F.lit("1"))))]), lambda k, v: v.isNotNull()
+    )
+    return r.select(F.to_json(F.struct(F.struct(layers.alias("layers")).alias("_source"))).alias("value"))
+
+
+over_packets("dissector_retransmissions", lambda p: dissector.exported_retransmissions(dissector.exported_packets(dissector.parse_export(as_export(p))), p.where("protocol = 'TCP'")), f""", {_X},
+fs AS (SELECT {FLOW}, seq AS tcp_seq, min(packet_num) AS original, arg_min(ts_us, packet_num) AS us FROM e WHERE tcp GROUP BY {FLOW}, seq)
+SELECT x.packet_num, {FLOW}, tcp_seq, CASE WHEN original < x.packet_num THEN original END AS original_num, CASE WHEN original < x.packet_num THEN p.ts_us - us END AS delay_us, kind,
+CASE WHEN (tcp_flags & 2) <> 0 THEN CASE WHEN (tcp_flags & 16) <> 0 THEN 'client_unreachable' ELSE 'server_unreachable' END END AS unreachable FROM x JOIN fs USING ({FLOW}, tcp_seq) JOIN (SELECT packet_num, ts_us FROM p) p USING (packet_num)""")
 over_packets("retransmission_full", lambda p: folds.retransmissions(_segments(p)))
 over_packets("tcp_anomalies", lambda p: _segments(p).where("event <> 'retransmission'").select("event", "packet_num", "ts_us", *tcp.FLOW, "tcp_seq", "dup_acks", "expected"))
 over_packets("retrans_flow_severity", lambda p: folds.flow_severity(both_ways(p), _segments(p), 3, 100))
 over_packets("retrans_report", lambda p: folds.segment_report(_segments(p), folds.flow_severity(both_ways(p), _segments(p), 3, 100)))
-over_packets("tcp_window_bottleneck", lambda p: tcp.window_bottleneck(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p)), f""", {_TW}, st AS (SELECT {FLOW}, count(*) AS packets, min(win)::INT AS min_window, max(win)::INT AS max_window, sum(win) / count(*)::DOUBLE AS mean_window,
-count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows, min(win) FILTER (r > 5)::INT AS settled_min FROM tw GROUP BY {FLOW}),
-z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw),
-zp AS (SELECT {FLOW}, max(d) AS longest_us FROM (SELECT {FLOW}, coalesce(max(nxt), max(ts_us)) - min(ts_us) AS d FROM z WHERE win = 0 GROUP BY {FLOW}, run) GROUP BY {FLOW})
-SELECT st.*, longest_us, CASE WHEN packets < 30 THEN 'none' WHEN zero_windows > 5 OR coalesce(longest_us, 0) > 1000000 THEN 'application' WHEN low_windows * 100 > packets * 30 AND zero_windows > 0 THEN 'receiver' ELSE 'none' END AS bottleneck FROM st LEFT JOIN zp USING ({FLOW})""")
-over_packets("syn_delays", lambda p: tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR), f""", t AS (SELECT packet_num, ts_us, seq, flags, CASE WHEN packet_num % 2 = 1 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN packet_num % 2 = 1 THEN dst_port ELSE src_port END AS src_port,
+over_packets("tcp_window_bottleneck", _bottlenecks, f", {_TW}, {_TS} SELECT * FROM tb")
+_SD = f"""t AS (SELECT packet_num, ts_us, seq, flags, CASE WHEN packet_num % 2 = 1 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN packet_num % 2 = 1 THEN dst_port ELSE src_port END AS src_port,
 CASE WHEN packet_num % 2 = 1 THEN src_ip ELSE dst_ip END AS dst_ip, CASE WHEN packet_num % 2 = 1 THEN src_port ELSE dst_port END AS dst_port FROM e WHERE tcp AND (flags & 7) <> 0),
 k AS (SELECT *, CASE WHEN (flags & 18) = 2 THEN 'syn' WHEN (flags & 18) = 18 THEN 'answer' ELSE 'close' END AS kind FROM t),
 ev AS (SELECT packet_num, ts_us, seq, kind, {FLOW} FROM k WHERE kind <> 'answer' UNION ALL SELECT packet_num, ts_us, seq, kind, dst_ip, dst_port, src_ip, src_port FROM k WHERE kind <> 'syn'),
@@ -277,9 +307,30 @@ n AS (SELECT *, kind = 'syn' AND NOT coalesce(lag(kind) OVER w = 'syn' AND lag(s
 att AS (SELECT *, sum(new::INT) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS attempt FROM n),
 gp AS (SELECT *, CASE WHEN kind = 'syn' AND NOT new THEN ts_us - lag(ts_us) OVER w END AS gap, row_number() OVER w AS r FROM att WHERE attempt > 0 WINDOW w AS (PARTITION BY {FLOW}, attempt ORDER BY ts_us, packet_num)),
 lt AS (SELECT *, bool_or(coalesce(gap >= {480 * HOUR}, false)) OVER (PARTITION BY {FLOW}, attempt ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS late FROM gp),
-ag AS (SELECT {FLOW}, attempt, min(ts_us) FILTER (kind = 'syn') AS first_us, max(ts_us) FILTER (kind = 'syn' AND NOT late) AS last_us, count(*) FILTER (kind = 'syn' AND NOT late) - 1 AS retries, min((ts_us, packet_num, kind)) FILTER (kind <> 'syn') AS fin FROM lt GROUP BY {FLOW}, attempt),
-dl AS (SELECT *, coalesce(fin[3] = 'answer', false) AS answered, CASE WHEN fin[3] = 'answer' THEN fin[1] ELSE last_us END - first_us AS delay_us FROM ag WHERE fin IS NULL OR fin[3] = 'answer')
-SELECT {FLOW}, first_us, retries, answered, delay_us, CASE WHEN NOT answered THEN 'no_synack_received' WHEN delay_us >= 3000000 THEN 'severe_network_delay' WHEN delay_us >= 1000000 THEN 'moderate_network_delay' ELSE 'normal' END AS issue FROM dl WHERE retries > 0 OR (answered AND delay_us >= {24 * HOUR})""")
+ag AS (SELECT {FLOW}, attempt, min(ts_us) FILTER (kind = 'syn') AS first_us, max(ts_us) FILTER (kind = 'syn' AND NOT late) AS last_us, count(*) FILTER (kind = 'syn' AND NOT late) - 1 AS retries, min((ts_us, packet_num, kind)) FILTER (kind <> 'syn') AS fin, list(gap ORDER BY r) FILTER (kind = 'syn' AND NOT late AND gap IS NOT NULL) AS intervals_us FROM lt GROUP BY {FLOW}, attempt),
+dl AS (SELECT *, coalesce(fin[3] = 'answer', false) AS answered, CASE WHEN fin[3] = 'answer' THEN fin[1] ELSE last_us END - first_us AS delay_us FROM ag WHERE fin IS NULL OR fin[3] = 'answer'),
+sd AS (SELECT {FLOW}, first_us, retries, answered, delay_us, CASE WHEN NOT answered THEN 'no_synack_received' WHEN delay_us >= 3000000 THEN 'severe_network_delay' WHEN delay_us >= 1000000 THEN 'moderate_network_delay' ELSE 'normal' END AS issue,
+coalesce(intervals_us, []) AS intervals_us FROM dl WHERE retries > 0 OR (answered AND delay_us >= {24 * HOUR})),
+sx AS (SELECT *, intervals_us[1] AS first_timeout_us, [{24 * HOUR}, {48 * HOUR}, {96 * HOUR}, {192 * HOUR}][1:len(intervals_us)]::BIGINT[] AS expected_us,
+coalesce(list_bool_and(list_transform(range(1, len(intervals_us)), lambda i: coalesce(CASE WHEN intervals_us[i] > 0 THEN intervals_us[i + 1] / intervals_us[i]::DOUBLE ELSE 0.0 END BETWEEN 1.0 AND 3.0, false))), true) AS doubles FROM sd),
+sc AS (SELECT *, doubles AND coalesce(first_timeout_us >= {24 * HOUR}, true) AS conforms, CASE WHEN retries = 0 THEN 'normal' WHEN NOT answered THEN 'critical' WHEN retries >= 3 THEN 'high' WHEN retries >= 2 THEN 'medium' ELSE 'low' END AS severity FROM sx)"""
+
+
+def _syn_delays(p: DataFrame) -> DataFrame:
+    return tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR)
+
+
+def _conformance(p: DataFrame) -> DataFrame:
+    """The rules of syn_conformance, with days for seconds and a wide tolerance."""
+    return tcp.syn_conformance(both_ways(p), 480 * HOUR, 24 * HOUR, 24 * HOUR, 0.5)
+
+
+over_packets("syn_delays", lambda p: _syn_delays(p).drop("intervals_us"), f", {_SD} SELECT * EXCLUDE (intervals_us) FROM sd")
+over_packets("syn_conformance", lambda p: _conformance(p).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("intervals_us", "expected_us")}), f""", {_SD}
+SELECT * REPLACE (array_to_string(intervals_us, ',') AS intervals_us, array_to_string(expected_us, ',') AS expected_us) FROM sc""")
+over_packets("syn_conformance_summary", lambda p: tcp.syn_conformance_summary(_conformance(p)), f""", {_SD}, g AS (SELECT count(*) AS attempts, count(*) FILTER (conforms) AS conform, count(*) FILTER (doubles) AS double, sum(first_timeout_us) / count(first_timeout_us)::DOUBLE AS mean_timeout_us,
+count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'normal') AS normal FROM sc)
+SELECT *, conform / attempts::DOUBLE AS conform_share, double / attempts::DOUBLE AS double_share FROM g""")
 
 # ---------------------------------------------------------------- security
 
@@ -396,26 +447,34 @@ o AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY c DESC, problem)
 
 # ---------------------------------------------------------------- ICMP, fragments, selective acknowledgements
 
-_I = """i AS (SELECT dst_ip, icmp_type AS t, icmp_code AS c, CASE icmp_type WHEN 0 THEN 'Echo Reply' WHEN 3 THEN 'Destination Unreachable' WHEN 5 THEN 'Redirect' WHEN 8 THEN 'Echo Request' WHEN 11 THEN 'Time Exceeded' WHEN 12 THEN 'Parameter Problem' END AS kind,
+_I = """i AS (SELECT coalesce(orig_dst, 'Unknown (from ' || src_ip || ')') AS target, mtu, icmp_type AS t, icmp_code AS c,
+CASE icmp_type WHEN 0 THEN 'Echo Reply' WHEN 3 THEN 'Destination Unreachable' WHEN 5 THEN 'Redirect' WHEN 8 THEN 'Echo Request' WHEN 11 THEN 'Time Exceeded' WHEN 12 THEN 'Parameter Problem' ELSE 'Type ' || icmp_type END AS kind,
 CASE icmp_code WHEN 0 THEN 'Network Unreachable' WHEN 1 THEN 'Host Unreachable' WHEN 2 THEN 'Protocol Unreachable' WHEN 3 THEN 'Port Unreachable' WHEN 4 THEN 'Fragmentation Needed and DF Set' WHEN 5 THEN 'Source Route Failed' WHEN 6 THEN 'Network Unknown'
 WHEN 7 THEN 'Host Unknown' WHEN 13 THEN 'Communication Administratively Prohibited' ELSE 'Code ' || icmp_code END AS why FROM p WHERE protocol = 'ICMP')"""
 over_varied("icmp_summary", names.icmp_summary, f""", {_I} SELECT CASE WHEN t = 3 THEN kind || ' - ' || why ELSE kind END AS name, CASE WHEN t = 3 AND c IN (0, 1, 4, 6, 7, 13) THEN 'error' WHEN t IN (3, 4, 11, 12) THEN 'warning' ELSE 'info' END AS severity, count(*) AS packets FROM i GROUP BY ALL""")
-over_varied("icmp_unreachable_targets", names.unreachable_targets, f""", {_I}, k AS (SELECT dst_ip, kind || ' - ' || why AS name, count(*) AS c FROM i WHERE t = 3 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY c DESC, name) AS r, sum(c) OVER (PARTITION BY dst_ip)::BIGINT AS m FROM k)
-SELECT dst_ip, m AS messages, name AS reason FROM o WHERE r = 1 ORDER BY m DESC, dst_ip LIMIT 10""")
+over_varied("icmp_unreachable_targets", names.unreachable_targets, f""", {_I}, k AS (SELECT target, kind || ' - ' || why AS name, count(*) AS c FROM i WHERE t = 3 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY c DESC, name) AS r, sum(c) OVER (PARTITION BY target)::BIGINT AS m FROM k)
+SELECT target, m AS messages, name AS reason FROM o WHERE r = 1 ORDER BY m DESC, target LIMIT 10""")
+over_varied("icmp_path_mtu", names.path_mtu_issues, f", {_I} SELECT target, count(*) AS messages, coalesce(max(mtu) FILTER (mtu > 0), 1500)::INT AS suggested_mtu FROM i WHERE t = 3 AND c = 4 GROUP BY target")
 
 
 def fragments(p: DataFrame) -> DataFrame:
-    """The packet view as fragments: four numbers in a row are one datagram; every thirteenth fragment is lost."""
+    """The packet view as fragments: four numbers in a row are one datagram. Some are lost, some come twice, some overlap the one before, and some datagrams have two ends."""
     n = F.col("packet_num")
+    i = n % 4
     frag = F.struct(
-        (F.floor(n / 4) % 500).cast("int").alias("ip_id"), F.lit(False).alias("df"), (n % 4 < 3).alias("mf"), (n % 4 * 1480).cast("int").alias("offset_bytes"),
-        F.when(n % 4 < 3, 1480).otherwise(n % 100 + 1).cast("int").alias("payload_bytes"), F.lit(17).alias("proto"),
+        (F.floor(n / 4) % 500).cast("int").alias("ip_id"), F.lit(False).alias("df"), ((i < 3) & (n % 37 != 2)).alias("mf"), (i * 1480 - F.when((n % 29 == 0) & (i > 0), 8).otherwise(0)).cast("int").alias("offset_bytes"),
+        F.when(i < 3, 1480).otherwise(n % 100 + 1).cast("int").alias("payload_bytes"), F.lit(17).alias("proto"),
     )
-    return p.where(n % 13 != 0).select(F.concat(F.lit("10.1."), F.floor(n / 2000).cast("string")).alias("src_ip"), F.lit("10.2.0.1").alias("dst_ip"), frag.alias("frag"))
+    twice = F.explode(F.sequence(F.lit(0), F.when(n % 31 == 0, 1).otherwise(0))).alias("copy")
+    f = p.where(n % 13 != 0).select(F.concat(F.lit("10.1."), F.floor(n / 2000).cast("string")).alias("src_ip"), F.lit("10.2.0.1").alias("dst_ip"), "ts_us", "packet_num", frag.alias("frag"), twice)
+    return f.withColumn("packet_num", F.col("packet_num") * 2 + F.col("copy")).drop("copy")
 
 
-over_packets("fragment_reassembly", lambda p: names.reassembly(fragments(p)), """, g AS (SELECT '10.1.' || packet_num // 2000 AS src_ip, '10.2.0.1' AS dst_ip, (packet_num // 4 % 500)::INT AS ip_id, packet_num % 4 AS i, CASE WHEN packet_num % 4 < 3 THEN 1480 ELSE packet_num % 100 + 1 END AS size FROM p WHERE packet_num % 13 <> 0)
-SELECT src_ip, dst_ip, ip_id, count(*) AS fragments, max(i * 1480 + size)::INT AS total, count(*) = 4 AS complete, (max(size) + 20)::INT AS path_mtu FROM g GROUP BY src_ip, dst_ip, ip_id""")
+over_packets("fragment_reassembly", lambda p: names.reassembly(fragments(p)), """, g0 AS (SELECT '10.1.' || packet_num // 2000 AS src_ip, '10.2.0.1' AS dst_ip, ts_us, packet_num * 2 + c AS k, (packet_num // 4 % 500)::INT AS ip_id, packet_num % 4 < 3 AND packet_num % 37 <> 2 AS mf,
+packet_num % 4 * 1480 - CASE WHEN packet_num % 29 = 0 AND packet_num % 4 > 0 THEN 8 ELSE 0 END AS a, CASE WHEN packet_num % 4 < 3 THEN 1480 ELSE packet_num % 100 + 1 END AS size FROM (SELECT *, unnest(CASE WHEN packet_num % 31 = 0 THEN [0, 1] ELSE [0] END) AS c FROM p WHERE packet_num % 13 <> 0)),
+g1 AS (SELECT *, lag(a + size, 1, 0) OVER w AS expected, row_number() OVER w AS r FROM g0 WHERE mf OR a > 0 WINDOW w AS (PARTITION BY src_ip, dst_ip, ip_id ORDER BY a, ts_us, k)),
+g2 AS (SELECT src_ip, dst_ip, ip_id, count(*) AS fragments, (arg_max(a + size, (ts_us, k)) FILTER (NOT mf))::INT AS total, bool_and(a = expected) AS follows, arg_max(a + size, r) AS reached, max(size) AS largest FROM g1 GROUP BY src_ip, dst_ip, ip_id)
+SELECT src_ip, dst_ip, ip_id, fragments, total, coalesce(follows AND reached = total, false) AS complete, (largest + 20)::INT AS path_mtu FROM g2""")
 
 
 def acked_blocks(p: DataFrame) -> DataFrame:
@@ -436,7 +495,7 @@ over_packets("health_score", lambda p: score.health_score(score.metrics_of(p, _t
 g AS (SELECT (SELECT count(*) FROM x) / count(*)::DOUBLE AS retransmission, count(*) FILTER (win = 0) * 1000 / count(*)::DOUBLE AS anomaly FROM p),
 y AS (SELECT *, CASE WHEN retransmission <= 0.01 THEN retransmission * 1600 WHEN retransmission <= 0.03 THEN 16 + (retransmission - 0.01) * 900 WHEN retransmission <= 0.05 THEN 34 + (retransmission - 0.03) * 1300 WHEN retransmission <= 0.1 THEN 60 + (retransmission - 0.05) * 640 ELSE 100 END AS a,
 CASE WHEN anomaly <= 10 THEN anomaly WHEN anomaly <= 50 THEN 10 + (anomaly - 10) * 0.45 WHEN anomaly <= 150 THEN 25 + (anomaly - 50) * 0.3 WHEN anomaly <= 500 THEN 50 + (anomaly - 150) * 0.1 ELSE 100 END AS b FROM g),
-z AS (SELECT *, 100 - a * 0.25 - b * 0.1 - 20 AS s FROM y) SELECT retransmission, anomaly, CASE WHEN s >= 95 THEN 0 WHEN s >= 85 THEN 1 WHEN s >= 65 THEN 2 WHEN s >= 45 THEN 3 WHEN s >= 25 THEN 4 ELSE 5 END::INT AS class FROM z""")
+z AS (SELECT *, 100 - (round(a * 0.25, 2) + round(b * 0.1, 2) + 20) AS s FROM y) SELECT retransmission, anomaly, CASE WHEN s >= 95 THEN 0 WHEN s >= 85 THEN 1 WHEN s >= 65 THEN 2 WHEN s >= 45 THEN 3 WHEN s >= 25 THEN 4 ELSE 5 END::INT AS class FROM z""")
 
 
 def health_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,8 +507,8 @@ def health_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 over_tables("health_score_full", health_score_full)
-over_packets("capture_sanity", report.capture_sanity, """, h AS (SELECT * FROM p ORDER BY packet_num LIMIT 100), g AS (SELECT count(*) AS packets, (SELECT count(*) FROM (SELECT DISTINCT ts_us, src_ip, dst_ip, packet_length FROM h)) AS distinct_packets, count(*) FILTER (src_ip = dst_ip) AS self_loops, max(ts_us) - min(ts_us) AS span_us FROM h)
-SELECT *, CASE WHEN packets < 2 THEN 'too few packets' WHEN span_us > 31536000000000 THEN 'time jump' WHEN (packets - distinct_packets) * 2 > packets THEN 'duplicates' WHEN self_loops * 10 > packets THEN 'self loops' ELSE 'valid' END AS verdict FROM g""")
+over_packets("capture_sanity", report.capture_sanity, """, h AS (SELECT * FROM p ORDER BY packet_num LIMIT 100), g AS (SELECT count(*) AS packets, (SELECT count(*) FROM (SELECT DISTINCT ts_us, src_ip, dst_ip, packet_length FROM h)) AS distinct_packets, count(*) FILTER (src_ip = dst_ip) AS self_loops, (SELECT max(abs(d)) FROM (SELECT ts_us - lag(ts_us) OVER (ORDER BY packet_num) AS d FROM h)) AS jump_us FROM h)
+SELECT *, CASE WHEN packets < 2 THEN 'too few packets' WHEN jump_us > 31536000000000 THEN 'time jump' WHEN (packets - distinct_packets) * 2 > packets THEN 'duplicates' WHEN self_loops * 10 > packets THEN 'self loops' ELSE 'valid' END AS verdict FROM g""")
 over_packets("summary_unpivot", report.summary, """, g AS (SELECT count(*)::VARCHAR AS packets, sum(packet_length)::VARCHAR AS bytes, count(DISTINCT src_ip)::VARCHAR AS sources, count(DISTINCT dst_ip)::VARCHAR AS destinations, (max(ts_us) - min(ts_us))::VARCHAR AS span_us FROM p)
 SELECT 'packets' AS metric, packets AS value FROM g UNION ALL SELECT 'bytes', bytes FROM g UNION ALL SELECT 'sources', sources FROM g UNION ALL SELECT 'destinations', destinations FROM g UNION ALL SELECT 'span_us', span_us FROM g""")
 over_tables("pii_redaction", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(redact(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("redacted_sha256")), r"""SELECT doc_id, sha256(
@@ -473,8 +532,7 @@ over_packets("rtt_worst_flows", lambda p: listings.worst_round_trips(_trip_stats
 over_packets("rtt_global", lambda p: listings.round_trip_summary(_trips(p), 24 * HOUR, 72 * HOUR), f""", {_R}, g AS (SELECT count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, sum(rtt_us)::DOUBLE AS s, sum(rtt_us::HUGEINT * rtt_us)::DOUBLE AS q,
 count(*) FILTER (rtt_us > {24 * HOUR}) AS high, count(*) FILTER (rtt_us > {72 * HOUR}) AS critical FROM rtt) SELECT n, min_us, max_us, s / n::DOUBLE AS mean_us, sqrt(greatest((q * n::DOUBLE - s * s) / (n::DOUBLE * (n::DOUBLE - 1)), 0.0)) AS stdev_us, high, critical FROM g""")
 over_packets("rtt_of_a_flow", lambda p: listings.flow_details(_trips(p), dst_ip="93.184.216.34", dst_port=443), f", {_R} SELECT * FROM rtt WHERE dst_ip = '93.184.216.34' AND dst_port = 443")
-over_packets("syn_delays_slowest", lambda p: listings.slowest_attempts(tcp.syn_delays(both_ways(p), 24 * HOUR, 480 * HOUR)), ORACLES["syn_delays"].removeprefix(PACKETS).replace("SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered", ", dv AS (SELECT src_ip, src_port, dst_ip, dst_port, first_us, retries, answered")
-    + f") SELECT *, row_number() OVER (ORDER BY delay_us DESC, {FLOW}, first_us)::INT AS place FROM dv ORDER BY place LIMIT 10")
+over_packets("syn_delays_slowest", lambda p: listings.slowest_attempts(_syn_delays(p).drop("intervals_us")), f", {_SD} SELECT * EXCLUDE (intervals_us), row_number() OVER (ORDER BY delay_us DESC, {FLOW}, first_us)::INT AS place FROM sd ORDER BY place LIMIT 10")
 over_packets("burst_worst", lambda p: listings.worst_burst(timing.bursts(p, BURST)), f", {_B} SELECT * FROM bursts ORDER BY peak_ratio DESC, start_us LIMIT 1")
 over_packets("connections_longest_idle", lambda p: listings.longest_idle(tcp.connection_states(p, 24 * HOUR, 96 * HOUR)), ORACLES["tcp_connection_states"].removeprefix(PACKETS).replace(f"SELECT {ENDS}, packets, idle_us, CASE", f", st AS (SELECT {ENDS}, packets, idle_us, CASE")
     + f") SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY idle_us DESC, {ENDS})::INT AS place FROM st) WHERE place <= 10")
@@ -483,19 +541,77 @@ list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.95)::BIGINT, count(*) -
 over_packets("jitter_filtered_stats", lambda p: timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS), f", {_J}, {_JF} SELECT * FROM jf")
 over_packets("jitter_offenders", lambda p: listings.jitter_offenders(timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS)), f""", {_J}, {_JF}, o AS (SELECT {_FIVE}, n, mean_us, p95_us, max_us, CASE WHEN protocol = 'UDP' THEN CASE WHEN p95_us < 20000 THEN 'excellent' WHEN p95_us < 30000 THEN 'low' WHEN p95_us < 50000 THEN 'medium' ELSE 'critical' END
 WHEN p95_us < 100000 THEN 'low' WHEN p95_us < 200000 THEN 'medium' ELSE 'critical' END AS severity FROM jf WHERE p95_us > 30000 OR mean_us > 30000) SELECT *, row_number() OVER (ORDER BY p95_us DESC, {_FIVE})::INT AS place FROM o ORDER BY place LIMIT 10""")
-over_packets("retransmission_context", listings.retransmission_context, f""", {_X}, c AS (SELECT packet_num, list(packet_num) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l FROM e WHERE tcp)
-SELECT packet_num, coalesce(len(l), 0)::BIGINT AS n_before, coalesce(array_to_string(l, ','), '') AS before FROM c WHERE packet_num IN (SELECT packet_num FROM x)""")
-over_packets("traffic_shaping", lambda p: listings.shaped_flows(p, 3, 0.6), f""", {_X}, d AS (SELECT {FLOW}, ts_us - lag(ts_us) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS d FROM x JOIN (SELECT packet_num, ts_us FROM p) USING (packet_num)),
-g AS (SELECT {FLOW}, count(*) AS n, sum(d)::DOUBLE AS s, sum(d::HUGEINT * d)::DOUBLE AS q FROM d GROUP BY {FLOW} HAVING count(*) >= 3 AND sum(d) > 0), h AS (SELECT *, s / (n - 1)::DOUBLE AS mean_us FROM g),
-i AS (SELECT {FLOW}, n, mean_us, sqrt(greatest(q / (n - 1)::DOUBLE - mean_us * mean_us, 0.0)) / mean_us AS cv FROM h) SELECT * FROM i WHERE cv < 0.6""")
+over_packets("retransmission_context", lambda p: listings.retransmission_context(both_ways(p)), f""", {_R.split("sg AS (")[0]} c0 AS (SELECT *, payload > 0 OR (flags & 3) <> 0 AS sends, row_number() OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num) AS i FROM t),
+c1 AS (SELECT *, sends AND row_number() OVER (PARTITION BY {FLOW}, sends, seq, payload ORDER BY ts_us, packet_num) > 1 AS again FROM c0),
+fw AS (SELECT a.packet_num AS n, b.ts_us, 0 AS d, b.i, b.packet_num AS m FROM c1 a JOIN c1 b USING ({FLOW}) WHERE a.again AND b.i BETWEEN a.i - 4 AND a.i),
+fs AS (SELECT n, min_by(ts_us, i) AS since FROM fw GROUP BY n),
+rv AS (SELECT a.packet_num AS n, b.ts_us, 1 AS d, b.i, b.packet_num AS m FROM c1 a JOIN fs ON fs.n = a.packet_num JOIN c1 b ON b.src_ip = a.dst_ip AND b.src_port = a.dst_port AND b.dst_ip = a.src_ip AND b.dst_port = a.src_port WHERE (b.ts_us, b.packet_num) < (a.ts_us, a.packet_num) AND b.ts_us >= since
+QUALIFY row_number() OVER (PARTITION BY a.packet_num ORDER BY b.ts_us DESC, b.packet_num DESC) <= 5)
+SELECT n AS packet_num, count(*) FILTER (d = 0) AS n_forward, count(*) FILTER (d = 1) AS n_reverse, array_to_string(list(m ORDER BY ts_us, d, i)[1:10], ',') AS context FROM (SELECT * FROM fw UNION ALL SELECT * FROM rv) GROUP BY n""")
 _XT = _X.replace("FROM e WHERE tcp AND", "FROM t WHERE")
 over_packets("silent_targets", lambda p: listings.silent_targets(both_ways(p)), f""", {_R}, {_XT}, b AS (SELECT DISTINCT dst_ip AS src_ip, dst_port AS src_port, src_ip AS dst_ip, src_port AS dst_port FROM t WHERE (flags & 20) <> 0)
 SELECT {FLOW}, count(*) AS retries FROM x ANTI JOIN b USING ({FLOW}) WHERE (tcp_flags & 2) <> 0 GROUP BY {FLOW}""")
-over_packets("tcp_window_groups", lambda p: listings.window_groups(tcp.window_stats(p, 9000, 5), tcp.zero_window_periods(p), 96 * HOUR), f""", {_TW}, st AS (SELECT {FLOW}, count(*) AS packets, count(*) FILTER (win = 0) AS zero_windows, count(*) FILTER (win < 9000) AS low_windows FROM tw GROUP BY {FLOW}),
-z AS (SELECT *, sum(CASE WHEN win = 0 AND coalesce(prev, 1) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {FLOW} ORDER BY ts_us, packet_num ROWS UNBOUNDED PRECEDING) AS run FROM tw),
-zp AS (SELECT {FLOW}, sum(d)::BIGINT AS closed_us FROM (SELECT {FLOW}, coalesce(max(nxt), max(ts_us)) - min(ts_us) AS d FROM z WHERE win = 0 GROUP BY {FLOW}, run) GROUP BY {FLOW}),
-k AS (SELECT *, CASE WHEN zero_windows > 5 OR closed_us > {96 * HOUR} THEN 'application' WHEN low_windows * 100 > packets * 30 THEN 'receiver' ELSE 'other' END AS kind FROM st JOIN zp USING ({FLOW}) WHERE zero_windows > 0)
-SELECT kind, count(*) AS flows, sum(zero_windows)::BIGINT AS zero_windows, sum(closed_us)::BIGINT AS closed_us, max(zero_windows::HUGEINT * closed_us)::DOUBLE AS worst FROM k GROUP BY kind""")
+over_packets("tcp_window_groups", lambda p: listings.window_groups(_bottlenecks(p), 96 * HOUR), f""", {_TW}, {_TS} SELECT kind, count(*) AS flows, sum(zero_runs)::BIGINT AS zero_runs, sum(closed_us)::BIGINT AS closed_us,
+max(zero_runs::HUGEINT * closed_us)::DOUBLE AS worst FROM tk GROUP BY kind""")
+# ---------------------------------------------------------------- root causes
+
+_RANGE = "CASE WHEN dst_ip LIKE '203.0.113.%' THEN 'TEST-NET-3 (Documentation/Testing)' WHEN dst_ip LIKE '10.%' OR dst_ip LIKE '192.168.%' THEN 'Private Network' END"
+_SCOPE = "CASE WHEN to_it = size THEN 'all' WHEN to_it * 2 >= size THEN 'dominant' ELSE 'none' END"
+_RC = f"""kg AS (SELECT {FLOW}, CASE WHEN s >= 0.8 * n THEN 'syn' WHEN r >= 0.8 * n THEN 'rto' WHEN f >= 0.8 * n THEN 'fast' WHEN o >= 0.8 * n THEN 'generic' ELSE 'mixed' END AS grp FROM (SELECT {FLOW}, count(*) AS n, count(*) FILTER ((tcp_flags & 2) <> 0) AS s,
+count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'RTO') AS r, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Fast Retransmission') AS f, count(*) FILTER ((tcp_flags & 2) = 0 AND kind = 'Retransmission') AS o FROM x GROUP BY {FLOW})),
+rr AS (SELECT x.*, p.ts_us, grp FROM x JOIN kg USING ({FLOW}) JOIN p USING (packet_num)),
+fl AS (SELECT grp, {FLOW}, min(packet_num) AS fp, arg_min(tcp_flags, packet_num) AS ff, bool_and((tcp_flags & 2) <> 0) AS syns, bool_or(coalesce(heard, false)) AS heard FROM rr LEFT JOIN (SELECT DISTINCT dst_ip AS src_ip, dst_port AS src_port, src_ip AS dst_ip, src_port AS dst_port, true AS heard FROM t WHERE (flags & 20) <> 0) USING ({FLOW}) GROUP BY grp, {FLOW}),
+sz AS (SELECT grp, count(*) AS size, NOT bool_or(heard) AND bool_and(syns) AS silent, (arg_min(ff, fp) & 18) = 18 AS client_side FROM fl GROUP BY grp),
+ti AS (SELECT grp, dst_ip, count(*) AS to_it FROM fl GROUP BY grp, dst_ip QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, dst_ip) = 1), tp AS (SELECT grp, dst_port, count(*) AS c FROM fl GROUP BY grp, dst_port QUALIFY row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, dst_port) = 1),
+cv AS (SELECT grp, count(*) AS n, (max(ts_us) - min(ts_us))::DOUBLE / (count(*) - 1) AS mean, sum(d::HUGEINT * d)::DOUBLE / (count(*) - 1) AS sq FROM (SELECT grp, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY grp ORDER BY ts_us) AS d FROM rr) GROUP BY grp),
+ib AS (SELECT DISTINCT grp FROM rr JOIN bursts ON rr.ts_us BETWEEN start_us AND end_us WHERE peak_ratio > 3.0 AND grp = 'rto' GROUP BY grp, burst_id HAVING count(*) > 2),
+ca AS (SELECT *, {_SCOPE} AS scope, {_RANGE} AS range_name, coalesce(ib.grp IS NOT NULL, false) AS burst FROM sz JOIN ti USING (grp) JOIN tp USING (grp) JOIN cv USING (grp) LEFT JOIN ib ON ib.grp = sz.grp),
+cb AS (SELECT *, CASE WHEN scope = 'all' AND grp = 'syn' THEN CASE WHEN client_side THEN 'client_unreachable' ELSE 'server_unreachable' END WHEN scope = 'all' AND range_name LIKE 'TEST%' THEN 'special_address' WHEN burst THEN 'micro_bursts'
+WHEN grp = 'rto' AND n >= 10 AND sqrt(greatest(sq - mean * mean, 0.0)) / mean < 0.3 THEN 'traffic_shaping' WHEN grp = 'syn' AND silent THEN 'silently_dropped' END AS cause FROM ca)
+SELECT grp AS "group", size AS flows, n AS retransmissions, dst_ip, to_it, scope, cause, CASE WHEN cause IN ('client_unreachable', 'server_unreachable', 'silently_dropped') THEN dst_ip || ':' || dst_port WHEN cause = 'special_address' THEN range_name END AS cause_on FROM cb"""
+
+
+def _retransmission_causes(p: DataFrame, all_packets: DataFrame) -> DataFrame:
+    return causes.retransmission_causes(tcp.exact_retransmissions(p), listings.answered_flows(p), timing.bursts(all_packets, BURST), causes.range_table(p.sparkSession), 2, 3.0)
+
+
+over_packets("retransmission_causes", lambda p: _retransmission_causes(both_ways(p), p), f", {_R}, {_XT}, {_B}, {_RC}")
+over_packets("retransmission_causes_of_a_target", lambda p: _retransmission_causes(p.where("dst_ip = '203.0.113.7'"), p), f", t AS (SELECT * FROM e WHERE tcp AND dst_ip = '203.0.113.7'), {_XT}, {_B}, {_RC}")
+_WC = f"""g AS (SELECT kind, count(*) AS size, sum(zero_runs) * (sum(closed_us)::BIGINT / 1e6) AS weight FROM tk GROUP BY kind), ti AS (SELECT kind, dst_ip, count(*) AS to_it FROM tk GROUP BY kind, dst_ip QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, dst_ip) = 1),
+tp AS (SELECT kind, dst_port, count(*) AS c FROM tk GROUP BY kind, dst_port QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, dst_port) = 1),
+ca AS (SELECT *, {_SCOPE} AS scope, {_RANGE} AS range_name FROM g JOIN ti USING (kind) JOIN tp USING (kind)),
+cb AS (SELECT *, CASE WHEN scope = 'all' THEN CASE WHEN coalesce(range_name, '') LIKE 'TEST%' THEN 'special_address' ELSE 'slow_receiver' END END AS cause FROM ca)
+SELECT kind, size AS flows, dst_ip, to_it, scope, CASE WHEN weight > 100 THEN 'high' WHEN weight > 20 THEN 'medium' ELSE 'low' END AS severity, cause, CASE cause WHEN 'special_address' THEN range_name WHEN 'slow_receiver' THEN dst_ip || ':' || dst_port END AS cause_on FROM cb"""
+over_packets("window_causes", lambda p: causes.window_causes(_window_groups(p), causes.range_table(p.sparkSession)), f", {_TW}, {_TS}, {_WC}")
+over_packets("window_causes_of_a_target", lambda p: causes.window_causes(_window_groups(p.where("dst_ip = '93.184.216.34'")), causes.range_table(p.sparkSession)), f", {_TW.replace('FROM e WHERE tcp', 'FROM e WHERE tcp AND dst_ip = $$93.184.216.34$$')}, {_TS}, {_WC}")
+_JC = f"""js AS (SELECT *, CASE WHEN protocol = 'UDP' THEN CASE WHEN p95_us < 20000 THEN 'excellent' WHEN p95_us < 30000 THEN 'low' WHEN p95_us < 50000 THEN 'medium' ELSE 'critical' END WHEN p95_us < 100000 THEN 'low' WHEN p95_us < 200000 THEN 'medium' ELSE 'critical' END AS severity,
+CASE dst_port WHEN 22 THEN 'SSH' WHEN 53 THEN 'DNS' WHEN 443 THEN 'HTTPS' WHEN 3389 THEN 'RDP' ELSE 'Unknown' END AS service FROM jf),
+g AS (SELECT severity, count(*) AS size FROM js GROUP BY 1), ti AS (SELECT severity, dst_ip, count(*) AS to_it FROM js GROUP BY severity, dst_ip QUALIFY row_number() OVER (PARTITION BY severity ORDER BY count(*) DESC, dst_ip) = 1),
+tv AS (SELECT severity, service, count(*) AS c FROM js GROUP BY severity, service QUALIFY row_number() OVER (PARTITION BY severity ORDER BY count(*) DESC, service) = 1),
+ca AS (SELECT *, {_SCOPE} AS scope, {_RANGE} AS range_name FROM g JOIN ti USING (severity) JOIN tv USING (severity)),
+cb AS (SELECT *, CASE WHEN scope = 'all' THEN CASE WHEN range_name IS NOT NULL THEN 'special_address' ELSE 'network_path' END WHEN service <> 'Unknown' THEN 'service' END AS cause FROM ca)
+SELECT severity, size AS flows, dst_ip, to_it, scope, cause, CASE cause WHEN 'special_address' THEN range_name WHEN 'network_path' THEN dst_ip WHEN 'service' THEN service END AS cause_on FROM cb"""
+
+
+def _jitter_causes(p: DataFrame) -> DataFrame:
+    flows = timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS)
+    flows = flows.withColumn("severity", timing.jitter_severity(F.col("protocol"), F.col("p95_us") / 1000.0))
+    return causes.jitter_causes(flows, causes.range_table(p.sparkSession))
+
+
+over_packets("jitter_causes", _jitter_causes, f", {_J}, {_JF}, {_JC}")
+over_packets("jitter_causes_of_a_target", lambda p: _jitter_causes(p.where("dst_ip = '192.168.1.10'")), f", {_J}, {_JF.replace('FROM j WHERE', 'FROM j WHERE dst_ip = $$192.168.1.10$$ AND')}, {_JC}")
+
+
+def _dns_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("rcode") == 3, "NXDOMAIN").when(F.col("rcode") == 0, "NOERROR").alias("rcode")
+    return causes.dns_causes(folds.dns_transactions(transactions(spark, sf_dir)).select("qname", "server", "status", name))
+
+
+over_tables("dns_causes", _dns_causes, _DNS + """, b AS (SELECT qname, server, status AS issue, CASE rcode WHEN 3 THEN 'NXDOMAIN' END AS code FROM tx WHERE status IN ('timeout', 'error', 'slow')), g AS (SELECT issue, count(*) AS size FROM b GROUP BY 1),
+tq AS (SELECT issue, qname, count(*) AS cq FROM b GROUP BY issue, qname QUALIFY row_number() OVER (PARTITION BY issue ORDER BY count(*) DESC, qname) = 1), ts AS (SELECT issue, server, count(*) AS cs FROM b GROUP BY issue, server QUALIFY row_number() OVER (PARTITION BY issue ORDER BY count(*) DESC, server) = 1)
+SELECT issue, size AS lookups, CASE WHEN cq * 2 >= size THEN 'repeated_name' WHEN cs * 2 >= size THEN 'resolver' ELSE 'error_code' END AS cause, CASE WHEN cq * 2 >= size THEN qname WHEN cs * 2 >= size THEN server ELSE 'NXDOMAIN' END AS cause_on, CASE WHEN cq * 2 >= size THEN cq ELSE cs END AS times FROM g JOIN tq USING (issue) JOIN ts USING (issue)""")
+
 _FLOW_TEXT = "concat(src_ip, ':', coalesce(src_port::VARCHAR, 'None'), ' -> ', dst_ip, ':', coalesce(dst_port::VARCHAR, 'None'), ' (', protocol, ')') AS \"Flow\""
 _SERVICE_FLOWS = _SERVICES.rsplit("\nSELECT service", 1)[0].replace("o AS (SELECT n, bytes,", f"o AS (SELECT protocol, {FLOW}, n, bytes,")
 over_varied("csv_protocol_distribution", lambda p: listings.csv_protocols(traffic.protocol_distribution(p)), """ SELECT protocol AS "Protocol", count(*) AS "Count", printf('%.2f%%', count(*) / (SELECT count(*) FROM p)::DOUBLE * 100.0) AS "Percentage" FROM p GROUP BY protocol""")
