@@ -113,9 +113,9 @@ def test_no_connection_is_held_whole(packets, spark):
 
 def test_floods_scans_and_brute_force(packets):
     low = packets(*[at(i * 0.01, tcp_flags=2, src_ip=f"9.9.9.{i % 50}") for i in range(150)])
-    assert security.syn_floods(low).count() == 0
+    assert security.floods(low).count() == 0
     high = packets(*[at(i * 0.001, tcp_flags=2, src_ip=f"9.9.9.{i % 50}") for i in range(3000)])
-    assert security.syn_floods(high).first().sources == 50
+    assert security.floods(high).first().sources == 50
     scan = security.port_scans(packets(*[at(i * 0.1, tcp_flags=2, dst_port=i) for i in range(1, 31)])).first()
     assert (scan.kind, scan.attempts, scan.severity) == ("horizontal", 30, "critical")
     tries = packets(*[at(i, tcp_flags=2, dst_port=22, src_port=1000 + i) for i in range(20)])
@@ -133,8 +133,8 @@ def test_icmp_fragments_and_sack(spark, packets):
     p = packets(*[{"protocol": "ICMP", "icmp_type": 3, "icmp_code": c} for c in (4, 4, 1)], {"protocol": "ICMP", "icmp_type": 8, "icmp_code": 0})
     assert {(r.name, r.severity): r.packets for r in names.icmp_summary(p).collect()}["Destination Unreachable - Fragmentation Needed and DF Set", "error"] == 2
     assert names.unreachable_targets(p).first().reason == "Destination Unreachable - Fragmentation Needed and DF Set"
-    f = spark.createDataFrame([("a", "b", (1, False, m, o, n, 17)) for m, o, n in ((True, 0, 1480), (True, 1480, 1480), (False, 2960, 100))] + [("a", "b", (2, False, True, 0, 8, 17))],
-                              "src_ip string, dst_ip string, frag struct<ip_id:int,df:boolean,mf:boolean,offset_bytes:int,payload_bytes:int,proto:int>")
+    f = spark.createDataFrame([("a", "b", o, o, (1, False, m, o, n, 17)) for m, o, n in ((True, 0, 1480), (True, 1480, 1480), (False, 2960, 100))] + [("a", "b", 0, 0, (2, False, True, 0, 8, 17))],
+                              "src_ip string, dst_ip string, ts_us bigint, packet_num bigint, frag struct<ip_id:int,df:boolean,mf:boolean,offset_bytes:int,payload_bytes:int,proto:int>")
     assert {r.ip_id: r.complete for r in names.reassembly(f).collect()} == {1: True, 2: False}
     s = packets({"tcp_ack": 500}).withColumn("sack", F.expr("array(named_struct('left', 100L, 'right', 200L))"))
     assert names.sack_flows(s).first().dsacks == 1
@@ -144,7 +144,6 @@ def test_health_score(spark):
     rows = [(0.0, 0.05, 0.0, 0.0, 0.0, 0.0), (0.005, 0.08, 0.0, 0.0, 0.0, 0.0), (1.0, 5.0, 1.0, 1.0, 1.0, 900.0)]
     got = score.health_score(spark.createDataFrame(rows, "retransmission double, rtt double, loss double, dns double, jitter double, anomaly double")).collect()
     assert [r["class"] for r in got] == [0, 0, 5] and got[0].score == 100.0
-    assert score.findings(spark.createDataFrame([(0.03, 0.1, 0.0)], "retransmission double, dns double, loss double")).count() == 2
 
 
 def test_all_metrics(packets, spark):

@@ -140,3 +140,42 @@ def redact(text: Column) -> Column:
     for pattern, to in REDACTIONS:
         text = F.regexp_replace(text, pattern, to)
     return text
+
+
+def flow_key(both: bool = True) -> Column:
+    """src_ip:src_port->dst_ip:dst_port, or with the smaller end first and <-> between them; a missing port is 0."""
+    end = lambda x: F.struct(F.col(f"{x}_ip").alias("ip"), F.coalesce(F.col(f"{x}_port"), F.lit(0)).alias("port"))
+    a, b = (F.least(end("src"), end("dst")), F.greatest(end("src"), end("dst"))) if both else (end("src"), end("dst"))
+    text = lambda e: F.concat(e["ip"], F.lit(":"), e["port"].cast("string"))
+    return F.concat(text(a), F.lit("<->" if both else "->"), text(b))
+
+
+def parse_flow(text: Column) -> Column:
+    """The struct (src_ip, src_port, dst_ip, dst_port) that a flow key of either form names; ports may be hexadecimal (0x1f90 or 1f90). Null for anything else.
+
+    The last colon of an end stands before its port, so that IPv6 addresses keep theirs.
+    """
+    form = r"^(.+):(0[xX][0-9a-fA-F]+|[0-9a-fA-F]+)\s*(?:<->|->|\u2192)\s*(.+):(0[xX][0-9a-fA-F]+|[0-9a-fA-F]+)$"
+    part = lambda i: F.regexp_extract(text, form, i)
+    port = lambda s: F.coalesce(s.try_cast("int"), F.conv(F.regexp_replace(s, "^0[xX]", ""), 16, 10).try_cast("int"))
+    fields = F.struct(part(1).alias("src_ip"), port(part(2)).alias("src_port"), part(3).alias("dst_ip"), port(part(4)).alias("dst_port"))
+    return F.when(text.rlike(form), fields)
+
+
+def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
+    """One row: the exact median of a column of non-negative integers (null without rows).
+
+    Values are counted by their high bits first; only those that share them with the middle
+    are then counted one by one. So no task ranks more than 2^20 counts, however many rows.
+    """
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("bigint").alias("v")).withColumn("h", F.shiftright("v", 20))
+    w = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    c = d.groupBy("h").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    has = lambda place: (F.col("upto") - F.col("c") < place) & (place <= F.col("upto"))
+    c = c.where(has(lower) | has(upper)).select("h", (F.col("upto") - F.col("c")).alias("before"), lower.alias("lower"), upper.alias("upper"))  # at most two rows
+    v = d.join(F.broadcast(c), "h").groupBy("h", "before", "lower", "upper", "v").agg(F.count("*").alias("c"))
+    at = F.col("before") + F.sum("c").over(Window.partitionBy("h").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    v = v.withColumn("at", at)
+    pick = lambda place: F.min(F.when(F.col("at") >= F.col(place), F.col("v")))
+    return v.agg(((pick("lower") + pick("upper")) / 2.0).alias(name))

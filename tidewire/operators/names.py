@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import FLOW, entropy, is_localhost
+from ..functions.cols import ENDS, FLOW, entropy, is_localhost, with_ends
 
 #: ICMP type names, and code names of type 3.
 ICMP_TYPES = {0: "Echo Reply", 3: "Destination Unreachable", 4: "Source Quench", 5: "Redirect", 8: "Echo Request", 11: "Time Exceeded", 12: "Parameter Problem"}
@@ -127,6 +127,13 @@ def dns_tunnels(q: DataFrame, length: int = 50, bits: float = 4.2, per_min: floa
     return g.withColumn("signs", signs).where("signs >= 2").select("src_ip", "domain", "queries", "signs", score.alias("score"), severity.alias("severity"))
 
 
+def repeated_queries(q: DataFrame, within_us: int = 2_000_000) -> DataFrame:
+    """qname, qtype, queries, repeated: how often a name and type are asked for, and how often again within a time of the query before, by whomever."""
+    w = Window.partitionBy("qname", "qtype").orderBy("ts_us")
+    d = q.withColumn("again", F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) < within_us, F.lit(False)))
+    return d.groupBy("qname", "qtype").agg(F.count("*").alias("queries"), F.count_if("again").alias("repeated"))
+
+
 def dns_problems(tx: DataFrame, k: int = 10) -> DataFrame:
     """Domains of slow, failed and unanswered lookups with their most frequent problem.
 
@@ -158,10 +165,48 @@ def reassembly(p: DataFrame) -> DataFrame:
     return g.select("src_ip", "dst_ip", "ip_id", "fragments", "total", complete.alias("complete"), (F.col("largest") + 20).alias("path_mtu"))
 
 
-def sack_flows(p: DataFrame) -> DataFrame:
-    """Per directed flow: packets with SACK blocks, blocks, and D-SACKs (a first block already acknowledged, or inside the second)."""
-    valid = F.filter("sack", lambda b: b.left < b.right)
+def incomplete_datagrams(groups: DataFrame, k: int = 20) -> DataFrame:
+    """The first k fragment groups (reassembly) that can't be put together."""
+    return groups.where("NOT complete").orderBy("src_ip", "dst_ip", "ip_id").limit(k)
+
+
+def fragment_flows(p: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
+    """The k pairs of addresses with most fragments: packets, fragments, their share in percent, least, most and middle size, and datagrams that can't be put together."""
+    is_fragment = F.coalesce(F.col("frag.mf") | (F.col("frag.offset_bytes") > 0), F.lit(False))
+    size = F.when(is_fragment, F.col("frag.payload_bytes"))
+    g = p.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("packets"), F.count_if(is_fragment).alias("fragments"), F.min(size).alias("least"), F.max(size).alias("most")).where("fragments > 0")
+    bad = groups.groupBy("src_ip", "dst_ip").agg(F.count_if(~F.col("complete")).alias("incomplete"))
+    g = g.join(bad, ["src_ip", "dst_ip"]).orderBy(F.desc("fragments"), "src_ip", "dst_ip").limit(k)
+    return g.select("src_ip", "dst_ip", "packets", "fragments", (F.col("fragments") / F.col("packets").cast("double") * 100.0).alias("share"), "least", "most", ((F.col("least") + F.col("most")) / 2.0).alias("middle"), "incomplete")
+
+
+def _sacks(p: DataFrame) -> DataFrame:
+    """Packets with SACK blocks, their valid blocks b, and whether the first is a duplicate: already acknowledged, or inside the second."""
+    d = p.withColumn("b", F.filter("sack", lambda b: b.left < b.right)).where(F.size("b") > 0)
     first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
-    d = p.withColumn("b", valid).where(F.size("b") > 0)
     dup = (first.right <= F.col("tcp_ack")) | F.coalesce((first.left >= second.left) & (first.right <= second.right), F.lit(False))
-    return d.groupBy(*FLOW).agg(F.count("*").alias("packets"), F.sum(F.size("b")).alias("blocks"), F.count_if(dup).alias("dsacks"))
+    return d.withColumn("dup", dup).withColumn("sacked", F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x.right - x.left))
+
+
+def sack_flows(p: DataFrame) -> DataFrame:
+    """Per directed flow: packets with SACK blocks, blocks, and D-SACKs (a first block already acknowledged, or inside the second)."""
+    return _sacks(p).groupBy(*FLOW).agg(F.count("*").alias("packets"), F.sum(F.size("b")).alias("blocks"), F.count_if("dup").alias("dsacks"))
+
+
+def sack_conversations(p: DataFrame) -> DataFrame:
+    """Per conversation: SACK packets and D-SACKs among them, bytes selectively acknowledged, distinct blocks, first and last time, and D-SACKs in percent."""
+    d = with_ends(_sacks(p))
+    kinds = d.select(*ENDS, F.explode("b").alias("x")).distinct().groupBy(*ENDS).agg(F.count("*").alias("distinct_blocks"))
+    g = d.groupBy(*ENDS).agg(F.count("*").alias("sacks"), F.count_if("dup").alias("dsacks"), F.sum("sacked").alias("sacked_bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return g.join(kinds, list(ENDS)).withColumn("dsack_share", F.col("dsacks") / F.col("sacks").cast("double") * 100.0)
+
+
+def sack_summary(p: DataFrame, conversations: DataFrame) -> DataFrame:
+    """One row: TCP packets, SACK packets and their share in percent, D-SACKs and theirs, conversations with SACKs and with D-SACKs, bytes and bytes a SACK."""
+    t = p.agg(F.count_if(F.col("protocol") == "TCP").alias("tcp_packets"))
+    g = conversations.agg(
+        F.coalesce(F.sum("sacks"), F.lit(0)).alias("sacks"), F.coalesce(F.sum("dsacks"), F.lit(0)).alias("dsacks"), F.count("*").alias("conversations"), F.count_if(F.col("dsacks") > 0).alias("with_dsacks"),
+        F.coalesce(F.sum("sacked_bytes"), F.lit(0)).alias("sacked_bytes"),
+    ).crossJoin(t)
+    per = lambda a, b, k: F.when(F.col(b) > 0, F.col(a) / F.col(b).cast("double") * k).otherwise(0.0)
+    return g.select("*", per("sacks", "tcp_packets", 100.0).alias("sack_share"), per("dsacks", "sacks", 100.0).alias("dsack_share"), per("sacked_bytes", "sacks", 1.0).alias("bytes_per_sack"))

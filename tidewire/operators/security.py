@@ -57,28 +57,55 @@ def port_scans(p: DataFrame, **bounds: float) -> DataFrame:
     return scan_events(p, **bounds).drop("start_us", "span_us")
 
 
-def syn_floods(p: DataFrame, per_s: float = 100.0, ratio: float = 0.1, window_us: int = 10_000_000) -> DataFrame:
-    """Targets whose SYN rate and unanswered share are those of a flood; windows are summed per target first."""
-    slot = F.floor(F.col("ts_us") / window_us)
-    t = p.where(is_tcp() & _no_local())
-    syn = t.where(syn_only()).groupBy("dst_ip", "dst_port").agg(F.count("*").alias("syns"), F.count_distinct("src_ip").alias("sources"))
-    wide = t.where(syn_only()).groupBy("dst_ip").agg((F.max(slot) * window_us + window_us - F.min(slot) * window_us).alias("span_us"))
-    back = t.where(syn_ack()).groupBy(F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port")).agg(F.count("*").alias("synacks"))
-    g = syn.join(wide, "dst_ip").join(back, ["dst_ip", "dst_port"], "left").withColumn("synacks", F.coalesce("synacks", F.lit(0)))
-    g = g.withColumn("rate", F.col("syns") * 1e6 / F.col("span_us")).where((F.col("rate") > per_s) & (F.col("synacks") <= ratio * F.col("syns")))
-    return g.select("dst_ip", "dst_port", "syns", "synacks", "sources", "rate", ladder(F.col("rate"), ((per_s * 10, "critical"), (per_s * 5, "high"), (per_s * 2, "medium")), "low").alias("severity"))
-
-
-def protocol_floods(p: DataFrame, protocol: str, per_s: float, window_us: int = 10_000_000) -> DataFrame:
-    """UDP or ICMP floods per target."""
-    slot = F.floor(F.col("ts_us") / window_us)
-    t = p.where((F.col("protocol") == protocol) & _no_local())
-    g = t.groupBy("dst_ip").agg(
-        F.count("*").alias("packets"), F.sum("packet_length").alias("bytes"), F.count_distinct("src_ip").alias("sources"),
-        ((F.max(slot) - F.min(slot) + 1) * window_us).alias("span_us"),
-    )
-    g = g.withColumn("rate", F.col("packets") * 1e6 / F.col("span_us")).where(F.col("rate") > per_s)
-    return g.select("dst_ip", "packets", "bytes", "sources", "rate", ladder(F.col("rate"), ((per_s * 10, "critical"), (per_s * 5, "high"), (per_s * 2, "medium")), "low").alias("severity"))
+#: Packets a second of medium, high and critical floods.
+FLOOD_LEVELS = {"syn_flood": (200.0, 500.0, 1000.0), "udp_flood": (1000.0, 2000.0, 5000.0), "icmp_flood": (100.0, 200.0, 500.0)}
+
+
+def floods(
+    p: DataFrame, syn_per_s: float = 100.0, udp_per_s: float = 500.0, icmp_per_s: float = 100.0, ratio: float = 0.1, window_us: int = 10_000_000, levels: dict[str, tuple] = FLOOD_LEVELS
+) -> DataFrame:
+    """Floods per target: attack, dst_ip, dst_port (SYNs), severity, start_us, span_us, sources, packets, bytes, rate, top_sources.
+
+    Opening SYNs, UDP and ICMP packets share windows per target; a window starts at its
+    first packet. A flood lasts from the first of its windows to the end of the last one: a
+    SYN flood's are all windows of the target, the others' those with a packet of their
+    kind. Bytes, and for UDP and ICMP also sources, are those of all kinds in these windows.
+    SYN floods need a rate of syn_per_s and at most `ratio` SYN-ACKs a SYN. Over 50 and 100
+    sources raise the severity, and over 10,000 packets are critical.
+    """
+    kind = F.when(is_tcp() & syn_only(), "syn").when(F.col("protocol") == "UDP", "udp").when(F.col("protocol") == "ICMP", "icmp")
+    t = p.where(_no_local()).withColumn("kind", kind).where("kind is not null").withColumn("slot", F.floor(F.col("ts_us") / window_us))
+    count = {k: F.count_if(F.col("kind") == k).alias(k) for k in ("syn", "udp", "icmp")}
+    w = t.groupBy("dst_ip", "slot").agg(F.min("ts_us").alias("start"), F.sum("packet_length").alias("bytes"), *count.values())
+    span = [F.min("start").alias("start_us"), (F.max("start") - F.min("start") + window_us).alias("span_us"), F.sum("bytes").alias("bytes")]
+    syn = t.where("kind = 'syn'")
+    back = p.where(_no_local() & is_tcp() & syn_ack()).groupBy(F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port")).agg(F.count("*").alias("answers"))
+    s = syn.groupBy("dst_ip", "dst_port").agg(F.count("*").alias("packets"), F.count_distinct("src_ip").alias("sources")).join(w.groupBy("dst_ip").agg(*span), "dst_ip")
+    s = s.join(back, ["dst_ip", "dst_port"], "left").where(F.coalesce("answers", F.lit(0)) <= ratio * F.col("packets")).drop("answers")
+    events, least = [s.withColumn("attack", F.lit("syn_flood"))], {"syn_flood": syn_per_s, "udp_flood": udp_per_s, "icmp_flood": icmp_per_s}
+    met = t.select("dst_ip", "slot", "src_ip").distinct()
+    froms = [syn.select(F.lit("syn_flood").alias("attack"), "dst_ip", "dst_port", "src_ip").distinct()]
+    for k in ("udp", "icmp"):
+        own = w.where(F.col(k) > 0)
+        of = met.join(own.select("dst_ip", "slot"), ["dst_ip", "slot"]).select("dst_ip", "src_ip").distinct()
+        g = own.groupBy("dst_ip").agg(F.sum(k).alias("packets"), *span).join(of.groupBy("dst_ip").agg(F.count("*").alias("sources")), "dst_ip")
+        events.append(g.withColumn("dst_port", F.lit(None).cast("int")).withColumn("attack", F.lit(f"{k}_flood")))
+        froms.append(of.select(F.lit(f"{k}_flood").alias("attack"), "dst_ip", F.lit(None).cast("int").alias("dst_port"), "src_ip"))
+    e = reduce(DataFrame.unionByName, events).withColumn("rate", F.col("packets") * 1e6 / F.col("span_us"))
+    pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("attack"))
+    e = e.where(F.col("rate") >= pick(least))
+    over = lambda i: F.col("rate") > pick({k: v[i] for k, v in levels.items()})
+    level = F.when(over(2), 3).when(over(1), 2).when(over(0), 1).otherwise(0)
+    many = F.when(level < 2, 2).otherwise(3)
+    level = F.when(F.col("packets") > 10_000, 3).when(F.col("sources") > 100, many).when((F.col("sources") > 50) & (level == 0), 1).otherwise(level)
+    e = e.withColumn("severity", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), level + 1))
+    key = ["attack", "dst_ip", "dst_port"]
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in key])
+    x, y = reduce(DataFrame.unionByName, froms).alias("x"), e.select(*key).alias("y")
+    ten = x.join(y, same(x, y), "left_semi").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("src_ip"))).where("r <= 10")
+    ten = ten.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("src_ip")), ",").alias("top_sources")).alias("z")
+    e = e.alias("y").join(ten, same(e.alias("y"), ten))
+    return e.select(*[F.col(f"y.{c}") for c in (*key, "severity", "start_us", "span_us", "sources", "packets", "bytes", "rate")], "top_sources")
 
 
 def _uploads(p: DataFrame) -> DataFrame:
@@ -227,3 +254,18 @@ def event_breakdown(events: DataFrame) -> DataFrame:
 def all_events(*parts: tuple[str, DataFrame, str]) -> DataFrame:
     """kind, src_ip, severity of several detectors' rows, given as (kind, rows, address column)."""
     return reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("kind"), F.col(c).alias("src_ip"), "severity") for k, d, c in parts])
+
+
+def top_attackers(events: DataFrame, k: int = 10) -> DataFrame:
+    """Sources of the k worst brute_force events: attacks, targets, services, attempts and the worst severity; the worst first."""
+    order = F.array_position(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("severity"))
+    worst = events.withColumn("level", order).orderBy(F.desc("level"), "first_us", "src_ip", "dst_ip", "dst_port").limit(k)
+    g = worst.groupBy("src_ip").agg(
+        F.count("*").alias("attacks"), F.count_distinct("dst_ip").alias("targets"), F.array_join(F.array_sort(F.collect_set(_service())), ",").alias("services"), F.sum("attempts").alias("attempts"), F.max("level").alias("level"),
+    )
+    g = g.orderBy(F.desc("level"), F.desc("attacks"), "src_ip")
+    return g.select("src_ip", "attacks", "targets", "services", "attempts", F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("level").cast("int")).alias("severity"))
+
+
+def _service() -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in AUTH_PORTS.items() for x in kv]), F.col("dst_port"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import FLOW, RST, FIN, has, is_internal, ranked_value, syn_only
+from ..functions.cols import FLOW, RST, FIN, exact_median, has, is_internal, ranked_value, syn_only
 from ..thresholds import Thresholds
 
 FIVE = ("protocol", *FLOW)
@@ -52,6 +52,30 @@ def gap_periodicity(p: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return g.select("n", "mean_us", (F.coalesce((F.col("n") >= 3) & (F.col("cv") < 0.1), F.lit(False))).alias("periodic"))
 
 
+def marked_gaps(p: DataFrame, t: Thresholds = Thresholds(), near: float = 0.2) -> DataFrame:
+    """gaps with whether each is abnormal: where they are periodic as a whole, those within `near` of their mean are not."""
+    beat = F.broadcast(gap_periodicity(p, t).select("mean_us", "periodic"))  # one row
+    off = F.abs(F.col("gap_us") - F.col("mean_us")) / F.col("mean_us")
+    return gaps(p, t).crossJoin(beat).withColumn("abnormal", ~F.col("periodic") | (off > near)).drop("mean_us", "periodic")
+
+
+def interval_statistics(p: DataFrame, block_us: int = 3_600_000_000) -> DataFrame:
+    """One row over the times between neighbouring packets of the whole capture: number, least, most, mean, median, sample deviation, and packets a second.
+
+    Neighbours are found within blocks of time, and between blocks by their first and last packets.
+    """
+    w = Window.partitionBy("block").orderBy("ts_us", "packet_num")
+    t = p.select("ts_us", "packet_num", F.floor(F.col("ts_us") / block_us).alias("block"))
+    inner = t.select((F.col("ts_us") - F.lag("ts_us").over(w)).alias("d"))
+    b = t.groupBy("block").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    d = inner.unionByName(b.select((F.col("first") - F.lag("last").over(Window.orderBy("block"))).alias("d"))).where("d is not null")
+    n, s = F.col("n").cast("double"), F.col("s").cast("double")
+    g = d.agg(F.count("*").alias("n"), F.min("d").alias("min_us"), F.max("d").alias("max_us"), F.sum("d").alias("s"), F.sum(F.col("d").cast("decimal(38,0)") * F.col("d")).cast("double").alias("q"))
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest((F.col("q") * n - s * s) / (n * (n - 1)), F.lit(0.0))))
+    g = g.crossJoin(F.broadcast(exact_median(d, "d", "median_us")))
+    return g.select("n", "min_us", "max_us", (s / n).alias("mean_us"), "median_us", spread.alias("stdev_us"), F.when(F.col("s") > 0, (F.col("n") + 1) * 1e6 / s).otherwise(0.0).alias("packets_per_s"))
+
+
 def sessions(p: DataFrame, gap_us: int = 60_000_000, syn_gap_us: int = 1_000_000, close_gap_us: int = 100_000) -> DataFrame:
     """p plus session: a flow's packets cut at long gaps, at a SYN after a pause and after a close."""
     w = Window.partitionBy(*FIVE).orderBy("ts_us", "packet_num")
@@ -67,7 +91,7 @@ def jitter(p: DataFrame, **cuts: int) -> DataFrame:
     keys = [*FIVE, "session"]
     w = Window.partitionBy(*keys).orderBy("ts_us", "packet_num")
     d = sessions(p, **cuts).withColumn("delay", F.col("ts_us") - F.lag("ts_us").over(w))
-    return d.withColumn("jitter_us", F.abs(F.col("delay") - F.lag("delay").over(w))).where("jitter_us is not null").select(*keys, "packet_num", "jitter_us", F.col("delay").alias("delay_us"))
+    return d.withColumn("jitter_us", F.abs(F.col("delay") - F.lag("delay").over(w))).where("jitter_us is not null").select(*keys, "packet_num", "ts_us", "jitter_us", F.col("delay").alias("delay_us"))
 
 
 def _stats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:

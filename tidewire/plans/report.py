@@ -44,6 +44,21 @@ def flow_quality(jitter: DataFrame, rtt: DataFrame, retransmissions: DataFrame)
     return j.join(r, list(FLOW), "left").join(x, list(FLOW), "left").withColumn("retransmissions", F.coalesce("retransmissions", F.lit(0).cast("bigint")))
 
 
+def graph_series(jitters: DataFrame, stats: DataFrame, trips: DataFrame, retransmissions: DataFrame, flows: int = 10) -> DataFrame:
+    """Points of the `flows` worst flows by 95th percentile of jitter: protocol, FLOW, series, ts_us, value_ms.
+
+    Series: jitter (timing.jitter) and rtt (trips: FLOW, ts_us, rtt_us), and a marker for each
+    retransmission (FLOW, ts_us) at 1.2 times that percentile. level is critical above 50 ms, warning above 30.
+    """
+    p95 = F.col("p95_us") / 1000.0
+    level = F.when(p95 > 50, "critical").when(p95 > 30, "warning").otherwise("ok")
+    keys = ("protocol", *FLOW)
+    worst = stats.orderBy(F.desc("p95_us"), *keys).limit(flows).select(*keys, level.alias("level"), (p95 * 1.2).alias("mark_ms"))
+    own = lambda df, on, name, value: df.join(F.broadcast(worst), list(on)).select(*keys, "level", F.lit(name).alias("series"), "ts_us", value.alias("value_ms"))
+    parts = (own(jitters, keys, "jitter", F.col("jitter_us") / 1000.0), own(trips, FLOW, "rtt", F.col("rtt_us") / 1000.0), own(retransmissions, FLOW, "retransmission", F.col("mark_ms")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import FLOW, piecewise
+from ..functions.cols import FLOW, exact_median, piecewise
 
 #: Metric: weight, penalty lines (x0, y0, x1, y1), penalty beyond. Jumps between lines are meant.
 METRICS = {
@@ -42,7 +44,7 @@ def metrics_of(p: DataFrame, rtt: DataFrame, retransmissions: DataFrame) -> Data
     """One row of METRICS from packets, round trips (rtt_us) and retransmissions (packet_num)."""
     n = p.agg(F.count("*").alias("n"), F.count_if(F.col("tcp_window") == 0).alias("zero"))
     r = retransmissions.agg(F.count("*").alias("r"))
-    t = rtt.agg(F.percentile("rtt_us", F.lit(0.5)).alias("median_us"))
+    t = exact_median(rtt, "rtt_us", "median_us")
     nul = F.lit(None).cast("double")
     rows = n.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(t))
     return rows.select(
@@ -66,8 +68,28 @@ def all_metrics_of(p: DataFrame, rtt: DataFrame, retransmissions: DataFrame, loo
     return rows.withColumn("loss", F.col("lost") / F.col("n").cast("double")).select(*METRICS)
 
 
-def findings(metrics: DataFrame) -> DataFrame:
-    """Rows (finding, value) of what exceeds its bound in one metrics row."""
-    rules = (("retransmission rate", "retransmission", 0.02), ("dns failures", "dns", 0.05), ("packet loss", "loss", 0.02))
-    items = F.array(*[F.struct(F.lit(n).alias("finding"), F.col(c).alias("value"), F.lit(b).alias("bound")) for n, c, b in rules])
-    return metrics.select(F.inline(items)).where("value >= bound")
+def findings(
+    p: DataFrame, retransmissions: DataFrame, jitter: DataFrame, gaps: DataFrame, attempts: DataFrame, lookups: DataFrame,
+    rate: float = 2.0, many_gaps: int = 10_000, many_attempts: int = 10, failures: float = 5.0,
+) -> DataFrame:
+    """finding, value, detail: what an operator should look at first, from packets, retransmissions (FLOW), flows' jitter (severity), gaps (src_ip, dst_ip), SYN attempts (retries) and lookups (status).
+
+    The detail names the flow with most retransmissions, or the pair of addresses with most gaps and its share in percent.
+    """
+    flow = F.concat(F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"), F.lit(" -> "), F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string"))
+    pair = F.concat(F.col("src_ip"), F.lit(" <-> "), F.col("dst_ip"))
+    most = lambda df, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("c"), "name")).alias("x"))
+    one = lambda finding, value, detail: [F.lit(finding).alias("finding"), value.cast("double").alias("value"), detail.cast("string").alias("detail")]
+    none, count = F.lit(None).cast("string"), F.col("n")
+    packets = p.agg(F.count("*").alias("packets"))
+    r = most(retransmissions, flow).crossJoin(F.broadcast(packets)).withColumn("rate", F.try_divide(count, F.col("packets").cast("double")) * 100.0).where(F.col("rate") >= rate)
+    g = most(gaps, pair).where(count > many_gaps)
+    share = F.round(-F.col("x.c") / count.cast("double") * 100.0, 0).cast("int").cast("string")
+    j = jitter.where("severity = 'critical'").agg(F.count("*").alias("n")).where(count > 0)
+    a = attempts.where("retries > 0").agg(F.count("*").alias("n")).where(count > many_attempts)
+    d = lookups.agg(F.try_divide(F.count_if(F.col("status").isin("timeout", "error")), F.count("*").cast("double")).alias("n")).select((count * 100.0).alias("n")).where(count > failures)
+    parts = (
+        r.select(*one("retransmission rate", F.col("rate"), F.col("x.name"))), j.select(*one("critical jitter", count, none)),
+        g.select(*one("gaps", count, F.concat("x.name", F.lit(" "), share, F.lit("%")))), a.select(*one("failed connections", count, none)), d.select(*one("dns failures", count, none)),
+    )
+    return reduce(DataFrame.unionByName, parts)

@@ -148,6 +148,10 @@ FROM (SELECT *, CASE WHEN protocol = 'UDP' AND dst_port = 53 THEN 'DNS' ELSE pro
 h AS (SELECT * FROM g WHERE gap_us > CASE WHEN tcp AND dst_port NOT IN (22, 23) THEN {12 * HOUR} WHEN kind = 'DNS' THEN {12 * HOUR} ELSE {24 * HOUR} END)"""
 over_packets("gap_detection", lambda p: timing.gaps(p, SLOW), f", {_G} SELECT packet_num, packet_num - 1 AS packet_before, protocol, src_ip, dst_ip, gap_us FROM h")
 over_varied("gap_detection_varied", lambda p: timing.gaps(p, SLOW), f", {_G} SELECT packet_num, packet_num - 1 AS packet_before, protocol, src_ip, dst_ip, gap_us FROM h")
+over_packets("gaps_marked", lambda p: timing.marked_gaps(p, SLOW), f""", {_G}, m AS (SELECT avg(gap_us) AS mean, count(*) >= 3 AND stddev_samp(gap_us) / avg(gap_us) < 0.1 AS periodic FROM h)
+SELECT packet_num, packet_num - 1 AS packet_before, protocol, src_ip, dst_ip, gap_us, NOT periodic OR abs(gap_us - mean) / mean > 0.2 AS abnormal FROM h, m""")
+over_packets("interval_statistics", timing.interval_statistics, """, d AS (SELECT ts_us - lag(ts_us) OVER (ORDER BY ts_us, packet_num) AS d FROM p), g AS (SELECT count(d) AS n, min(d) AS min_us, max(d) AS max_us, sum(d)::DOUBLE AS s, sum(d::HUGEINT * d)::DOUBLE AS q, quantile_cont(d, 0.5)::DOUBLE AS median_us FROM d)
+SELECT n, min_us, max_us, s / n AS mean_us, median_us, sqrt(greatest((q * n - s * s) / (n * (n - 1)::DOUBLE), 0.0)) AS stdev_us, (n + 1) * 1e6 / s AS packets_per_s FROM g""")
 over_packets("gap_periodicity", lambda p: timing.gap_periodicity(p, SLOW), f", {_G} SELECT count(*) AS n, sum(gap_us) / count(*)::DOUBLE AS mean_us, count(*) >= 3 AND stddev_samp(gap_us) / avg(gap_us) < 0.1 AS periodic FROM h")
 _FIVE = f"protocol, {FLOW}"
 _J = f"""s0 AS (SELECT *, ts_us - lag(ts_us) OVER w AS d, lag(rst OR fin) OVER w AS closed FROM e WINDOW w AS (PARTITION BY {_FIVE} ORDER BY ts_us, packet_num)),
@@ -356,11 +360,32 @@ k AS (SELECT *, CASE WHEN attempts * 1e6 > 2.0 * greatest(last_us - first_us, 10
 SELECT src_ip, dst_ip, dst_port, attempts, established, first_us, last_us, ['low', 'medium', 'high', 'critical'][CASE WHEN dst_port IN (22, 445, 3389) AND l3 < 2 THEN l3 + 1 ELSE l3 END + 1] AS severity FROM k"""
 over_packets("brute_force", lambda p: security.brute_force(p, 2, 0.2), ", " + _BRUTE.format(least=2, fail=0.2))
 over_varied("brute_force_varied", lambda p: security.brute_force(p, 1, 0.0), ", " + _BRUTE.format(least=1, fail="0.0"))
-over_packets("ddos_syn_flood", lambda p: security.syn_floods(p, 1e-4, 0.9, HOUR), f""", s AS (SELECT dst_ip, dst_port, count(*) AS syns, count(DISTINCT src_ip) AS sources FROM e WHERE syn GROUP BY ALL), w AS (SELECT dst_ip, (max(ts_us // {HOUR}) - min(ts_us // {HOUR}) + 1) * {HOUR} AS span FROM e WHERE syn GROUP BY dst_ip),
-b AS (SELECT src_ip AS dst_ip, src_port AS dst_port, count(*) AS c FROM e WHERE synack GROUP BY ALL), g AS (SELECT dst_ip, dst_port, syns, coalesce(c, 0) AS synacks, sources, syns * 1e6 / span AS rate FROM s JOIN w USING (dst_ip) LEFT JOIN b USING (dst_ip, dst_port))
-SELECT *, CASE WHEN rate >= 1e-3 THEN 'critical' WHEN rate >= 5e-4 THEN 'high' WHEN rate >= 2e-4 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE rate > 1e-4 AND synacks <= 0.9 * syns""")
-over_packets("ddos_udp_flood", lambda p: security.protocol_floods(p, "UDP", 1e-4, HOUR), f""", g AS (SELECT dst_ip, count(*) AS packets, sum(packet_length)::BIGINT AS bytes, count(DISTINCT src_ip) AS sources, count(*) * 1e6 / ((max(ts_us // {HOUR}) - min(ts_us // {HOUR}) + 1) * {HOUR}) AS rate FROM p WHERE NOT tcp GROUP BY dst_ip)
-SELECT *, CASE WHEN rate >= 1e-3 THEN 'critical' WHEN rate >= 5e-4 THEN 'high' WHEN rate >= 2e-4 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE rate > 1e-4""")
+#: Rates of the events table are some packets an hour.
+LEVELS = {k: (2e-4, 5e-4, 1e-3) for k in security.FLOOD_LEVELS}
+_FL = f"""ft AS (SELECT *, CASE WHEN syn THEN 'syn' WHEN protocol = 'UDP' THEN 'udp' WHEN protocol = 'ICMP' THEN 'icmp' END AS k, ts_us // {HOUR} AS slot FROM e WHERE syn OR protocol IN ('UDP', 'ICMP')),
+fw AS (SELECT dst_ip, slot, min(ts_us) AS start, sum(packet_length)::BIGINT AS bytes, count(*) FILTER (k = 'syn') AS syn, count(*) FILTER (k = 'udp') AS udp, count(*) FILTER (k = 'icmp') AS icmp FROM ft GROUP BY dst_ip, slot),
+fk AS (SELECT 'udp_flood' AS attack, *, udp AS c FROM fw WHERE udp > 0 UNION ALL SELECT 'icmp_flood', *, icmp FROM fw WHERE icmp > 0),
+fs AS (SELECT DISTINCT attack, dst_ip, NULL::INT AS dst_port, src_ip FROM fk JOIN (SELECT DISTINCT dst_ip, slot, src_ip FROM ft) USING (dst_ip, slot) UNION SELECT 'syn_flood', dst_ip, dst_port, src_ip FROM ft WHERE k = 'syn'),
+fa AS (SELECT attack, dst_ip, NULL::INT AS dst_port, min(start) AS start_us, max(start) - min(start) + {HOUR} AS span_us, sum(c)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes FROM fk GROUP BY attack, dst_ip
+UNION ALL SELECT 'syn_flood', dst_ip, dst_port, start_us, span_us, packets, bytes FROM (SELECT dst_ip, dst_port, count(*) AS packets FROM ft WHERE k = 'syn' GROUP BY ALL) JOIN (SELECT dst_ip, min(start) AS start_us, max(start) - min(start) + {HOUR} AS span_us, sum(bytes)::BIGINT AS bytes FROM fw GROUP BY dst_ip) USING (dst_ip)
+LEFT JOIN (SELECT src_ip AS dst_ip, src_port AS dst_port, count(*) AS answers FROM e WHERE synack GROUP BY ALL) USING (dst_ip, dst_port) WHERE coalesce(answers, 0) <= 0.9 * packets),
+fb AS (SELECT fa.*, packets * 1e6 / span_us AS rate, n AS sources, top AS top_sources FROM fa JOIN (SELECT attack, dst_ip, dst_port, count(*) AS n, array_to_string(list_sort(list(src_ip))[1:10], ',') AS top FROM fs GROUP BY ALL) x ON x.attack = fa.attack AND x.dst_ip = fa.dst_ip AND x.dst_port IS NOT DISTINCT FROM fa.dst_port),
+fl AS (SELECT *, CASE WHEN rate > 1e-3 THEN 3 WHEN rate > 5e-4 THEN 2 WHEN rate > 2e-4 THEN 1 ELSE 0 END AS l FROM fb WHERE rate >= 1e-4),
+floods AS (SELECT * EXCLUDE (l), ['low', 'medium', 'high', 'critical'][1 + CASE WHEN packets > 10000 THEN 3 WHEN sources > 100 THEN CASE WHEN l < 2 THEN 2 ELSE 3 END WHEN sources > 50 AND l = 0 THEN 1 ELSE l END] AS severity FROM fl)"""
+
+
+def _floods(p: DataFrame, least: float = 1e-4) -> DataFrame:
+    return security.floods(p, least, least, least, 0.9, HOUR, LEVELS)
+
+
+_FV = _FL.replace("rate >= 1e-4", "rate >= 1e-6")
+
+
+over_packets("ddos_syn_flood", lambda p: _floods(p).where("attack = 'syn_flood'"), f", {_FL} SELECT * FROM floods WHERE attack = 'syn_flood'")
+over_packets("ddos_udp_flood", lambda p: _floods(p).where("attack = 'udp_flood'"), f", {_FL} SELECT * FROM floods WHERE attack = 'udp_flood'")
+over_varied("ddos_floods_varied", lambda p: _floods(p, 1e-6), f", {_FV} SELECT * FROM floods")
+over_varied("ddos_worst", lambda p: listings.by_severity(_floods(p, 1e-6), "start_us", "attack", "dst_ip", "dst_port"), f""", {_FV}
+SELECT *, row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), start_us, attack, dst_ip, dst_port NULLS FIRST)::INT AS place FROM floods ORDER BY place LIMIT 20""")
 _UP = f"u AS (SELECT * FROM p WHERE {INTERNAL.format('src_ip')} AND NOT {INTERNAL.format('dst_ip')})"
 over_packets("exfil_large_upload", lambda p: security.large_uploads(p, 3000, 24 * HOUR), f""", {_UP}, w AS (SELECT *, sum(packet_length) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {24 * HOUR} FOLLOWING)::BIGINT AS s FROM u),
 g AS (SELECT src_ip, arg_min(ts_us, (ts_us, packet_num)) AS start_us, arg_min(s, (ts_us, packet_num)) AS bytes FROM w WHERE s >= 3000 GROUP BY src_ip) SELECT *, CASE WHEN bytes >= 30000 THEN 'critical' WHEN bytes >= 12000 THEN 'high' WHEN bytes >= 6000 THEN 'medium' ELSE 'low' END AS severity FROM g""")
@@ -403,6 +428,8 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+over_tables("dns_repeated_queries", lambda s, d: names.repeated_queries(lookups(s, d).withColumn("qname", F.regexp_extract("qname", r"t[0-9]\.example\.$", 0)), 10_000_000), r"""WITH q AS (SELECT 't' || page_id % 7 || '.example.' AS qname, CASE WHEN page_id % 4 = 0 THEN 'TXT' ELSE 'A' END AS qtype, page_id * 1000000 AS us FROM pages),
+r AS (SELECT *, us - lag(us) OVER (PARTITION BY qname, qtype ORDER BY us) < 10000000 AS again FROM q) SELECT qname, qtype, count(*) AS queries, count(*) FILTER (again) AS repeated FROM r GROUP BY ALL""")
 over_tables("dns_tunneling", lambda s, d: names.dns_tunnels(lookups(s, d), 45, 3.9, 1.0), r"""
 WITH m AS (SELECT page_id AS n, md5(url) AS c, lower(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9.]', '', 'g')) AS u FROM pages),
 q AS (SELECT '10.0.0.' || n % 10 AS src_ip, n * 1000000 AS us, CASE n % 5 WHEN 0 THEN c WHEN 1 THEN 'abcdefghijklmnopqrstuvwxyz0123456789' || c[1:6] WHEN 2 THEN c[1:8] || '-' || c[9:12] || '-' || c[13:16] || '-' || c[17:20] || '-' || c[21:32] ELSE u END AS sub,
@@ -477,6 +504,13 @@ g2 AS (SELECT src_ip, dst_ip, ip_id, count(*) AS fragments, (arg_max(a + size, (
 SELECT src_ip, dst_ip, ip_id, fragments, total, coalesce(follows AND reached = total, false) AS complete, (largest + 20)::INT AS path_mtu FROM g2""")
 
 
+_FR = ORACLES["fragment_reassembly"].removeprefix(PACKETS).rsplit("\nSELECT", 1)
+_FR = f"{_FR[0]}, fr AS (SELECT{_FR[1]})"
+over_packets("fragments_incomplete", lambda p: names.incomplete_datagrams(names.reassembly(fragments(p))), f"{_FR} SELECT * FROM fr WHERE NOT complete ORDER BY src_ip, dst_ip, ip_id LIMIT 20")
+over_packets("fragment_flows", lambda p: names.fragment_flows(fragments(p), names.reassembly(fragments(p))), f"""{_FR}, fa AS (SELECT src_ip, dst_ip, count(*) AS packets, count(*) FILTER (mf OR a > 0) AS fragments, min(size) FILTER (mf OR a > 0)::INT AS least, max(size) FILTER (mf OR a > 0)::INT AS most FROM g0 GROUP BY ALL),
+fi AS (SELECT src_ip, dst_ip, count(*) FILTER (NOT complete) AS incomplete FROM fr GROUP BY ALL) SELECT src_ip, dst_ip, packets, fragments, fragments / packets::DOUBLE * 100.0 AS share, least, most, (least + most) / 2.0::DOUBLE AS middle, incomplete FROM fa JOIN fi USING (src_ip, dst_ip) WHERE fragments > 0 ORDER BY fragments DESC, src_ip, dst_ip LIMIT 10""")
+
+
 def acked_blocks(p: DataFrame) -> DataFrame:
     """TCP packets of the view with up to two SACK blocks around their acknowledgement."""
     n, a = F.col("packet_num"), F.col("tcp_ack")
@@ -489,6 +523,14 @@ def acked_blocks(p: DataFrame) -> DataFrame:
 over_packets("sack_flows", lambda p: names.sack_flows(acked_blocks(p)), f""", b AS (SELECT {FLOW}, packet_num % 5 * 100 - 100 AS r, packet_num % 3 = 1 AND packet_num % 4 > 0 AS two, packet_num % 4 * 100 AS w FROM e WHERE tcp AND packet_num % 3 <> 2)
 SELECT {FLOW}, count(*) AS packets, sum(1 + two::INT)::BIGINT AS blocks, count(*) FILTER (r <= 0 OR (two AND r - 100 >= 100 AND r <= 100 + w)) AS dsacks FROM b GROUP BY {FLOW}""")
 
+_SK = f"""sk AS (SELECT {ENDS}, ts_us, ack + packet_num % 5 * 100 - 200 AS a, packet_num % 5 * 100 - 100 AS r, packet_num % 3 = 1 AND packet_num % 4 > 0 AS two, packet_num % 4 * 100 AS w, ack FROM e WHERE tcp AND packet_num % 3 <> 2),
+sb AS (SELECT {ENDS}, a AS x, a + 100 AS y FROM sk UNION SELECT {ENDS}, ack + 100, ack + 100 + w FROM sk WHERE two),
+sv AS (SELECT {ENDS}, count(*) AS sacks, count(*) FILTER (r <= 0 OR (two AND r - 100 >= 100 AND r <= 100 + w)) AS dsacks, sum(100 + CASE WHEN two THEN w ELSE 0 END)::BIGINT AS sacked_bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM sk GROUP BY {ENDS}),
+sc AS (SELECT * FROM sv JOIN (SELECT {ENDS}, count(*) AS distinct_blocks FROM sb GROUP BY {ENDS}) USING ({ENDS}))"""
+over_packets("sack_conversations", lambda p: names.sack_conversations(acked_blocks(p)), f", {_SK} SELECT *, dsacks / sacks::DOUBLE * 100.0 AS dsack_share FROM sc")
+over_packets("sack_summary", lambda p: names.sack_summary(p, names.sack_conversations(acked_blocks(p))), f""", {_SK}, g AS (SELECT sum(sacks)::BIGINT AS sacks, sum(dsacks)::BIGINT AS dsacks, count(*) AS conversations, count(*) FILTER (dsacks > 0) AS with_dsacks, sum(sacked_bytes)::BIGINT AS sacked_bytes, (SELECT count(*) FROM e WHERE tcp) AS tcp_packets FROM sc)
+SELECT *, sacks / tcp_packets::DOUBLE * 100.0 AS sack_share, dsacks / sacks::DOUBLE * 100.0 AS dsack_share, sacked_bytes / sacks::DOUBLE AS bytes_per_sack FROM g""")
+
 # ---------------------------------------------------------------- scores, reports, text
 
 over_packets("health_score", lambda p: score.health_score(score.metrics_of(p, _trips(p), tcp.exact_retransmissions(p))).select("retransmission", "anomaly", "class"), f""", {_X},
@@ -506,7 +548,18 @@ def health_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.health_score(m).select(*score.METRICS, "score", "class")
 
 
-over_tables("health_score_full", health_score_full)
+def _penalty(name: str) -> str:
+    """A metric's penalty in SQL, from the same fixed lines."""
+    weight, lines, beyond = score.METRICS[name]
+    cases = " ".join(f"WHEN v <= {float(x1)!r} THEN {float(y0)!r} + (v - {float(x0)!r}) * {(y1 - y0) / (x1 - x0)!r}" for x0, y0, x1, y1 in lines)
+    past = "least(95.0, 80 + 50 * (v - 0.30))" if beyond is None else repr(float(beyond))
+    return f"round(CASE {cases.replace('v', f'coalesce({name}, 0.0)')} ELSE {past.replace('v', f'coalesce({name}, 0.0)')} END * {weight / 100.0!r}, 2)"
+
+
+over_tables("health_score_full", health_score_full, PACKETS + f""", {_R}, {_X}, {_J}, {_DNS.removeprefix('WITH ')}, hm AS (SELECT (SELECT count(*) FROM x) / count(*)::DOUBLE AS retransmission, (SELECT quantile_cont(rtt_us, 0.5)::DOUBLE / 1e6 FROM rtt) AS rtt,
+(SELECT count(*) FROM (SELECT DISTINCT {FLOW}, tcp_seq FROM x)) / count(*)::DOUBLE AS loss, (SELECT count(*) FILTER (status IN ('timeout', 'error')) / count(*)::DOUBLE FROM tx) AS dns, (SELECT sum(jitter_us) / count(*)::DOUBLE / 1e6 FROM j) AS jitter,
+count(*) FILTER (win = 0) * 1000 / count(*)::DOUBLE AS anomaly FROM p), hs AS (SELECT *, greatest(0.0, least(100.0, 100.0 - ({' + '.join(map(_penalty, score.METRICS))}))) AS s FROM hm)
+SELECT * EXCLUDE (s), round(s, 1) AS score, CASE WHEN s >= 95 THEN 0 WHEN s >= 85 THEN 1 WHEN s >= 65 THEN 2 WHEN s >= 45 THEN 3 WHEN s >= 25 THEN 4 ELSE 5 END::INT AS class FROM hs""")
 over_packets("capture_sanity", report.capture_sanity, """, h AS (SELECT * FROM p ORDER BY packet_num LIMIT 100), g AS (SELECT count(*) AS packets, (SELECT count(*) FROM (SELECT DISTINCT ts_us, src_ip, dst_ip, packet_length FROM h)) AS distinct_packets, count(*) FILTER (src_ip = dst_ip) AS self_loops, (SELECT max(abs(d)) FROM (SELECT ts_us - lag(ts_us) OVER (ORDER BY packet_num) AS d FROM h)) AS jump_us FROM h)
 SELECT *, CASE WHEN packets < 2 THEN 'too few packets' WHEN jump_us > 31536000000000 THEN 'time jump' WHEN (packets - distinct_packets) * 2 > packets THEN 'duplicates' WHEN self_loops * 10 > packets THEN 'self loops' ELSE 'valid' END AS verdict FROM g""")
 over_packets("summary_unpivot", report.summary, """, g AS (SELECT count(*)::VARCHAR AS packets, sum(packet_length)::VARCHAR AS bytes, count(DISTINCT src_ip)::VARCHAR AS sources, count(DISTINCT dst_ip)::VARCHAR AS destinations, (max(ts_us) - min(ts_us))::VARCHAR AS span_us FROM p)
@@ -533,6 +586,10 @@ over_packets("rtt_global", lambda p: listings.round_trip_summary(_trips(p), 24 *
 count(*) FILTER (rtt_us > {24 * HOUR}) AS high, count(*) FILTER (rtt_us > {72 * HOUR}) AS critical FROM rtt) SELECT n, min_us, max_us, s / n::DOUBLE AS mean_us, sqrt(greatest((q * n::DOUBLE - s * s) / (n::DOUBLE * (n::DOUBLE - 1)), 0.0)) AS stdev_us, high, critical FROM g""")
 over_packets("rtt_of_a_flow", lambda p: listings.flow_details(_trips(p), dst_ip="93.184.216.34", dst_port=443), f", {_R} SELECT * FROM rtt WHERE dst_ip = '93.184.216.34' AND dst_port = 443")
 over_packets("syn_delays_slowest", lambda p: listings.slowest_attempts(_syn_delays(p).drop("intervals_us")), f", {_SD} SELECT * EXCLUDE (intervals_us), row_number() OVER (ORDER BY delay_us DESC, {FLOW}, first_us)::INT AS place FROM sd ORDER BY place LIMIT 10")
+_BF = _BRUTE.format(least=1, fail="0.0").rsplit("\nSELECT", 1)[0] + f", bf AS (SELECT{_BRUTE.format(least=1, fail='0.0').rsplit(chr(10) + 'SELECT', 1)[1]})"
+over_varied("brute_force_attackers", lambda p: security.top_attackers(security.brute_force(p, 1, 0.0)), f""", {_BF}, bw AS (SELECT *, list_position(['low', 'medium', 'high', 'critical'], severity) AS level FROM bf ORDER BY level DESC, first_us, src_ip, dst_ip, dst_port LIMIT 10)
+SELECT src_ip, count(*) AS attacks, count(DISTINCT dst_ip) AS targets, array_to_string(list_sort(list_distinct(list(CASE dst_port WHEN 22 THEN 'SSH' WHEN 443 THEN 'HTTPS' WHEN 445 THEN 'SMB' WHEN 1433 THEN 'MSSQL' WHEN 3389 THEN 'RDP' WHEN 8080 THEN 'HTTP-Alt' END))), ',') AS services,
+sum(attempts)::BIGINT AS attempts, ['low', 'medium', 'high', 'critical'][max(level)] AS severity FROM bw GROUP BY src_ip""")
 over_packets("burst_worst", lambda p: listings.worst_burst(timing.bursts(p, BURST)), f", {_B} SELECT * FROM bursts ORDER BY peak_ratio DESC, start_us LIMIT 1")
 over_packets("connections_longest_idle", lambda p: listings.longest_idle(tcp.connection_states(p, 24 * HOUR, 96 * HOUR)), ORACLES["tcp_connection_states"].removeprefix(PACKETS).replace(f"SELECT {ENDS}, packets, idle_us, CASE", f", st AS (SELECT {ENDS}, packets, idle_us, CASE")
     + f") SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY idle_us DESC, {ENDS})::INT AS place FROM st) WHERE place <= 10")
@@ -612,6 +669,32 @@ over_tables("dns_causes", _dns_causes, _DNS + """, b AS (SELECT qname, server, s
 tq AS (SELECT issue, qname, count(*) AS cq FROM b GROUP BY issue, qname QUALIFY row_number() OVER (PARTITION BY issue ORDER BY count(*) DESC, qname) = 1), ts AS (SELECT issue, server, count(*) AS cs FROM b GROUP BY issue, server QUALIFY row_number() OVER (PARTITION BY issue ORDER BY count(*) DESC, server) = 1)
 SELECT issue, size AS lookups, CASE WHEN cq * 2 >= size THEN 'repeated_name' WHEN cs * 2 >= size THEN 'resolver' ELSE 'error_code' END AS cause, CASE WHEN cq * 2 >= size THEN qname WHEN cs * 2 >= size THEN server ELSE 'NXDOMAIN' END AS cause_on, CASE WHEN cq * 2 >= size THEN cq ELSE cs END AS times FROM g JOIN tq USING (issue) JOIN ts USING (issue)""")
 
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir)
+    jitter = timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS)
+    jitter = jitter.withColumn("severity", timing.jitter_severity(F.col("protocol"), F.col("p95_us") / 1000.0))
+    return score.findings(p, tcp.exact_retransmissions(p), jitter, timing.gaps(p, SLOW), _syn_delays(p), folds.dns_transactions(transactions(spark, sf_dir)), many_gaps=100)
+
+
+over_tables("findings", findings, PACKETS + f""", {_X}, {_J}, {_JF}, {_G.replace("g AS (", "gg AS (", 1).replace("FROM g WHERE", "FROM gg WHERE")}, {_SD}, {_DNS.removeprefix('WITH ')},
+f1 AS (SELECT 'retransmission rate' AS finding, sum(c) / (SELECT count(*) FROM p)::DOUBLE * 100.0 AS value, arg_min(name, (-c, name)) AS detail FROM (SELECT src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port AS name, count(*) AS c FROM x GROUP BY 1)),
+f2 AS (SELECT 'critical jitter' AS finding, count(*)::DOUBLE AS value, NULL AS detail FROM jf WHERE CASE WHEN protocol = 'UDP' THEN p95_us >= 50000 ELSE p95_us >= 200000 END),
+f3 AS (SELECT 'gaps' AS finding, sum(c)::DOUBLE AS value, arg_min(name, (-c, name)) || ' ' || round(max(c) / sum(c)::DOUBLE * 100.0)::INT || '%' AS detail FROM (SELECT src_ip || ' <-> ' || dst_ip AS name, count(*) AS c FROM h GROUP BY 1)),
+f4 AS (SELECT 'failed connections' AS finding, count(*)::DOUBLE AS value, NULL AS detail FROM sd WHERE retries > 0), f5 AS (SELECT 'dns failures' AS finding, count(*) FILTER (status IN ('timeout', 'error')) / count(*)::DOUBLE * 100.0 AS value, NULL AS detail FROM tx)
+SELECT * FROM f1 WHERE value >= 2 UNION ALL SELECT * FROM f2 WHERE value > 0 UNION ALL SELECT * FROM f3 WHERE value > 100 UNION ALL SELECT * FROM f4 WHERE value > 10 UNION ALL SELECT * FROM f5 WHERE value > 5""")
+
+
+def graph_series(p: DataFrame) -> DataFrame:
+    trips = _trips(p).join(p.select(F.col("packet_num").alias("ack_num"), "ts_us"), "ack_num")
+    return report.graph_series(timing.jitter(p, **CUTS), timing.jitter_flow_stats(p, **CUTS), trips, tcp.exact_retransmissions(p))
+
+
+over_packets("graph_series", graph_series, f""", {_R}, {_X}, {_J}, js AS (SELECT {_FIVE}, list_sort(list(jitter_us))[1 + least(floor(count(*) * 0.95)::BIGINT, count(*) - 1)] AS p95 FROM j GROUP BY {_FIVE}),
+gw AS (SELECT {_FIVE}, CASE WHEN p95 / 1000.0 > 50 THEN 'critical' WHEN p95 / 1000.0 > 30 THEN 'warning' ELSE 'ok' END AS level, p95 / 1000.0::DOUBLE * 1.2::DOUBLE AS mark FROM js ORDER BY p95 DESC, {_FIVE} LIMIT 10)
+SELECT {_FIVE}, level, 'jitter' AS series, ts_us, jitter_us / 1000.0::DOUBLE AS value_ms FROM j JOIN gw USING ({_FIVE})
+UNION ALL SELECT gw.protocol, {FLOW}, level, 'rtt', a.ts_us, rtt_us / 1000.0::DOUBLE FROM rtt JOIN gw USING ({FLOW}) JOIN (SELECT packet_num AS ack_num, ts_us FROM p) a USING (ack_num)
+UNION ALL SELECT gw.protocol, {FLOW}, level, 'retransmission', b.ts_us, mark FROM x JOIN gw USING ({FLOW}) JOIN (SELECT packet_num, ts_us FROM p) b USING (packet_num)""")
 _FLOW_TEXT = "concat(src_ip, ':', coalesce(src_port::VARCHAR, 'None'), ' -> ', dst_ip, ':', coalesce(dst_port::VARCHAR, 'None'), ' (', protocol, ')') AS \"Flow\""
 _SERVICE_FLOWS = _SERVICES.rsplit("\nSELECT service", 1)[0].replace("o AS (SELECT n, bytes,", f"o AS (SELECT protocol, {FLOW}, n, bytes,")
 over_varied("csv_protocol_distribution", lambda p: listings.csv_protocols(traffic.protocol_distribution(p)), """ SELECT protocol AS "Protocol", count(*) AS "Count", printf('%.2f%%', count(*) / (SELECT count(*) FROM p)::DOUBLE * 100.0) AS "Percentage" FROM p GROUP BY protocol""")
