@@ -273,7 +273,15 @@ over_packets("syn_retries", lambda p: tcp.syn_retries(p, 480 * HOUR), f""", s AS
 SELECT {FLOW}, seq AS tcp_seq, count(*) AS attempts, count(*) FILTER (gap < {480 * HOUR}) AS retries, max(ts_us) - min(ts_us) AS span_us FROM s GROUP BY {FLOW}, seq HAVING count(*) FILTER (gap < {480 * HOUR}) > 0""")
 over_packets("burst_retrans_overlap", lambda p: tcp.bursts_with_retransmissions(p, timing.bursts(p, BURST), 0, 1.0), f""", {_B}, {_X} SELECT burst_id, count(*) AS hits FROM x JOIN p ON p.packet_num = x.packet_num JOIN bursts ON p.ts_us BETWEEN start_us AND end_us GROUP BY burst_id
 HAVING count(*) > 0 AND max(peak_ratio) > 1.0""")
-over_packets("handshake", lambda p: folds.handshakes(both_ways(p), 96 * HOUR))
+over_packets("handshake", lambda p: folds.handshakes(both_ways(p), 96 * HOUR, 24 * HOUR), f""", {_R.split("sg AS (")[0]} sy AS (SELECT *, (ts_us, packet_num) AS k FROM t WHERE (flags & 18) = 2),
+ha AS (SELECT {FLOW.replace('src_ip', 'sy.src_ip').replace('src_port', 'sy.src_port').replace('dst_ip', 'sy.dst_ip').replace('dst_port', 'sy.dst_port')}, sy.k, min((b.ts_us, b.packet_num, b.seq)) FILTER (b.packet_num IS NOT NULL) AS sa FROM sy LEFT JOIN t b ON b.src_ip = sy.dst_ip AND b.src_port = sy.dst_port AND b.dst_ip = sy.src_ip AND b.dst_port = sy.src_port
+AND (b.flags & 18) = 18 AND (b.ts_us, b.packet_num) > sy.k GROUP BY ALL),
+hx AS (SELECT ha.k AS hk, min((c.ts_us, c.packet_num)) AS ak FROM ha JOIN t c USING ({FLOW}) WHERE (c.flags & 18) = 16 AND c.ack = sa[3] + 1 AND (c.ts_us, c.packet_num) > (sa[1], sa[2]) GROUP BY ha.k),
+hb AS (SELECT ha.*, ak FROM ha LEFT JOIN hx ON hk = k),
+hc AS (WITH RECURSIVE r AS (SELECT * FROM hb QUALIFY row_number() OVER (PARTITION BY {FLOW} ORDER BY k) = 1
+UNION ALL SELECT hb.* FROM (SELECT min(n.k) AS k FROM r JOIN hb n USING ({FLOW}) WHERE r.ak IS NOT NULL AND n.k > r.ak GROUP BY {FLOW}) m JOIN hb ON hb.k = m.k) SELECT {FLOW}, k[1] AS syn_us, sa[1] AS synack_us, ak[1] AS ack_us FROM r)
+SELECT *, ack_us - syn_us AS total_us, coalesce(ack_us - syn_us > {96 * HOUR}, false) AS slow, CASE WHEN synack_us IS NULL OR synack_us = syn_us THEN 'unknown' WHEN synack_us - syn_us > {24 * HOUR} THEN CASE WHEN synack_us - syn_us > 500000 THEN 'server' ELSE 'network' END
+WHEN ack_us - synack_us > {24 * HOUR} THEN 'client' WHEN ack_us - syn_us > {96 * HOUR} THEN 'network' ELSE 'none' END AS suspected FROM hc""")
 #: Connections of the events table last for weeks, so they end after days.
 TIMERS = folds.Timers(time_wait=48 * HOUR, idle=240 * HOUR, fin=24 * HOUR)
 
