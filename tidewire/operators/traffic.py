@@ -88,8 +88,14 @@ def asymmetry(p: DataFrame, min_bytes: int = 10_000, min_packets: int = 10) -> D
     return g.withColumn("kind", kind.otherwise("moderate"))
 
 
-def asymmetric_flows(p: DataFrame, k: int = 50, **limits: int) -> DataFrame:
-    return asymmetry(p, **limits).orderBy("byte_ratio", F.desc("packets"), "protocol", *ENDS).limit(k)
+def asymmetric_flows(p: DataFrame, k: int = 50, below: float = 0.3, **limits: int) -> DataFrame:
+    return asymmetry(p, **limits).where(F.col("byte_ratio") < below).orderBy("byte_ratio", F.desc("packets"), "protocol", *ENDS).limit(k)
+
+
+def largest_flows(p: DataFrame, k: int = 20, **limits: int) -> DataFrame:
+    """The k conversations with most bytes, with how they are shared between the directions."""
+    volume = F.col("forward_bytes") + F.col("reverse_bytes")
+    return asymmetry(p, **limits).withColumn("bytes", volume).orderBy(F.desc("bytes"), "protocol", *ENDS).limit(k)
 
 
 def asymmetry_by_protocol(p: DataFrame, **limits: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import ACK, ENDS, FIN, FLOW, RST, SYN, has, is_tcp, with_ends
-from ..operators.tcp import IN_ORDER, exact_retransmissions
+from ..operators.tcp import IN_ORDER, classified_resets, exact_retransmissions
 from ..operators.timing import FIVE, jitter_severity
 
 #: Severities from the worst on.
@@ -45,6 +45,67 @@ def worst_burst(bursts: DataFrame) -> DataFrame:
     return bursts.orderBy(F.desc("peak_ratio"), "start_us").limit(1)
 
 
+def earliest_bursts(bursts: DataFrame, k: int = 50) -> DataFrame:
+    return first_rows(bursts, ["start_us", "burst_id"], k)
+
+
+def earliest_resets(p: DataFrame, k: int = 20) -> DataFrame:
+    """The first k RST packets with what their conversation had seen by then."""
+    times = p.where(is_tcp() & has(RST)).select("packet_num", "ts_us")
+    return first_rows(classified_resets(p).join(times, "packet_num"), ["ts_us", "packet_num"], k)
+
+
+def strongest_patterns(patterns: DataFrame, k: int = 15) -> DataFrame:
+    """The k most frequent of timing.periodic, with their share in percent of the source's intervals."""
+    share = F.round(F.col("count") / F.col("total").cast("double") * 100.0, 1).alias("confidence")
+    return first_rows(patterns.select("src_ip", "interval", "count", share), [F.desc("count"), "src_ip", "interval"], k)
+
+
+def flood_targets(floods: DataFrame, k: int = 10) -> DataFrame:
+    """The k targets of most floods."""
+    return first_rows(floods.groupBy("dst_ip").agg(F.count("*").alias("floods")), [F.desc("floods"), "dst_ip"], k)
+
+
+def tunnel_domains(tunnels: DataFrame, k: int = 10) -> DataFrame:
+    """The k domains that most sources tunnel to."""
+    return first_rows(tunnels.groupBy("domain").agg(F.count("*").alias("sources"), F.sum("queries").alias("queries")), [F.desc("sources"), "domain"], k)
+
+
+def ranked_events(events: DataFrame) -> DataFrame:
+    """All events (kind, src_ip, severity) with the rank of their severity from 1, the worst, on; order by it to list them."""
+    return events.withColumn("rank", F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int"))
+
+
+def top_scanners(scans: DataFrame, k: int = 10) -> DataFrame:
+    """Sources of the k worst scans (security.scan_events): scans, most targets and ports of one, attempts, and the worst severity."""
+    worst = by_severity(scans, "start_us", "src_ip", k=k)
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    g = worst.groupBy("src_ip").agg(F.count("*").alias("scans"), F.max("targets").alias("targets"), F.max("ports").alias("ports"), F.sum("attempts").alias("attempts"), F.min(rank).alias("rank"))
+    g = g.withColumn("severity", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("rank").cast("int")))
+    return first_rows(g, ["rank", F.desc("scans"), "src_ip"], k).drop("rank")
+
+
+def top_sacks(conversations: DataFrame, k: int = 20) -> DataFrame:
+    return first_rows(conversations, [F.desc("sacks"), *ENDS], k)
+
+
+def top_dsacks(conversations: DataFrame, k: int = 10) -> DataFrame:
+    return first_rows(conversations.where("dsacks > 0").select(*ENDS, "dsacks", "sacks", "dsack_share"), [F.desc("dsacks"), *ENDS], k)
+
+
+def severity_shares(rows: DataFrame) -> DataFrame:
+    """severity, n, share in percent, of rows with a severity; the window for the total runs over the few severities."""
+    g = rows.groupBy("severity").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()).cast("double") * 100.0)
+
+
+def confidence_overview(retransmissions: DataFrame) -> DataFrame:
+    """One row over folds.retransmissions: how many are of high and medium confidence, and that of the whole (high above 60 % high, medium above half high or medium)."""
+    g = retransmissions.agg(F.count("*").alias("n"), F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "medium").alias("medium"))
+    whole = F.when(F.col("n") == 0, "none").when(F.col("high") > 0.6 * F.col("n"), "high").when(F.col("high") + F.col("medium") > 0.5 * F.col("n"), "medium").otherwise("low")
+    return g.withColumn("confidence", whole)
+
+
 def longest_idle(states: DataFrame, k: int = 10) -> DataFrame:
     """The k connections of each state that have been idle longest."""
     ends = [c for c in states.columns if c not in ("packets", "idle_us", "state")]

@@ -112,7 +112,8 @@ _A = f"""a AS (SELECT protocol, {ENDS}, sum(CASE WHEN fw THEN packet_length ELSE
 FROM e GROUP BY protocol, {ENDS}), b AS (SELECT *, CASE WHEN greatest(forward_bytes, reverse_bytes) = 0 THEN 1.0 ELSE least(forward_bytes, reverse_bytes) / greatest(forward_bytes, reverse_bytes)::DOUBLE END AS byte_ratio FROM a
 WHERE forward_bytes + reverse_bytes >= 1000 AND packets >= 5), c AS (SELECT *, CASE WHEN byte_ratio < 0.05 THEN 'unidirectional' WHEN byte_ratio < 0.3 THEN 'asymmetric' WHEN byte_ratio >= 0.8 THEN 'symmetric' ELSE 'moderate' END AS kind FROM b)"""
 _LIM = {"min_bytes": 1000, "min_packets": 5}
-over_packets("asymmetric_flows", lambda p: traffic.asymmetric_flows(p, **_LIM), f", {_A} SELECT * FROM c ORDER BY byte_ratio, packets DESC, protocol, {ENDS} LIMIT 50")
+over_packets("asymmetric_flows", lambda p: traffic.asymmetric_flows(p, **_LIM), f", {_A} SELECT * FROM c WHERE byte_ratio < 0.3 ORDER BY byte_ratio, packets DESC, protocol, {ENDS} LIMIT 50")
+over_packets("largest_flows", lambda p: traffic.largest_flows(both_ways(p), **_LIM), f", {_A.replace('FROM e GROUP BY', 'FROM (SELECT * REPLACE (CASE WHEN packet_num % 2 = 1 THEN NOT fw ELSE fw END AS fw) FROM e) GROUP BY')} SELECT *, forward_bytes + reverse_bytes AS bytes FROM c ORDER BY bytes DESC, protocol, {ENDS} LIMIT 20")
 over_packets("asymmetry_protocols", lambda p: traffic.asymmetry_by_protocol(p, **_LIM), f""", {_A} SELECT protocol, count(*) AS flows, count(*) FILTER (kind = 'unidirectional') AS unidirectional,
 count(*) FILTER (kind = 'asymmetric') AS asymmetric, count(*) FILTER (kind = 'moderate') AS moderate, count(*) FILTER (kind = 'symmetric') AS symmetric FROM c GROUP BY protocol""")
 over_packets("protocol_distribution_l4", traffic.protocol_distribution, "SELECT protocol, count(*) AS packets, count(*) / (SELECT count(*) FROM p)::DOUBLE AS share FROM p GROUP BY protocol")
@@ -598,6 +599,23 @@ _BF = _BRUTE.format(least=1, fail="0.0").rsplit("\nSELECT", 1)[0] + f", bf AS (S
 over_varied("brute_force_attackers", lambda p: security.top_attackers(security.brute_force(p, 1, 0.0)), f""", {_BF}, bw AS (SELECT *, list_position(['low', 'medium', 'high', 'critical'], severity) AS level FROM bf ORDER BY level DESC, first_us, src_ip, dst_ip, dst_port LIMIT 10)
 SELECT src_ip, count(*) AS attacks, count(DISTINCT dst_ip) AS targets, array_to_string(list_sort(list_distinct(list(CASE dst_port WHEN 22 THEN 'SSH' WHEN 443 THEN 'HTTPS' WHEN 445 THEN 'SMB' WHEN 1433 THEN 'MSSQL' WHEN 3389 THEN 'RDP' WHEN 8080 THEN 'HTTP-Alt' END))), ',') AS services,
 sum(attempts)::BIGINT AS attempts, ['low', 'medium', 'high', 'critical'][max(level)] AS severity FROM bw GROUP BY src_ip""")
+over_packets("bursts_in_order", lambda p: listings.earliest_bursts(timing.bursts(p, BURST)), f", {_B} SELECT *, row_number() OVER (ORDER BY start_us, burst_id)::INT AS place FROM bursts ORDER BY place LIMIT 50")
+over_packets("tcp_reset_details", listings.earliest_resets, ORACLES["tcp_reset_classified"].removeprefix(PACKETS).rsplit("\nSELECT", 1)[0] + f" SELECT packet_num, {FLOW}, syn_seen, data_seen, NOT data_seen AS premature, ts_us, row_number() OVER (ORDER BY ts_us, packet_num)::INT AS place FROM r WHERE rst ORDER BY place LIMIT 20")
+over_packets("periodic_strongest", lambda p: listings.strongest_patterns(timing.periodic(p, HOUR, 200 * HOUR, 12 * HOUR, 20, 5, 0.2)), ORACLES["periodic_patterns"].removeprefix(PACKETS).rsplit("\nSELECT", 1)[0] + """, k AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY count DESC, interval) AS rank FROM h WHERE count >= 5 AND count >= 0.2 * total)
+SELECT src_ip, interval, count, round(count / total::DOUBLE * 100.0, 1) AS confidence, row_number() OVER (ORDER BY count DESC, src_ip, interval)::INT AS place FROM k WHERE rank <= 3 ORDER BY place LIMIT 15""")
+over_varied("ddos_targets", lambda p: listings.flood_targets(_floods(p, 1e-6)), f", {_FV} SELECT dst_ip, count(*) AS floods, row_number() OVER (ORDER BY count(*) DESC, dst_ip)::INT AS place FROM floods GROUP BY dst_ip ORDER BY place LIMIT 10")
+_DT = ORACLES["dns_tunneling"].rstrip().rstrip(";").rsplit("\nSELECT", 1)
+_DT = f"{_DT[0]}, dt AS (SELECT{_DT[1]})"
+over_tables("dns_tunneling_worst", lambda s, d: listings.by_severity(names.dns_tunnels(lookups(s, d), 45, 3.9, 1.0), F.desc("queries"), "src_ip", "domain"), _DT + " SELECT *, row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), queries DESC, src_ip, domain)::INT AS place FROM dt ORDER BY place LIMIT 20")
+over_tables("dns_tunneling_domains", lambda s, d: listings.tunnel_domains(names.dns_tunnels(lookups(s, d), 45, 3.9, 1.0)), _DT + " SELECT domain, count(*) AS sources, sum(queries)::BIGINT AS queries, row_number() OVER (ORDER BY count(*) DESC, domain)::INT AS place FROM dt GROUP BY domain ORDER BY place LIMIT 10")
+_SW = _SCAN.format(few=2, rate="2e-5").replace("SELECT src_ip, kind, attempts", ", v AS (SELECT src_ip, kind, attempts").replace(" AS severity FROM o", " AS severity, start_us, span AS span_us FROM o)")
+over_varied("port_scan_scanners", lambda p: listings.top_scanners(security.scan_events(p, ports=3, targets=3, few=2, min_attempts=3, rate=2e-5)), f"""{_SW}, w AS (SELECT *, {_RANK} AS rk FROM v ORDER BY rk, start_us, src_ip LIMIT 10)
+SELECT src_ip, count(*) AS scans, max(targets) AS targets, max(ports) AS ports, sum(attempts)::BIGINT AS attempts, ['critical', 'high', 'medium', 'low'][min(rk)] AS severity, row_number() OVER (ORDER BY min(rk), count(*) DESC, src_ip)::INT AS place FROM w GROUP BY src_ip""")
+over_packets("retrans_confidence", lambda p: listings.confidence_overview(folds.retransmissions(_segments(p))))
+over_packets("sack_top_flows", lambda p: listings.top_sacks(names.sack_conversations(acked_blocks(p))), f", {_SK} SELECT *, dsacks / sacks::DOUBLE * 100.0 AS dsack_share, row_number() OVER (ORDER BY sacks DESC, {ENDS})::INT AS place FROM sc ORDER BY place LIMIT 20")
+over_packets("dsack_top_flows", lambda p: listings.top_dsacks(names.sack_conversations(acked_blocks(p))), f", {_SK} SELECT {ENDS}, dsacks, sacks, dsacks / sacks::DOUBLE * 100.0 AS dsack_share, row_number() OVER (ORDER BY dsacks DESC, {ENDS})::INT AS place FROM sc WHERE dsacks > 0 ORDER BY place LIMIT 10")
+over_packets("security_events_ranked", lambda p: listings.ranked_events(security.all_events(("upload", security.large_uploads(p, 3000, 24 * HOUR), "src_ip"), ("lateral", security.lateral_targets(p, 2), "src_ip"))), ORACLES["event_breakdown_grouping_sets"].removeprefix(PACKETS).replace("SELECT 'upload' AS kind,", "SELECT src_ip, 'upload' AS kind,")
+    .replace("SELECT 'lateral', severity FROM ls", "SELECT src_ip, 'lateral', severity FROM ls").rsplit("\nSELECT kind", 1)[0] + " SELECT kind, src_ip, severity, list_position(['critical', 'high', 'medium', 'low'], severity)::INT AS rank FROM ev")
 over_packets("burst_worst", lambda p: listings.worst_burst(timing.bursts(p, BURST)), f", {_B} SELECT * FROM bursts ORDER BY peak_ratio DESC, start_us LIMIT 1")
 over_packets("connections_longest_idle", lambda p: listings.longest_idle(tcp.connection_states(p, 24 * HOUR, 96 * HOUR)), ORACLES["tcp_connection_states"].removeprefix(PACKETS).replace(f"SELECT {ENDS}, packets, idle_us, CASE", f", st AS (SELECT {ENDS}, packets, idle_us, CASE")
     + f") SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY idle_us DESC, {ENDS})::INT AS place FROM st) WHERE place <= 10")
@@ -618,6 +636,9 @@ over_packets("silent_targets", lambda p: listings.silent_targets(both_ways(p)),
 SELECT {FLOW}, count(*) AS retries FROM x ANTI JOIN b USING ({FLOW}) WHERE (tcp_flags & 2) <> 0 GROUP BY {FLOW}""")
 over_packets("tcp_window_groups", lambda p: listings.window_groups(_bottlenecks(p), 96 * HOUR), f""", {_TW}, {_TS} SELECT kind, count(*) AS flows, sum(zero_runs)::BIGINT AS zero_runs, sum(closed_us)::BIGINT AS closed_us,
 max(zero_runs::HUGEINT * closed_us)::DOUBLE AS worst FROM tk GROUP BY kind""")
+over_packets("jitter_severity_shares", lambda p: listings.severity_shares(timing.jitter_filtered_stats(p, 24 * HOUR, **CUTS).withColumn("severity", timing.jitter_severity(F.col("protocol"), F.col("p95_us") / 1000.0))), f""", {_J}, {_JF}, s AS (SELECT CASE WHEN protocol = 'UDP' THEN CASE WHEN p95_us < 20000 THEN 'excellent' WHEN p95_us < 30000 THEN 'low' WHEN p95_us < 50000 THEN 'medium' ELSE 'critical' END
+WHEN p95_us < 100000 THEN 'low' WHEN p95_us < 200000 THEN 'medium' ELSE 'critical' END AS severity FROM jf) SELECT severity, count(*) AS n, count(*) / (SELECT count(*) FROM s)::DOUBLE * 100.0 AS share FROM s GROUP BY severity""")
+
 # ---------------------------------------------------------------- root causes
 
 _RANGE = "CASE WHEN dst_ip LIKE '203.0.113.%' THEN 'TEST-NET-3 (Documentation/Testing)' WHEN dst_ip LIKE '10.%' OR dst_ip LIKE '192.168.%' THEN 'Private Network' END"
