@@ -112,15 +112,16 @@ def ladder(x: Column, steps: Sequence[tuple[float, str]], default: str) -> Colum
     return out.otherwise(default)
 
 
-def ranked_value(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
-    """keys, name: the value at 0-based place int(n * share) of each group's sorted values (the last if there is none).
-
-    Ranks come from a window, which spills, and not from a collected list.
-    """
+def ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """df with __n (rows of the group) and __r (rank by value, from 1); ranks come from a window, which spills, and not from a collected list."""
     w = Window.partitionBy(*keys)
+    return df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(value)))
+
+
+def value_at(value: str, share: float) -> Column:
+    """Over the rows of ranked(): the value at 0-based place int(n * share) of its group (the last if there is none)."""
     place = F.least(F.floor(F.col("__n") * share), F.col("__n") - 1) + 1
-    r = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(value)))
-    return r.where(F.col("__r") == place).select(*keys, F.col(value).alias(name))
+    return F.max(F.when(F.col("__r") == place, F.col(value)))
 
 
 #: Fixed patterns and replacements, applied in this order.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import FLOW, RST, FIN, exact_median, has, is_internal, ranked_value, syn_only
+from ..functions.cols import FLOW, RST, FIN, exact_median, has, is_internal, ranked, syn_only, value_at
 from ..thresholds import Thresholds
 
 FIVE = ("protocol", *FLOW)
@@ -95,15 +95,11 @@ def jitter(p: DataFrame, **cuts: int) -> DataFrame:
 
 
 def _stats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    g = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("jitter_us").alias("total_us"), F.min("jitter_us").alias("min_us"), F.max("jitter_us").alias("max_us")
-    )
-    g = g.withColumn("mean_us", F.col("total_us") / F.col("n").cast("double"))
-    on = list(keys)
-    for share, name in ((0.95, "p95_us"), (0.99, "p99_us")):
-        r = ranked_value(df, keys, "jitter_us", share, name)
-        g = g.join(r, on) if on else g.crossJoin(F.broadcast(r))
-    return g
+    g = ranked(df, keys, "jitter_us").groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum("jitter_us").alias("total_us"), F.min("jitter_us").alias("min_us"), F.max("jitter_us").alias("max_us"),
+        value_at("jitter_us", 0.95).alias("p95_us"), value_at("jitter_us", 0.99).alias("p99_us"),
+    )
+    return g.withColumn("mean_us", F.col("total_us") / F.col("n").cast("double"))
 
 
 def jitter_flow_stats(p: DataFrame, **cuts: int) -> DataFrame:
