@@ -39,6 +39,9 @@ def test_choices(spark, capture, tmp_path, capsys):
     assert cli.main(["analyze", str(capture.parent), "--out", str(tmp_path), "--only", "summary"], spark) == 0
     assert "neither pcap nor pcapng" in capsys.readouterr().err
     (capture.parent / "b.pcap").unlink()
+    assert cli.main(["analyze", str(capture), "--out", str(tmp_path), "--only", "summary", "--max-bytes", "100", "--show", "3"], spark) == 0
+    said = capsys.readouterr()
+    assert "too large" in said.err and "|packets" in said.out and {r.metric: r.value for r in spark.read.csv(f"{tmp_path}/summary", header=True).collect()}["packets"] == "0"
     with pytest.raises(ValueError, match="unknown analyses: nothing"):
         cli.main([*args[:5], "nothing"], spark)
 

@@ -35,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--latency", type=float, help="seconds that count as a slow handshake and a long round trip")
     a.add_argument("--config", help="JSON file of thresholds by name")
     a.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="one threshold; may be given several times")
+    a.add_argument("--show", type=int, default=0, metavar="N", help="print the first N rows of each table, too")
+    a.add_argument("--max-bytes", type=int, help="report larger captures as faulty, and leave them out")
     a.add_argument("--block", type=int, default=ranges.BLOCK, help="bytes of a capture that a task reads")
     commands.add_parser("list", help="names of the analyses")
     c = commands.add_parser("show-config", help="thresholds as JSON")
@@ -72,15 +74,19 @@ def narrowed(p: DataFrame, src: str | None, dst: str | None, port: int | None) -
 def analyze(spark: SparkSession, args: argparse.Namespace) -> int:
     t = thresholds_of(args.config, args.set, args.latency)
     table = ranges.range_table(spark, args.captures, args.block)
-    bad = ranges.capture_problems(table).orderBy("file").collect()  # one row a file that has a fault
+    bad = ranges.capture_problems(table, args.max_bytes).orderBy("file").collect()  # one row a file that has a fault
     for r in bad:
         print(f"{r.file}: {r.problem}", file=sys.stderr)
-    p = narrowed(ranges.read_ranges(spark, args.captures, args.block), args.src, args.dst, args.port)
+    p = ranges.read_ranges(spark, args.captures, args.block)
+    large = [r.file for r in bad if r.problem == "too large"]
+    p = narrowed(p.where(~F.col("file").isin(large)) if large else p, args.src, args.dst, args.port)
 
     def write(name: str, df: DataFrame) -> None:
         w = df.write.mode("overwrite").format(args.format)
         (w.option("header", True) if args.format == "csv" else w).save(f"{args.out}/{name}")
         print(name)
+        if args.show:
+            df.show(args.show, truncate=False)
 
     _, problems = registry.run(p, args.only.split(",") if args.only else None, t, write)
     failed = problems.collect()

@@ -298,18 +298,20 @@ def range_table(spark: SparkSession, path: str | list[str], block: int = BLOCK)
     return r.withColumn("met", F.col("after").isNull() | (F.col("after") == F.col("next_byte")) | F.col("problem").isNotNull()).drop("after")
 
 
-def capture_problems(ranges: DataFrame) -> DataFrame:
-    """file, problem of the files that are empty, of unknown kind, cut short, or whose ranges don't meet (read those with one range)."""
+def capture_problems(ranges: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """file, problem of the files that are empty, of unknown kind, cut short, larger than most_bytes, or whose ranges don't meet (read those with one range)."""
     apart = F.when(~F.col("met"), F.concat(F.lit("ranges don't meet at byte "), F.col("next_byte").cast("string")))
-    p = F.coalesce("problem", apart)
+    large = F.when(F.col("next_byte") > most_bytes, "too large") if most_bytes else F.lit(None).cast("string")
+    p = F.coalesce("problem", apart, large)
     return ranges.where(p.isNotNull()).groupBy("file").agg(F.min_by(p, "range").alias("problem"))
 
 
-def expansion(ranges: DataFrame, most: float = 100.0) -> DataFrame:
-    """file, bytes of its frames per byte of the file, and whether that exceeds `most` (as in a crafted archive)."""
+def expansion(ranges: DataFrame, warn: float = 1000.0, most: float = 10_000.0) -> DataFrame:
+    """file, stored (bytes of its frames), bytes (of the file), their ratio, and level: ok, warning or excessive (as in a crafted archive)."""
     g = ranges.groupBy("file").agg(F.sum("stored").alias("stored"), F.max("next_byte").alias("bytes"))
     ratio = F.when(F.col("bytes") > 0, F.col("stored") / F.col("bytes").cast("double")).otherwise(0.0)
-    return g.select("file", "stored", "bytes", ratio.alias("ratio"), (ratio > most).alias("excessive"))
+    level = F.when(ratio >= most, "excessive").when(ratio >= warn, "warning").otherwise("ok")
+    return g.select("file", "stored", "bytes", ratio.alias("ratio"), level.alias("level"))
 
 
 def read_ranges(spark: SparkSession, path: str | list[str], block: int = BLOCK, deep: bool = False, seen: Observation | None = None) -> DataFrame:
