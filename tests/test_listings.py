@@ -43,12 +43,12 @@ def test_shaping_and_silent_targets(packets):  # noqa: F811
 def test_context_details_and_windows(packets):  # noqa: F811
     p = packets(*[at(i, tcp_seq=i) for i in range(12)], at(20, tcp_seq=500, tcp_payload_len=5), at(21, tcp_seq=500, tcp_payload_len=5))
     r = listings.retransmission_context(p).first()
-    assert (r.packet_num, r.n_before, r.before) == (14, 10, ",".join(map(str, range(4, 14))))
+    assert (r.packet_num, r.n_forward, r.n_reverse, r.context) == (14, 5, 0, "10,11,12,13,14")
     d = tcp.exact_retransmissions(p)
     assert listings.flow_details(d, src_ip="1.1.1.1", src_port=None).count() == 1 and listings.flow_details(d, src_port=1).count() == 0
     w = packets(at(0, tcp_window=0), at(3, tcp_window=9000), at(0, tcp_window=0, src_port=2), at(0.5, tcp_window=9000, src_port=2), at(1, src_port=3))
-    got = listings.window_groups(tcp.window_stats(w, 100, 0), tcp.zero_window_periods(w)).collect()
-    assert {x.kind: (x.flows, x.closed_us) for x in got} == {"application": (1, 3_000_000), "receiver": (1, 500_000)}
+    got = listings.window_groups(tcp.window_bottleneck(tcp.window_stats(w, 100, 0))).collect()
+    assert {x.kind: (x.flows, x.closed_us) for x in got} == {"application": (1, 3_000_000), "other": (1, 500_000)}
 
 
 def test_filtered_jitter_and_csv(packets, tmp_path, spark):  # noqa: F811
