@@ -166,17 +166,18 @@ def parse_flow(text: Column) -> Column:
 def exact_median(df: DataFrame, value: str, name: str = "median") -> DataFrame:
     """One row: the exact median of a column of non-negative integers (null without rows).
 
-    Values are counted by their high bits first; only those that share them with the middle
-    are then counted one by one. So no task ranks more than 2^20 counts, however many rows.
+    Values are counted, and the counts added up by their high bits; only values that share
+    those with the middle are then ranked. So no task ranks more than 2^20 counts, however
+    many rows. Both steps read the same counts, so df is read once.
     """
-    d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("bigint").alias("v")).withColumn("h", F.shiftright("v", 20))
+    d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("c"))
+    high = F.shiftright("v", 20)
     w = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    c = d.groupBy("h").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    c = d.groupBy(high.alias("h")).agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     has = lambda place: (F.col("upto") - F.col("c") < place) & (place <= F.col("upto"))
     c = c.where(has(lower) | has(upper)).select("h", (F.col("upto") - F.col("c")).alias("before"), lower.alias("lower"), upper.alias("upper"))  # at most two rows
-    v = d.join(F.broadcast(c), "h").groupBy("h", "before", "lower", "upper", "v").agg(F.count("*").alias("c"))
-    at = F.col("before") + F.sum("c").over(Window.partitionBy("h").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    v = v.withColumn("at", at)
+    v = d.withColumn("h", high).join(F.broadcast(c), "h")
+    v = v.withColumn("at", F.col("before") + F.sum("c").over(Window.partitionBy("h").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     pick = lambda place: F.min(F.when(F.col("at") >= F.col(place), F.col("v")))
     return v.agg(((pick("lower") + pick("upper")) / 2.0).alias(name))

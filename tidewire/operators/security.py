@@ -62,7 +62,8 @@ FLOOD_LEVELS = {"syn_flood": (200.0, 500.0, 1000.0), "udp_flood": (1000.0, 2000.
 
 
 def floods(
-    p: DataFrame, syn_per_s: float = 100.0, udp_per_s: float = 500.0, icmp_per_s: float = 100.0, ratio: float = 0.1, window_us: int = 10_000_000, levels: dict[str, tuple] = FLOOD_LEVELS
+    p: DataFrame, syn_per_s: float = 100.0, udp_per_s: float = 500.0, icmp_per_s: float = 100.0, ratio: float = 0.1, window_us: int = 10_000_000, levels: dict[str, tuple] = FLOOD_LEVELS,
+    attacks: Sequence[str] = tuple(FLOOD_LEVELS),
 ) -> DataFrame:
     """Floods per target: attack, dst_ip, dst_port (SYNs), severity, start_us, span_us, sources, packets, bytes, rate, top_sources.
 
@@ -71,7 +72,7 @@ def floods(
     SYN flood's are all windows of the target, the others' those with a packet of their
     kind. Bytes, and for UDP and ICMP also sources, are those of all kinds in these windows.
     SYN floods need a rate of syn_per_s and at most `ratio` SYN-ACKs a SYN. Over 50 and 100
-    sources raise the severity, and over 10,000 packets are critical.
+    sources raise the severity, and over 10,000 packets are critical. Only `attacks` are looked for.
     """
     kind = F.when(is_tcp() & syn_only(), "syn").when(F.col("protocol") == "UDP", "udp").when(F.col("protocol") == "ICMP", "icmp")
     t = p.where(_no_local()).withColumn("kind", kind).where("kind is not null").withColumn("slot", F.floor(F.col("ts_us") / window_us))
@@ -82,10 +83,12 @@ def floods(
     back = p.where(_no_local() & is_tcp() & syn_ack()).groupBy(F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port")).agg(F.count("*").alias("answers"))
     s = syn.groupBy("dst_ip", "dst_port").agg(F.count("*").alias("packets"), F.count_distinct("src_ip").alias("sources")).join(w.groupBy("dst_ip").agg(*span), "dst_ip")
     s = s.join(back, ["dst_ip", "dst_port"], "left").where(F.coalesce("answers", F.lit(0)) <= ratio * F.col("packets")).drop("answers")
-    events, least = [s.withColumn("attack", F.lit("syn_flood"))], {"syn_flood": syn_per_s, "udp_flood": udp_per_s, "icmp_flood": icmp_per_s}
+    events, froms, least = [], [], {"syn_flood": syn_per_s, "udp_flood": udp_per_s, "icmp_flood": icmp_per_s}
+    if "syn_flood" in attacks:
+        events.append(s.withColumn("attack", F.lit("syn_flood")))
+        froms.append(syn.select(F.lit("syn_flood").alias("attack"), "dst_ip", "dst_port", "src_ip").distinct())
     met = t.select("dst_ip", "slot", "src_ip").distinct()
-    froms = [syn.select(F.lit("syn_flood").alias("attack"), "dst_ip", "dst_port", "src_ip").distinct()]
-    for k in ("udp", "icmp"):
+    for k in [k for k in ("udp", "icmp") if f"{k}_flood" in attacks]:
         own = w.where(F.col(k) > 0)
         of = met.join(own.select("dst_ip", "slot"), ["dst_ip", "slot"]).select("dst_ip", "src_ip").distinct()
         g = own.groupBy("dst_ip").agg(F.sum(k).alias("packets"), *span).join(of.groupBy("dst_ip").agg(F.count("*").alias("sources")), "dst_ip")

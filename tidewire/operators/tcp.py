@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import ACK, ENDS, FIN, FLOW, PSH, RST, SYN, ack_only, flag_names, has, is_tcp, syn_ack, syn_only, with_ends
+from ..functions.cols import ACK, ENDS, FIN, FLOW, PSH, RST, SYN, ack_only, flag_names, has, is_tcp, ranked, syn_ack, syn_only, with_ends
 
 IN_ORDER = ("ts_us", "packet_num")
 
@@ -101,16 +101,13 @@ def connection_states(p: DataFrame, idle_us: int = 30_000_000, zombie_us: int =
 def rtt_flow_stats(trips: DataFrame, warning_us: int = 100_000, critical_us: int = 500_000) -> DataFrame:
     """Per flow of folds.round_trips: number, least, most, mean, median, sample deviation, spikes, and whether its round trips are long.
 
-    The median is read off the counts of the distinct values, so no list of a flow's values is held.
+    Ranks come from a window, which spills, so no list of a flow's values is held.
     """
     us, n = F.col("rtt_us"), F.col("n").cast("double")
-    c = trips.groupBy(*FLOW, "rtt_us").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*FLOW)
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy("rtt_us").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(w))
-    at = lambda place: F.min(F.when(F.col("upto") >= place, us))
-    g = c.groupBy(*FLOW).agg(
-        F.sum("c").alias("n"), F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.sum(us * F.col("c")).alias("s"), F.sum(us.cast("decimal(38,0)") * us * F.col("c")).cast("double").alias("q"),
-        at(F.floor((F.col("all") + 1) / 2)).alias("lower"), at(F.floor(F.col("all") / 2) + 1).alias("upper"), F.sum(F.when(us > warning_us, F.col("c")).otherwise(0)).alias("spikes"),
+    at = lambda place: F.max(F.when(F.col("__r") == place, us))
+    g = ranked(trips, FLOW, "rtt_us").groupBy(*FLOW).agg(
+        F.count("*").alias("n"), F.min(us).alias("min_us"), F.max(us).alias("max_us"), F.sum(us).alias("s"), F.sum(us.cast("decimal(38,0)") * us).cast("double").alias("q"),
+        at(F.floor((F.col("__n") + 1) / 2)).alias("lower"), at(F.floor(F.col("__n") / 2) + 1).alias("upper"), F.count_if(us > warning_us).alias("spikes"),
     )
     s = F.col("s").cast("double")
     spread = F.when(F.col("n") > 1, F.sqrt(F.greatest((F.col("q") * n - s * s) / (n * (n - 1)), F.lit(0.0))))

@@ -383,15 +383,15 @@ fl AS (SELECT *, CASE WHEN rate > 1e-3 THEN 3 WHEN rate > 5e-4 THEN 2 WHEN rate
 floods AS (SELECT * EXCLUDE (l), ['low', 'medium', 'high', 'critical'][1 + CASE WHEN packets > 10000 THEN 3 WHEN sources > 100 THEN CASE WHEN l < 2 THEN 2 ELSE 3 END WHEN sources > 50 AND l = 0 THEN 1 ELSE l END] AS severity FROM fl)"""
 
 
-def _floods(p: DataFrame, least: float = 1e-4) -> DataFrame:
-    return security.floods(p, least, least, least, 0.9, HOUR, LEVELS)
+def _floods(p: DataFrame, least: float = 1e-4, *attacks: str) -> DataFrame:
+    return security.floods(p, least, least, least, 0.9, HOUR, LEVELS, attacks or tuple(LEVELS))
 
 
 _FV = _FL.replace("rate >= 1e-4", "rate >= 1e-6")
 
 
-over_packets("ddos_syn_flood", lambda p: _floods(p).where("attack = 'syn_flood'"), f", {_FL} SELECT * FROM floods WHERE attack = 'syn_flood'")
-over_packets("ddos_udp_flood", lambda p: _floods(p).where("attack = 'udp_flood'"), f", {_FL} SELECT * FROM floods WHERE attack = 'udp_flood'")
+over_packets("ddos_syn_flood", lambda p: _floods(p, 1e-4, "syn_flood"), f", {_FL} SELECT * FROM floods WHERE attack = 'syn_flood'")
+over_packets("ddos_udp_flood", lambda p: _floods(p, 1e-4, "udp_flood"), f", {_FL} SELECT * FROM floods WHERE attack = 'udp_flood'")
 over_varied("ddos_floods_varied", lambda p: _floods(p, 1e-6), f", {_FV} SELECT * FROM floods")
 over_varied("ddos_worst", lambda p: listings.by_severity(_floods(p, 1e-6), "start_us", "attack", "dst_ip", "dst_port"), f""", {_FV}
 SELECT *, row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), start_us, attack, dst_ip, dst_port NULLS FIRST)::INT AS place FROM floods ORDER BY place LIMIT 20""")
