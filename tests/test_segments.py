@@ -94,6 +94,17 @@ def test_round_trips(packets):  # noqa: F811
     assert trips(data(0, 1000), ack(0.3, 1100), data(1, 1100), ack(1.01, 1200), at_least_us=100_000) == [(1, 2, 300_000)]
 
 
+def test_timelines(packets):  # noqa: F811
+    rows = [*handshake(1, 1000), *[data(2 + i / 10, 1001 + 100 * i, tcp_ack=5001) for i in range(12)], back(4, tcp_seq=5001, tcp_ack=2201)]
+    rows += [data(4.5, 2101, tcp_ack=5001), data(5, 1001, tcp_ack=5001), at(6, tcp_seq=2201, tcp_ack=5001, tcp_flags=17), back(6.1, tcp_seq=5001, tcp_ack=2202, tcp_flags=17)]
+    got = {(r.src_ip, r.part): r.packets for r in folds.timelines(packets(*rows)).collect()}
+    # 17 is the first sent again: its ten last packets are 7 to 15 and 17, the SYN before them; of the other side 2 and 16
+    assert got == {("1.1.1.1", "opening"): "1,2,7,8,9,10,11,12,13,14", ("1.1.1.1", "end"): "10,11,12,13,14,15,16,17,18,19"}
+    # only since the state started anew
+    again_ = [at(10, tcp_seq=9000, **SYN), at(10.1, tcp_seq=1, tcp_flags=4), at(11, tcp_seq=8000, **SYN), at(12, tcp_seq=8000, **SYN)]
+    assert [r.packets for r in folds.timelines(packets(*again_)).collect()] == ["3,4"]
+
+
 def moves(*pairs):
     return [at(s, tcp_flags=2, src_ip="10.0.0.1", dst_ip=f"10.0.1.{d}", dst_port=22) for s, d in pairs]
 

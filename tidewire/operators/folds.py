@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import ENDS, FLOW, SYN, is_tcp, with_ends
-from .steps import SEGMENT_EVENTS, Handshakes, Lookups, RoundTrips, Segments, Timers
+from .steps import SEGMENT_EVENTS, TIMELINES, Handshakes, Lookups, RoundTrips, Segments, Timelines, Timers
 
 COLUMNS = ("packet_num", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "tcp_payload_len")
 #: Result rows that a task gathers before it hands them on.
@@ -108,6 +108,11 @@ def retransmissions(events: DataFrame) -> DataFrame:
     return r.select("packet_num", "ts_us", *FLOW, "tcp_seq", "tcp_flags", "original_num", "delay_us", "kind", "spurious", "confidence", "dup_acks", "last_ack", "last_ack_num", "expected_ack", side.alias("unreachable"))
 
 
+def timelines(p: DataFrame, timers: Timers = Timers(), most: int = 10) -> DataFrame:
+    """How the flows with retransmissions began and ended (rows of TIMELINES, see Timelines)."""
+    return ordered_fold(connections(p), ENDS, COLUMNS, lambda: Timelines(timers, most), TIMELINES)
+
+
 def flow_severity(p: DataFrame, events: DataFrame, low: int = 10, critical: int = 100, rates: tuple[float, float, float] = (1.0, 3.0, 5.0)) -> DataFrame:
     """Per directed flow: packets, events of each kind, the rate of retransmissions in percent and its severity.
 

@@ -297,6 +297,49 @@ class Segments(Step):
         return max(last) + self.timers.idle if last else 0
 
 
+TIMELINES = "src_ip string, src_port int, dst_ip string, dst_port int, part string, packets string"
+
+
+class Timelines(Segments):
+    """The packets that open and end troubled flows, as rows of TIMELINES; packets are numbers in order of time, joined by commas.
+
+    Up to `most` packets of either direction are kept since its state started anew, and its
+    first SYN. With a flow's first retransmission its opening is told: of each direction the
+    SYN and what is kept, the first `most` of both together. With its first FIN or RST after
+    that its end: the last `most` kept of both together.
+    """
+
+    def __init__(self, timers: Timers, most: int = 10) -> None:
+        super().__init__(timers)
+        self.most, self.kept, self.syn, self.troubled, self.ended, self.ends = most, {}, {}, set(), set(), ()
+
+    def _restart(self, a: _Side, b: _Side) -> None:
+        super()._restart(a, b)
+        for end in self.ends:
+            self.kept.pop(end, None)
+            self.syn.pop(end, None)
+
+    def _opening(self, end: tuple) -> list[tuple]:
+        first = [self.syn[end]] if end in self.syn else []
+        return sorted([*first, *(x for x in self.kept.get(end, ()) if x not in first)], key=lambda x: x[0])[: self.most]
+
+    def feed(self, row: tuple) -> Iterator[tuple]:
+        num, us, sip, sport, dip, dport, _, _, flags, _, _ = row
+        own, other = self.ends = (sip, sport), (dip, dport)
+        self.kept.setdefault(own, deque(maxlen=self.most)).append((us, num))
+        again = any(e[0] == "retransmission" for e in super().feed(row))
+        if flags & SYN:
+            self.syn.setdefault(own, (us, num))
+        flow = (sip, sport, dip, dport)
+        told = lambda part, rows: (*flow, part, ",".join(str(n) for _, n in rows))
+        if again and flow not in self.troubled:
+            self.troubled.add(flow)
+            yield told("opening", sorted(self._opening(own) + self._opening(other), key=lambda x: x[0])[: self.most])
+        if flags & (FIN | RST) and flow in self.troubled and flow not in self.ended:
+            self.ended.add(flow)
+            yield told("end", sorted([*self.kept.get(own, ()), *self.kept.get(other, ())], key=lambda x: x[0])[-self.most :])
+
+
 class Lookups(Step):
     """(client, server, id, qname, query_us, response_us, rcode) of the lookups of one server and id.
 

@@ -310,6 +310,7 @@ CASE WHEN (tcp_flags & 2) <> 0 THEN CASE WHEN (tcp_flags & 16) <> 0 THEN 'client
 over_packets("retransmission_full", lambda p: folds.retransmissions(_segments(p)))
 over_packets("tcp_anomalies", lambda p: _segments(p).where("event <> 'retransmission'").select("event", "packet_num", "ts_us", *tcp.FLOW, "tcp_seq", "dup_acks", "expected"))
 over_packets("retrans_flow_severity", lambda p: folds.flow_severity(both_ways(p), _segments(p), 3, 100))
+over_packets("retrans_timelines", lambda p: folds.timelines(both_ways(p), TIMERS))
 over_packets("retrans_report", lambda p: folds.segment_report(_segments(p), folds.flow_severity(both_ways(p), _segments(p), 3, 100)))
 over_packets("tcp_window_bottleneck", _bottlenecks, f", {_TW}, {_TS} SELECT * FROM tb")
 _SD = f"""t AS (SELECT packet_num, ts_us, seq, flags, CASE WHEN packet_num % 2 = 1 THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN packet_num % 2 = 1 THEN dst_port ELSE src_port END AS src_port,
