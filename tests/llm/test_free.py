@@ -341,7 +341,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 def test_driver_tables_have_oracles():
     from tidewire.llm import queries
 
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) < set(queries.queries())
     for p in Path(queries.__file__).parent.glob("*.py"):
         assert "localCheckpoint" not in p.read_text()
