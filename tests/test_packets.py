@@ -129,6 +129,21 @@ def test_dns_matching(spark):
     assert got == {"a.": "success", "b.": "error", "c.": "timeout", "d.": "slow"}
 
 
+
+def test_dns_ids_used_again(spark):
+    s = 1_000_000
+    q = [
+        (0, 1, 0, None, "a.", 5000, 7), (60 * s, 2, 0, None, "b.", 5001, 7), (60 * s + 9, 3, 1, 0, "b.", 5001, 7),  # another port's lookup was never answered
+        (0, 4, 0, None, "c.", 5000, 8), (60 * s, 5, 0, None, "d.", 5000, 8), (60 * s + 9, 6, 1, 3, "d.", 5000, 8),  # nor the same port's
+        (0, 7, 0, None, "e.", 5000, 9), (1, 8, 0, None, "f.", 5001, 9), (2, 9, 1, 0, "f.", 5001, 9), (3, 10, 1, 3, "e.", 5000, 9),  # two at once
+        (0, 11, 0, None, "g.", 5000, 10), (2 * s, 12, 0, None, "g.", 5000, 10), (2 * s + 9, 13, 1, 0, "g.", 5000, 10),  # sent again
+        (0, 14, 0, None, "h.", 5000, 11), (6 * s, 15, 1, 0, "h.", 5000, 11),  # late, the id not used again
+    ]
+    df = spark.createDataFrame([(*r, "10.0.0.1", "8.8.8.8") for r in q], "ts_us bigint, packet_num bigint, qr int, rcode int, qname string, client_port int, id int, client string, server string")
+    got = {(r.qname, r.status, r.took_us) for r in folds.dns_transactions(df).collect()}
+    assert got == {("a.", "timeout", None), ("b.", "success", 9), ("c.", "timeout", None), ("d.", "error", 9), ("e.", "error", 3), ("f.", "success", 1), ("g.", "success", 9), ("h.", "slow", 6 * s)}
+
+
 def test_icmp_fragments_and_sack(spark, packets):
     p = packets(*[{"protocol": "ICMP", "icmp_type": 3, "icmp_code": c} for c in (4, 4, 1)], {"protocol": "ICMP", "icmp_type": 8, "icmp_code": 0})
     assert {(r.name, r.severity): r.packets for r in names.icmp_summary(p).collect()}["Destination Unreachable - Fragmentation Needed and DF Set", "error"] == 2

@@ -39,3 +39,21 @@ def test_query(spark, con, name):
     assert sorted(have) == cols
     want = sorted((tuple(r[have.index(c)] for c in cols) for r in cur.fetchall()), key=repr)
     assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
+
+
+@pytest.fixture(scope="module")
+def used_again(tmp_path_factory):
+    """Events whose DNS ids come again: four copies, a day and 65,536 events apart."""
+    d = tmp_path_factory.mktemp("used_again")
+    c = duckdb.connect()
+    c.execute(f"copy (select e.* replace (event_id + k * 65536 as event_id, ts + to_days(k::int) as ts) from '{DIR}/events.parquet' e, range(4) r(k)) to '{d}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from '{d}/events.parquet'")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["dns_transactions"])
+def test_ids_used_again(spark, used_again, name):
+    d, c = used_again
+    df = q.QUERIES[name](spark, d)
+    want = sorted(c.execute(f"select {', '.join(df.columns)} from ({q.ORACLES[name]})").fetchall(), key=repr)
+    assert sorted(map(tuple, df.collect()), key=repr) == want

@@ -143,12 +143,12 @@ def segment_report(events: DataFrame, severity: DataFrame) -> DataFrame:
 
 
 def dns_transactions(q: DataFrame, timeout_us: int = 5_000_000, slow_us: int = 1_000_000) -> DataFrame:
-    """DNS lookups (ts_us, packet_num, client, client_port, server, id, qr, rcode, qname): each response takes the first
-    open query of its id and server; open ones time out after timeout_us of DNS traffic."""
+    """DNS lookups (ts_us, packet_num, client, client_port, server, id, qr, rcode, qname): each response takes the open query
+    of its id, server, client and port (see Lookups); open ones time out after timeout_us of DNS traffic."""
     end = q.agg(F.max("ts_us").alias("end_us"))
     schema = "client string, server string, id int, qname string, query_us bigint, response_us bigint, rcode int"
-    columns = ("packet_num", "ts_us", "client", "client_port", "server", "id", "qr", "rcode", "qname")
-    t = ordered_fold(q, ("server", "id"), columns, Lookups, schema).crossJoin(F.broadcast(end))
+    columns = ("packet_num", "ts_us", "client", "server", "id", "qr", "rcode", "qname")
+    t = ordered_fold(q, ("client", "client_port", "server", "id"), columns, lambda: Lookups(timeout_us), schema).crossJoin(F.broadcast(end))
     took = F.col("response_us") - F.col("query_us")
     status = (
         F.when(F.col("response_us").isNull(), F.when(F.col("end_us") - F.col("query_us") >= timeout_us, "timeout").otherwise("open"))

@@ -341,26 +341,30 @@ class Timelines(Segments):
 
 
 class Lookups(Step):
-    """(client, server, id, qname, query_us, response_us, rcode) of the lookups of one server and id.
+    """(client, server, id, qname, query_us, response_us, rcode) of the lookups of one client, client port, server and id.
 
-    Rows are (packet_num, ts_us, client, client_port, server, id, qr, rcode, qname). A response
-    takes the first open query; a query that repeats an open one of its client and port
-    takes its place.
+    Rows are (packet_num, ts_us, client, server, id, qr, rcode, qname). A response takes the
+    open query. A query that repeats it within timeout_us takes its place; a later one uses
+    the id again, and the open one has no response.
     """
 
-    def __init__(self) -> None:
-        self.open: dict[tuple, tuple] = {}
+    def __init__(self, timeout_us: int) -> None:
+        self.timeout = timeout_us
+        self.open: tuple | None = None
 
     def feed(self, row: tuple) -> Iterator[tuple]:
-        _, us, client, port, server, ident, qr, rcode, qname = row
+        _, us, client, server, ident, qr, rcode, qname = row
         if qr == 0:
-            self.open[client, port] = (client, server, ident, qname, us)
+            if self.open and (us is None or us - self.open[-1] >= self.timeout):
+                yield from self.close()
+            self.open = (client, server, ident, qname, us)
         elif self.open:
-            yield (*self.open.pop(next(iter(self.open))), us, rcode)
+            yield (*self.open, us, rcode)
+            self.open = None
 
     def close(self) -> Iterator[tuple]:
-        for q in self.open.values():
-            yield (*q, None, None)
+        if self.open:
+            yield (*self.open, None, None)
 
     def free_at(self) -> int | None:
         return None if self.open else 0
