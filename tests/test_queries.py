@@ -51,7 +51,7 @@ def used_again(tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["dns_transactions", "dns_problem_domains"])
+@pytest.mark.parametrize("name", ["dns_transactions", "dns_problem_domains", "dns_causes"])
 def test_ids_used_again(spark, used_again, name):
     d, c = used_again
     df = q.QUERIES[name](spark, d)
